@@ -1,0 +1,8 @@
+"""The corpus pipeline; its stages follow."""
+
+STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError("the stages follow")
