@@ -8,18 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm import archive, bpe, media, mixing, pii
-from wharfline.llm.common import table, written
+from wharfline.llm import archive, bpe, lm, media, mixing, pii, quality, toxicity
+from wharfline.llm.common import bucket_of, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, bucket_of(F.col("doc_id"), 5) != 1)
+    return scored.withColumn("held_out", F.coalesce(bucket_of(F.col("doc_id"), 5) == 1, F.lit(False)))
+
+
 def op3_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_text(table(spark, sf_dir, "documents"), keep=["doc_id"])
     feature = F.concat(F.size("fingerprint").cast("string"), F.lit(":"), F.sha2(F.array_join(F.col("fingerprint"), ","), 256))
     return media.analyse(stored).withColumn("feature", feature).drop("fingerprint")
 
 
+def op4_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), bucket_of(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), bucket_of(F.col("doc_id"), 5) == 0
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
+    scored = quality.score(docs, weights).drop("text")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(archive.pages_to_warc(table(spark, sf_dir, "pages"), least=0), "warc")
     return archive.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,7 +62,10 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_bloom_lm": op2_bloom_lm,
         "op3_media_fingerprints": op3_media_fingerprints,
+        "op4_nb_toxicity": op4_nb_toxicity,
+        "op6_ftrl_quality": op6_ftrl_quality,
         "op7_arc_to_warc": op7_arc_to_warc,
         "op8_prefix_bpe": op8_prefix_bpe,
         "op9_source_mix": op9_source_mix,
