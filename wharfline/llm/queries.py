@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm import archive, bpe, lm, media, mixing, pii, quality, toxicity
+from wharfline.llm import archive, bpe, jaccard, lm, media, mixing, pii, quality, toxicity
 from wharfline.llm.common import bucket_of, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op4_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_prefix_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), bucket_of(F.col("doc_id"), 5) == 0
     weights = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op2_bloom_lm": op2_bloom_lm,
         "op3_media_fingerprints": op3_media_fingerprints,
         "op4_nb_toxicity": op4_nb_toxicity,
+        "op5_prefix_tree_jaccard": op5_prefix_tree_jaccard,
         "op6_ftrl_quality": op6_ftrl_quality,
         "op7_arc_to_warc": op7_arc_to_warc,
         "op8_prefix_bpe": op8_prefix_bpe,
