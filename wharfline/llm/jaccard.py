@@ -398,6 +398,15 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return full.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+    """The rows of docs without near copies: of each component the row of the smallest id stays, one of those that repeat it; rows of a null id stay all."""
+    found = jaccard_components(docs, doc_id=doc_id, text=text, n=n)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    known = docs.where(F.col(doc_id).isNotNull())
+    kept = known.join(gone, known[doc_id] == gone["_gone"], "left_anti").dropDuplicates([doc_id])
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+
+
 #: Bits of the filter that keeps rows without a chance out of a join's shuffle.
 SIEVE_BITS = 1 << 24
 

@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm import archive, bpe, jaccard, lm, media, mixing, pii, quality, toxicity
+from wharfline.llm import archive, bpe, covertree, jaccard, lm, media, mixing, pii, quality, toxicity
 from wharfline.llm.common import bucket_of, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
+
+
 def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm.score(docs, bucket_of(F.col("doc_id"), 5) != 1)
@@ -66,6 +71,7 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_cover_tree_topk": op1_cover_tree_topk,
         "op2_bloom_lm": op2_bloom_lm,
         "op3_media_fingerprints": op3_media_fingerprints,
         "op4_nb_toxicity": op4_nb_toxicity,
@@ -80,6 +86,17 @@ def queries() -> dict[str, Query]:
 
 WORD_COUNT = "CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END"
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS q, v AS d WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id AND len(q.e) = len(d.e)
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP9_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST({WORD_COUNT} AS BIGINT) AS size FROM documents),
 s AS (
@@ -100,4 +117,4 @@ SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": OP9_SQL}
+    return {"op1_cover_tree_topk": OP1_SQL, "op9_source_mix": OP9_SQL}
