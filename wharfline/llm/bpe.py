@@ -56,7 +56,13 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self._parts: dict[int, tuple[int, int] | None] = {}
         self.seams: dict[int, bool] = {}
-        self.starts = {t[:n]: -1 for t in ranks for n in range(1, len(t))} | ranks
+        # The tokens as a tree of dictionaries by byte; at -1 a node's own token, or -1.
+        self.tree: dict = {-1: -1}
+        for t, r in ranks.items():
+            node = self.tree
+            for b in t:
+                node = node.setdefault(b, {-1: -1})
+            node[-1] = r
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -106,6 +112,33 @@ class Vocabulary:
                 bound, right = right + 1, b[0]
                 # A seam pair of this rank would stand left of the merge and come before it.
 
+    def extend(self, near: bytes, last: list[int], data: bytes) -> None:
+        """Grows ``last``, the last token of each prefix, by the prefixes that end in ``data``; ``near`` are the bytes before it, as many as a token can have.
+
+        From each place on, the token tree is followed as far as it goes; a
+        prefix that has its last token needs no other.
+        """
+        base = len(last) - len(near)
+        window = near + data
+        last += [-1] * len(data)
+        size, root, seen = len(window), self.tree, self.seams
+        left = last[base - 1] if base else -1
+        for begin in range(size):
+            node = root
+            shifted = left << 32
+            for end in range(begin, size):
+                node = node.get(window[end])
+                if node is None:
+                    break
+                token = node[-1]
+                if token >= 0 and last[base + end] < 0:
+                    fits = seen.get(shifted | token)
+                    if fits is None:
+                        fits = self.seam(left, token)
+                    if fits:
+                        last[base + end] = token
+            left = last[base + begin]
+
 
 class Prefixes:
     """A byte string with the last token of each prefix. ``tokens()`` is its encoding; appends and edits keep what lies before them."""
@@ -115,26 +148,9 @@ class Prefixes:
         self.append(data)
 
     def append(self, data: bytes) -> None:
-        v, start, seen = self.vocabulary, len(self.last), self.vocabulary.seams
-        near = bytes(self.data[-v.longest :])
+        near = bytes(self.data[-self.vocabulary.longest :])
         self.data += data
-        window, base = near + data, start - len(near)
-        size, last, starts = len(window), self.last + [-1] * len(data), v.starts.get
-        # From each place on, tokens are followed as far as one begins so; a prefix that has its last token needs no other.
-        for begin in range(size):
-            left = last[base + begin - 1] if base + begin else -1
-            for end in range(begin + 1, size + 1):
-                token = starts(window[begin:end])
-                if token is None:
-                    break
-                if token >= 0 and last[base + end - 1] < 0:
-                    key = left << 32 | token
-                    fits = seen.get(key)
-                    if fits is None:
-                        fits = v.seam(left, token)
-                    if fits:
-                        last[base + end - 1] = token
-        self.last = last
+        self.vocabulary.extend(near, self.last, data)
 
     def edit(self, start: int, stop: int, new: bytes) -> None:
         """Bytes start to stop become ``new``. Prefixes before the edit stay; after it, the old last tokens serve again once as many bytes as the longest token has agree."""
@@ -177,11 +193,21 @@ class TextEncoder:
         if known is None:
             data = piece.encode()
             whole = self.vocabulary.ranks.get(data)
-            known = [whole] if whole is not None else Prefixes(self.vocabulary, data).tokens()
+            known = [whole] if whole is not None else self._tokens(data)
             if len(piece) <= 64:
                 self.pieces.put(piece, known)
         return known
 
+    def _tokens(self, data: bytes) -> list[int]:
+        last: list[int] = []
+        self.vocabulary.extend(b"", last, data)
+        out, at, words = [], len(data), self.vocabulary.bytes
+        while at:
+            token = last[at - 1]
+            out.append(token)
+            at -= len(words[token])
+        return out[::-1]
+
     def encode(self, text: str) -> list[int]:
         return [t for p in self.find(text) for t in self.piece(p)]
 
@@ -190,7 +216,7 @@ class TextEncoder:
 
     def decimal(self, text: str) -> str:
         """The ids as decimal numbers joined by spaces."""
-        if _ODD.search(text):
+        if _odd(text):
             return " ".join([self._known(c) for c in _CUT.split(text) if c])
         first, *rest = text.split(" ")
         got = list(map(self.chunks.new.get, rest))
@@ -211,8 +237,14 @@ class TextEncoder:
 
 
 _CUT = regex.compile(r"(?<=\S)(?= )")
-#: Texts with a space at either end or after white space, where splitting at spaces isn't cutting.
-_ODD = regex.compile(r"\s |^ | $")
+#: White space by any of its definitions, and beyond ASCII.
+_BLANKS = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
+_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+
+
+def _odd(text: str) -> bool:
+    """Whether a space may stand at either end or after white space, where splitting at spaces isn't cutting."""
+    return not text or text[0] == " " or text[-1] == " " or any(b in text for b in _BLANKS) or not text.isascii() and any(w in text for w in _WIDE)
 
 
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
