@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Directories whose weight is reported, names that some systems can't store, and the longest path in bytes.
 HEAVY = ("node_modules", ".git", ".svn", ".hg")
@@ -61,7 +62,7 @@ def heavy_root(path: Column) -> Column:
     return F.when(found != "", found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def path_key(path: pd.Series) -> pd.Series:
     """Composed Unicode, in lower case: equal keys may be one file where case doesn't count."""
     return path.map(lambda p: None if p is None else unicodedata.normalize("NFC", p).lower(), na_action="ignore")
