@@ -7,10 +7,13 @@ A document's set holds hashes of its distinct n-word shingles. The stages:
    table of the commonest, found by counting in tasks first); the others go by hash.
 3. Prefixes. By the prefix-filter lemma two sets x and y that reach the
    threshold share at least min(l(x), l(y)) of their first |x| - a(x) + l(x) shingles,
-   a(x) being the overlap that x needs at least. Shingles that stand in one
-   prefix only drop out, then sets with too few of the rest.
-4. Groups. Sets that share a prefix shingle are connected; a linked pair
-   always lies within one connected group.
+   a(x) being the overlap that x needs at least. Sets with too few shingles in
+   their prefix that any other prefix has drop out.
+4. Counts. Of the sets left, all shingles are counted exactly; sets drop out
+   unless a(x) of their shingles are in other sets. Two rounds of this leave near copies and
+   little else, and the last counts make the final order, rarest first.
+   Groups. Sets that share a shingle of their plain prefixes in that order are connected; a
+   linked pair always lies within one connected group.
 5. Trees. Each group, or each pair of bounded blocks of a large one, is joined
    in a prefix tree of its ordered sets: sets share the overlaps of common
    beginnings, and subtrees that cannot reach the threshold are cut off by the
@@ -40,7 +43,7 @@ COMMON = 1 << 17
 BUCKET = 1 << 20
 #: Sets and shingles of a block at most (a block holds one set at least).
 BLOCK_SETS = 2000
-BLOCK_SHINGLES = 2 << 20
+BLOCK_SHINGLES = 1 << 20
 STEP = 1 << 19
 
 
@@ -138,14 +141,8 @@ def common_shingles(docs: DataFrame, n: int, text: str, least: int = 32) -> tupl
 
 def ordered(values: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Each shingle's place in the global order: its hash halved, or, if common, its rank after all of those."""
-    keys, rank = common
-    out = values >> np.uint64(1)
-    if len(keys):
-        at = np.searchsorted(keys, values)
-        at[at == len(keys)] = 0
-        hit = keys[at] == values
-        out[hit] = np.uint64(1 << 63) + rank[at[hit]].astype(np.uint64)
-    return out
+    rank = _rank(values, common)
+    return np.where(rank >= 0, np.uint64(1 << 63) + rank.astype(np.uint64), values >> np.uint64(1))
 
 
 def prefix_shares(docs: DataFrame, n: int, text: str, common, buckets: int, tasks: int) -> DataFrame:
@@ -181,11 +178,7 @@ def prefix_shares(docs: DataFrame, n: int, text: str, common, buckets: int, task
                     yield _share_rows(k, place[cut[k] : cut[k + 1]], keys, who[cut[k] : cut[k + 1]])
 
     def meet(group: pa.Table) -> pa.Table:
-        places, sets = [], []
-        for p, k, w in zip(group.column("places"), group.column("sets"), group.column("owners")):
-            places.append(np.frombuffer(p.as_py(), np.uint64))
-            sets.append(np.repeat(np.frombuffer(k.as_py(), np.uint64), np.frombuffer(w.as_py(), np.uint16)))
-        place, who = np.concatenate(places), np.concatenate(sets)
+        place, who = _opened(group)
         by = np.lexsort((who, place))
         place, who = place[by], who[by]
         new = np.concatenate([[True], (place[1:] != place[:-1]) | (who[1:] != who[:-1])])
@@ -304,12 +297,14 @@ class PrefixTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def tree_links(places: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links, as pairs of numbers of the given sets (ascending uint64 places), that connect all that any link connects."""
-    flat = np.concatenate(places)
-    kinds, inverse = np.unique(flat, return_inverse=True)
-    ends = np.cumsum([len(p) for p in places])
-    sets = [inverse[e - len(p) : e] for e, p in zip(ends, places)]
+def tree_links(shingles: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links, as pairs of numbers of the given sets (distinct uint64 shingles and their counts over all sets), that connect all that any link connects."""
+    kinds, first, inverse = np.unique(np.concatenate(shingles), return_index=True, return_inverse=True)
+    rank = np.empty(len(kinds), np.int64)
+    rank[np.lexsort((kinds, np.concatenate(counts)[first]))] = np.arange(len(kinds))
+    inverse = rank[inverse]
+    ends = np.cumsum([len(p) for p in shingles])
+    sets = [np.sort(inverse[e - len(p) : e]) for e, p in zip(ends, shingles)]
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
     sets = [sets[i] for i in order]
     tree = PrefixTree(sets)
@@ -330,17 +325,112 @@ def tree_links(places: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def join_groups(sets: DataFrame) -> DataFrame:
-    """a and b: connecting links between sets (k1) of each key; sets: key, k1, places (binary)."""
+    """a and b: connecting links between sets (k1) of each key; sets: key, k1, shingles and counts (binary)."""
 
     def join(group: pa.Table) -> pa.Table:
-        first: dict[int, bytes] = dict(zip(group.column("k1").to_pylist(), group.column("places").to_pylist()))
+        first = {k: (x, c) for k, x, c in zip(group.column("k1").to_pylist(), group.column("shingles").to_pylist(), group.column("counts").to_pylist())}
         ids = list(first)
-        links = tree_links([np.frombuffer(first[k], np.uint64) for k in ids]) if len(ids) > 1 else []
+        links = tree_links([np.frombuffer(x, np.uint64) for x, _ in first.values()], [np.frombuffer(c, np.uint16) for _, c in first.values()]) if len(ids) > 1 else []
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
     return sets.groupBy("key").applyInArrow(join, "a bigint, b bigint")
 
 
+#: Counts from here on stand for the ranks of common shingles, which need no counting.
+RANKED = 1 << 15
+
+
+def counted_sets(members: DataFrame, common, buckets: int, tasks: int) -> DataFrame:
+    """k1, shingles and counts (binary, uint16) of the sets of members (k1, shingles) of which enough shingles are in other sets.
+
+    Tasks send each bucket its shingles as packed arrays, and buckets send each set its part
+    back with the counts. A common shingle's count is its rank, known to all, so no bucket holds a hot one.
+    """
+
+    def rows(bucket: int, shingle: np.ndarray, keys: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+        return _share_rows(bucket, shingle, keys, who)
+
+    def emit(batches):
+        for batch in batches:
+            keys = batch.column("k1").to_numpy().view(np.uint64)
+            parts = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            shingle, who = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.uint32), [len(x) for x in parts])
+            hot = _rank(shingle, common.value) >= 0
+            bucket = np.where(hot, -1 - (keys[who] % np.uint64(997)).astype(np.int64), ((shingle >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+            by = np.argsort(bucket, kind="stable")
+            bucket, shingle, who = bucket[by], shingle[by], who[by]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for a, b in zip(cut[:-1], cut[1:]):
+                yield rows(int(bucket[a]), shingle[a:b], keys, who[a:b])
+
+    def count(group: pa.Table) -> pa.Table:
+        shingle, who = _opened(group)
+        if group.column("bucket")[0].as_py() >= 0:
+            _, back, n = np.unique(shingle, return_inverse=True, return_counts=True)
+            n = np.minimum(n, RANKED - 1)[back]
+        else:
+            keys, rank = common.value
+            n = RANKED + _rank(shingle, common.value) * (RANKED - 1) // max(1, len(rank))
+        by = np.argsort(who, kind="stable")
+        shingle, who, n = shingle[by], who[by], n[by].astype(np.uint16)
+        cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1], [True]]))
+        pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+        return pa.table({"k1": as_long(who[cut[:-1]]), "x": pa.array([shingle[a:b].tobytes() for a, b in pairs], pa.binary()), "c": pa.array([n[a:b].tobytes() for a, b in pairs], pa.binary())})
+
+    def gather(batches):
+        for batch in batches:
+            out = []
+            for k, xs, cs in zip(batch.column("k1").to_pylist(), batch.column("x").to_pylist(), batch.column("c").to_pylist()):
+                shared = np.frombuffer(b"".join(cs), np.uint16) >= 2
+                if shared.sum() >= required(np.int64(len(shared))):
+                    out.append((k, b"".join(xs), b"".join(cs)))
+            if out:
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["k1", "shingles", "counts"])
+
+    packed = members.select("k1", "shingles").mapInArrow(emit, "bucket bigint, places binary, sets binary, owners binary")
+    counts = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(count, "k1 bigint, x binary, c binary")
+    # The parts of a set, one a bucket, come in one order for both columns.
+    lists = counts.groupBy("k1").agg(F.collect_list(F.struct("x", "c")).alias("l")).select("k1", F.col("l.x").alias("x"), F.col("l.c").alias("c"))
+    return lists.mapInArrow(gather, "k1 bigint, shingles binary, counts binary")
+
+
+def _rank(shingle: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rank of each common shingle, -1 for others."""
+    keys, rank = common
+    if not len(keys):
+        return np.full(len(shingle), -1)
+    at = np.searchsorted(keys, shingle)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == shingle, rank[at], -1)
+
+
+def _opened(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and sets of packed rows."""
+    places, sets = [], []
+    for p, k, w in zip(group.column("places"), group.column("sets"), group.column("owners")):
+        places.append(np.frombuffer(p.as_py(), np.uint64))
+        sets.append(np.repeat(np.frombuffer(k.as_py(), np.uint64), np.frombuffer(w.as_py(), np.uint16)))
+    return np.concatenate(places), np.concatenate(sets)
+
+
+def plain_prefixes(sets: DataFrame) -> DataFrame:
+    """shingle and set (k1) for the shared shingles of each set's plain prefix in the order of counts, rarest first."""
+
+    def run(batches):
+        for batch in batches:
+            out, who = [], []
+            for k, x, c in zip(batch.column("k1").to_pylist(), batch.column("shingles").to_pylist(), batch.column("counts").to_pylist()):
+                shingle, count = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint16)
+                n = np.int64(len(shingle))
+                first = np.lexsort((shingle, count))[: n - required(n) + 1]
+                out.append(shingle[first][count[first] >= 2])
+                who.append(np.full(len(out[-1]), k))
+            if out:
+                yield pa.record_batch([as_long(np.concatenate(out)), pa.array(np.concatenate(who))], ["shingle", "set"])
+
+    return sets.mapInArrow(run, "shingle bigint, set bigint")
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable over links, for every row of docs.
 
@@ -361,34 +451,37 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     common = spark.sparkContext.broadcast(common_shingles(base, n, "text"))
     shares = written(prefix_shares(base, n, "text", common, buckets, max(width, min(buckets, 16 * width))), "shares")
 
-    # Sets with enough shared prefix shingles, and the groups that sharing makes of them.
+    # Sets with enough shared prefix shingles, once more whole.
     size = F.col("n")
-    needed = F.ceil(size * NUM / DEN)
-    enough = F.floor(needed * EXTRA) + 1
+    enough = F.floor(F.ceil(size * NUM / DEN) * EXTRA) + 1
     counted = shares.groupBy("set").agg(F.count(F.lit(1)).alias("c"))
-    live = counted.join(vertices.groupBy(F.col("k1").alias("set")).agg(F.min("n").alias("n")), "set").where(F.col("c") >= enough).select("set")
-    kept = written(shares.join(live, "set"), "kept")
+    live = counted.join(vertices.groupBy(F.col("k1").alias("set")).agg(F.min("n").alias("n"), F.min("vertex").alias("vertex")), "set").where(F.col("c") >= enough)
+    live = written(live.where("vertex is not null").select(F.col("set").alias("k1"), F.col("vertex").alias("doc_id"), "n"), "live")
+
+    def whole(batches):
+        for batch in steps(batches, "text", STEP):
+            values, row = shingle_sets(batch.column("text"), n)
+            k1, _ = set_key(values, row)
+            body = [values[a:b].tobytes() for a, b in zip(row[:-1].tolist(), row[1:].tolist())]
+            yield pa.record_batch([as_long(k1), pa.array(body, pa.binary())], ["k1", "shingles"])
+
+    found = _only(base, live.select("doc_id").distinct()).select("text").mapInArrow(whole, "k1 bigint, shingles binary")
+    members = written(found.join(live.select("k1"), "k1", "left_semi").dropDuplicates(["k1"]), "members")
+    for _ in range(2):
+        left = members.agg(F.coalesce(F.sum(F.length("shingles") / 8), F.lit(0))).first()[0]
+        parts = max(1, -(-int(left) // BUCKET))
+        members = written(counted_sets(members, common, parts, max(width, min(parts, 16 * width))), "members")
+
+    # Groups of sets whose plain prefixes meet; each set goes to its group, or to each pair of its group's blocks.
+    kept = written(plain_prefixes(members), "prefixes")
     star = kept.groupBy("shingle").agg(F.min("set").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     pairs = kept.join(star, "shingle").select("set", "low").where("set <> low").distinct()
     groups = written(components(pairs, "set", "low"), "groups")
-
-    # The members' sets once more, each sent to its group, or to each pair of its group's blocks.
-    sized = groups.join(vertices.groupBy(F.col("k1").alias("node")).agg(F.min("n").alias("n")), "node")
+    sized = groups.join(live.select(F.col("k1").alias("node"), "n"), "node")
     blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = groups.join(blocks, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
     routed = placed.select(F.col("node").alias("k1"), "root", "block", other.alias("other")).select("k1", F.concat_ws(":", F.col("root").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("key"))
-    wanted = groups.join(vertices.where("vertex is not null").select(F.col("k1").alias("node"), "vertex"), "node").select(F.col("vertex").alias("doc_id")).distinct()
-
-    def places(batches):
-        for batch in steps(batches, "text", STEP):
-            values, row = shingle_sets(batch.column("text"), n)
-            k1, _ = set_key(values, row)
-            order = ordered(values, common.value)
-            body = [np.sort(order[a:b]).tobytes() for a, b in zip(row[:-1].tolist(), row[1:].tolist())]
-            yield pa.record_batch([as_long(k1), pa.array(body, pa.binary())], ["k1", "places"])
-
-    members = _only(base, wanted).select("text").mapInArrow(places, "k1 bigint, places binary")
     links = join_groups(members.join(routed, "k1"))
     named = vertices.groupBy("k1").agg(F.min("vertex").alias("vertex"))
     ends = links.join(named.select(F.col("k1").alias("a"), F.col("vertex").alias("x")), "a").join(named.select(F.col("k1").alias("b"), F.col("vertex").alias("y")), "b").select("x", "y")
