@@ -24,14 +24,14 @@ def test_pipeline(spark, tmp_path):
     good = {r.doc_id for r in quality.score(start, weights).collect() if r.score >= 0.3}
     assert {r.doc_id for r in outs["quality"].collect()} == good
 
-    from test_jaccard import brute
+    from llm.test_jaccard import brute
 
     rows = [(r.doc_id, r.text) for r in outs["quality"].collect()]
     first = {i for i, _, c in brute(rows) if i == c}
     kept = {r.doc_id: r.text for r in outs["near_copies"].collect()}
     assert set(kept) == first
 
-    from test_pii import brute as spans
+    from llm.test_pii import brute as spans
 
     masked = {r.doc_id: r.text for r in outs["personal_data"].collect()}
     assert set(masked) == first
