@@ -148,3 +148,12 @@ def neighbours_by_keys(keys: DataFrame, key: str, prefixes: DataFrame) -> DataFr
     """neighbour: prefixes of keys ending in capabilities that aren't among the known ones."""
     found = keys.where(F.col(key).endswith("capabilities")).select(F.expr(f"substring({key}, 1, length({key}) - 12)").alias("neighbour")).where("neighbour <> ''").distinct()
     return found.join(prefixes.select(F.col("prefix").alias("neighbour")), "neighbour", "left_anti")
+
+
+def copy_kind(previous: Column, current: Column, previous_there: Column) -> Column:
+    """What a changed directory means: deployment (two releases side by side), moved (the old one is gone), clone (it is still there), or same."""
+    release = r"^(.*/)?releases/[^/]+/?$"
+    parent = F.regexp_replace(F.regexp_replace(previous, "/+$", ""), "/[^/]*$", "")
+    siblings = parent == F.regexp_replace(F.regexp_replace(current, "/+$", ""), "/[^/]*$", "")
+    same = F.regexp_replace(previous, "/+$", "") == F.regexp_replace(current, "/+$", "")
+    return F.when(same, "same").when(siblings & previous.rlike(release) & current.rlike(release), "deployment").when(~previous_there, "moved").otherwise("clone")

@@ -77,3 +77,11 @@ def manifest(tables: DataFrame, files: DataFrame, site: dict[str, str]) -> DataF
     counted = files.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))
     where = F.struct(*[F.lit(v).alias(k) for k, v in sorted(site.items())]).alias("site")
     return listed.join(counted).select(F.to_json(F.struct(F.lit(1).alias("version"), where, F.struct("exported", "tables").alias("database"), F.struct("bytes", "count").alias("files"))).alias("manifest"))
+
+
+def chunk_problems(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """p, n and problem of streamed chunks (p, n, h) against an index line's list of chunk hashes (p, hc): missing, unexpected or corrupt."""
+    listed = index.select("p", F.posexplode("hc").alias("n", "want"))
+    both = listed.join(chunks.select("p", "n", "h"), ["p", "n"], "full_outer")
+    problem = F.when(F.col("h").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("want") != F.col("h"), "corrupt")
+    return both.select("p", "n", problem.alias("problem")).where("problem is not null")

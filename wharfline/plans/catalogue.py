@@ -689,3 +689,56 @@ def mask_hosts(spark, sf_dir):
 @query("""SELECT page_id, CASE WHEN s = '' THEN 'site' ELSE s END AS slug FROM (SELECT page_id, trim(substr(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-') AS s FROM pages)""")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", paths.slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '?', 'g') AS text FROM documents")
+def scrub_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", masking.scrubbed(F.col("text").cast("binary")).alias("text"))
+
+
+@query("SELECT page_id, concat('[root]/', page_id, ' and /srv/www2/', page_id) AS masked FROM pages")
+def mask_paths(spark, sf_dir):
+    text = F.concat(F.lit("/srv/www/"), F.col("page_id").cast("string"), F.lit(" and /srv/www2/"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", masking.masked_paths(text, {"/srv/www": "[root]"}).alias("masked"))
+
+
+@query(f"WITH {_INDEX_SQL} SELECT count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes, bool_and(h <> '') AS hashed FROM i")
+def files_audit(spark, sf_dir):
+    return verify.audit(_index(spark, sf_dir).withColumn("h", F.when(F.col("h") != "", F.col("h")))).drop("digest")
+
+
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS ordinal, n_name AS listed FROM nation), b AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS ordinal, n_name AS found FROM nation WHERE n_nationkey <> 20)
+SELECT ordinal, listed, found FROM a FULL JOIN b USING (ordinal) WHERE listed IS DISTINCT FROM found""")
+def entries_in_step(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return verify.in_step(nation, nation.where("n_nationkey <> 20"), "n_nationkey", "n_name").select(F.col("ordinal").cast("long").alias("ordinal"), "listed", "found")
+
+
+@query("""WITH c AS (SELECT doc_id, i, sha256(substr(text, 1 + i * 1000, 1000)) AS h FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 1000.0) AS BIGINT)))) AS i FROM documents))
+SELECT CAST(doc_id AS VARCHAR) AS p, CAST(i AS INTEGER) AS n, CASE WHEN i % 3 = 1 THEN 'missing' ELSE 'corrupt' END AS problem FROM c WHERE i % 3 = 1 OR (i % 3 <> 1 AND doc_id % 50 = 7)""")
+def chunk_verification(spark, sf_dir):
+    hashes = F.transform(hashing.text_chunks(F.col("text"), 1000), lambda c: F.sha2(c, 256))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("p"), hashes.alias("hc"))
+    chunks = docs.select("p", F.posexplode("hc").alias("n", "h")).where("n % 3 <> 1").withColumn("h", F.when(F.col("p").cast("long") % 50 == 7, "bad").otherwise(F.col("h")))
+    return verify.chunk_problems(chunks, docs)
+
+
+@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'same' WHEN n_nationkey % 5 < 3 THEN 'deployment' WHEN n_nationkey % 2 = 0 THEN 'moved' ELSE 'clone' END AS kind FROM nation""")
+def copy_kinds(spark, sf_dir):
+    k = F.col("n_nationkey")
+    previous = F.when(k % 5 < 3, "/srv/releases/1").otherwise("/home/a/site")
+    current = F.when(k % 5 == 0, "/srv/releases/1/").when(k % 5 < 3, "/srv/releases/2").otherwise("/home/b/site")
+    return table(spark, sf_dir, "nation").select(k.alias("id"), catalog.copy_kind(previous, current, k % 2 == 1).alias("kind"))
+
+
+@query("""SELECT t, c FROM (SELECT concat('t', s_nationkey) AS t, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS c FROM supplier)""")
+def index_append_replayed(spark, sf_dir):
+    i = _index(spark, sf_dir).select("t", "c", "p", "b", "h")
+    return index.append_once(i.where("c <= 2"), i, ["t", "c"]).select("t", "c")
+
+
+@query("SELECT max(doc_id) AS doc_id FROM documents")
+def dump_last_key(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    ends = dump.dump_lines(docs, "documents", ["doc_id"], chunks=4).where(F.col("line").startswith("-- end "))
+    return ends.agg(F.max(F.from_json(F.expr("substring(line, 8)"), "doc_id long")["doc_id"]).alias("doc_id"))
