@@ -71,10 +71,11 @@ def near_copies(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-def test_near_copies(spark, monkeypatch, block):
-    """Blocks of a large group find the same components as the whole group."""
+@pytest.mark.parametrize("block, bucket", [(2000, 1 << 20), (7, 300)])
+def test_near_copies(spark, monkeypatch, block, bucket):
+    """Blocks of a large group, and many small buckets, find the same components as the whole."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
     rows = near_copies(150, 4)
     assert rows_of(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 

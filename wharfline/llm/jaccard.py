@@ -343,25 +343,29 @@ RANKED = 1 << 15
 def counted_sets(members: DataFrame, common, buckets: int, tasks: int) -> DataFrame:
     """k1, shingles and counts (binary, uint16) of the sets of members (k1, shingles) of which enough shingles are in other sets.
 
-    Tasks send each bucket its shingles as packed arrays, and buckets send each set its part
-    back with the counts. A common shingle's count is its rank, known to all, so no bucket holds a hot one.
+    Sets and shingles are dealt to as many buckets each, by hash. Tasks send each bucket of shingles its part
+    as packed arrays, and that sends each bucket of sets one packed row with the counts, so rows number the
+    square of the buckets at most, whatever the sets. A common shingle's count is its rank,
+    known to all: it goes to a bucket of its set's own, so no bucket of shingles holds a hot one.
     """
 
-    def rows(bucket: int, shingle: np.ndarray, keys: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
-        return _share_rows(bucket, shingle, keys, who)
+    def home(keys: np.ndarray) -> np.ndarray:
+        """The bucket of each set or shingle; it ascends with the key."""
+        return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
     def emit(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = batch.column("k1").to_numpy().view(np.uint64)
             parts = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
             shingle, who = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.uint32), [len(x) for x in parts])
-            hot = _rank(shingle, common.value) >= 0
-            bucket = np.where(hot, -1 - (keys[who] % np.uint64(997)).astype(np.int64), ((shingle >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+            bucket = np.where(_rank(shingle, common.value) >= 0, -1 - home(keys)[who], home(shingle))
             by = np.argsort(bucket, kind="stable")
             bucket, shingle, who = bucket[by], shingle[by], who[by]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             for a, b in zip(cut[:-1], cut[1:]):
-                yield rows(int(bucket[a]), shingle[a:b], keys, who[a:b])
+                yield _share_rows(int(bucket[a]), shingle[a:b], keys, who[a:b])
 
     def count(group: pa.Table) -> pa.Table:
         shingle, who = _opened(group)
@@ -372,26 +376,27 @@ def counted_sets(members: DataFrame, common, buckets: int, tasks: int) -> DataFr
             keys, rank = common.value
             n = RANKED + _rank(shingle, common.value) * (RANKED - 1) // max(1, len(rank))
         by = np.argsort(who, kind="stable")
-        shingle, who, n = shingle[by], who[by], n[by].astype(np.uint16)
+        shingle, n = shingle[by], n[by].astype(np.uint16)
+        keys, who = np.unique(who[by], return_inverse=True)
+        to = home(keys)[who]
+        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])).tolist()
+        rows = [_share_rows(to[a], shingle[a:b], keys, who[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+        return pa.Table.from_batches(rows).combine_chunks().append_column("counts", pa.array([n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()))
+
+    def gather(group: pa.Table) -> pa.Table:
+        shingle, who = _opened(group)
+        n = np.concatenate([np.frombuffer(c.as_py(), np.uint16) for c in group.column("counts")])
+        by = np.argsort(who, kind="stable")
+        shingle, who, n = shingle[by], who[by], n[by]
         cut = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1], [True]]))
-        pairs = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-        return pa.table({"k1": as_long(who[cut[:-1]]), "x": pa.array([shingle[a:b].tobytes() for a, b in pairs], pa.binary()), "c": pa.array([n[a:b].tobytes() for a, b in pairs], pa.binary())})
-
-    def gather(batches):
-        for batch in batches:
-            out = []
-            for k, xs, cs in zip(batch.column("k1").to_pylist(), batch.column("x").to_pylist(), batch.column("c").to_pylist()):
-                shared = np.frombuffer(b"".join(cs), np.uint16) >= 2
-                if shared.sum() >= required(np.int64(len(shared))):
-                    out.append((k, b"".join(xs), b"".join(cs)))
-            if out:
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["k1", "shingles", "counts"])
-
-    packed = members.select("k1", "shingles").mapInArrow(emit, "bucket bigint, places binary, sets binary, owners binary")
-    counts = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(count, "k1 bigint, x binary, c binary")
-    # The parts of a set, one a bucket, come in one order for both columns.
-    lists = counts.groupBy("k1").agg(F.collect_list(F.struct("x", "c")).alias("l")).select("k1", F.col("l.x").alias("x"), F.col("l.c").alias("c"))
-    return lists.mapInArrow(gather, "k1 bigint, shingles binary, counts binary")
+        enough = sums((n >= 2).astype(np.int64), cut) >= required(np.diff(cut))
+        low, high = cut[:-1][enough].tolist(), cut[1:][enough].tolist()
+        return pa.table({"k1": as_long(who[low]), "shingles": pa.array([shingle[a:b].tobytes() for a, b in zip(low, high)], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in zip(low, high)], pa.binary())})
+
+    kind = "bucket bigint, places binary, sets binary, owners binary"
+    packed = members.select("k1", "shingles").mapInArrow(emit, kind)
+    counts = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(count, f"{kind}, counts binary")
+    return counts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(gather, "k1 bigint, shingles binary, counts binary")
 
 
 def _rank(shingle: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
