@@ -45,6 +45,8 @@ BUCKET = 1 << 20
 BLOCK_SETS = 2000
 BLOCK_SHINGLES = 1 << 20
 STEP = 1 << 19
+#: Shingles that a task counts at a time when it looks for common ones; eight arrays of that length are in memory then.
+HELD = 3 << 20
 
 
 def required(n: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def common_shingles(docs: DataFrame, n: int, text: str, least: int = 32) -> tupl
 
         for batch in steps(batches, "text", STEP):
             held.append(_distinct(*shingle_sets(batch.column("text"), n), seen)[1])
-            if sum(map(len, held)) > 6 << 20:
+            if sum(map(len, held)) > HELD:
                 yield from flush()
                 held.clear()
         if held:
