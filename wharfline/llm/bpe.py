@@ -256,7 +256,11 @@ def _encoder(path: str, pattern: str) -> TextEncoder:
     return _ENCODERS[path, pattern]
 
 
-def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Array]], fields: str, names: list[str]) -> DataFrame:
+def _forget() -> None:
+    _ENCODERS.clear()
+
+
+def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Array]], fields: str, names: list[str], keep: bool = True) -> DataFrame:
     """All columns of docs but those named like new ones, with the columns that ``make`` gives for the texts (null: empty) of a step."""
     kept = [c for c in docs.columns if c not in (*names, "_text")]
     frame = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -264,19 +268,24 @@ def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Ar
     def run(batches):
         for batch in steps(batches, "_text", STEP):
             yield pa.record_batch([*batch.columns[:-1], *make(batch.column("_text").to_pylist())], [*kept, *names])
+        if not keep:
+            _forget()
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
     return frame.mapInArrow(run, kinds + fields)
 
 
-def encode_column(docs: DataFrame, path: str, pattern: str, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``tokens``, the ids of each text as array<int>. A null or empty text has none; long texts are encoded whole."""
+def encode_column(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: bool = True) -> DataFrame:
+    """``docs`` with ``tokens``, the ids of each text as array<int>. A null or empty text has none; long texts are encoded whole.
+
+    Workers keep the encoder for their later tasks unless ``keep`` is false, which leaves its memory to other stages.
+    """
 
     def make(texts: list[str]) -> list[pa.Array]:
         encoder = _encoder(path, pattern)
         return [pa.array([list(map(int, s.split(" "))) if (s := encoder.decimal(t)) else [] for t in texts], pa.list_(pa.int32()))]
 
-    return map_texts(docs, text, make, "tokens array<int>", ["tokens"])
+    return map_texts(docs, text, make, "tokens array<int>", ["tokens"], keep)
 
 
 def decode_column(docs: DataFrame, path: str, pattern: str, *, tokens: str = "tokens") -> DataFrame:
