@@ -70,3 +70,13 @@ def test_frequent_text_scores_higher(spark):
     docs = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(50)] + [(100, "the cat sat on the mat"), (101, "mat the on sat cat the")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") < 100).collect()}
     assert got[100] > got[101]
+
+
+def test_bigrams_seen_once_count(spark):
+    learn = spark.createDataFrame([("one two three four",)], "text string")
+    parts = {r.segment: bytes(r["bits"]) for r in lm.build_segments(learn, 1, 1).collect()}
+    pairs = lm.bigram(*lm.tokens(pa.array(["one two three four"])))
+    assert lm.Filter(1, 0, parts, 1).level(pairs).tolist() == [1] * 5
+    docs = spark.createDataFrame([(0, "one two three four"), (1, "one two three four"), (2, "four two one three")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") == 0).collect()}
+    assert got[1] > got[2]

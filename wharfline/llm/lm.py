@@ -28,8 +28,6 @@ SEGMENT_GRAMS = 1 << 20
 SLICE_BYTES = 96 << 20
 #: Commonest words whose exact counts are broadcast; the counts of others meet their texts in a shuffle.
 HOT_WORDS = 1 << 18
-#: Bigrams counted less often than this in the training texts aren't stored.
-CUTOFF = 2
 #: Within a segment, n-grams go by so many low bits of their hash: a clash is far rarer than a filter's false positive.
 KEY_BYTES = 5
 _LOW = np.uint64((1 << 8 * KEY_BYTES) - 1)
@@ -171,8 +169,6 @@ def build_segments(training: DataFrame, segments: int, tasks: int) -> DataFrame:
             keys.append(_unpacked(k.as_py()))
             counts.append(c)
         k, c = _merge(np.concatenate(keys), np.concatenate(counts))
-        stored = (c >= CUTOFF) | (k & np.uint64(1) == 1)
-        k, c = k[stored], c[stored]
         top = levels(c)
         size = int(-(-int(top.sum()) * BITS_PER_ENTRY // 64) * 64)
         bits = np.zeros(size, bool)
