@@ -132,3 +132,24 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert got == {n: find(n) for a, b in edges[:-1] if a != b for n in (a, b)}
+
+
+def all_links(rows):
+    """Of each row, with its id, size and number of other rows linked to it, by comparing all pairs."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    linked = [[x and y and 100 * len(x & y) >= 75 * len(x | y) for _, y in sets] for _, x in sets]
+    return sorted(((i, len(s), sum(map(bool, row)) - bool(s)) for (i, s), row in zip(sets, linked)), key=repr)
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    """In one block or in many, with copies and rows of a null id."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rows = near_copies(120, 4)
+    rows += [(200 + i, t) for i, t in rows[:10]] + [(None, t) for _, t in rows[:3]] + [(None, " ".join([*rows[0][1].split(), "more"])), (None, None), (300, "")]
+    rows += [(400 + i, " ".join(f"y{i}" if k == 4 * i else f"w{k}" for k in range(100))) for i in range(25)]
+    got = jaccard.jaccard_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = all_links(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=repr) == want
+    assert sum(n for _, _, n in want) > 4 * len(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == brute(rows)

@@ -19,6 +19,8 @@ A document's set holds hashes of its distinct n-word shingles. The stages:
    beginnings, and subtrees that cannot reach the threshold are cut off by the
    lengths that remain. Subtrees already connected to the probing set are
    skipped, which loses no component and keeps groups of near copies linear.
+   Where links are counted none is skipped: each pair of sets meets in one pair of
+   blocks and is found there, and tasks pass on sums, a row a set.
 6. The links found give the components.
 """
 
@@ -299,8 +301,8 @@ class PrefixTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def tree_links(shingles: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links, as pairs of numbers of the given sets (distinct uint64 shingles and their counts over all sets), that connect all that any link connects."""
+def _grown(shingles: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[int], list[np.ndarray], PrefixTree, np.ndarray]:
+    """The order in which the tree holds the given sets, the sets in that order, the tree, and zeros for its numbers."""
     kinds, first, inverse = np.unique(np.concatenate(shingles), return_index=True, return_inverse=True)
     rank = np.empty(len(kinds), np.int64)
     rank[np.lexsort((kinds, np.concatenate(counts)[first]))] = np.arange(len(kinds))
@@ -309,8 +311,12 @@ def tree_links(shingles: list[np.ndarray], counts: list[np.ndarray]) -> list[tup
     sets = [np.sort(inverse[e - len(p) : e]) for e, p in zip(ends, shingles)]
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
     sets = [sets[i] for i in order]
-    tree = PrefixTree(sets)
-    present = np.zeros(len(kinds), np.int64)
+    return order, sets, PrefixTree(sets), np.zeros(len(kinds), np.int64)
+
+
+def tree_links(shingles: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links, as pairs of numbers of the given sets (distinct uint64 shingles and their counts over all sets), that connect all that any link connects."""
+    order, sets, tree, present = _grown(shingles, counts)
     group = np.arange(len(sets))
     links = []
     for i, x in enumerate(sets):
@@ -326,6 +332,55 @@ def tree_links(shingles: list[np.ndarray], counts: list[np.ndarray]) -> list[tup
     return links
 
 
+def counted_links(shingles: list[np.ndarray], counts: list[np.ndarray], rows: np.ndarray, named: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Over all links of the given sets, how many rows each set is linked to, and links that connect all that links of named sets connect.
+
+    ``rows`` says how many rows have each set. With ``side`` only links between sets of different sides are taken.
+    """
+    order, sets, tree, present = _grown(shingles, counts)
+    rows, named = rows[order], named[order]
+    side = np.zeros(len(sets), np.int64) if side is None else side[order] + 1
+    partners = {s: np.concatenate([[0], np.cumsum(side != s if s else side == s)]) for s in np.unique(side).tolist()}
+    group = np.arange(len(sets))
+    total, links = np.zeros(len(sets), np.int64), []
+    for i, x in enumerate(sets):
+        present[x] = 1
+        found = tree.probe(x, present, partners[int(side[i])], i)
+        if side[i]:
+            found = found[side[found] != side[i]]
+        present[x] = 0
+        total[i] += rows[found].sum()
+        total[found] += rows[i]
+        if named[i]:
+            for j in found[named[found]].tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    links.append((order[i], order[j]))
+    out = np.empty_like(total)
+    out[order] = total
+    return out, links
+
+
+def join_counted(sets: DataFrame) -> DataFrame:
+    """a, b and n: connecting links between sets (k1) of each key, and rows without b that say how many rows a is linked to; sets: key, block, k1, rows, named, shingles and counts (binary)."""
+
+    def join(group: pa.Table) -> pa.Table:
+        at = np.unique(group.column("k1").to_numpy(), return_index=True)[1]
+        group = group.take(pa.array(at))
+        ids = group.column("k1").to_pylist()
+        _, low, high = group.column("key")[0].as_py().rsplit(":", 2)
+        shingles, counts = ([np.frombuffer(x, kind) for x in group.column(c).to_pylist()] for c, kind in (("shingles", np.uint64), ("counts", np.uint16)))
+        # Sets of one block meet each other under the key of that block alone.
+        side = group.column("block").to_numpy().astype(np.int64) if low != high else None
+        total, links = counted_links(shingles, counts, group.column("rows").to_numpy(), group.column("named").to_numpy(), side)
+        some = np.flatnonzero(total).tolist()
+        a = [ids[i] for i in some] + [ids[i] for i, _ in links]
+        b = [None] * len(some) + [ids[j] for _, j in links]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(total[some].tolist() + [0] * len(links), pa.int64())})
+
+    return sets.groupBy("key").applyInArrow(join, "a bigint, b bigint, n bigint")
+
+
 def join_groups(sets: DataFrame) -> DataFrame:
     """a and b: connecting links between sets (k1) of each key; sets: key, k1, shingles and counts (binary)."""
 
@@ -448,10 +503,25 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     but their copies. Long texts are
     taken whole. An empty table gives an empty table. Shingles and sets are compared by 64-bit hashes.
     """
+    return _joined(docs, doc_id, text, n, counting=False)
+
+
+def jaccard_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+    """The rows of ``jaccard_components`` with n_links, the number of other rows whose sets reach the threshold with the row's own.
+
+    All links count: those between different texts, once for each row that has the
+    other text, and those to rows of the same set. Rows of a null id count and are
+    counted like any other. Rows of 0 shingles have no links. Finding all links of a group of near
+    copies takes time in proportion to their number; what tasks pass on is a row a set and pair of blocks.
+    """
+    return _joined(docs, doc_id, text, n, counting=True)
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, n: int, counting: bool) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sets = written(document_sets(base, n, "doc_id", "text"), "sets")
-    vertices = sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("vertex"), F.max("n_shingles").alias("n"))
+    vertices = sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("vertex"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
     total = vertices.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, -(-int(total * 0.4) // BUCKET))
@@ -462,8 +532,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     size = F.col("n")
     enough = F.floor(F.ceil(size * NUM / DEN) * EXTRA) + 1
     counted = shares.groupBy("set").agg(F.count(F.lit(1)).alias("c"))
-    live = counted.join(vertices.groupBy(F.col("k1").alias("set")).agg(F.min("n").alias("n"), F.min("vertex").alias("vertex")), "set").where(F.col("c") >= enough)
-    live = written(live.where("vertex is not null").select(F.col("set").alias("k1"), F.col("vertex").alias("doc_id"), "n"), "live")
+    live = counted.join(vertices.groupBy(F.col("k1").alias("set")).agg(F.min("n").alias("n"), F.min("vertex").alias("vertex"), F.sum("rows").alias("rows")), "set").where(F.col("c") >= enough)
+    live = live if counting else live.where("vertex is not null")
+    live = written(live.select(F.col("set").alias("k1"), F.col("vertex").alias("doc_id"), "n", "rows"), "live")
 
     def whole(batches):
         for batch in steps(batches, "text", STEP):
@@ -472,7 +543,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
             body = [values[a:b].tobytes() for a, b in zip(row[:-1].tolist(), row[1:].tolist())]
             yield pa.record_batch([as_long(k1), pa.array(body, pa.binary())], ["k1", "shingles"])
 
-    found = _only(base, live.select("doc_id").distinct()).select("text").mapInArrow(whole, "k1 bigint, shingles binary")
+    asked = _only(base, live.select("doc_id").where("doc_id is not null").distinct()).select("text")
+    asked = asked.unionByName(base.where("doc_id is null").select("text")) if counting else asked
+    found = asked.mapInArrow(whole, "k1 bigint, shingles binary")
     members = written(found.join(live.select("k1"), "k1", "left_semi").dropDuplicates(["k1"]), "members")
     for _ in range(2):
         left = members.agg(F.coalesce(F.sum(F.length("shingles") / 8), F.lit(0))).first()[0]
@@ -488,14 +561,25 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = groups.join(blocks, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    routed = placed.select(F.col("node").alias("k1"), "root", "block", other.alias("other")).select("k1", F.concat_ws(":", F.col("root").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("key"))
-    links = join_groups(members.join(routed, "k1"))
+    routed = placed.select(F.col("node").alias("k1"), "root", "block", other.alias("other")).select("k1", "block", F.concat_ws(":", F.col("root").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("key"))
+    if counting:
+        weights = live.select("k1", "rows", F.col("doc_id").isNotNull().alias("named"))
+        met = written(join_counted(members.join(routed, "k1").join(weights, "k1")), "links")
+        links = met.where("b is not null").select("a", "b")
+        others = met.where("b is null").groupBy(F.col("a").alias("k1")).agg(F.sum("n").alias("n_links"))
+    else:
+        links = join_groups(members.join(routed.drop("block"), "k1"))
     named = vertices.groupBy("k1").agg(F.min("vertex").alias("vertex"))
     ends = links.join(named.select(F.col("k1").alias("a"), F.col("vertex").alias("x")), "a").join(named.select(F.col("k1").alias("b"), F.col("vertex").alias("y")), "b").select("x", "y")
     roots = written(components(ends, "x", "y"), "roots")
-    labelled = vertices.join(roots, vertices["vertex"] == roots["node"], "left").select("k1", "k2", F.coalesce("root", "vertex").alias("component"))
-    full = sets.where("n_shingles > 0").join(labelled, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return full.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    labelled = vertices.join(roots, vertices["vertex"] == roots["node"], "left").select("k1", "k2", "rows", F.coalesce("root", "vertex").alias("component"))
+    columns = ["doc_id", "n_shingles", F.col("component").alias("component_id")]
+    none = sets.where("n_shingles = 0").withColumn("component", F.col("doc_id"))
+    if counting:
+        labelled = labelled.join(others, "k1", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("rows") - 1)
+        columns.append("n_links")
+        none = none.withColumn("n_links", F.lit(0).cast("long"))
+    return sets.where("n_shingles > 0").join(labelled, ["k1", "k2"]).select(*columns).unionByName(none.select(*columns))
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:

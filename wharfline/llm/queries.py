@@ -42,6 +42,10 @@ def op5_prefix_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_prefix_tree_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), bucket_of(F.col("doc_id"), 5) == 0
     weights = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op3_media_fingerprints": op3_media_fingerprints,
         "op4_nb_toxicity": op4_nb_toxicity,
         "op5_prefix_tree_jaccard": op5_prefix_tree_jaccard,
+        "op5_prefix_tree_jaccard_links": op5_prefix_tree_jaccard_links,
         "op6_ftrl_quality": op6_ftrl_quality,
         "op7_arc_to_warc": op7_arc_to_warc,
         "op8_prefix_bpe": op8_prefix_bpe,
