@@ -53,10 +53,10 @@ def carry(live: DataFrame, restored: DataFrame, name: str, own: DataFrame) -> Da
     return keep.select(*restored.columns).unionByName(live.join(own.select(name), name, "left_semi").select(*restored.columns))
 
 
-def carry_back(live: DataFrame, old: DataFrame, name: str, own: DataFrame, excluded: list[str]) -> DataFrame:
+def carry_back(live: DataFrame, old: DataFrame, name: str, row_id: str, own: DataFrame, excluded: list[str]) -> DataFrame:
     """Own names as they now are in live: old rows of own names go, excluded ones are neither written nor removed, of repeated names the last row by id stays."""
     mine = own.select(name).where(~F.col(name).isin(excluded)) if excluded else own.select(name)
-    return carry(live, old, name, mine)
+    return carry(prune_older(live, name, row_id), old, name, mine)
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
