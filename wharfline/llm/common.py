@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,15 +22,21 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def fresh(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names, which driver and executors share.
 
-    Only where that setting is absent, as in local tests, a folder of this machine serves.
+    Without that setting a local session gets a folder of its machine; any other
+    raises ValueError, since its executors could not see such a folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/wharfline-checkpoints"
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

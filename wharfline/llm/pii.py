@@ -1,9 +1,10 @@
 """Personal data: pattern and checksum spans, widened by bootstrapped contextual extraction.
 
-All of it is DataFrame expressions: regular expressions give the base spans,
-whose surroundings become lexical patterns; a bipartite graph of patterns and
-instances is scored in rounds of joins and aggregations; instances that
-high-confidence patterns find become further spans.
+All of it is DataFrame expressions: regular expressions give the base spans and
+seed secrets, whose surroundings become lexical patterns, several an entity; a
+bipartite graph of patterns and instances is scored in rounds of joins and
+aggregations until nothing new is trusted; instances that high-confidence
+patterns find become further spans.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import written
+from wharfline.llm.common import fresh, written
 
-#: Texts with added spans that are broadcast at most; more are joined by shuffle.
-BROADCAST_TEXTS = 50_000
+#: Added spans that are broadcast at most (about 32 bytes each); more are joined by shuffle.
+BROADCAST_SPANS = 500_000
 
 KINDS = ("email", "ip", "card", "phone")
+#: A further kind whose seeds are no base spans: secrets, at first only assigned, quoted hexadecimal strings of a digest's length.
+SECRET = "secret"
+SEED_SECRET = r"""[=:]\x20{0,2}+["'][0-9a-f]{32,128}+(?=["'])"""
 
 # \G admits a match right where the last one ended; otherwise one may only begin where a run of its first
 # class begins. A start inside a run fails whenever the run's own start fails, so the matches are the plain
@@ -29,8 +33,10 @@ PATTERNS = {
 }
 #: A character that any match of the kind holds; texts without it skip the search.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Identifier-like words that patterns may reveal: a digit within 8 to 64 letters, digits and joining signs.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[A-Za-z0-9+@._=:/-]{8,64}(?![^\x20\x09-\x0D])"
+#: Identifier-like words that patterns may reveal: maximal runs of Latin letters, digits and joining signs with a digit in them; the signs at their ends are cut off.
+CANDIDATE = r"(?<![A-Za-z0-9\u00C0-\u024F._@/+%-])(?=[A-Za-z\u00C0-\u024F._@/+%-]*+[0-9])[A-Za-z0-9\u00C0-\u024F._@/+%-]++"
+#: Code points on either side of a mention in which its patterns lie.
+CONTEXT = 64
 
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 
@@ -90,32 +96,36 @@ def _place(s: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches as an array of (start, stop, value) in code points, found by matching and splitting at the same pattern."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["h"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["h"])).alias("stop"), x["h"].alias("value")))).cast(_SPAN).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(hits) > 0, walked).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    """All matches as an array of (start, stop, value) in code points, found by matching and, where there are any, splitting at the same pattern."""
+
+    def walked(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        return F.aggregate(
+            F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g"))),
+            F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["g"] + F.length(x["h"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["h"])).alias("stop"), x["h"].alias("value")))).cast(_SPAN).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
 
+    # The array of one binds the matches to a name, or each use would search the text again.
+    bound = F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.transform(bound, lambda hits: F.when(F.size(hits) > 0, walked(hits)).otherwise(F.expr(f"cast(array() as {_SPAN})")))[0]
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with an array of spans in the column of each kind."""
+
+def base_spans(docs: DataFrame, text: str, inner: str) -> DataFrame:
+    """``docs`` with an array of spans in the column of each kind; ``inner`` names a column used on the way."""
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.expr(f"cast(array() as {_SPAN})")
     digit = body.rlike("[0-9]")
-    out = docs.withColumn("_digit", digit)
+    out = docs.withColumn(inner, digit)
     for kind in KINDS:
         asked = F.contains(body, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
-        asked = asked & F.col("_digit") if kind != "email" else asked
+        asked = asked & F.col(inner) if kind != "email" else asked
         out = out.withColumn(kind, F.when(asked, F.filter(located(body, PATTERNS[kind]), _keeps(kind))).otherwise(none))
-    return out
+    return out.drop(inner)
 
 
 def _joined(parts: list[tuple[str, Column]]) -> Column:
@@ -124,112 +134,140 @@ def _joined(parts: list[tuple[str, Column]]) -> Column:
     return F.array_join(F.concat(*texts), ",")
 
 
-def _around(text: Column, start: Column, stop: Column) -> Column:
-    """The lexical pattern of a span: the word before it and the word after it, lower-cased, digits as 0."""
-    left = F.regexp_extract(F.substring(text, F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40))), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    right = F.regexp_extract(F.substring(text, stop + 1, F.lit(40)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-    return F.regexp_replace(F.lower(F.concat(left, F.lit("␟"), right)), "[0-9]+", "0")
+def _sides(text: Column, start: Column, stop: Column) -> tuple[Column, Column]:
+    """What stands before and after a span, lower-cased, white space as one blank, digits as 0."""
+    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
+    after = F.substring(text, stop + 1, F.lit(CONTEXT))
+    return tuple(F.regexp_replace(F.regexp_replace(F.lower(side), r"[\x20\x09-\x0D]+", " "), "[0-9]+", "0") for side in (before, after))
 
 
-def mentions(spotted: DataFrame, key: str, text: str) -> DataFrame:
-    """Seeds and candidates of each distinct text with the pattern around each: key, start, stop, value, kind (null for candidates), pattern."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    seeds = F.concat(*[F.transform(F.col(k), _as_mention(k)) for k in KINDS])
-    taken = F.concat(*[F.col(k) for k in KINDS])
-    others = F.transform(
-        F.filter(located(body, CANDIDATE), lambda c: ~F.exists(taken, lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))),
-        lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), F.lit(None).cast("string").alias("kind")),
-    )
-    found = spotted.select(key, body.alias("_body"), F.concat(seeds, others).alias("_all"))
-    # Not explode: its inferred filter on the array's size would search every text once more.
-    one = found.select(key, "_body", F.explode_outer("_all").alias("m")).where("m is not null")
-    return one.select(key, "m.*", _around(F.col("_body"), F.col("m.start"), F.col("m.stop")).alias("pattern"))
+def patterns_around(text: Column, start: Column, stop: Column) -> Column:
+    """The lexical patterns of a span: the word before it, the two words before it, the word after it, and the words on both sides, each with the signs between."""
+    before, after = _sides(text, start, stop)
+    word, signs = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
+    left, two = F.regexp_extract(before, f"({word}{signs}*)$", 1), F.regexp_extract(before, f"({word}{signs}+{word}{signs}*)$", 1)
+    right = F.regexp_extract(after, f"^({signs}*{word})", 1)
+    some = [(left != "", F.concat(F.lit("l "), left)), (two != "", F.concat(F.lit("ll "), two)), (right != "", F.concat(F.lit("r "), right)), ((left != "") & (right != ""), F.concat(F.lit("lr "), left, F.lit("␟"), right))]
+    return F.array_compact(F.array(*[F.when(there, pattern) for there, pattern in some]))
 
 
-def bootstrap(found: DataFrame, key: str, rounds: int = 2, min_support: int = 3, min_confidence: float = 0.8) -> DataFrame:
-    """Candidates that patterns reveal: key, start, stop, kind, score.
+def _trimmed(signs: str):
+    """A span without the signs at its ends."""
+
+    def trim(span: Column) -> Column:
+        inner = F.regexp_replace(span["value"], f"^{signs}++|{signs}++$", "")
+        start = span["start"] + F.length(span["value"]) - F.length(F.regexp_replace(span["value"], f"^{signs}++", ""))
+        return F.struct(start.alias("start"), (start + F.length(inner)).cast("int").alias("stop"), inner.alias("value"))
+
+    return trim
 
-    The graph has an edge (kind, pattern, instance) wherever the pattern stands
-    around the instance; edges are counted before any join, so a pattern or an
-    instance of a third of all rows is one pre-aggregated row per partner.
-    Base entities begin with score 1. In each round a pattern's confidence for
-    a kind is the score of its instances of that kind over all its instances
-    (support: how many distinct ones of that kind), and an unseen
-    instance's score is 1 minus the product of its patterns' doubts, over patterns
-    of at least ``min_support`` and ``min_confidence``.
-    """
-    edges = found.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    known = edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    unseen = edges.where("kind is null").select("pattern", "value")
-    fan = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
-    links = edges.select("pattern", "value")
-    scores = known
-    for _ in range(rounds):
-        weighed = links.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("support"))
-        trusted = (
-            weighed.join(fan, "pattern")
-            .withColumn("confidence", F.col("mass") / F.col("all"))
-            .where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
-            .select("pattern", "kind", "confidence")
-        )
-        revealed = (
-            unseen.join(trusted, "pattern")
-            .groupBy("value", "kind")
-            .agg(F.sum(F.log(F.greatest(F.lit(1.0) - F.col("confidence"), F.lit(1e-9)))).alias("doubt"))
-            .select("value", "kind", (F.lit(1.0) - F.exp("doubt")).alias("score"))
-        )
-        best = revealed.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score")
-        scores = known.unionByName(best.join(known.select("value"), "value", "left_anti"))
-    new = scores.join(known.select("value"), "value", "left_anti").where(F.col("score") >= min_confidence)
-    return found.where("kind is null").drop("kind").join(new, "value").select(key, "start", "stop", "kind", "score")
 
+def _unnamed(span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), span["value"].alias("value"), F.lit(None).cast("string").alias("kind"))
 
-def find_pii(docs: DataFrame, *, text: str = "text", rounds: int = 2, min_support: int = 3, min_confidence: float = 0.8) -> DataFrame:
-    """Every row of ``docs`` with the base spans of each kind and ``found``, the spans that patterns add.
 
-    Spans are arrays of (start, stop, value) in code points, stop exclusive.
+def mentions(spotted: DataFrame, key: str, text: str) -> DataFrame:
+    """Seeds and candidates of each distinct text: key, start, stop, instance, kind (null for candidates), patterns.
+
+    Spans of ``KINDS`` and secrets of ``SEED_SECRET`` are seeds; candidates overlap none of them. An instance is the value, or its hash if that is longer than 64.
+    """
+    secrets = F.transform(F.transform(located(F.col("_body"), SEED_SECRET), _trimmed(r"""[=:\x20"']""")), _as_mention(SECRET))
+    seeded = spotted.select(key, F.col(text).alias("_body"), *KINDS).withColumn("_seeds", F.concat(*[F.transform(F.col(k), _as_mention(k)) for k in KINDS], secrets))
+    free = F.filter(F.transform(located(F.col("_body"), CANDIDATE), _trimmed("[._@/+%-]")), lambda c: ~F.exists("_seeds", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"])))
+    found = seeded.select(key, "_body", F.concat("_seeds", F.transform(free, _unnamed)).alias("_all"))
+    # Not explode: its inferred filter on the array's size would search every text once more.
+    one = found.select(key, "_body", F.explode_outer("_all").alias("m")).where("m is not null")
+    value = F.col("m.value")
+    return one.select(key, "m.start", "m.stop", F.when(F.length(value) <= 64, value).otherwise(F.md5(value)).alias("instance"), "m.kind", patterns_around(F.col("_body"), F.col("m.start"), F.col("m.stop")).alias("patterns"))
+
+
+def bootstrap(found: DataFrame, min_support: int = 3, min_confidence: float = 0.8) -> DataFrame:
+    """instance, kind and score of the candidates that patterns reveal.
+
+    The graph has an edge (pattern, instance) wherever the pattern stands around
+    the instance; edges are distinct before any join, so a pattern or an
+    instance of a third of all rows is one row per partner. Seeds begin with
+    score 1. In each round a pattern's confidence for a kind is the score of its
+    known instances of that kind over all its instances (support: how many known ones of that
+    kind), and an unknown instance's score is 1 minus the product of the doubts of
+    its patterns of at least ``min_support`` and ``min_confidence``. Instances that
+    reach ``min_confidence`` become known, of their best kind (ties to the larger name); rounds go on until none does, which ends,
+    since known ones stay known. An instance with seeds of several kinds is known by all of them.
+    """
+    edges = written(found.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "edges")
+    fan = written(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= min_support), "fans")
+    known = written(found.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct(), "known")
+    fresh_ones = known.limit(0)
+    while True:
+        weighed = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+        confidence = F.least(F.col("mass") / F.col("all"), F.lit(1.0))
+        trusted = weighed.join(fan, "pattern").withColumn("confidence", confidence).where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence")
+        doubt = F.sum(F.log(F.greatest(F.lit(1.0) - F.col("confidence"), F.lit(1e-9))))
+        revealed = edges.join(trusted, "pattern").join(known.select("instance").distinct(), "instance", "left_anti").groupBy("instance", "kind").agg((F.lit(1.0) - F.exp(doubt)).alias("score"))
+        best = revealed.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", "b.kind", "b.score").where(F.col("score") >= min_confidence)
+        best = written(best, "revealed")
+        if best.isEmpty():
+            return fresh_ones
+        fresh_ones, known = fresh_ones.unionByName(best), known.unionByName(best)
+
+
+def find_pii(docs: DataFrame, *, text: str = "text", min_support: int = 3, min_confidence: float = 0.8) -> DataFrame:
+    """Every row of ``docs`` with the base spans of each kind (columns email, ip, card, phone) and ``found``, the spans that patterns add, secrets' seeds included.
+
+    Spans are arrays of (start, stop, value), or (start, stop, kind, score), in code points, stop exclusive.
     Patterns are gathered from distinct texts, so copies of a document don't
     vote twice, and come back by the text's hash, so null and repeated ids and
     equal texts are all served. Null and empty texts have no spans; an empty
-    table gives an empty table. Columns of docs named like new ones are replaced.
+    table gives an empty table. Columns of docs named like the five new ones are
+    replaced (``masked`` keeps them); inner columns have names of their own.
     """
-    key = "_text_key"
-    kept = docs.drop(*KINDS, "found", key, "_digit").withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    key, digit = fresh("key"), fresh("digit")
     body = F.coalesce(F.col(text), F.lit(""))
+    kept = docs.drop(*KINDS, "found") if text not in (*KINDS, "found") else docs.drop(*[c for c in (*KINDS, "found") if c != text])
+    kept = kept.withColumn(key, F.xxhash64(body, F.md5(body)))
     # The few texts with digits or addresses, and of each mention in them one row: small tables, read again in each round.
-    marked = kept.where(body.rlike("[0-9@]")).select(key, body.alias("text"))
-    found = written(mentions(base_spans(marked), key, "text").distinct(), "mentions")
-    added = bootstrap(found, key, rounds, min_support, min_confidence)
-    per_text = written(added.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind", "score"))).alias("found")), "found")
-    if per_text.count() <= BROADCAST_TEXTS:
+    marked = kept.select(F.col(key).alias("key"), body.alias("body")).where(F.col("body").rlike("[0-9@]"))
+    found = written(mentions(base_spans(marked, "body", digit), "key", "body").dropDuplicates(["key", "start", "stop", "kind"]), "mentions")
+    new = bootstrap(found, min_support, min_confidence)
+    added = found.where("kind is null").drop("kind").join(new, "instance").select("key", "start", "stop", "kind", "score")
+    added = added.unionByName(found.where(F.col("kind") == SECRET).select("key", "start", "stop", "kind", F.lit(1.0).alias("score")))
+    per_text = written(added.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind", "score"))).alias("found")), "found")
+    size = per_text.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+    per_text = per_text.withColumnRenamed("key", key)
+    if size <= BROADCAST_SPANS:
         per_text = F.broadcast(per_text)
-    spotted = base_spans(kept, text)
+    spotted = base_spans(kept, text, digit)
     none = F.expr("cast(array() as array<struct<start:int,stop:int,kind:string,score:double>>)")
-    return spotted.join(per_text, key, "left").withColumn("found", F.coalesce("found", none)).drop("_digit", key)
+    return spotted.join(per_text, key, "left").withColumn("found", F.coalesce("found", none)).drop(key)
 
 
 def span_digest(found: DataFrame) -> list[Column]:
     """The digest columns of a query over ``find_pii``'s output."""
     base = [(k, F.col(k)) for k in KINDS]
     every = [(k, F.sort_array(F.concat(F.transform(F.col(k), _place), F.transform(F.filter("found", _of_kind(k)), _place)))) for k in KINDS]
+    every.append((SECRET, F.transform(F.filter("found", _of_kind(SECRET)), _place)))
     return [*[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans")]
 
 
 def masked(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans are merged under the first one's kind. Null texts stay null."""
-    columns = docs.columns
+    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans are merged under the first one's kind.
+
+    Null texts stay null. All other columns come back as they were, whatever their names.
+    """
+    packed = find_pii(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
     spans = F.concat(
         *[F.transform(F.col(k), _as_mark(k)) for k in KINDS],
         F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))),
     )
-    body = F.col(text)
+    body = F.col("text")
     cut = F.aggregate(
-        F.sort_array(F.col("_spans")),
+        F.sort_array(F.col("spans")),
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))).alias("out"))
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))),
     )
-    marked = find_pii(docs, text=text).withColumn("_spans", spans)
-    return marked.withColumn(text, F.when(F.size("_spans") > 0, cut).otherwise(body)).select(*columns)
+    marked = packed.withColumn("spans", spans)
+    clean = F.when(F.size("spans") > 0, cut).otherwise(body)
+    return marked.select(*[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
