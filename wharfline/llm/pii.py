@@ -37,6 +37,7 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 CANDIDATE = r"(?<![A-Za-z0-9\u00C0-\u024F._@/+%-])(?=[A-Za-z\u00C0-\u024F._@/+%-]*+[0-9])[A-Za-z0-9\u00C0-\u024F._@/+%-]++"
 #: Code points on either side of a mention in which its patterns lie.
 CONTEXT = 64
+PAGE = 512
 
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 
@@ -98,17 +99,22 @@ def _place(s: Column) -> Column:
 def located(text: Column, pattern: str) -> Column:
     """All matches as an array of (start, stop, value) in code points, found by matching and, where there are any, splitting at the same pattern."""
 
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["g"]
+        return F.struct((start + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + F.length(x["h"])).alias("stop"), x["h"].alias("value")))).cast(_SPAN).alias("out"))
+
     def walked(hits: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-        return F.aggregate(
-            F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g"))),
-            F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["g"] + F.length(x["h"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["h"])).alias("stop"), x["h"].alias("value")))).cast(_SPAN).alias("out"),
-            ),
-            lambda acc: acc["out"],
+        # In runs of about the square root of the matches: growing one array by each match would copy it each time.
+        pairs = F.array(F.zip_with(hits, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g"))))
+        length = F.ceil(F.sqrt(F.size(hits))).cast("int")
+        runs = F.transform(pairs, lambda all_: F.transform(F.sequence(F.lit(1), F.size(hits), length), lambda i: F.slice(all_, i, length)))[0]
+        none = f"cast(array() as {_SPAN})"
+        parts = F.aggregate(
+            runs,
+            F.expr(f"array(named_struct('at', 0, 'out', {none}))"),
+            lambda acc, run: F.concat(acc, F.array(F.aggregate(run, F.struct(F.element_at(acc, -1)["at"].alias("at"), F.expr(none).alias("out")), step))),
         )
+        return F.flatten(F.transform(parts, lambda part: part["out"]))
 
     # The array of one binds the matches to a name, or each use would search the text again.
     bound = F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
@@ -134,16 +140,21 @@ def _joined(parts: list[tuple[str, Column]]) -> Column:
     return F.array_join(F.concat(*texts), ",")
 
 
-def _sides(text: Column, start: Column, stop: Column) -> tuple[Column, Column]:
-    """What stands before and after a span, lower-cased, white space as one blank, digits as 0."""
-    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    after = F.substring(text, stop + 1, F.lit(CONTEXT))
+def _sides(pages: Column, start: Column, stop: Column) -> tuple[Column, Column]:
+    """What stands before and after a span, lower-cased, white space as one blank, digits as 0. ``pages`` is the text cut into PAGE code points, so that no lookup walks a long text."""
+
+    def page(i: Column) -> Column:
+        return F.coalesce(F.get(pages, i), F.lit(""))
+
+    p, q = (F.floor(x / PAGE).cast("int") for x in (start, stop))
+    before = F.right(F.concat(page(p - 1), F.substring(page(p), F.lit(1), start % PAGE)), F.lit(CONTEXT))
+    after = F.left(F.concat(F.substring(page(q), stop % PAGE + 1, F.lit(PAGE)), page(q + 1)), F.lit(CONTEXT))
     return tuple(F.regexp_replace(F.regexp_replace(F.lower(side), r"[\x20\x09-\x0D]+", " "), "[0-9]+", "0") for side in (before, after))
 
 
-def patterns_around(text: Column, start: Column, stop: Column) -> Column:
+def patterns_around(pages: Column, start: Column, stop: Column) -> Column:
     """The lexical patterns of a span: the word before it, the two words before it, the word after it, and the words on both sides, each with the signs between."""
-    before, after = _sides(text, start, stop)
+    before, after = _sides(pages, start, stop)
     word, signs = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
     left, two = F.regexp_extract(before, f"({word}{signs}*)$", 1), F.regexp_extract(before, f"({word}{signs}+{word}{signs}*)$", 1)
     right = F.regexp_extract(after, f"^({signs}*{word})", 1)
@@ -166,6 +177,11 @@ def _unnamed(span: Column) -> Column:
     return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), span["value"].alias("value"), F.lit(None).cast("string").alias("kind"))
 
 
+def _in_context(m: Column) -> Column:
+    value = F.when(F.length(m["value"]) <= 64, m["value"]).otherwise(F.md5(m["value"]))
+    return F.struct(m["start"].alias("start"), m["stop"].alias("stop"), value.alias("instance"), m["kind"].alias("kind"), patterns_around(F.col("_pages"), m["start"], m["stop"]).alias("patterns"))
+
+
 def mentions(spotted: DataFrame, key: str, text: str) -> DataFrame:
     """Seeds and candidates of each distinct text: key, start, stop, instance, kind (null for candidates), patterns.
 
@@ -174,11 +190,10 @@ def mentions(spotted: DataFrame, key: str, text: str) -> DataFrame:
     secrets = F.transform(F.transform(located(F.col("_body"), SEED_SECRET), _trimmed(r"""[=:\x20"']""")), _as_mention(SECRET))
     seeded = spotted.select(key, F.col(text).alias("_body"), *KINDS).withColumn("_seeds", F.concat(*[F.transform(F.col(k), _as_mention(k)) for k in KINDS], secrets))
     free = F.filter(F.transform(located(F.col("_body"), CANDIDATE), _trimmed("[._@/+%-]")), lambda c: ~F.exists("_seeds", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"])))
-    found = seeded.select(key, "_body", F.concat("_seeds", F.transform(free, _unnamed)).alias("_all"))
+    paged = seeded.withColumn("_pages", F.regexp_extract_all("_body", F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)))
+    found = paged.select(key, F.transform(F.concat("_seeds", F.transform(free, _unnamed)), _in_context).alias("_all"))
     # Not explode: its inferred filter on the array's size would search every text once more.
-    one = found.select(key, "_body", F.explode_outer("_all").alias("m")).where("m is not null")
-    value = F.col("m.value")
-    return one.select(key, "m.start", "m.stop", F.when(F.length(value) <= 64, value).otherwise(F.md5(value)).alias("instance"), "m.kind", patterns_around(F.col("_body"), F.col("m.start"), F.col("m.stop")).alias("patterns"))
+    return found.select(key, F.explode_outer("_all").alias("m")).where("m is not null").select(key, "m.*")
 
 
 def bootstrap(found: DataFrame, min_support: int = 3, min_confidence: float = 0.8) -> DataFrame:
