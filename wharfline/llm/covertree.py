@@ -1,10 +1,14 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Rows are dealt into bounded blocks, a cover tree is built for each block of data
-and of queries, and every pair of a query block and a data block is searched by
-descending both trees at once. A pair of nodes is cut off if the largest inner
-product that its covering radii allow is below the worst kth score of the
-query node's group. Each pair yields k rows a query at most, which are ranked at the end.
+Rows are dealt into bounded blocks around pivots, so that a block spans a small
+part of the space, and a cover tree is built for each block of data and of queries.
+Each block of queries is searched against its nearest block of data first;
+the kth scores found there seed all further searches, and a pair of blocks whose
+largest possible inner product is below the worst of them is never sent.
+The other pairs are searched by descending both trees at once: a pair of nodes is
+cut off if the largest inner product that its covering radii allow is below the
+worst kth score of the query node's group. Each pair yields k rows a query at most,
+which are ranked at the end.
 """
 
 from __future__ import annotations
@@ -16,18 +20,18 @@ from pyspark.sql import functions as F
 
 from wharfline.llm.common import written
 
-BLOCK_ROWS = 4096
-#: Points of a node that isn't parted further, and the factor between the radii of a node and its children.
-LEAF = 48
-BASE = 1.4
+BLOCK_ROWS = 2048
+#: Pivots that blocks are dealt around, at most; they are a sample of the data, chosen by a hash of the row.
+PIVOTS = 4096
+#: Points of a node that isn't parted further, and the factor between the radius of a node and that its children are parted by.
+LEAF = 24
+#: The same in trees of queries, whose leaves are searched as one group: a group wider than what it looks for prunes nothing.
+GROUP = 4
+BASE = 1.15
 #: Largest magnitude up to which sums of products are exact in doubles.
 EXACT = 2.0**52
 
 
-#: Children hold so many points on average, or the node stays whole: where all points are about equally far apart, small nodes prune nothing.
-FEW = 8
-
-
 def _distance(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - centre) ** 2).sum(axis=1))
 
@@ -40,7 +44,7 @@ class CoverTree:
     siblings lie farther apart than the radius they were chosen by. Points are reordered so that a node's rows are consecutive.
     """
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, arrays: dict[str, np.ndarray] | None = None):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, arrays: dict[str, np.ndarray] | None = None, leaf: int = LEAF):
         if arrays is not None:
             self.ids, self.points = ids, points
             self.__dict__.update(arrays)
@@ -51,7 +55,7 @@ class CoverTree:
         for members, centre in queue:
             distance = _distance(x[members], x[centre]) if len(members) else np.zeros(0)
             radius = float(distance.max(initial=0.0))
-            parted = self._part(x, members, centre, distance, radius / BASE) if len(members) > LEAF and radius > 0 else []
+            parted = self._part(x, members, centre, distance, radius / BASE) if len(members) > leaf and radius > 0 else []
             centres.append(centre)
             radii.append(radius)
             children.append((len(queue), len(queue) + len(parted)))
@@ -78,12 +82,10 @@ class CoverTree:
 
     @staticmethod
     def _part(x: np.ndarray, members: np.ndarray, centre: int, distance: np.ndarray, reach: float) -> list[tuple[np.ndarray, int]]:
-        """Children as (members, centre), the farthest point leading each next one; none if they would hold fewer than FEW points on average."""
+        """Children as (members, centre), the farthest point leading each next one."""
         out = [(members[distance <= reach], centre)]
         far, away = members[distance > reach], distance[distance > reach]
         while len(far):
-            if len(out) * FEW >= len(members):
-                return []
             lead = far[int(np.argmax(away))]
             d = _distance(x[far], x[lead])
             near = d <= reach
@@ -104,8 +106,11 @@ class CoverTree:
         return cls(ids, points, {f: np.frombuffer(p, kinds[f]) for f, p in zip(cls.FIELDS, parts[2:])})
 
 
-def dual_search(queries: CoverTree, data: CoverTree, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query id, data id and score of the k best of each query; the query's own id is no candidate, ties go to smaller ids."""
+def dual_search(queries: CoverTree, data: CoverTree, k: int, least: np.ndarray | None = None, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query id, data id and score of the k best of each query; the query's own id is no candidate, ties go to smaller ids.
+
+    ``least`` is a score for each query below which rows are of no use; ``seen`` gets the numbers of pairs of points scored and of all.
+    """
     nq = len(queries.ids)
     exact = float(np.abs(queries.points).max(initial=0)) * float(np.abs(data.points).max(initial=0)) * max(1, data.points.shape[1]) < EXACT
     kind = np.float64 if exact else np.int64
@@ -115,37 +120,39 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int) -> tuple[np.ndarray
     qnorm = np.sqrt((qf[queries.centre] ** 2).sum(axis=1))
     best = np.full((nq, k), np.iinfo(np.int64).min, np.int64)
     who = np.full((nq, k), np.iinfo(np.int64).max, np.int64)
+    floor = np.full(nq, np.iinfo(np.int64).min, np.int64) if least is None else least
+    scored = 0
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
         """The largest inner product that any point of query node q can have with any point of each data node."""
         c = df[data.centre[nodes]] @ qf[queries.centre[q]]
-        top = c + queries.radius[q] * dnorm[nodes] + data.radius[nodes] * qnorm[q] + queries.radius[q] * data.radius[nodes]
-        return top + np.abs(top) * 1e-9 + 1e-6
+        reach = queries.radius[q] * dnorm[nodes] + data.radius[nodes] * qnorm[q] + queries.radius[q] * data.radius[nodes]
+        return c + reach + (np.abs(c) + reach) * 1e-9 + 1e-6
 
     def leaf(q: int, nodes: np.ndarray) -> None:
         """All pairs of a query leaf with data leaves that survive, best bound first, in blocks."""
+        nonlocal scored
         a, b = queries.row_from[q], queries.row_to[q]
         top = bounds(q, nodes)
         order = np.argsort(-top, kind="stable")
         nodes, top = nodes[order], top[order]
         size = data.row_to[nodes] - data.row_from[nodes]
-        at = 0
+        at, rows_at_once = 0, 32
         while at < len(nodes):
-            worst = best[a:b, -1].min() if b > a else np.iinfo(np.int64).max
-            if top[at] < worst:
+            if b == a or top[at] < worst_of(q):
                 break
-            to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 1024)) + at)
+            to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), rows_at_once)) + at)
+            rows_at_once = min(2 * rows_at_once, 1024)
             rows = np.repeat(data.row_from[nodes[at:to]] - np.cumsum(size[at:to]) + size[at:to], size[at:to]) + np.arange(size[at:to].sum())
             score = (qx[a:b] @ dx[rows].T).astype(np.int64)
             ids = data.ids[rows]
-            own = queries.ids[a:b, None] == ids[None, :]
-            for i in range(b - a):
-                s = score[i]
-                hit = (s >= best[a + i, -1]) & ~own[i]
-                if hit.any():
-                    cs, ci = np.concatenate([best[a + i], s[hit]]), np.concatenate([who[a + i], ids[hit]])
-                    order = np.lexsort((ci, -cs if cs.min() > np.iinfo(np.int64).min else ~cs))[:k]
-                    best[a + i], who[a + i] = cs[order], ci[order]
+            scored += score.size
+            hits = (score >= np.maximum(best[a:b, -1], floor[a:b])[:, None]) & (queries.ids[a:b, None] != ids[None, :])
+            for i in np.flatnonzero(hits.any(axis=1)).tolist():
+                s, hit = score[i], hits[i]
+                cs, ci = np.concatenate([best[a + i], s[hit]]), np.concatenate([who[a + i], ids[hit]])
+                order = np.lexsort((ci, ~cs))[:k]
+                best[a + i], who[a + i] = cs[order], ci[order]
             at = to
 
     def children(nodes: np.ndarray) -> np.ndarray:
@@ -153,7 +160,8 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int) -> tuple[np.ndarray
         return np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
 
     def worst_of(q: int) -> int:
-        return best[queries.row_from[q] : queries.row_to[q], -1].min()
+        a, b = queries.row_from[q], queries.row_to[q]
+        return np.maximum(best[a:b, -1], floor[a:b]).min()
 
     stack = [(0, np.zeros(1, np.int64))] if nq and len(data.ids) else []
     while stack:
@@ -173,6 +181,8 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int) -> tuple[np.ndarray
             nodes = np.concatenate([nodes[~inner], opened[bounds(q, opened) >= worst_of(q)]])
             inner = data.child_to[nodes] > data.child_from[nodes]
         leaf(q, nodes)
+    if seen is not None:
+        seen["scored"], seen["pairs"] = seen.get("scored", 0) + scored, seen.get("pairs", 0) + nq * len(data.ids)
     found = who < np.iinfo(np.int64).max
     found &= best > np.iinfo(np.int64).min
     return np.repeat(queries.ids, k)[found.reshape(-1)], who.reshape(-1)[found.reshape(-1)], best.reshape(-1)[found.reshape(-1)]
@@ -185,49 +195,132 @@ def integral(vector: Column, scale: float) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)), F.transform(x, lambda v: F.floor(F.lit(scale) * v).cast("bigint")))
 
 
-def trees(vectors: DataFrame, blocks: int) -> DataFrame:
-    """A packed cover tree for each block of (id, v): dim, block, tree (array<binary>). Equal ids fall in one block, where the smallest vector stands for all of them."""
+def pivots(vectors: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """At most ``most`` (and PIVOTS) rows of (id, v) by length of vector, as doubles; which ones, a hash of the row decides."""
+    some = vectors.select("v").orderBy(F.xxhash64("id", "v")).limit(min(most, PIVOTS)).toArrow().column("v").to_pylist()
+    by_dim: dict[int, list] = {}
+    for v in some:
+        by_dim.setdefault(len(v), []).append(v)
+    return {dim: np.array(rows, np.float64).reshape(len(rows), dim) for dim, rows in by_dim.items()}
+
+
+def dealt(vectors: DataFrame, shared, block_rows: int, kind: str) -> DataFrame:
+    """(id, v, dim, block): each row goes to its nearest pivot, and the rows of a pivot with more than ``block_rows`` are dealt further by a hash."""
+
+    def nearest(batches):
+        for batch in batches:
+            dim = batch.column("dim").to_numpy()
+            out = np.zeros(len(dim), np.int64)
+            for d in np.unique(dim).tolist():
+                if (at := shared.value.get(d)) is not None and d:
+                    rows = np.flatnonzero(dim == d)
+                    x = batch.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), d)
+                    for a in range(0, len(rows), 1024):
+                        out[rows[a : a + 1024]] = np.argmin((at**2).sum(axis=1) - 2 * (x[a : a + 1024] @ at.T), axis=1)
+            yield pa.record_batch([*batch.columns, pa.array(out)], ["id", "v", "dim", "pivot"])
+
+    rows = vectors.select("id", "v", F.size("v").alias("dim")).mapInArrow(nearest, "id bigint, v array<bigint>, dim int, pivot bigint")
+    rows = written(rows, kind)
+    parts = rows.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
+    block = F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("id", "v"), "parts")
+    return rows.join(parts, ["dim", "pivot"]).select("id", "v", "dim", block.alias("block"))
+
+
+def trees(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """A packed cover tree for each block of (id, v, dim, block): dim, block, tree (array<binary>), and centre (array<double>) and radius of its root."""
 
     def build(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
         flat = pa.concat_arrays(group.column("v").chunks)
         dim = group.column("dim")[0].as_py()
         points = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), dim)
-        order = np.lexsort((*points.T[::-1], ids))
-        keep = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
-        tree = CoverTree(ids[keep], np.ascontiguousarray(points[keep]))
-        return pa.table({"dim": group.column("dim").slice(0, 1), "block": group.column("block").slice(0, 1), "tree": pa.array([tree.packed()], pa.list_(pa.binary()))})
+        tree = CoverTree(ids, np.ascontiguousarray(points), leaf=leaf)
+        root = [tree.points[tree.centre[0]].astype(np.float64).tolist()]
+        columns = [pa.array([tree.packed()], pa.list_(pa.binary())), pa.array(root, pa.list_(pa.float64())), pa.array([float(tree.radius[0])])]
+        return pa.table([group.column("dim").slice(0, 1), group.column("block").slice(0, 1), *columns], ["dim", "block", "tree", "centre", "radius"])
+
+    return rows.groupBy("dim", "block").applyInArrow(build, "dim int, block bigint, tree array<binary>, centre array<double>, radius double")
+
+
+def block_pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """Every pair of a query block and a data block: dim, probe, block, near (inner product of the roots' centres) and bound (of any two points).
+
+    Only centres and radii meet, a copy of each query block for each of some buckets of data blocks.
+    """
+    salts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = index.select("dim", "block", F.col("centre").alias("c"), F.col("radius").alias("r"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
+    right = probes.select("dim", F.col("block").alias("probe"), F.col("centre").alias("pc"), F.col("radius").alias("pr"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+    def norm(v: Column) -> Column:
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+
+    near = F.aggregate(F.zip_with("c", "pc", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    met = left.withColumn("n", norm(F.col("c"))).join(right.withColumn("pn", norm(F.col("pc"))), ["dim", "salt"]).withColumn("near", near)
+    reach = F.col("pr") * F.col("n") + F.col("r") * F.col("pn") + F.col("r") * F.col("pr")
+    return met.select("dim", "probe", "block", "near", (F.col("near") + reach + (F.abs("near") + reach) * 1e-9 + 1e-6).alias("bound"))
+
 
-    dealt = vectors.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    return dealt.groupBy("dim", "block").applyInArrow(build, "dim int, block int, tree array<binary>")
+def _searched(pairs: DataFrame, index: DataFrame, probes: DataFrame, k: int, least: DataFrame | None) -> DataFrame:
+    """query_id, vec_id and score over pairs (dim, probe, block); ``least`` has a list of scores for each query block, by its tree's order."""
+    asked = probes.select("dim", F.col("block").alias("probe"), F.col("tree").alias("query"))
+    asked = asked.withColumn("least", F.lit(None).cast("array<bigint>")) if least is None else asked.join(least, ["dim", "probe"])
+    met = pairs.select("dim", "probe", "block").join(index.select("dim", "block", "tree"), ["dim", "block"]).join(asked, ["dim", "probe"])
+
+    def search(pair: pa.Table) -> pa.Table:
+        dim, low = pair.column("dim")[0].as_py(), pair.column("least")[0].as_py()
+        query, tree = (CoverTree.unpacked(pair.column(c)[0].as_py(), dim) for c in ("query", "tree"))
+        return pa.table(list(map(pa.array, dual_search(query, tree, k, None if low is None else np.array(low, np.int64)))), ["query_id", "vec_id", "score"])
+
+    # A pair at a time, however many there are.
+    return met.groupBy("dim", "probe", "block").applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(data: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, scale: float = 256.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` rows of data with the largest inner product for each row of queries.
 
     Both have the columns ``vec_id`` and ``embedding``; components count as
-    floor(scale * x). A query's own id is no candidate; ties go to the smaller
+    floor(scale * x). Rows with a query's own id are no candidates; ties go to the smaller
     id; a query with fewer candidates has them all. Vectors null or with null or
     non-finite components, and null ids, take no part; vectors of different
-    lengths don't meet; of rows that repeat an id the smallest vector counts. An
-    empty table gives an empty result. Blocks hold about ``block_rows``
-    rows, dealt by a hash of the id, so no task holds more than one block of
-    either side, however many rows are alike. Scores are exact while they fit a long.
+    lengths don't meet. Rows that repeat an id are candidates each; queries that repeat
+    one are ranked together. An empty table gives an empty result; other columns are ignored. Blocks hold about ``block_rows``
+    rows, however many rows are alike, so no task holds more than one block of
+    either side. Scores are exact while they fit a long.
     """
-    own, asked = (df.select(F.col(vec_id).cast("bigint").alias("id"), integral(F.col(embedding), scale).alias("v")).where("id is not null and v is not null") for df in (data, queries))
-    data_blocks, query_blocks = (max(1, -(-df.where(F.col(vec_id).isNotNull()).count() // block_rows)) for df in (data, queries))
-    # Each tree is built once; then every block of queries meets every block of data.
-    index = written(trees(own, data_blocks), "trees")
-    probes = written(trees(asked, query_blocks), "probes").select("dim", F.col("block").alias("probe"), F.col("tree").alias("query"))
-    met = index.withColumn("probe", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(probes, ["dim", "probe"])
-    met = met.repartition(min(data_blocks * query_blocks, 10_000), "dim", "block", "probe").select("dim", "query", "tree")
-
-    def search(batches):
-        for batch in batches:
-            for dim, query, tree in zip(batch.column("dim").to_pylist(), batch.column("query"), batch.column("tree")):
-                q, c, s = dual_search(CoverTree.unpacked(query.as_py(), dim), CoverTree.unpacked(tree.as_py(), dim), k)
-                yield pa.record_batch([pa.array(q), pa.array(c), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    found, _, _ = search_blocks(data, queries, vec_id=vec_id, embedding=embedding, k=k, scale=scale, block_rows=block_rows)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_blocks(data: DataFrame, queries: DataFrame, *, vec_id: str, embedding: str, k: int, scale: float, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """query_id, vec_id and score of the candidates of all searches, every pair of blocks, and those pairs that were searched."""
+    spark = data.sparkSession
+    own, asked = (df.select(F.col(vec_id).cast("bigint").alias("id"), integral(F.col(embedding), scale).alias("v")).where("id is not null and v is not null") for df in (data, queries))
+    blocks = max(1, -(-data.where(F.col(vec_id).isNotNull()).count() // block_rows))
+    shared = spark.sparkContext.broadcast(pivots(own, blocks))
+    # Each tree is built once.
+    index, probes = (written(trees(dealt(df, shared, block_rows, f"{kind}-rows"), leaf), kind) for df, kind, leaf in ((own, "trees", LEAF), (asked, "probes", GROUP)))
+    pairs = written(block_pairs(index, probes), "pairs")
+    nearest = Window.partitionBy("dim", "probe").orderBy(F.desc("near"), "block")
+    first = written(pairs.withColumn("place", F.row_number().over(nearest)).where("place = 1").drop("place"), "first")
+    seeds = written(_searched(first, index, probes, k, None), "seeds")
+
+    # The kth score of each query so far, by block of queries in its tree's order.
+    kth = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    reached = seeds.withColumn("place", F.row_number().over(kth)).where(F.col("place") == k).select(F.col("query_id").alias("id"), "score")
+
+    def ids(batches):
+        for batch in batches:
+            for dim, block, tree in zip(batch.column("dim"), batch.column("block"), batch.column("ids")):
+                order = np.frombuffer(tree.as_py(), np.int64)
+                yield pa.record_batch([pa.array([dim.as_py()] * len(order), pa.int32()), pa.array([block.as_py()] * len(order), pa.int64()), pa.array(np.arange(len(order))), pa.array(order)], ["dim", "probe", "place", "id"])
+
+    rows = probes.select("dim", "block", F.element_at("tree", 1).alias("ids")).mapInArrow(ids, "dim int, probe bigint, place bigint, id bigint")
+    score = F.coalesce("score", F.lit(np.iinfo(np.int64).min))
+    least = rows.join(reached, "id", "left").groupBy("dim", "probe").agg(F.sort_array(F.collect_list(F.struct("place", score.alias("score")))).alias("rows"))
+    least = written(least.select("dim", "probe", F.col("rows.score").alias("least"), F.array_min("rows.score").alias("worst")), "least")
+    further = pairs.join(least.select("dim", "probe", "worst"), ["dim", "probe"]).where(F.col("bound") >= F.col("worst"))
+    further = further.join(first, ["dim", "probe", "block"], "left_anti").select(*pairs.columns)
+    further = written(further, "further")
+    found = seeds.unionByName(_searched(further, index, probes, k, least.drop("worst")))
+    return found, pairs, first.unionByName(further)
