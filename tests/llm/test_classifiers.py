@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
@@ -74,10 +76,79 @@ def test_odd_documents(odd_docs, no_docs, texts, module, fit):
 
 
 def test_sample_is_bounded(spark, odd_docs):
-    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(1, 12)] + [(4, 1, 0), (None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int")
-    got = labelled.labelled_sample(odd_docs, labels, "quality", F.col("doc_id") != 8, rows=100, text_bytes=1000)
-    assert got.column("doc_id").to_pylist() == [1, 2, 3, 4, 5, 6, 7, 10] and got.column("label").to_pylist() == [1, 0, 1, 1, 1, 0, 1, 0]
-    assert labelled.labelled_sample(odd_docs, labels, "quality", F.lit(True), rows=3, text_bytes=1000).num_rows <= 3
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(1, 12)] + [(4, 1, 0), (None, 1, 1), (7, None, 1)] + [(i, 1, 1) for i in range(1000, 3000)], "doc_id long, quality int, toxic int")
+
+    def sample(**bounds):
+        return labelled.labelled_sample(odd_docs, labels, "quality", F.col("doc_id") != 8, **bounds)
+
+    # Labels without a document take no place in the sample, and long texts are in it, whole.
+    got = sample(rows=10, total_bytes=1 << 20)
+    assert got.column("doc_id").to_pylist() == [1, 2, 3, 4, 5, 6, 7, 9, 10, 11] and got.column("label").to_pylist() == [1, 0, 1, 1, 1, 0, 1, 1, 0, 1]
+    assert max(map(len, got.column("text").to_pylist())) > 200_000
+    some = sample(rows=10, total_bytes=1000)
+    assert sum(len(t.encode()) for t in some.column("text").to_pylist()) <= 1000 and some.num_rows >= 6
+    assert sample(rows=3, total_bytes=1 << 20).num_rows == 3
+
+
+def test_ftrl_is_the_plain_loop():
+    rnd = random.Random(8)
+    rows = [(sorted(rnd.sample(range(12), 4)), [rnd.uniform(0.1, 2) for _ in range(4)], rnd.randrange(2), rnd.uniform(0.5, 3)) for _ in range(200)]
+    model, z, n = quality.Ftrl(12), [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= model.l1 else -(z[i] - math.copysign(model.l1, z[i])) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+
+    for at, x, label, share in rows:
+        model.learn(np.array(at), np.array(x), label, share)
+        w = {i: weight(i) for i in at}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at, x))))
+        for i, v in zip(at, x):
+            g = (p - label) * v * share
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha * w[i]
+            n[i] += g * g
+    assert np.allclose(model.weights(), [weight(i) for i in range(13)])
+
+
+def test_word_grams_are_the_plain_ones():
+    texts = ["a b c a b", "", "c a b", "B a", "a b c d"]
+    at, row = quality.features(pa.array(texts), 40)
+    assert (np.diff(row) == [7 * len(t.split()) for t in texts]).all()
+    got = [set(at[a:b].reshape(-1, 7)[:, 2].tolist()) for a, b in zip(row[:-1], row[1:])]
+    plain = [{tuple(w[max(0, i - 2) : i + 1]) for i in range(len(w))} for w in (t.split() for t in texts)]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(got[i] & got[j]) == len(plain[i] & plain[j])
+
+
+def test_ratios_are_counted_presence():
+    texts = ["Grün GRÜN grau", "grün!", "blau", "", "αβγδε αβγδε", "ÀÉ", "no", "blau grün"]
+    label = [1, 1, 0, 0, 1, 0, 0, 1]
+
+    def grams(text):
+        s = " " + "".join(" " if c.isascii() and not c.isalnum() else c for c in text.lower()) + " "
+        return [s[i : i + n] for n in toxicity.ORDERS for i in range(len(s) - n + 1)]
+
+    at, row = toxicity.features(pa.array(texts), 40)
+    sets = [set(at[a:b].tolist()) for a, b in zip(row[:-1], row[1:])]
+    plain = [set(grams(t)) for t in texts]
+    assert np.diff(row).tolist() == [len(grams(t)) for t in texts]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(sets[i] & sets[j]) == len(plain[i] & plain[j])
+    names = sorted(set().union(*plain))
+    counts = np.array([[sum(g in p for p, y in zip(plain, label) if y == k) for g in names] for k in (0, 1)])
+    got = toxicity.ratios(counts, np.array([4, 4]), 1.0)
+    assert np.allclose(got, [math.log((counts[1][i] + 1) / 6 / ((counts[0][i] + 1) / 6)) for i in range(len(names))])
+
+
+def test_model_scales_by_ratios():
+    sample = pa.table({"text": ["bad word"] * 6 + ["fine word"] * 6, "label": [1] * 6 + [0] * 6})
+    model = toxicity.fit(sample, rounds=50)
+    for text, sign in (("bad", 1), ("fine", -1)):
+        at, row = toxicity.features(pa.array([text]))
+        assert np.sign(model.weight[at]).tolist() == [sign] * len(at)
+    # A bucket counts once however often it comes.
+    assert model.dots(*toxicity.features(pa.array(["bad bad bad bad"])))[0] == pytest.approx(model.dots(*toxicity.features(pa.array(["bad bad bad"])))[0])
 
 
 def test_shapes():

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.labelled import labelled_sample
+from wharfline.llm.common import fresh
+from wharfline.llm.labelled import balance, labelled_sample
 from wharfline.llm.text import _ROLE, SAME, Words, mix, steps, sums
 
 BITS = 18
@@ -28,9 +29,9 @@ def shapes(w: Words) -> np.ndarray:
     size = w.end - w.start
     inside = np.arange(size.sum()) + np.repeat(w.start - np.cumsum(size) + size, size)
     run = np.cumsum(first)
-    rank = np.minimum(run[inside] - np.repeat(run[w.start], size), 20)
+    rank = run[inside] - np.repeat(run[w.start], size)
     value = np.zeros(len(kind), np.uint64)
-    value[inside] = np.where(first[inside], mix(kind[inside].astype(np.uint64) * np.uint64(64) + rank.astype(np.uint64) + np.uint64(1)), np.uint64(0))
+    value[inside] = np.where(first[inside], mix((rank.astype(np.uint64) << np.uint64(8)) + kind[inside].astype(np.uint64) + np.uint64(1)), np.uint64(0))
     total = np.zeros(len(kind) + 1, np.uint64)
     np.cumsum(value, out=total[1:])
     return mix(total[w.end] - total[w.start])
@@ -39,8 +40,9 @@ def shapes(w: Words) -> np.ndarray:
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of each text's word n-grams, end to end, and the offsets of the texts.
 
-    Per word: the word itself, its shape, the shapes of two and of three words
-    in a row, and whether it repeats one of the two words before it.
+    Per word: the n-grams of one, two and three words that end with it, the
+    same of the words' shapes, and whether it repeats one of the two words before
+    it. Before the first words stands nothing, which makes n-grams of its own.
     """
     w = Words(column, SAME)
     n = len(w)
@@ -48,15 +50,17 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     same1, same2 = np.zeros(n, bool), np.zeros(n, bool)
     same1[1:] = owner[1:] == owner[:-1]
     same2[2:] = owner[2:] == owner[:-2]
-    shape = shapes(w)
-    before, before2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    before[1:] = np.where(same1[1:], shape[:-1], np.uint64(0))
-    before2[2:] = np.where(same2[2:], shape[:-2], np.uint64(0))
+    columns = []
+    for role, one in ((12, w.hash), (13, shapes(w))):
+        before, before2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        before[1:] = np.where(same1[1:], one[:-1], np.uint64(0))
+        before2[2:] = np.where(same2[2:], one[:-2], np.uint64(0))
+        two = mix(one * _ROLE[role + 4] + before * _ROLE[11])
+        columns += [mix(one + _ROLE[role]), two, mix(two + before2 * _ROLE[14])]
     again = np.zeros(n, np.uint64)
     again[1:] += np.where(same1[1:] & (w.hash[1:] == w.hash[:-1]), np.uint64(1), np.uint64(0))
     again[2:] += np.where(same2[2:] & (w.hash[2:] == w.hash[:-2]), np.uint64(2), np.uint64(0))
-    two = mix(shape * _ROLE[10] + before * _ROLE[11])
-    columns = [mix(w.hash + _ROLE[12]), mix(shape + _ROLE[13]), two, mix(two + before2 * _ROLE[14]), mix(again + _ROLE[15])]
+    columns.append(mix(again + _ROLE[15]))
     return (np.stack(columns, axis=1).reshape(-1) >> np.uint64(64 - bits)).astype(np.int64), w.row * len(columns)
 
 
@@ -99,26 +103,28 @@ def fit(sample: pa.Table, bits: int = BITS, epochs: int = 4) -> np.ndarray:
             for a, b in zip(ends[:-1], ends[1:]):
                 key, count = np.unique(at[a:b], return_counts=True)
                 rows.append((np.append(key, 1 << bits), np.append(count * (SCALE / unit(b - a)), 1.0)))
-    share = labels.mean() if len(labels) else 0.5
-    weight = (0.5 / max(1 - share, 1e-3), 0.5 / max(share, 1e-3))
+    weight = balance(labels, 5.0)
     order = np.random.Generator(np.random.PCG64(5))
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            model.learn(*rows[i], labels[i], min(weight[labels[i]], 5.0))
+            model.learn(*rows[i], labels[i], weight[i])
     return model.weights()
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 in ``out``. Null texts count as empty; an empty text gets the bias's probability; long texts are scored whole."""
-    kept = [c for c in docs.columns if c not in (out, "_text")]
-    frame = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    """``docs`` with the probability of label 1 in ``out``, in place of a column of that name; other columns stay, whatever their names.
+
+    Null texts count as empty; an empty text gets the bias's probability; long texts are scored whole. An empty table gives an empty table.
+    """
+    kept = [c for c in docs.columns if c != out]
+    frame = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(body := fresh("text")))
     bits = int(np.log2(len(weights) - 1))
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches):
         w = shared.value
-        for batch in steps(batches, "_text"):
-            at, row = features(batch.column("_text"), bits)
+        for batch in steps(batches, body):
+            at, row = features(batch.column(body), bits)
             dot = sums(w[at].astype(np.float64), row) * SCALE / unit(np.diff(row)) + w[-1]
             yield pa.record_batch([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))], [*kept, out])
 
@@ -126,6 +132,6 @@ def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", out: str
     return frame.mapInArrow(run, f"{kinds}`{out}` double")
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, rows: int = 4000, text_bytes: int = 32768) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, rows: int = 4000, total_bytes: int = 24 << 20) -> np.ndarray:
     """Weights from a bounded sample of the labelled rows that ``allowed`` admits; see ``labelled_sample`` for the bounds."""
-    return fit(labelled_sample(docs, labels, "quality", allowed, rows=rows, text_bytes=text_bytes))
+    return fit(labelled_sample(docs, labels, "quality", allowed, rows=rows, total_bytes=total_bytes))
