@@ -1,7 +1,7 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, size long, train boolean, media binary, k1 long, found string, rate double, kind string"
-EXTRA = ("x", 0.5, 7, 8, True, bytearray(b"m"), 9, "f", 0.1, "k")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, size long, train boolean, media binary, k1 long, found string, rate double, kind string, email string, _source string, _text string, payload_bytes int, _spans int, digest string, pivot int"
+EXTRA = ("x", 0.5, 7, 8, True, bytearray(b"m"), 9, "f", 0.1, "k", "e", "s", "t", 3, 4, "d", 5)
 
 
 @pytest.fixture(scope="session")

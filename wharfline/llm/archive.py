@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wharfline.llm.common import written
 from wharfline.llm.text import steps
 
 #: Fixed values of the formats: the fields of an ARC header line by version, and the WARC profile of revisits.
@@ -23,11 +24,21 @@ ARC_FIELDS = {
     1: ("url", "ip", "date", "mime", "length"),
     2: ("url", "ip", "date", "mime", "code", "checksum", "location", "offset", "file", "length"),
 }
+ARC_TITLES = {
+    1: "URL IP-address Archive-date Content-type Archive-length",
+    2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
+}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 #: Bytes after which a task ends an archive and begins the next.
 ARCHIVE_BYTES = 4 << 20
 
+#: HTTP header fields of a block that hold the page's id and that of the page it repeats.
+PAGE_FIELD, REFERS_FIELD = b"X-Page-Id", b"X-Refers-To-Page"
+#: Bits of the filter that keeps pages which repeat no other out of the join's shuffle; 2 MB are broadcast. Beyond some ten million revisits more pages pass it, none wrongly.
+SIEVE_BITS = 1 << 24
+_MAP_BITS = 1 << 15
+
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -36,29 +47,50 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def arc_date(stamp: str) -> str:
-    """A 14-digit ARC date, or a shorter one padded, as a WARC-Date."""
-    s = (re.sub("[^0-9]", "", stamp) + "00000101000000"[len(stamp) :] if len(stamp) < 14 else stamp)[:14]
+    """The digits of an ARC date, cut or padded to 14, as a WARC-Date."""
+    s = re.sub("[^0-9]", "", stamp)[:14]
+    s += "00000101000000"[len(s) :]
     return f"{s[:4]}-{s[4:6]}-{s[6:8]}T{s[8:10]}:{s[10:12]}:{s[12:14]}Z"
 
 
-def arc_record(url: str | None, ip: str, date: str, mime: str, block: bytes, version: int = 1) -> bytes:
-    """An ARC record. Spaces and control characters of the URL are percent-encoded, since spaces part the header's fields."""
+def _arc_line(url: str | None, ip: str, date: str, mime: str, size: int, version: int) -> bytes:
+    """A header line. Spaces and control characters of the URL are percent-encoded, since spaces part the fields."""
     safe = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url or "") or "-"
     middle = [] if version == 1 else ["200", "-", "-", "0", "-"]
-    return " ".join([safe, ip, date, mime, *middle, str(len(block))]).encode() + b"\n" + block + b"\n"
+    return " ".join([safe, ip, date, mime, *middle, str(size)]).encode() + b"\n"
+
+
+def arc_record(url: str | None, ip: str, date: str, mime: str, block: bytes, version: int = 1) -> bytes:
+    return _arc_line(url, ip, date, mime, len(block), version) + block + b"\n"
+
 
+def version_block(date: str, version: int) -> bytes:
+    """The record that begins an ARC file: its block names the version and the fields of the header lines."""
+    block = f"{version} 0 wharfline\n{ARC_TITLES[version]}\n\n".encode()
+    return _arc_line("filedesc://part.arc", "0.0.0.0", date, "text/plain", len(block), version) + block
 
-def arc_records(body: bytes, version: int = 1) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and blocks of the records of an ARC body. A header of another field count, or a length beyond the data, raises ValueError."""
-    names, at = ARC_FIELDS[version], 0
+
+def arc_records(body: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and blocks of the records of an ARC body, version blocks included, each read by the version declared before it.
+
+    A body that doesn't begin with a version block, a header of another field count, or a length beyond the data raises ValueError.
+    """
+    names, at = None, 0
     while at < len(body):
         if body[at : at + 1] == b"\n":
             at += 1
             continue
         end = body.index(b"\n", at)
         fields = body[at:end].decode().split(" ")
+        if fields[0].startswith("filedesc://"):
+            declared = body[end + 1 :].split(b"\n", 1)[0].split(b" ")[0]
+            if not declared.isdigit() or int(declared) not in ARC_FIELDS:
+                raise ValueError(f"unknown ARC version {declared[:20]!r}")
+            names = ARC_FIELDS[int(declared)]
+        if names is None:
+            raise ValueError("an ARC body begins with a version block")
         if len(fields) != len(names):
-            raise ValueError(f"ARC version {version} header has {len(fields)} fields: {body[at:end][:200]!r}")
+            raise ValueError(f"ARC header has {len(fields)} fields, not {len(names)}: {body[at:end][:200]!r}")
         head = dict(zip(names, fields))
         at = end + 1 + int(head["length"])
         if at > len(body):
@@ -72,24 +104,38 @@ def http_parts(block: bytes) -> tuple[bytes, bytes]:
     return (block[: cut + 4], block[cut + 4 :]) if cut >= 0 else (b"", block)
 
 
-def warc_record(head: dict[str, str], block: bytes, refers_to: str | None = None) -> bytes:
-    """The WARC record equivalent to an ARC record: a response, or, given what it refers to, a revisit that leaves the payload out."""
-    http, payload = http_parts(block)
-    digest = base32_sha1(payload)
+def record_id(page: str, digest: str) -> str:
+    """The record id of a page's response: known wherever the page's id and its payload's digest are, as in the records that revisit it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {page} {digest}')}>"
+
+
+def _http_field(http: bytes, name: bytes) -> str | None:
+    found = re.search(rb"\r\n" + name + rb": ([^\r\n]+)\r\n", http)
+    return found[1].decode() if found else None
+
+
+def warc_record(head: dict[str, str], block: bytes) -> bytes:
+    """The WARC record equivalent to an ARC record.
+
+    A version block becomes a warcinfo record, an HTTP block a response, or a revisit without its
+    payload if its head says what page it repeats, and any other block a resource of its own type.
+    """
     date = arc_date(head["date"])
-    kept = http if refers_to is not None else block
+    http, payload = http_parts(block) if block.startswith(b"HTTP/") else (b"", block)
+    digest = base32_sha1(payload)
+    page, refers = _http_field(http, PAGE_FIELD), _http_field(http, REFERS_FIELD)
+    kind = "warcinfo" if head["url"].startswith("filedesc://") else "resource" if not http else "response" if refers is None else "revisit"
+    kept = http if kind == "revisit" else block
+    own = record_id(page, digest) if page and kind == "response" else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((head['url'], date, digest, http.hex())))}>"
     lines = [
         "WARC/1.0",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((head['url'], date, digest, http.hex())))}>",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {own}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {head['url']}",
-        f"WARC-IP-Address: {head['ip']}",
-        f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(kept)}",
-        f"WARC-Payload-Length: {len(payload)}",
-        *([] if refers_to is None else [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Page: {refers_to}"]),
-        "Content-Type: application/http; msgtype=response",
+        *([f"WARC-Filename: {head['url'][11:]}"] if kind == "warcinfo" else [f"WARC-Target-URI: {head['url']}", f"WARC-IP-Address: {head['ip']}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]),
+        *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers, digest)}"] if kind == "revisit" else []),
+        f"Content-Type: {'application/http; msgtype=response' if http else head['mime']}",
         f"Content-Length: {len(kept)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + kept + b"\r\n\r\n"
@@ -121,44 +167,64 @@ def revisits(pages: DataFrame, page_id: str, payload: Column, least: int) -> Dat
     return light.join(top, ["digest", "n"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def to_arc(pages: DataFrame, *, version: int = 1, date: str = "20240101000000", ip: str = "0.0.0.0") -> DataFrame:
-    """ARC bodies (``arc`` binary, one per Arrow batch at most) of pages with columns page_id, url, html and refers_to.
+def marked(pages: DataFrame, light: DataFrame, payload: Column) -> DataFrame:
+    """page_id, url, html, date and refers_to of all pages.
 
-    The page id, and what a page refers to, travel as HTTP headers of the block.
+    Only pages whose id passes a bitmap of the ids of ``light`` (see ``revisits``) go through the join with it; the others' html isn't shuffled.
+    """
+    place = F.pmod(F.xxhash64("page_id"), F.lit(SIEVE_BITS))
+    part, bit = F.floor(place / _MAP_BITS).alias("part"), (place % _MAP_BITS).alias("bit")
+    maps = F.broadcast(light.select(part, bit).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("map")))
+    octet = F.conv(F.hex(F.substring("map", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(octet / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1, F.lit(False))
+    sieved = pages.withColumn("digest", F.sha1(payload.cast("binary"))).select("*", part, bit).join(maps, "part", "left").withColumn("hit", hit)
+    columns = ["page_id", "url", "html", "date", "digest"]
+    asked = sieved.where("hit").select(*columns).join(light, ["page_id", "digest"], "left")
+    return sieved.where(~F.col("hit")).select(*columns, F.lit(None).cast("bigint").alias("refers_to")).unionByName(asked.select(*columns, "refers_to")).drop("digest")
+
+
+def to_arc(pages: DataFrame, *, version: int = 1, ip: str = "0.0.0.0") -> DataFrame:
+    """ARC bodies (``arc`` binary) of pages with columns page_id, url, html, date and refers_to, each begun by a version block.
+
+    The page id, and what a page refers to, travel as HTTP headers of the block. A task ends an archive after ARCHIVE_BYTES; a longer page has one of its own.
     """
 
     def build(batches):
         for batch in steps(batches, "html", ARCHIVE_BYTES):
-            out, size, refs = [], 0, []
-            for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\n"
-                block = head.encode() + b"\r\n" + (html or "").encode()
-                out.append(arc_record(url, ip, date, "text/html", block, version))
-                refs.append(refers)
+            out, size = [], 0
+            for page, url, html, date, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "date", "refers_to"))):
+                fields = [f"{name.decode()}: {value}\r\n" for name, value in ((PAGE_FIELD, page), (REFERS_FIELD, refers)) if value is not None]
+                block = "".join(["HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n", *fields, "\r\n"]).encode() + (html or "").encode()
+                stamp = re.sub("[^0-9]", "", date or "") or "0"
+                out.append(arc_record(url, ip, stamp, "text/html", block, version) if out else version_block(stamp, version) + arc_record(url, ip, stamp, "text/html", block, version))
                 size += len(block)
                 if size >= ARCHIVE_BYTES:
-                    yield pa.record_batch([pa.array([b"".join(out)], pa.binary()), pa.array([refs], pa.list_(pa.int64()))], ["arc", "refers_to"])
-                    out, size, refs = [], 0, []
+                    yield pa.record_batch([pa.array([b"".join(out)], pa.binary())], ["arc"])
+                    out, size = [], 0
             if out:
-                yield pa.record_batch([pa.array([b"".join(out)], pa.binary()), pa.array([refs], pa.list_(pa.int64()))], ["arc", "refers_to"])
+                yield pa.record_batch([pa.array([b"".join(out)], pa.binary())], ["arc"])
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(build, "arc binary, refers_to array<bigint>")
+    return pages.select("page_id", "url", "html", "date", "refers_to").mapInArrow(build, "arc binary")
 
 
-def arc_to_warc(archives: DataFrame, *, version: int = 1) -> DataFrame:
-    """WARC bodies (``warc`` binary) of ARC bodies (``arc``), record by record; ``refers_to`` lists what each record revisits, null for a response."""
+def arc_to_warc(archives: DataFrame) -> DataFrame:
+    """WARC bodies (``warc`` binary) of ARC bodies (``arc``) of any version, record by record."""
 
     def convert(batches):
         for batch in batches:
-            for arc, refs in zip(batch.column("arc"), batch.column("refers_to")):
-                body = b"".join(warc_record(head, block, None if r is None else str(r)) for (head, block), r in zip(arc_records(arc.as_py(), version), refs.as_py()))
+            for arc in batch.column("arc"):
+                body = b"".join(warc_record(head, block) for head, block in arc_records(arc.as_py()))
                 yield pa.record_batch([pa.array([body], pa.binary())], ["warc"])
 
-    return archives.select("arc", "refers_to").mapInArrow(convert, "warc binary")
+    return archives.select("arc").mapInArrow(convert, "warc binary")
+
 
+#: Columns of the records that ``read_warc`` gives.
+RECORD = "record_id string, date string, uri string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to_record string, payload binary"
 
-def read_warc(archives: DataFrame) -> DataFrame:
-    """A row for each record of WARC bodies (``warc``): id, date, uri, page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+
+def read_warc(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
+    """A row for each response, revisit and resource of WARC bodies (``warc``): see RECORD; payload is null for revisits, or for all without ``payloads``.
 
     A record whose declared block digest, or whose declared payload digest, differs from its bytes raises ValueError.
     """
@@ -168,31 +234,43 @@ def read_warc(archives: DataFrame) -> DataFrame:
             for body in batch.column("warc"):
                 rows = []
                 for head, block in warc_records(body.as_py()):
-                    http, payload = http_parts(block)
                     if head["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
                         raise ValueError(f"block digest of {head['warc-record-id']}")
-                    full = head["warc-type"] == "response"
+                    if head["warc-type"] == "warcinfo":
+                        continue
+                    http, payload = http_parts(block) if head["warc-type"] != "resource" else (b"", block)
+                    full = head["warc-type"] != "revisit"
                     if full and head["warc-payload-digest"] != f"sha1:{base32_sha1(payload)}":
                         raise ValueError(f"payload digest of {head['warc-record-id']}")
-                    page = re.search(rb"\r\nX-Page-Id: (-?[0-9]+)\r\n", http)
-                    refers = head.get("warc-refers-to-page")
-                    rows.append((head["warc-record-id"], head["warc-date"], head["warc-target-uri"], int(page[1]) if page else None, int(head["warc-payload-length"]), head["warc-payload-digest"][5:], head["warc-type"], None if refers is None else int(refers), payload if full else None))
+                    page = _http_field(http, PAGE_FIELD)
+                    rows.append((head["warc-record-id"], head["warc-date"], head["warc-target-uri"], page and int(page), int(head["warc-payload-length"]), head["warc-payload-digest"][5:], head["warc-type"], head.get("warc-refers-to"), payload if full and payloads else None))
                 if rows:
-                    kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.int64(), pa.binary()]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["record_id", "date", "uri", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                    kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] * 3 + [pa.binary()]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split(" ")[0] for f in RECORD.split(", ")])
+
+    return archives.select("warc").mapInArrow(read, RECORD)
+
 
-    return archives.select("warc").mapInArrow(read, "record_id string, date string, uri string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+def referred(records: DataFrame) -> DataFrame:
+    """``records`` with refers_to, the page id of the response whose record id a revisit names; null for other records. No payload goes through the join."""
+    light = written(records.drop("payload", "refers_to"), "records")
+    asked = light.where("refers_to_record is not null").select("refers_to_record").distinct()
+    target = light.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")).join(asked, "refers_to_record", "left_semi").distinct()
+    return light.join(target, "refers_to_record", "left")
 
 
 def pages_to_warc(pages: DataFrame, *, least: int = 0, version: int = 1) -> DataFrame:
-    """WARC archives of all ``pages`` (page_id, url, html), by way of ARC records.
+    """WARC archives of all ``pages`` (page_id, url, html, and date, if there), by way of ARC records of the given version.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the
     largest id is a response and the others revisit it. Null html is an empty
     payload, a null url is "-". Rows that repeat the largest id are responses
-    all; a null id gives a response. An empty table gives no archive.
+    all, of one record id; a null id gives a response. ``date`` holds stamps of any writing whose digits are a date's;
+    without that column a page's stamp counts its id in seconds from 2024 on. Other columns are ignored. An empty table gives no archive.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
-    light = revisits(pages, "page_id", body, least)
-    marked = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest")).join(light, ["page_id", "digest"], "left")
-    return arc_to_warc(to_arc(marked, version=version), version=version)
+    counted = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyyMMddHHmmss")
+    stamp = F.col("date").cast("string") if "date" in pages.columns else counted
+    known = pages.select("page_id", "url", "html", stamp.alias("date"))
+    light = written(revisits(known, "page_id", body, least), "revisits")
+    return arc_to_warc(to_arc(marked(known, light, body), version=version))

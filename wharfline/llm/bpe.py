@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wharfline.llm.common import fresh
 from wharfline.llm.text import steps
 
 #: Entries of each half of a worker's memory of encoded chunks or pieces; it bounds memory and changes no result.
@@ -262,12 +263,12 @@ def _forget() -> None:
 
 def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Array]], fields: str, names: list[str], keep: bool = True) -> DataFrame:
     """All columns of docs but those named like new ones, with the columns that ``make`` gives for the texts (null: empty) of a step."""
-    kept = [c for c in docs.columns if c not in (*names, "_text")]
-    frame = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kept, body = [c for c in docs.columns if c not in names], fresh("text")
+    frame = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(body))
 
     def run(batches):
-        for batch in steps(batches, "_text", STEP):
-            yield pa.record_batch([*batch.columns[:-1], *make(batch.column("_text").to_pylist())], [*kept, *names])
+        for batch in steps(batches, body, STEP):
+            yield pa.record_batch([*batch.columns[:-1], *make(batch.column(body).to_pylist())], [*kept, *names])
         if not keep:
             _forget()
 

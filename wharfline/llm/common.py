@@ -54,5 +54,4 @@ def partitions(spark: SparkSession) -> int:
 
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts as empty."""
-    body = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.when(F.length(body) == 0, F.lit(0)).otherwise(F.size(F.split(body, " +"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORDS)).cast("long")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wharfline.llm.common import fresh
 from wharfline.llm.text import raw, steps
 
 #: Payloads are padded with spaces to a positive multiple of this many samples.
@@ -74,13 +75,13 @@ def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def peak_pairs(samples: np.ndarray) -> np.ndarray:
-    """Time-coded fingerprints as longs: frame << 24 | first bin << 16 | second bin << 8 | frames between (at most 255)."""
+    """Time-coded fingerprints as longs: frame << 40 | first bin << 32 | second bin << 24 | frames between. Frames stay below 2^23, samples below 2^31."""
     t, f = landmarks(samples)
     codes = []
     for k in range(1, FAN_OUT + 1):
         dt = t[k:] - t[:-k]
-        ok = (dt >= 1) & (dt <= 255)
-        codes.append((t[:-k][ok] << 24) | (f[:-k][ok] << 16) | (f[k:][ok] << 8) | dt[ok])
+        ok = dt >= 1
+        codes.append((t[:-k][ok] << 40) | (f[:-k][ok] << 32) | (f[k:][ok] << 24) | dt[ok])
     return np.sort(np.concatenate(codes)).astype(np.int64)
 
 
@@ -88,18 +89,19 @@ def store_text(docs: DataFrame, *, text: str = "text", keep: list[str] | None =
     """Columns ``keep`` (all but the text, by default) with ``n_bytes`` of the text in UTF-8 and ``media``, the text as a WAV file.
 
     A null text counts as empty; an empty one becomes one unit of spaces. Long
-    texts are kept whole. An empty table gives an empty table.
+    texts are kept whole. An empty table gives an empty table. Columns named n_bytes or media are replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, "n_bytes", "media", "_text")] if keep is None else keep
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (text, "n_bytes", "media")]
+    body = fresh("text")
 
     def build(batches):
-        for batch in steps(batches, "_text", STEP):
-            data, at = raw(batch.column("_text"))
-            body = data.tobytes()
-            media = [to_wav(body[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        for batch in steps(batches, body, STEP):
+            data, at = raw(batch.column(body))
+            whole = data.tobytes()
+            media = [to_wav(whole[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.record_batch([*batch.columns[:-1], pa.array(np.diff(at)), pa.array(media, pa.binary())], [*kept, "n_bytes", "media"])
 
-    frame = docs.select(*kept, F.col(text).alias("_text"))
+    frame = docs.select(*kept, F.col(text).alias(body))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
     return frame.mapInArrow(build, f"{kinds + ', ' if kinds else ''}n_bytes bigint, media binary")
 
@@ -107,14 +109,15 @@ def store_text(docs: DataFrame, *, text: str = "text", keep: list[str] | None =
 def analyse(recordings: DataFrame, *, media: str = "media") -> DataFrame:
     """Reads the WAV file of each row back: all columns but ``media``, and payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes, media_sha256 and ``fingerprint``, the peak pairs as array<bigint>.
 
-    A null file gives null results.
+    A null file gives null results. Columns named like the new ones are replaced.
     """
-    kept = [c for c in recordings.columns if c != media]
+    kept = [c for c in recordings.columns if c not in (media, *FEATURES)]
+    file = fresh("media")
 
     def read(batches):
-        for batch in steps(batches, "_media", STEP):
+        for batch in steps(batches, file, STEP):
             rows = []
-            for value in batch.column("_media"):
+            for value in batch.column(file):
                 if (body := value.as_py()) is None:
                     rows.append((None,) * 6)
                     continue
@@ -123,7 +126,7 @@ def analyse(recordings: DataFrame, *, media: str = "media") -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
             yield pa.record_batch([*batch.columns[:-1], *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]], [*kept, *FEATURES])
 
-    frame = recordings.select(*kept, F.col(media).alias("_media"))
+    frame = recordings.select(*kept, F.col(media).alias(file))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
     return frame.mapInArrow(read, kinds + "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, fingerprint array<bigint>")
 

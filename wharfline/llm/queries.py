@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.llm import archive, bpe, covertree, jaccard, lm, media, mixing, pii, quality, toxicity
-from wharfline.llm.common import bucket_of, table, written
+from wharfline.llm.common import bucket_of, table, word_count, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,7 @@ def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_text(table(spark, sf_dir, "documents"), keep=["doc_id"])
     feature = F.concat(F.size("fingerprint").cast("string"), F.lit(":"), F.sha2(F.array_join(F.col("fingerprint"), ","), 256))
-    return media.analyse(stored).withColumn("feature", feature).drop("fingerprint")
+    return media.analyse(stored).withColumn("feature", feature)
 
 
 def op4_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(archive.pages_to_warc(table(spark, sf_dir, "pages"), least=0), "warc")
-    return archive.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive.referred(archive.read_warc(archives, payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,10 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    # Words are counted once; no text goes further.
+    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
+    return mixing.mix_sources(sizes, words="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
