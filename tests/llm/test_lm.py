@@ -36,18 +36,49 @@ def test_query_has_the_exact_base(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) and math.isfinite(r.score) and r.score < 0 for r in found)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_words": 3}, {"slice_bytes": 40, "segment_grams": 2000}])
+def exact(rows, train, mu=100.0):
+    """Scores from the quantised counts themselves, without a filter."""
+    one, two = collections.Counter(), collections.Counter()
+    for r in rows:
+        if train(r):
+            t = tokens(r[1])
+            one.update(t)
+            two.update(zip([None, *t], t))
+    n, v = sum(one.values()), len(one)
+
+    def middle(c):
+        return 1.5 * 2.0 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+
+    def logp(before, word):
+        h = middle(one[before if before is not None else b"\n"])
+        p1 = (middle(one[word]) + 0.5) / (n + 0.5 * (v + 1))
+        return math.log10((min(middle(two[before, word]), h) + mu * p1) / (h + mu))
+
+    return {r[0]: sum(map(logp, [None, *tokens(r[1])], tokens(r[1]))) for r in rows}
+
+
+def test_score_is_the_brute_force_but_for_false_positives(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    want = exact([tuple(r) for r in docs.collect()], lambda r: r[0] % 5 != 1)
+    off = sorted(abs(r.score / want[r.doc_id] - 1) for r in lm.score(docs, F.col("doc_id") % 5 != 1).collect())
+    assert off[len(off) // 2] < 0.005 and off[-1] < 0.1
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_words": 3}, {"segment_grams": 2000}])
 def test_odd_documents(spark, odd_docs, texts, options):
-    """Few hot words, or a filter in many slices, change nothing."""
     got = lm.score(odd_docs, F.col("doc_id") % 2 == 1, **options)
     rows = got.collect()
     want = base([(i, t) for i, t, _ in texts], lambda r: r[0] is not None and r[0] % 2 == 1)
     assert key([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows]) == key(want)
-    scores = {r.doc_id: r.score for r in rows if r.doc_id in (2, 4, 9)}
-    if not options or "hot_words" in options:
-        test_odd_documents.scores = scores
-    elif hasattr(test_odd_documents, "scores"):
-        assert scores[2] < 0 and scores[4] < 0
+    # A filter probed where it lies, in one slice or in many, gives the very scores of one that is broadcast.
+    for size in (0, 3000):
+        assert key(map(tuple, lm.score(odd_docs, F.col("doc_id") % 2 == 1, **options, slice_bytes=size).collect())) == key(map(tuple, rows))
+
+
+def test_hot_slices_are_copied(spark, odd_docs, monkeypatch):
+    rows = lm.score(odd_docs, F.col("doc_id") % 2 == 1).collect()
+    monkeypatch.setattr(lm, "PROBED", 1000)
+    assert key(map(tuple, lm.score(odd_docs, F.col("doc_id") % 2 == 1, slice_bytes=0).collect())) == key(map(tuple, rows))
 
 
 def test_no_training(spark, odd_docs, no_docs):

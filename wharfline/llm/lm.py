@@ -3,9 +3,10 @@
 An n-gram counted c times lies in the filter with each of the levels 1 to
 1 + floor(log2 c); its count is found again, quantised, by probing level after
 level until one is missing. The filter is cut into segments by the n-gram's hash, each
-made in one task from the counts of its n-grams, and broadcast to the workers
-in slices of bounded size; one slice serves while it holds all segments, else scoring
-passes over the texts once for each slice and keeps a level per n-gram between passes.
+made in one task from the counts of its n-grams. A filter of bounded size is broadcast to the
+workers. A larger one stays where it is, in slices, and the distinct n-grams of each
+step of texts travel to the slices and their levels back: two shuffles of packed arrays, whose
+size grows with the texts alone. Both ways probe the same bits, so scores agree exactly.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ END = mix(np.full(1, 0xE0F, np.uint64))[0]
 #: Bits per stored (n-gram, level) pair and hash probes per pair: about 1 false positive in 100.
 BITS_PER_ENTRY = 10
 PROBES = 5
-#: n-grams that a segment is planned for, and bytes of filter that are broadcast at once.
+#: n-grams that a segment is planned for, and bytes of filter that are broadcast at most.
 SEGMENT_GRAMS = 1 << 20
 SLICE_BYTES = 96 << 20
+#: Bytes of a slice that is probed where it is, and n-grams that one task probes it for.
+HOME_BYTES = 16 << 20
+PROBED = 1 << 22
 #: Commonest words whose exact counts are broadcast; the counts of others meet their texts in a shuffle.
 HOT_WORDS = 1 << 18
 #: Within a segment, n-grams go by so many low bits of their hash: a clash is far rarer than a filter's false positive.
@@ -124,6 +128,11 @@ def _bits(keys: np.ndarray, level: np.ndarray | int, size: int) -> list[np.ndarr
     return [((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32) for i in range(PROBES)]
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+
+
 def _packed(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
@@ -147,12 +156,10 @@ def build_segments(training: DataFrame, segments: int, tasks: int) -> DataFrame:
         def flush():
             k, c = held.take()
             seg = (k >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
-            cut = np.searchsorted(seg, np.arange(segments + 1))
-            for s in range(segments):
-                a, b = cut[s], cut[s + 1]
-                if b > a:
-                    few = np.minimum(c[a:b], 255).astype(np.uint8)
-                    yield pa.record_batch([pa.array([s]), pa.array([_packed(k[a:b])], pa.binary()), pa.array([few.tobytes()], pa.binary()), pa.array([c[a:b][few == 255].astype(np.int64).tobytes()], pa.binary())], ["segment", "keys", "few", "many"])
+            cut = _runs(seg)
+            for a, b in zip(cut[:-1], cut[1:]):
+                few = np.minimum(c[a:b], 255).astype(np.uint8)
+                yield pa.record_batch([pa.array([int(seg[a])]), pa.array([_packed(k[a:b])], pa.binary()), pa.array([few.tobytes()], pa.binary()), pa.array([c[a:b][few == 255].astype(np.int64).tobytes()], pa.binary())], ["segment", "keys", "few", "many"])
 
         for batch in steps(batches, "text", STEP):
             words, row = tokens(batch.column("text"))
@@ -234,7 +241,10 @@ def score(docs: DataFrame, training: Column, *, doc_id: str = "doc_id", text: st
     from the filter. Rows for which ``training`` isn't true are scored only.
     Null texts count as empty and are the end alone. Repeated ids and texts
     keep a row each; a null id doesn't train. Without training rows N and V are 0, and
-    every token has probability one, unseen alone. An empty table gives an empty table.
+    every token has probability one, unseen alone. An empty table gives an empty table; other columns are ignored.
+    The score is the sum of the tokens' smoothed conditional probabilities (see ``log10_prob``). Counts are quantised and
+    a filter has false positives, so those of one history sum to about one, not exactly, and another
+    number of segments may move a score by a few per cent.
     Exact counts of the ``hot_words`` commonest words are broadcast, which bounds that table and
     leaves no frequent word to the shuffle; rarer words' hashes meet their counts there.
     """
@@ -252,46 +262,47 @@ def score(docs: DataFrame, training: Column, *, doc_id: str = "doc_id", text: st
     tasks = max(1, min(segments, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     parts = written(build_segments(learn, segments, tasks), "filter")
     size = parts.agg(F.coalesce(F.max(F.length("bits")), F.lit(1))).first()[0]
-    per_slice = max(1, slice_bytes // size)
-    slices = [(a, min(segments, a + per_slice)) for a in range(0, segments, per_slice)]
     denominator = float(np.log10(int(n) + 0.5 * (int(kinds) + 1)))
 
-    # The slices but the last leave their levels with the rows; each slice is written before the next is sent.
-    frame = base.withColumn("uni", F.lit(None).cast("binary")).withColumn("bi", F.lit(None).cast("binary"))
-    for first, last in slices[:-1]:
-        frame = written(frame.mapInArrow(_levels_of(_send(spark, parts, segments, first, last)), frame.schema), "levels")
-    held = _send(spark, parts, segments, *slices[-1])
-
-    def finish(batches):
+    def finish(ids: pa.Array, words: np.ndarray, row: np.ndarray, uni: np.ndarray, bi: np.ndarray) -> pa.RecordBatch:
         keys, values = common.value
-        bloom = held.value
-        for batch in steps(batches, "text", STEP):
-            words, row, pairs = _grams_of(batch)
-            uni, bi = _levels(batch, bloom, words, pairs)
-            before = np.empty_like(uni)
-            before[1:] = uni[:-1]
-            # A text's first token follows the start, which is as frequent as the end.
-            before[row[:-1]] = uni[row[1:] - 1]
-            value = sums(log10_prob(uni, bi, before, n, kinds, mu), row)
-            one, back = np.unique(words, return_inverse=True)
-            at = np.searchsorted(keys, one)
-            at[at == len(keys)] = 0
-            seen = keys[at] == one if len(keys) else np.zeros(len(one), bool)
-            c = np.where(seen, values[at], 0) if len(keys) else np.zeros(len(one), np.int64)
-            known = sums(seen[back].astype(np.int64), row)
-            part = sums(np.where(seen, np.log10(c + 0.5), 0.0)[back], row)
-            # Words that aren't hot: for each text and word, how often.
-            rare = np.flatnonzero(~seen[back])
-            owner, word = np.searchsorted(row, rare, "right") - 1, words[rare]
-            order = np.lexsort((word, owner))
-            owner, word = owner[order], word[order]
-            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])])) if len(rare) else rare
-            times = np.diff(np.append(first, len(rare)))
-            places = pa.array(np.searchsorted(owner[first], np.arange(len(row))), pa.int32())
-            lists = [pa.ListArray.from_arrays(places, x) for x in (as_long(word[first]), pa.array(times))]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(row)), pa.array(known), pa.array(part), pa.array(value), *lists], ["doc_id", "n_tokens", "known", "part", "score", "rare", "times"])
-
-    scored = frame.mapInArrow(finish, "doc_id bigint, n_tokens bigint, known bigint, part double, score double, rare array<bigint>, times array<bigint>")
+        before = np.empty_like(uni)
+        before[1:] = uni[:-1]
+        # A text's first token follows the start, which is as frequent as the end.
+        before[row[:-1]] = uni[row[1:] - 1]
+        value = sums(log10_prob(uni, bi, before, n, kinds, mu), row)
+        one, back = np.unique(words, return_inverse=True)
+        at = np.searchsorted(keys, one)
+        at[at == len(keys)] = 0
+        seen = keys[at] == one if len(keys) else np.zeros(len(one), bool)
+        c = np.where(seen, values[at], 0) if len(keys) else np.zeros(len(one), np.int64)
+        known = sums(seen[back].astype(np.int64), row)
+        part = sums(np.where(seen, np.log10(c + 0.5), 0.0)[back], row)
+        # Words that aren't hot: for each text and word, how often.
+        rare = np.flatnonzero(~seen[back])
+        owner, word = np.searchsorted(row, rare, "right") - 1, words[rare]
+        order = np.lexsort((word, owner))
+        owner, word = owner[order], word[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])])) if len(rare) else rare
+        times = np.diff(np.append(first, len(rare)))
+        places = pa.array(np.searchsorted(owner[first], np.arange(len(row))), pa.int32())
+        lists = [pa.ListArray.from_arrays(places, x) for x in (as_long(word[first]), pa.array(times))]
+        return pa.record_batch([ids, pa.array(np.diff(row)), pa.array(known), pa.array(part), pa.array(value), *lists], ["doc_id", "n_tokens", "known", "part", "score", "rare", "times"])
+
+    fields = "doc_id bigint, n_tokens bigint, known bigint, part double, score double, rare array<bigint>, times array<bigint>"
+    whole = parts.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+    if whole <= slice_bytes:
+        held = _send(spark, parts, segments)
+
+        def run(batches):
+            for batch in steps(batches, "text", STEP):
+                words, row = tokens(batch.column("text"))
+                one, back = np.unique(words, return_inverse=True)
+                yield finish(batch.column("doc_id"), words, row, held.value.level(unigram(one))[back], held.value.level(bigram(words, row)))
+
+        scored = base.mapInArrow(run, fields)
+    else:
+        scored = _probed(base, parts, segments, max(1, min(HOME_BYTES, slice_bytes) // size), finish, fields)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     probes = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("tf"))
     met = probes.join(counts, "word").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))).alias("gain"))
@@ -318,32 +329,65 @@ def _threshold(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def _send(spark, parts: DataFrame, segments: int, first: int, last: int):
-    rows = parts.where(F.col("segment").between(first, last - 1)).select("segment", "bits").toArrow()
-    return spark.sparkContext.broadcast(Filter(segments, first, dict(zip(rows.column("segment").to_pylist(), rows.column("bits").to_pylist())), last))
+def _send(spark, parts: DataFrame, segments: int):
+    rows = parts.select("segment", "bits").toArrow()
+    return spark.sparkContext.broadcast(Filter(segments, 0, dict(zip(rows.column("segment").to_pylist(), rows.column("bits").to_pylist())), segments))
 
 
-def _levels(batch, bloom: Filter, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Levels of the tokens and of the bigrams of a step, those found in earlier slices included."""
-    one, back = np.unique(words, return_inverse=True)
-    uni, bi = bloom.level(unigram(one))[back], bloom.level(pairs)
-    for name, got in (("uni", uni), ("bi", bi)):
-        if batch.column(name).null_count == 0:
-            np.maximum(got, np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8), out=got)
-    return uni, bi
+def _kinds(words: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of a step, ascending, and so by segment."""
+    return np.unique(np.concatenate([unigram(np.unique(words)), bigram(words, row)]))
 
 
-def _grams_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, row = tokens(batch.column("text"))
-    return words, row, bigram(words, row)
+def _probed(base: DataFrame, parts: DataFrame, segments: int, per: int, finish, fields: str) -> DataFrame:
+    """The rows that ``finish`` makes of each step of texts, whose n-grams are probed in the slices of ``per`` segments that hold them.
 
+    A step's tokens are written as hashes once. A slice that more than PROBED n-grams come to, as those of hot
+    ones do, is copied to as many tasks as it takes.
+    """
 
-def _levels_of(held):
-    def run(batches):
+    def cut(batches):
         for batch in steps(batches, "text", STEP):
-            words, row, pairs = _grams_of(batch)
-            uni, bi = _levels(batch, held.value, words, pairs)
-            cut = [pa.array([x[a:b].tobytes() for a, b in zip(row[:-1], row[1:])], pa.binary()) for x in (uni, bi)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), batch.column("train"), *cut], ["doc_id", "text", "train", "uni", "bi"])
-
-    return run
+            words, row = tokens(batch.column("text"))
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
+            yield pa.record_batch([batch.column("row").slice(0, 1), ids, *[pa.array([x.tobytes()], pa.binary()) for x in (row.astype(np.int64), words)]], ["step", "ids", "row", "words"])
+
+    numbered = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    chunks = written(numbered.mapInArrow(cut, "step bigint, ids array<bigint>, row binary, words binary"), "steps")
+
+    def opened(words, row) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(words.as_py(), np.uint64), np.frombuffer(row.as_py(), np.int64)
+
+    def ask(batches):
+        for batch in batches:
+            for step, row, words in zip(batch.column("step"), batch.column("row"), batch.column("words")):
+                keys = _kinds(*opened(words, row))
+                home = ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64) // per
+                runs = _runs(home)
+                packed = pa.array([keys[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:])], pa.binary())
+                yield pa.record_batch([pa.array([step.as_py()] * len(packed)), pa.array(home[runs[:-1]]), packed], ["step", "home", "keys"])
+
+    asked = written(chunks.select("step", "row", "words").mapInArrow(ask, "step bigint, home bigint, keys binary"), "asked")
+    copies = asked.groupBy("home").agg(F.ceil(F.sum(F.length("keys")) / (8 * PROBED)).alias("copies"))
+    left = asked.join(copies, "home").select("step", "home", "keys", F.pmod(F.xxhash64("step"), "copies").alias("copy"))
+    homes = parts.select(F.floor(F.col("segment") / per).alias("home"), "segment", "bits").join(copies, "home")
+    right = homes.select("home", "segment", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+
+    def probe(keys: pa.Table, bits: pa.Table) -> pa.Table:
+        if not keys.num_rows:
+            return pa.table({"step": pa.array([], pa.int64()), "home": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
+        home = keys.column("home")[0].as_py()
+        bloom = Filter(segments, home * per, dict(zip(bits.column("segment").to_pylist(), bits.column("bits").to_pylist())), min(segments, (home + 1) * per))
+        levels = [bloom.level(np.frombuffer(k.as_py(), np.uint64)).tobytes() for k in keys.column("keys")]
+        return pa.table({"step": keys.column("step"), "home": keys.column("home"), "levels": pa.array(levels, pa.binary())})
+
+    told = left.groupBy("home", "copy").cogroup(right.groupBy("home", "copy")).applyInArrow(probe, "step bigint, home bigint, levels binary")
+
+    def conclude(step: pa.Table, answers: pa.Table) -> pa.Table:
+        words, row = opened(step.column("words")[0], step.column("row")[0])
+        keys = _kinds(words, row)
+        level = np.frombuffer(b"".join(answers.sort_by("home").column("levels").to_pylist()), np.uint8)
+        uni, bi = (level[np.searchsorted(keys, x)] for x in (unigram(words), bigram(words, row)))
+        return pa.Table.from_batches([finish(step.column("ids").combine_chunks().flatten(), words, row, uni, bi)])
+
+    return chunks.groupBy("step").cogroup(written(told, "levels").groupBy("step")).applyInArrow(conclude, fields)
