@@ -26,7 +26,9 @@ def brute(rows):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
 
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    # Rows of a null id link like any other, by numbers above all ids.
+    sets = [(1 << 40 if i is None else i, shingles(t)) for i, t in rows]
+    sets = [(i + (at if i == 1 << 40 else 0), x) for at, (i, x) in enumerate(sets)]
     where, names, known = collections.defaultdict(list), {}, []
     for i, s in sets:
         if s in names:
@@ -43,7 +45,7 @@ def brute(rows):
         known.append((i, s))
         for g in s:
             where[g].append(n)
-    return sorted((i, len(s), find(i)) for i, s in sets)
+    return sorted((i, len(s), find(i)) for i, s in sets if i < 1 << 40)
 
 
 def rows_of(df):
@@ -117,6 +119,23 @@ def test_odd_documents(odd_docs, no_docs, texts):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 7, 9, 10, 11]
 
 
+def test_representatives_judge_texts_not_ids(spark):
+    words = [f"w{i}" for i in range(40)]
+    text, near, other = " ".join(words), " ".join([*words, "end"]), " ".join(f"o{i}" for i in range(30))
+    rows = [(1, text, "a"), (7, near, "b"), (7, other, "c"), (None, near, "d"), (None, f"{other} more words", "e"), (8, "", "f"), (8, None, "g"), (9, "x y", "h"), (9, "x y", "h"), (None, "lone null id", "i"), (None, "lone null id", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string")
+    for part in (docs, docs.repartition(5)):
+        assert sorted(r.t for r in jaccard.representatives(part).collect()) == ["a", "c", "f", "g", "h", "i"]
+
+
+def test_links_through_a_null_id(spark):
+    w = [f"w{i}" for i in range(104)]
+    texts = [(1, w[:80]), (None, w[:100]), (2, [*w[20:100], "x"])]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got) == brute(rows) == [(1, 76, 1), (2, 77, 1)]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(None, 3)]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import written
+from wharfline.llm.common import fresh, written
 from wharfline.llm.components import components
 from wharfline.llm.text import _ROLE, as_long, mix, shingle_sets, steps, sums
 
@@ -72,15 +72,15 @@ def set_key(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def document_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, and the set's keys k1 and k2."""
+    """doc_id, t (a hash of the text), n_shingles, and the set's keys k1 and k2."""
 
     def run(batches):
         for batch in steps(batches, "text", STEP):
             values, row = shingle_sets(batch.column("text"), n)
             k1, k2 = set_key(values, row)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(row)), as_long(k1), as_long(k2)], ["doc_id", "n_shingles", "k1", "k2"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("t"), pa.array(np.diff(row)), as_long(k1), as_long(k2)], ["doc_id", "t", "n_shingles", "k1", "k2"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t")).mapInArrow(run, "doc_id bigint, t bigint, n_shingles bigint, k1 bigint, k2 bigint")
 
 
 def _distinct(values: np.ndarray, row: np.ndarray, seen: set) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,20 +166,15 @@ def prefix_shares(docs: DataFrame, n: int, text: str, common, buckets: int, task
             if not places:
                 continue
             place, who = np.concatenate(places), np.concatenate(owner)
-            # A common shingle is shared for sure: its sets need no meeting, so no bucket gets a hot one.
+            # A common shingle is shared for sure: it goes to a bucket of its set's own, so no bucket gets a hot one.
             hot = place >= np.uint64(1 << 63)
-            if hot.any():
-                salt = -1 - (keys[who[hot]] % np.uint64(997)).astype(np.int64)
-                for s in np.unique(salt):
-                    mine = np.flatnonzero(hot)[salt == s]
-                    yield _share_rows(s, place[mine], keys, who[mine])
-            place, who = place[~hot], who[~hot]
-            bucket = ((place >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            own = -1 - (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            bucket = np.where(hot, own[who], ((place >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
             by = np.argsort(bucket, kind="stable")
-            place, who, cut = place[by], who[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for k in range(buckets):
-                if cut[k + 1] > cut[k]:
-                    yield _share_rows(k, place[cut[k] : cut[k + 1]], keys, who[cut[k] : cut[k + 1]])
+            bucket, place, who = bucket[by], place[by], who[by]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else [0]
+            for a, b in zip(cut[:-1], cut[1:]):
+                yield _share_rows(bucket[a], place[a:b], keys, who[a:b])
 
     def meet(group: pa.Table) -> pa.Table:
         place, who = _opened(group)
@@ -332,13 +327,13 @@ def tree_links(shingles: list[np.ndarray], counts: list[np.ndarray]) -> list[tup
     return links
 
 
-def counted_links(shingles: list[np.ndarray], counts: list[np.ndarray], rows: np.ndarray, named: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Over all links of the given sets, how many rows each set is linked to, and links that connect all that links of named sets connect.
+def counted_links(shingles: list[np.ndarray], counts: list[np.ndarray], rows: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Over all links of the given sets, how many rows each set is linked to, and links that connect all that any link connects.
 
     ``rows`` says how many rows have each set. With ``side`` only links between sets of different sides are taken.
     """
     order, sets, tree, present = _grown(shingles, counts)
-    rows, named = rows[order], named[order]
+    rows = rows[order]
     side = np.zeros(len(sets), np.int64) if side is None else side[order] + 1
     partners = {s: np.concatenate([[0], np.cumsum(side != s if s else side == s)]) for s in np.unique(side).tolist()}
     group = np.arange(len(sets))
@@ -351,18 +346,17 @@ def counted_links(shingles: list[np.ndarray], counts: list[np.ndarray], rows: np
         present[x] = 0
         total[i] += rows[found].sum()
         total[found] += rows[i]
-        if named[i]:
-            for j in found[named[found]].tolist():
-                if group[j] != group[i]:
-                    group[group == group[j]] = group[i]
-                    links.append((order[i], order[j]))
+        for j in found.tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                links.append((order[i], order[j]))
     out = np.empty_like(total)
     out[order] = total
     return out, links
 
 
 def join_counted(sets: DataFrame) -> DataFrame:
-    """a, b and n: connecting links between sets (k1) of each key, and rows without b that say how many rows a is linked to; sets: key, block, k1, rows, named, shingles and counts (binary)."""
+    """a, b and n: connecting links between sets (k1) of each key, and rows without b that say how many rows a is linked to; sets: key, block, k1, rows, shingles and counts (binary)."""
 
     def join(group: pa.Table) -> pa.Table:
         at = np.unique(group.column("k1").to_numpy(), return_index=True)[1]
@@ -372,7 +366,7 @@ def join_counted(sets: DataFrame) -> DataFrame:
         shingles, counts = ([np.frombuffer(x, kind) for x in group.column(c).to_pylist()] for c, kind in (("shingles", np.uint64), ("counts", np.uint16)))
         # Sets of one block meet each other under the key of that block alone.
         side = group.column("block").to_numpy().astype(np.int64) if low != high else None
-        total, links = counted_links(shingles, counts, group.column("rows").to_numpy(), group.column("named").to_numpy(), side)
+        total, links = counted_links(shingles, counts, group.column("rows").to_numpy(), side)
         some = np.flatnonzero(total).tolist()
         a = [ids[i] for i in some] + [ids[i] for i, _ in links]
         b = [None] * len(some) + [ids[j] for _, j in links]
@@ -402,7 +396,7 @@ def counted_sets(members: DataFrame, common, buckets: int, tasks: int) -> DataFr
 
     Sets and shingles are dealt to as many buckets each, by hash. Tasks send each bucket of shingles its part
     as packed arrays, and that sends each bucket of sets one packed row with the counts, so rows number the
-    square of the buckets at most, whatever the sets. A common shingle's count is its rank,
+    square of the buckets or the shingles, whichever is less. A common shingle's count is its rank,
     known to all: it goes to a bucket of its set's own, so no bucket of shingles holds a hot one.
     """
 
@@ -499,25 +493,48 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     Words are lower-cased (A-Z); a text of fewer than n words is one shingle.
     Null and empty texts and texts without words have 0 shingles and their own id as
     component. Rows that repeat an id or a text keep a row each; rows of a null id
-    get the smallest id of their component, null if it has none, and link nothing
-    but their copies. Long texts are
-    taken whole. An empty table gives an empty table. Shingles and sets are compared by 64-bit hashes.
+    link like any other and get the smallest id of their component, null if it has none. Long texts are
+    taken whole. An empty table gives an empty table; other columns are ignored. Shingles and sets are compared by 64-bit hashes.
     """
-    return _joined(docs, doc_id, text, n, counting=False)
+    return _joined(docs, doc_id, text, n, counting=False).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
 def jaccard_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """The rows of ``jaccard_components`` with n_links, the number of other rows whose sets reach the threshold with the row's own.
 
     All links count: those between different texts, once for each row that has the
-    other text, and those to rows of the same set. Rows of a null id count and are
-    counted like any other. Rows of 0 shingles have no links. Finding all links of a group of near
+    other text, and those to rows of the same set. Rows of 0 shingles have no links. Finding all links of a group of near
     copies takes time in proportion to their number; what tasks pass on is a row a set and pair of blocks.
     """
-    return _joined(docs, doc_id, text, n, counting=True)
+    return _joined(docs, doc_id, text, n, counting=True).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "n_links")
+
+
+#: Sets of large groups are dealt by classes of size; linked ones, whose sizes differ by a factor of 4/3 at most, lie in one class or two neighbouring ones.
+CLASS = float(np.log(DEN / NUM * 1.005))
+
+
+def routes(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """k1, block and key for each task that a set goes to; groups: node and root; sizes: k1 and n.
+
+    A group within BLOCK_SETS and BLOCK_SHINGLES is one block. A larger one is dealt into blocks by class of size and hash; each block meets
+    itself and the blocks of its own and the neighbouring classes, a pair of blocks under one key.
+    """
+    sized = groups.join(sizes.select(F.col("k1").alias("node"), "n"), "node").withColumn("class", F.floor(F.log("n") / CLASS))
+    per = sized.groupBy("root", "class").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long").alias("blocks")
+    whole = (F.sum("sets") <= BLOCK_SETS) & (F.sum("total") <= BLOCK_SHINGLES)
+    shape = per.groupBy("root").agg(F.collect_list(F.struct("class", blocks)).alias("classes"), whole.alias("whole"))
+    placed = sized.join(shape, "root")
+    own = F.expr("filter(classes, c -> c.class = class)[0].blocks")
+    block = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("class") * (1 << 31) + F.pmod(F.xxhash64("node"), own))
+    others = F.expr(f"flatten(transform(filter(classes, c -> abs(c.class - class) <= 1), c -> transform(sequence(0L, c.blocks - 1), b -> c.class * {1 << 31}L + b)))")
+    met = placed.select(F.col("node").alias("k1"), "root", block.alias("block"), F.explode(F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(others)).alias("other"))
+    key = F.concat_ws(":", F.col("root").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
+    return met.select("k1", "block", key.alias("key"))
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, n: int, counting: bool) -> DataFrame:
+    """doc_id, t (a hash of the text), n_shingles, root (of its component of sets, null for 0 shingles), component and, counting, n_links of every row."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sets = written(document_sets(base, n, "doc_id", "text"), "sets")
@@ -533,7 +550,6 @@ def _joined(docs: DataFrame, doc_id: str, text: str, n: int, counting: bool) ->
     enough = F.floor(F.ceil(size * NUM / DEN) * EXTRA) + 1
     counted = shares.groupBy("set").agg(F.count(F.lit(1)).alias("c"))
     live = counted.join(vertices.groupBy(F.col("k1").alias("set")).agg(F.min("n").alias("n"), F.min("vertex").alias("vertex"), F.sum("rows").alias("rows")), "set").where(F.col("c") >= enough)
-    live = live if counting else live.where("vertex is not null")
     live = written(live.select(F.col("set").alias("k1"), F.col("vertex").alias("doc_id"), "n", "rows"), "live")
 
     def whole(batches):
@@ -543,8 +559,8 @@ def _joined(docs: DataFrame, doc_id: str, text: str, n: int, counting: bool) ->
             body = [values[a:b].tobytes() for a, b in zip(row[:-1].tolist(), row[1:].tolist())]
             yield pa.record_batch([as_long(k1), pa.array(body, pa.binary())], ["k1", "shingles"])
 
-    asked = _only(base, live.select("doc_id").where("doc_id is not null").distinct()).select("text")
-    asked = asked.unionByName(base.where("doc_id is null").select("text")) if counting else asked
+    # A set that only rows of a null id have is found among those.
+    asked = _only(base, live.select("doc_id").where("doc_id is not null").distinct()).select("text").unionByName(base.where("doc_id is null").select("text"))
     found = asked.mapInArrow(whole, "k1 bigint, shingles binary")
     members = written(found.join(live.select("k1"), "k1", "left_semi").dropDuplicates(["k1"]), "members")
     for _ in range(2):
@@ -552,29 +568,24 @@ def _joined(docs: DataFrame, doc_id: str, text: str, n: int, counting: bool) ->
         parts = max(1, -(-int(left) // BUCKET))
         members = written(counted_sets(members, common, parts, max(width, min(parts, 16 * width))), "members")
 
-    # Groups of sets whose plain prefixes meet; each set goes to its group, or to each pair of its group's blocks.
+    # Groups of sets whose plain prefixes meet; each set goes to its group, or to pairs of its group's blocks.
     kept = written(plain_prefixes(members), "prefixes")
     star = kept.groupBy("shingle").agg(F.min("set").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     pairs = kept.join(star, "shingle").select("set", "low").where("set <> low").distinct()
-    groups = written(components(pairs, "set", "low"), "groups")
-    sized = groups.join(live.select(F.col("k1").alias("node"), "n"), "node")
-    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    routed = placed.select(F.col("node").alias("k1"), "root", "block", other.alias("other")).select("k1", "block", F.concat_ws(":", F.col("root").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("key"))
+    routed = routes(written(components(pairs, "set", "low"), "groups"), live)
     if counting:
-        weights = live.select("k1", "rows", F.col("doc_id").isNotNull().alias("named"))
-        met = written(join_counted(members.join(routed, "k1").join(weights, "k1")), "links")
+        met = written(join_counted(members.join(routed, "k1").join(live.select("k1", "rows"), "k1")), "links")
         links = met.where("b is not null").select("a", "b")
         others = met.where("b is null").groupBy(F.col("a").alias("k1")).agg(F.sum("n").alias("n_links"))
     else:
         links = join_groups(members.join(routed.drop("block"), "k1"))
-    named = vertices.groupBy("k1").agg(F.min("vertex").alias("vertex"))
-    ends = links.join(named.select(F.col("k1").alias("a"), F.col("vertex").alias("x")), "a").join(named.select(F.col("k1").alias("b"), F.col("vertex").alias("y")), "b").select("x", "y")
-    roots = written(components(ends, "x", "y"), "roots")
-    labelled = vertices.join(roots, vertices["vertex"] == roots["node"], "left").select("k1", "k2", "rows", F.coalesce("root", "vertex").alias("component"))
-    columns = ["doc_id", "n_shingles", F.col("component").alias("component_id")]
-    none = sets.where("n_shingles = 0").withColumn("component", F.col("doc_id"))
+    roots = written(components(links, "a", "b"), "roots")
+    named = vertices.groupBy(F.col("k1").alias("node")).agg(F.min("vertex").alias("vertex"))
+    lowest = roots.join(named, "node").groupBy("root").agg(F.min("vertex").alias("component"))
+    told = roots.join(lowest, "root").withColumnRenamed("node", "k1")
+    labelled = vertices.join(told, "k1", "left").select("k1", "k2", "rows", F.coalesce("root", "k1").alias("root"), F.coalesce("component", "vertex").alias("component"))
+    none = sets.where("n_shingles = 0").withColumns({"root": F.lit(None).cast("long"), "component": F.col("doc_id")})
+    columns = ["doc_id", "t", "n_shingles", "root", "component"]
     if counting:
         labelled = labelled.join(others, "k1", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("rows") - 1)
         columns.append("n_links")
@@ -583,12 +594,27 @@ def _joined(docs: DataFrame, doc_id: str, text: str, n: int, counting: bool) ->
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
-    """The rows of docs without near copies: of each component the row of the smallest id stays, one of those that repeat it; rows of a null id stay all."""
-    found = jaccard_components(docs, doc_id=doc_id, text=text, n=n)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    known = docs.where(F.col(doc_id).isNotNull())
-    kept = known.join(gone, known[doc_id] == gone["_gone"], "left_anti").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    """The rows of docs without near copies.
+
+    Of each component one row stays: that of the smallest id, null last, and the smallest hash of its text,
+    one of those equal in both. Rows of one id and different texts are judged each by its
+    text. Rows of 0 shingles link with nothing and stay all. Other columns stay, whatever their names.
+    """
+    found = written(_joined(docs, doc_id, text, n, counting=False).where("root is not null").select("doc_id", "t", "root"), "classes")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t")).alias("first"))
+    judged = found.join(first, "root").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("rows"), F.first(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))).alias("stays"))
+    some = written(judged.where("not stays or rows > 1"), "judged")
+    i, t = fresh("id"), fresh("text")
+
+    def named(part: DataFrame) -> DataFrame:
+        return part.select(F.col("doc_id").alias(i), F.col("t").alias(t))
+
+    def same(right: DataFrame):
+        return F.col(doc_id).eqNullSafe(right[i]) & (F.xxhash64(F.col(text)) == right[t])
+
+    all_, twice = named(some), named(some.where("stays"))
+    repeated = docs.join(twice, same(twice)).dropDuplicates([i, t]).drop(i, t)
+    return docs.join(all_, same(all_), "left_anti").unionByName(repeated)
 
 
 #: Bits of the filter that keeps rows without a chance out of a join's shuffle.
