@@ -296,10 +296,13 @@ def search_blocks(data: DataFrame, queries: DataFrame, *, vec_id: str, embedding
     """query_id, vec_id and score of the candidates of all searches, every pair of blocks, and those pairs that were searched."""
     spark = data.sparkSession
     own, asked = (df.select(F.col(vec_id).cast("bigint").alias("id"), integral(F.col(embedding), scale).alias("v")).where("id is not null and v is not null") for df in (data, queries))
-    blocks = max(1, -(-data.where(F.col(vec_id).isNotNull()).count() // block_rows))
-    shared = spark.sparkContext.broadcast(pivots(own, blocks))
-    # Each tree is built once.
-    index, probes = (written(trees(dealt(df, shared, block_rows, f"{kind}-rows"), leaf), kind) for df, kind, leaf in ((own, "trees", LEAF), (asked, "probes", GROUP)))
+    # Blocks of queries are smaller, as narrow ones prune more, but few: each is sent along with all data blocks that it can't rule out.
+    built = []
+    for kind, df, source, rows, leaf in (("trees", own, data, block_rows, LEAF), ("probes", asked, queries, max(1, block_rows // 8), GROUP)):
+        blocks = max(1, -(-source.where(F.col(vec_id).isNotNull()).count() // rows))
+        shared = spark.sparkContext.broadcast(pivots(df, blocks))
+        built.append(written(trees(dealt(df, shared, rows, f"{kind}-rows"), leaf), kind))
+    index, probes = built
     pairs = written(block_pairs(index, probes), "pairs")
     nearest = Window.partitionBy("dim", "probe").orderBy(F.desc("near"), "block")
     first = written(pairs.withColumn("place", F.row_number().over(nearest)).where("place = 1").drop("place"), "first")
