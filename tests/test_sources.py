@@ -54,6 +54,12 @@ def test_greedy_batches_are_tight(spark):
             assert (r.b >= 500 and r.b - r["last"] < 500) if crossing else r.b <= 500
 
 
+def test_greedy_batches_keep_each_row(spark):
+    df = spark.createDataFrame([(0, 1, 300, 9), (0, 1, 300, 9), (0, None, None, 9), (None, 2, 5, 9)], "s int, id int, b long, batch int")
+    got = extract.greedy_groups(df, ["s"], ["id"], "b", 250).collect()
+    assert sorted((str(r.s), str(r.id), r.batch) for r in got) == [("0", "1", 0), ("0", "1", 1), ("0", "None", 2), ("None", "2", 0)]
+
+
 def test_key_pages_cover_the_table(spark):
     df = spark.createDataFrame([(i % 5, i) for i in range(50)], "a int, b int")
     seen, after = [], None

@@ -20,7 +20,7 @@ def glob_regex(glob: str) -> str:
     """An anchored regular expression for a glob: * and ? stay within a segment, ** spans segments; what a match holds is matched too."""
     parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
     body = re.sub(r"\*\*|\*|\?|[^*?]+", lambda m: parts.get(m[0]) or re.escape(m[0]), glob.strip("/"))
-    return f"^{body}(?:/.*)?$"
+    return rf"(?s)^{body}(?:/.*)?\z"
 
 
 def excluded(path: Column, globs: list[str]) -> Column:

@@ -100,27 +100,25 @@ def greedy_groups(df: DataFrame, section: list[str], order: list[str], size: str
     crosses it included; without, a row that would exceed the target begins the next. A batch has ``rows`` rows at most.
 
     A sum that starts anew at data-dependent places is no window function, so each
-    section is folded in one task; what the fold reads is the order and the sizes only, and
-    sections bound it: give a table's key ranges, not the table.
+    section is folded in one task, which holds it: give a table's key ranges, not the
+    table. Every row comes back once; null keys form sections and come last in order, rows of
+    equal keys follow each other in no given order, null sizes count as 0. A column named like ``out`` is replaced.
     """
-    keys = [*section, *order]
-    light = df.select(*keys, F.col(size).cast("long").alias("_size"))
-    names = light.columns
+    kept = df.drop(out)
 
     def fold(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in order])
         number, held, count, found = 0, 0, 0, []
-        for n in group.column("_size").to_pylist():
+        for n in group.column(size).to_pylist():
+            n = n or 0
             if count and (count >= rows or held >= target if crossing else count >= rows or held + n > target):
                 number, held, count = number + 1, 0, 0
             found.append(number)
             held, count = held + n, count + 1
         return group.append_column(out, pa.array(found, pa.int64()))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema.fields)
-    folded = light.groupBy(*section).applyInArrow(fold, f"{kinds}, {out} bigint")
-    assert names[-1] == "_size"
-    return df.join(folded.drop("_size"), keys)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.groupBy(*section).applyInArrow(fold, f"{kinds}, `{out}` bigint")
 
 
 def batch_summary(batched: DataFrame, section: list[str], order: str, size: str, batch: str = "batch") -> DataFrame:

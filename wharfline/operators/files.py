@@ -41,7 +41,7 @@ def clashes(files: DataFrame, path: str, *, fold: bool = True) -> DataFrame:
     key's rows are reduced in their tasks, so a directory of a third of all files is no hot group.
     """
     text = path_key(F.col(path)) if fold else F.col(path)
-    rows = files.select(text.alias("k"), F.monotonically_increasing_id().alias("id"))
+    rows = files.select(text.alias("k"))
     depth = F.size(F.split("k", "/"))
     above = F.when(depth > 1, F.transform(F.sequence(F.lit(1), depth - 1), lambda n: F.array_join(F.slice(F.split("k", "/"), F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
     marks = rows.select("k", F.lit(1).alias("f"), F.lit(0).alias("d")).unionByName(rows.select(F.explode(above).alias("k"), F.lit(0).alias("f"), F.lit(1).alias("d")))

@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that spark.checkpoint.dir names; where that is unset, a local session gets one of its machine, any other raises ValueError."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wharfline-"))
+    return df.checkpoint()
+
+
 def kept_tables(tables: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """name and by: tables that must stay, since a table outside the set, or one that stays, refers to them."""
+    """name and by: tables that must stay, since a table outside the set, or one that stays, refers to them.
+
+    Each round looks only from the tables the last one found and is checkpointed (spark.checkpoint.dir), so no round repeats those before it.
+    """
     names = tables.select("name").distinct()
     outside = edges.join(names.select(F.col("name").alias("child")), "child", "left_anti")
-    kept = outside.select(F.col("parent").alias("name"), F.col("child").alias("by")).join(names, "name").groupBy("name").agg(F.min("by").alias("by"))
-    count = kept.count()
+    new = settled(outside.select(F.col("parent").alias("name"), F.col("child").alias("by")).join(names, "name").groupBy("name").agg(F.min("by").alias("by")))
+    kept = new
     for _ in range(rounds):
-        more = edges.join(kept.select(F.col("name").alias("child")), "child").select(F.col("parent").alias("name"), F.col("child").alias("by")).join(names, "name").join(kept.select("name"), "name", "left_anti")
-        kept = kept.unionByName(more.groupBy("name").agg(F.min("by").alias("by")))
-        now = kept.count()
-        if now == count:
+        if new.isEmpty():
             return kept
-        count = now
+        more = edges.join(new.select(F.col("name").alias("child")), "child").select(F.col("parent").alias("name"), F.col("child").alias("by")).join(names, "name").join(kept.select("name"), "name", "left_anti")
+        new = settled(more.groupBy("name").agg(F.min("by").alias("by")))
+        kept = kept.unionByName(new)
     raise RuntimeError("kept tables not settled")
 
 

@@ -44,13 +44,21 @@ def latest(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
 
 
 def purge(df: DataFrame, row_id: str, status: str, created: str, now: object, ages: dict[str, int], keep: int) -> DataFrame:
-    """id and reason of rows to remove: those whose status is past its age in seconds, then the oldest beyond ``keep`` of such as ended."""
+    """id and reason of rows to remove: those whose status is past its age in seconds, then the oldest beyond ``keep`` of such as ended.
+
+    Rows are counted by the hour; the counts, one row an hour, say which hours go whole, and
+    only the hour in which the cut lies is put in order. Rows without a time come first.
+    """
     age = F.create_map([x for k, v in ages.items() for x in (F.lit(k), F.lit(v))])[F.col(status)]
-    old = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col(created)) > age
-    ended = df.where(F.col(status).isin(*ages)).select(row_id, created, old.alias("old"))
+    old = F.coalesce(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col(created)) > age, F.lit(False))
+    ended = df.where(F.col(status).isin(*ages)).select(F.col(row_id), F.col(created).alias("at"), F.date_trunc("hour", F.col(created)).alias("hour"), old.alias("old"))
     rest = ended.where("not old")
-    over = max(0, rest.count() - keep)
-    oldest = rest.orderBy(created, row_id).limit(over)
+    hours = rest.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("hour").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = hours.withColumn("due", F.sum("n").over(Window.partitionBy()) - keep - before).where("due > 0").select(F.col("hour").alias("cut"), "n", "due")
+    met = rest.join(cut, F.col("hour").eqNullSafe(F.col("cut"))).select(row_id, "at", "hour", "n", "due")
+    place = F.row_number().over(Window.partitionBy("hour").orderBy(F.col("at").asc_nulls_first(), row_id))
+    oldest = met.where("due >= n").select(row_id).unionByName(met.where("due < n").withColumn("place", place).where("place <= due").select(row_id))
     return ended.where("old").select(row_id, F.lit("age").alias("reason")).unionByName(oldest.select(row_id, F.lit("cap").alias("reason")))
 
 
@@ -85,18 +93,25 @@ CONFLICTS = (
 
 
 def conflicts(wanted: DataFrame, active: DataFrame, yielding: tuple[str, ...] = ("estimate",)) -> DataFrame:
-    """wanted (id, type, backup) with reason, the first rule that an active job (job_id, type, backup) meets, by job; null if it may start."""
-    w, a = wanted.alias("w"), active.alias("a")
-    reason = None
+    """wanted (id, type, backup) with reason, the first rule that an active job (job_id, type, backup) meets, by job; null if it may start.
+
+    Of active jobs of one type only the first matters (of verifications, the first of each backup), so they meet
+    the wanted ones by equality of type and backup, whatever their number.
+    """
+    types = sorted({old for _, old, _ in CONFLICTS})
+    nothing = F.lit(None).cast("string")
+    first = active.groupBy("type", F.when(F.col("type") == "verify", F.col("backup")).alias("backup")).agg(F.min("job_id").alias("job_id")).alias("a")
+    first = first.where(F.col("type").isin(*types) | (F.col("type") == "verify") & F.col("backup").isNotNull())
+    asked = F.array(*[F.struct(F.lit(t).alias("type"), nothing.alias("backup")) for t in types], F.struct(F.lit("verify").alias("type"), F.col("backup").alias("backup")))
+    w = wanted.select("id", "type", "backup", F.explode(asked).alias("asked")).alias("w")
+    reason = F.when(F.lit(False), nothing)
     for new, old, why in CONFLICTS:
         hit = (F.col("a.type") == old) & (F.lit(True) if new == "*" else F.col("w.type") == new)
         if new != "estimate":
             hit = hit & ~F.col("a.type").isin(*yielding)
-        reason = F.when(hit, why) if reason is None else reason.when(hit, why)
-    same = (F.col("a.type") == "verify") & (F.col("w.backup") == F.col("a.backup"))
-    rules = reason.when(same, "verifying")
-    # Active jobs are few by rule (one export, one restore, one verification a backup), so each meets the wanted ones by its type and backup.
-    met = w.join(a, (F.col("a.type").isin("export", "restore", "estimate")) | (F.col("w.backup") == F.col("a.backup")), "left")
+        reason = reason.when(hit, why)
+    rules = reason.when(F.col("a.type") == "verify", "verifying")
+    met = w.join(first, (F.col("w.asked.type") == F.col("a.type")) & F.col("w.asked.backup").eqNullSafe(F.col("a.backup")), "left")
     return met.groupBy("w.id", "w.type", "w.backup").agg(F.min_by(rules, F.when(rules.isNotNull(), F.col("a.job_id"))).alias("reason"))
 
 

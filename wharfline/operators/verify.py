@@ -47,11 +47,24 @@ def in_step(left: DataFrame, right: DataFrame, order: str, name: str) -> DataFra
     return a.join(b, "ordinal", "full_outer").where(~F.col("listed").eqNullSafe(F.col("found")))
 
 
+#: Buckets of an audit's lines; each is sorted and hashed by one task.
+AUDIT_BUCKETS = 4096
+
+
 def audit(index: DataFrame) -> DataFrame:
-    """One row: count and bytes of an index, whether every line has a hash, and the hash of its lines in order of path."""
-    line = F.to_json(F.struct("p", "b", "h"))
-    lines = index.groupBy(F.lit(1)).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("bytes"), F.bool_and(F.col("h").isNotNull()).alias("hashed"), F.bit_xor(F.xxhash64(line)).alias("digest"))
-    return lines.drop("1")
+    """One row: n and bytes of an index (p, b, h), whether every line has a hash, and digest.
+
+    The digest is the SHA-256 of the SHA-256s of the lines' buckets: lines go to
+    AUDIT_BUCKETS by the first three hexadecimal digits of their path's MD5, each bucket's are joined in order of
+    path, then line. It doesn't depend on partitions, counts repeated lines, and changes with any line. An empty index has n 0 and the hash of nothing.
+    """
+    line = F.concat_ws("\t", F.coalesce("p", F.lit("")), F.coalesce(F.col("b").cast("string"), F.lit("-")), F.coalesce("h", F.lit("-")))
+    bucket = F.substring(F.md5(F.coalesce("p", F.lit(""))), 1, 3)
+    lines = index.select(bucket.alias("bucket"), F.coalesce("p", F.lit("")).alias("p"), line.alias("line"), "b", "h")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
+    per = lines.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.bool_and(F.col("h").isNotNull()).alias("hashed"), F.sha2(joined, 256).alias("hash"))
+    hashes = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "hash"))), lambda x: x["hash"])
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.coalesce(F.bool_and("hashed"), F.lit(True)).alias("hashed"), F.sha2(F.array_join(hashes, ""), 256).alias("digest"))
 
 
 def outcome(findings: DataFrame, flags: DataFrame) -> DataFrame:

@@ -207,9 +207,9 @@ def dump_round_trip(spark, sf_dir):
     return dump.parse_lines(dump.dump_lines(docs, "documents", ["doc_id"], chunks=8), docs.schema)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'a%' ORDER BY 1")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'co%' ORDER BY 1")
 def like_prefix(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(sqltext.starts_like("p_name", "a")).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(sqltext.starts_like("p_name", "co")).select("p_partkey", "p_name")
 
 
 # --- joins, aggregations, windows over job logs ------------------------------
@@ -562,17 +562,20 @@ def path_validity(spark, sf_dir):
     return _paths(spark, sf_dir).select("page_id", path.alias("q"), k.alias("k")).select("page_id", paths.problem(F.col("q")).alias("problem"), F.coalesce(paths.unstorable(F.col("q")) == "aux.txt", F.lit(False)).alias("odd"))
 
 
-@query(f"""WITH {_PATHS_SQL}, k AS (SELECT lower(p) AS k FROM f), x AS (SELECT k, 1 AS f, 0 AS d FROM k UNION ALL
+@query(f"""WITH {_PATHS_SQL}, c AS (SELECT p FROM f UNION ALL SELECT upper(p) FROM f WHERE page_id % 7 = 0 UNION ALL SELECT regexp_replace(p, '/[^/]*$', '') FROM f WHERE page_id % 11 = 0), k AS (SELECT lower(p) AS k FROM c), x AS (SELECT k, 1 AS f, 0 AS d FROM k UNION ALL
   SELECT array_to_string(list_slice(string_split(k, '/'), 1, i), '/'), 0, 1 FROM (SELECT k, unnest(range(1, len(string_split(k, '/')))) AS i FROM k))
 SELECT k AS key, CAST(sum(f) AS BIGINT) AS files, max(d) AS directories FROM x GROUP BY k HAVING sum(f) > 1 OR (sum(f) = 1 AND max(d) = 1)""")
 def path_clashes(spark, sf_dir):
-    return files.clashes(_paths(spark, sf_dir), "p")
+    p = _paths(spark, sf_dir)
+    upper, above = p.where("page_id % 7 = 0").select(F.upper("p").alias("p")), p.where("page_id % 11 = 0").select(F.regexp_replace("p", "/[^/]*$", "").alias("p"))
+    return files.clashes(p.select("p").unionByName(upper).unionByName(above), "p")
 
 
-@query("""SELECT k AS key, array_to_string(list_sort(list(DISTINCT n)), ';') AS names FROM (SELECT split_part(p_name, ' ', 1) AS n, lower(substr(p_name, 1, 1)) AS k FROM part) GROUP BY k HAVING count(DISTINCT n) > 1""")
+@query("""SELECT k AS key, array_to_string(list_sort(list(DISTINCT n)), ';') AS names FROM (SELECT n, lower(n) AS k FROM (SELECT p_name AS n FROM part UNION ALL SELECT upper(p_name) FROM part WHERE p_partkey % 3 = 0)) GROUP BY k HAVING count(DISTINCT n) > 1""")
 def name_collisions(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("n"))
-    return files.collisions(names, "n", F.lower(F.substring("n", 1, 1))).select("key", F.array_join("names", ";").alias("names"))
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("n")).unionByName(part.where("p_partkey % 3 = 0").select(F.upper("p_name").alias("n")))
+    return files.collisions(names, "n").select("key", F.array_join("names", ";").alias("names"))
 
 
 @query("""WITH s AS (SELECT source AS volume, CAST(sum(strlen(text)) AS BIGINT) AS b FROM documents GROUP BY 1), f AS (SELECT source AS volume, count(*) * 2000000 AS free FROM documents GROUP BY 1)
@@ -702,9 +705,11 @@ def mask_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", masking.masked_paths(text, {"/srv/www": "[root]"}).alias("masked"))
 
 
-@query(f"WITH {_INDEX_SQL} SELECT count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes, bool_and(h <> '') AS hashed FROM i")
+@query(f"""WITH {_INDEX_SQL}, l AS (SELECT substr(md5(p), 1, 3) AS bucket, p, concat(p, chr(9), b, chr(9), CASE WHEN h = '' THEN '-' ELSE h END) AS line, b, h FROM i),
+g AS (SELECT bucket, count(*) AS n, sum(b) AS b, bool_and(h <> '') AS hashed, sha256(string_agg(line, chr(10) ORDER BY p, line)) AS hash FROM l GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS bytes, bool_and(hashed) AS hashed, sha256(string_agg(hash, '' ORDER BY bucket)) AS digest FROM g""")
 def files_audit(spark, sf_dir):
-    return verify.audit(_index(spark, sf_dir).withColumn("h", F.when(F.col("h") != "", F.col("h")))).drop("digest")
+    return verify.audit(_index(spark, sf_dir).withColumn("h", F.when(F.col("h") != "", F.col("h"))))
 
 
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS ordinal, n_name AS listed FROM nation), b AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS ordinal, n_name AS found FROM nation WHERE n_nationkey <> 20)

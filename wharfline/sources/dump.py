@@ -50,10 +50,11 @@ def dump_lines(df: DataFrame, table: str, keys: list[str], *, chunks: int, state
                 if chunk is None:
                     chunk = c
                     lines.append(f"-- dump of {table}, chunk {chunk}")
-                if held and size + len(row) > statement_bytes:
+                n = len(row.encode()) + 1
+                if held and size + n > statement_bytes:
                     flush()
                 held.append(row)
-                size += len(row)
+                size += n
                 mark = m
             if len(lines) > 100:
                 yield out()
