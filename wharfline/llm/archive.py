@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import written
+from wharfline.llm.common import tidy, written
 from wharfline.llm.text import steps
 
 #: Fixed values of the formats: the fields of an ARC header line by version, and the WARC profile of revisits.
@@ -204,7 +204,7 @@ def to_arc(pages: DataFrame, *, version: int = 1, ip: str = "0.0.0.0") -> DataFr
             if out:
                 yield pa.record_batch([pa.array([b"".join(out)], pa.binary())], ["arc"])
 
-    return pages.select("page_id", "url", "html", "date", "refers_to").mapInArrow(build, "arc binary")
+    return pages.select("page_id", "url", "html", "date", "refers_to").mapInArrow(tidy(build), "arc binary")
 
 
 def arc_to_warc(archives: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
                 body = b"".join(warc_record(head, block) for head, block in arc_records(arc.as_py()))
                 yield pa.record_batch([pa.array([body], pa.binary())], ["warc"])
 
-    return archives.select("arc").mapInArrow(convert, "warc binary")
+    return archives.select("arc").mapInArrow(tidy(convert), "warc binary")
 
 
 #: Columns of the records that ``read_warc`` gives.
@@ -248,7 +248,7 @@ def read_warc(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                     kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] * 3 + [pa.binary()]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split(" ")[0] for f in RECORD.split(", ")])
 
-    return archives.select("warc").mapInArrow(read, RECORD)
+    return archives.select("warc").mapInArrow(tidy(read), RECORD)
 
 
 def referred(records: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import fresh
+from wharfline.llm.common import fresh, tidy
 from wharfline.llm.text import steps
 
 #: Entries of each half of a worker's memory of encoded chunks or pieces; it bounds memory and changes no result.
@@ -273,7 +273,7 @@ def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Ar
             _forget()
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(run, kinds + fields)
+    return frame.mapInArrow(tidy(run), kinds + fields)
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: bool = True) -> DataFrame:
@@ -300,7 +300,7 @@ def decode_column(docs: DataFrame, path: str, pattern: str, *, tokens: str = "to
             yield pa.record_batch([*batch.columns, pa.array([None if ids is None else b"".join([words[i] for i in ids]) for ids in batch.column(at).to_pylist()], pa.binary())], [*kept, "decoded"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema.fields)
-    return docs.select(*kept).mapInArrow(run, kinds + "decoded binary")
+    return docs.select(*kept).mapInArrow(tidy(run), kinds + "decoded binary")
 
 
 def encode_digest(docs: DataFrame, path: str, pattern: str, *, text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import written
+from wharfline.llm.common import tidy, tidy_group, written
 
 BLOCK_ROWS = 2048
 #: Pivots that blocks are dealt around, at most; they are a sample of the data, chosen by a hash of the row.
@@ -219,7 +219,7 @@ def dealt(vectors: DataFrame, shared, block_rows: int, kind: str) -> DataFrame:
                         out[rows[a : a + 1024]] = np.argmin((at**2).sum(axis=1) - 2 * (x[a : a + 1024] @ at.T), axis=1)
             yield pa.record_batch([*batch.columns, pa.array(out)], ["id", "v", "dim", "pivot"])
 
-    rows = vectors.select("id", "v", F.size("v").alias("dim")).mapInArrow(nearest, "id bigint, v array<bigint>, dim int, pivot bigint")
+    rows = vectors.select("id", "v", F.size("v").alias("dim")).mapInArrow(tidy(nearest), "id bigint, v array<bigint>, dim int, pivot bigint")
     rows = written(rows, kind)
     parts = rows.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
     block = F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("id", "v"), "parts")
@@ -239,7 +239,7 @@ def trees(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
         columns = [pa.array([tree.packed()], pa.list_(pa.binary())), pa.array(root, pa.list_(pa.float64())), pa.array([float(tree.radius[0])])]
         return pa.table([group.column("dim").slice(0, 1), group.column("block").slice(0, 1), *columns], ["dim", "block", "tree", "centre", "radius"])
 
-    return rows.groupBy("dim", "block").applyInArrow(build, "dim int, block bigint, tree array<binary>, centre array<double>, radius double")
+    return rows.groupBy("dim", "block").applyInArrow(tidy_group(build), "dim int, block bigint, tree array<binary>, centre array<double>, radius double")
 
 
 def block_pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def _searched(pairs: DataFrame, index: DataFrame, probes: DataFrame, k: int, lea
         return pa.table(list(map(pa.array, dual_search(query, tree, k, None if low is None else np.array(low, np.int64)))), ["query_id", "vec_id", "score"])
 
     # A pair at a time, however many there are.
-    return met.groupBy("dim", "probe", "block").applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    return met.groupBy("dim", "probe", "block").applyInArrow(tidy_group(search), "query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(data: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, scale: float = 256.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -318,7 +318,7 @@ def search_blocks(data: DataFrame, queries: DataFrame, *, vec_id: str, embedding
                 order = np.frombuffer(tree.as_py(), np.int64)
                 yield pa.record_batch([pa.array([dim.as_py()] * len(order), pa.int32()), pa.array([block.as_py()] * len(order), pa.int64()), pa.array(np.arange(len(order))), pa.array(order)], ["dim", "probe", "place", "id"])
 
-    rows = probes.select("dim", "block", F.element_at("tree", 1).alias("ids")).mapInArrow(ids, "dim int, probe bigint, place bigint, id bigint")
+    rows = probes.select("dim", "block", F.element_at("tree", 1).alias("ids")).mapInArrow(tidy(ids), "dim int, probe bigint, place bigint, id bigint")
     score = F.coalesce("score", F.lit(np.iinfo(np.int64).min))
     least = rows.join(reached, "id", "left").groupBy("dim", "probe").agg(F.sort_array(F.collect_list(F.struct("place", score.alias("score")))).alias("rows"))
     least = written(least.select("dim", "probe", F.col("rows.score").alias("least"), F.array_min("rows.score").alias("worst")), "least")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import fresh, written
+from wharfline.llm.common import fresh, tidy, tidy_group, written
 from wharfline.llm.components import components
 from wharfline.llm.text import _ROLE, as_long, mix, shingle_sets, steps, sums
 
@@ -80,7 +80,7 @@ def document_sets(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
             k1, k2 = set_key(values, row)
             yield pa.record_batch([batch.column("doc_id"), batch.column("t"), pa.array(np.diff(row)), as_long(k1), as_long(k2)], ["doc_id", "t", "n_shingles", "k1", "k2"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t")).mapInArrow(run, "doc_id bigint, t bigint, n_shingles bigint, k1 bigint, k2 bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t")).mapInArrow(tidy(run), "doc_id bigint, t bigint, n_shingles bigint, k1 bigint, k2 bigint")
 
 
 def _distinct(values: np.ndarray, row: np.ndarray, seen: set) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def common_shingles(docs: DataFrame, n: int, text: str, least: int = 32) -> tupl
         if held:
             yield from flush()
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     counted = written(counted, "common")
     bound, total = least, 0
     for row in counted.groupBy(F.floor(F.log2("c") * 4).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("top")).orderBy(F.desc("kind")).collect():
@@ -190,8 +190,8 @@ def prefix_shares(docs: DataFrame, n: int, text: str, common, buckets: int, task
             place, who = place[shared], who[shared]
         return pa.table({"shingle": as_long(place), "set": as_long(who)})
 
-    packed = docs.select(F.col(text).alias("text")).mapInArrow(emit, "bucket bigint, places binary, sets binary, owners binary")
-    return packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, "shingle bigint, set bigint")
+    packed = docs.select(F.col(text).alias("text")).mapInArrow(tidy(emit), "bucket bigint, places binary, sets binary, owners binary")
+    return packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tidy_group(meet), "shingle bigint, set bigint")
 
 
 def _share_rows(bucket: int, place: np.ndarray, keys: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
@@ -445,9 +445,9 @@ def counted_sets(members: DataFrame, common, buckets: int, tasks: int) -> DataFr
         return pa.table({"k1": as_long(who[low]), "shingles": pa.array([shingle[a:b].tobytes() for a, b in zip(low, high)], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in zip(low, high)], pa.binary())})
 
     kind = "bucket bigint, places binary, sets binary, owners binary"
-    packed = members.select("k1", "shingles").mapInArrow(emit, kind)
-    counts = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(count, f"{kind}, counts binary")
-    return counts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(gather, "k1 bigint, shingles binary, counts binary")
+    packed = members.select("k1", "shingles").mapInArrow(tidy(emit), kind)
+    counts = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tidy_group(count), f"{kind}, counts binary")
+    return counts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tidy_group(gather), "k1 bigint, shingles binary, counts binary")
 
 
 def _rank(shingle: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -484,7 +484,7 @@ def plain_prefixes(sets: DataFrame) -> DataFrame:
             if out:
                 yield pa.record_batch([as_long(np.concatenate(out)), pa.array(np.concatenate(who))], ["shingle", "set"])
 
-    return sets.mapInArrow(run, "shingle bigint, set bigint")
+    return sets.mapInArrow(tidy(run), "shingle bigint, set bigint")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
@@ -561,7 +561,7 @@ def _joined(docs: DataFrame, doc_id: str, text: str, n: int, counting: bool) ->
 
     # A set that only rows of a null id have is found among those.
     asked = _only(base, live.select("doc_id").where("doc_id is not null").distinct()).select("text").unionByName(base.where("doc_id is null").select("text"))
-    found = asked.mapInArrow(whole, "k1 bigint, shingles binary")
+    found = asked.mapInArrow(tidy(whole), "k1 bigint, shingles binary")
     members = written(found.join(live.select("k1"), "k1", "left_semi").dropDuplicates(["k1"]), "members")
     for _ in range(2):
         left = members.agg(F.coalesce(F.sum(F.length("shingles") / 8), F.lit(0))).first()[0]
@@ -635,5 +635,5 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
             hit = (sieve.value[at >> 6] >> (at & 63)) & 1 == 1
             yield batch.filter(pa.array(hit)).select(["doc_id", "text"])
 
-    some = docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, docs.select("doc_id", "text").schema)
+    some = docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(tidy(run), docs.select("doc_id", "text").schema)
     return some.join(ids, "doc_id", "left_semi")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import written
+from wharfline.llm.common import tidy, tidy_group, written
 from wharfline.llm.text import _ROLE, Words, as_long, mix, steps, sums
 
 #: The sentence end that follows each text's words and counts as a token.
@@ -113,7 +113,7 @@ def word_counts(training: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return training.select("text").mapInArrow(count, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(tidy(count), "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -185,8 +185,8 @@ def build_segments(training: DataFrame, segments: int, tasks: int) -> DataFrame:
         body = np.packbits(bits, bitorder="little").tobytes()
         return pa.table({"segment": group.column("segment").slice(0, 1), "grams": pa.array([len(k)]), "bits": pa.array([body], pa.binary())})
 
-    packed = training.select("text").mapInArrow(count, "segment bigint, keys binary, few binary, many binary")
-    return packed.repartition(tasks, "segment").groupBy("segment").applyInArrow(build, "segment bigint, grams bigint, bits binary")
+    packed = training.select("text").mapInArrow(tidy(count), "segment bigint, keys binary, few binary, many binary")
+    return packed.repartition(tasks, "segment").groupBy("segment").applyInArrow(tidy_group(build), "segment bigint, grams bigint, bits binary")
 
 
 class Filter:
@@ -300,7 +300,7 @@ def score(docs: DataFrame, training: Column, *, doc_id: str = "doc_id", text: st
                 one, back = np.unique(words, return_inverse=True)
                 yield finish(batch.column("doc_id"), words, row, held.value.level(unigram(one))[back], held.value.level(bigram(words, row)))
 
-        scored = base.mapInArrow(run, fields)
+        scored = base.mapInArrow(tidy(run), fields)
     else:
         scored = _probed(base, parts, segments, max(1, min(HOME_BYTES, slice_bytes) // size), finish, fields)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -353,7 +353,7 @@ def _probed(base: DataFrame, parts: DataFrame, segments: int, per: int, finish,
             yield pa.record_batch([batch.column("row").slice(0, 1), ids, *[pa.array([x.tobytes()], pa.binary()) for x in (row.astype(np.int64), words)]], ["step", "ids", "row", "words"])
 
     numbered = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    chunks = written(numbered.mapInArrow(cut, "step bigint, ids array<bigint>, row binary, words binary"), "steps")
+    chunks = written(numbered.mapInArrow(tidy(cut), "step bigint, ids array<bigint>, row binary, words binary"), "steps")
 
     def opened(words, row) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(words.as_py(), np.uint64), np.frombuffer(row.as_py(), np.int64)
@@ -367,7 +367,7 @@ def _probed(base: DataFrame, parts: DataFrame, segments: int, per: int, finish,
                 packed = pa.array([keys[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:])], pa.binary())
                 yield pa.record_batch([pa.array([step.as_py()] * len(packed)), pa.array(home[runs[:-1]]), packed], ["step", "home", "keys"])
 
-    asked = written(chunks.select("step", "row", "words").mapInArrow(ask, "step bigint, home bigint, keys binary"), "asked")
+    asked = written(chunks.select("step", "row", "words").mapInArrow(tidy(ask), "step bigint, home bigint, keys binary"), "asked")
     copies = asked.groupBy("home").agg(F.ceil(F.sum(F.length("keys")) / (8 * PROBED)).alias("copies"))
     left = asked.join(copies, "home").select("step", "home", "keys", F.pmod(F.xxhash64("step"), "copies").alias("copy"))
     homes = parts.select(F.floor(F.col("segment") / per).alias("home"), "segment", "bits").join(copies, "home")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import fresh
+from wharfline.llm.common import fresh, tidy
 from wharfline.llm.text import raw, steps
 
 #: Payloads are padded with spaces to a positive multiple of this many samples.
@@ -103,7 +103,7 @@ def store_text(docs: DataFrame, *, text: str = "text", keep: list[str] | None =
 
     frame = docs.select(*kept, F.col(text).alias(body))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(build, f"{kinds + ', ' if kinds else ''}n_bytes bigint, media binary")
+    return frame.mapInArrow(tidy(build), f"{kinds + ', ' if kinds else ''}n_bytes bigint, media binary")
 
 
 def analyse(recordings: DataFrame, *, media: str = "media") -> DataFrame:
@@ -128,7 +128,7 @@ def analyse(recordings: DataFrame, *, media: str = "media") -> DataFrame:
 
     frame = recordings.select(*kept, F.col(media).alias(file))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(read, kinds + "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, fingerprint array<bigint>")
+    return frame.mapInArrow(tidy(read), kinds + "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, fingerprint array<bigint>")
 
 
 FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint"]

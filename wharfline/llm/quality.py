@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import fresh
+from wharfline.llm.common import fresh, tidy
 from wharfline.llm.labelled import balance, labelled_sample
 from wharfline.llm.text import _ROLE, SAME, Words, mix, steps, sums
 
@@ -129,7 +129,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, text: str = "text", out: str
             yield pa.record_batch([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))], [*kept, out])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(run, f"{kinds}`{out}` double")
+    return frame.mapInArrow(tidy(run), f"{kinds}`{out}` double")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, rows: int = 4000, total_bytes: int = 24 << 20) -> np.ndarray:
