@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import tidy, tidy_group, written
+from wharfline.llm.common import give_back, tidy, tidy_group, written
 from wharfline.llm.text import _ROLE, Words, as_long, mix, steps, sums
 
 #: The sentence end that follows each text's words and counts as a token.
@@ -330,8 +330,23 @@ def _threshold(counts: DataFrame, most: int) -> int:
 
 
 def _send(spark, parts: DataFrame, segments: int):
-    rows = parts.select("segment", "bits").toArrow()
-    return spark.sparkContext.broadcast(Filter(segments, 0, dict(zip(rows.column("segment").to_pylist(), rows.column("bits").to_pylist())), segments))
+    """The whole filter, broadcast. It reaches the driver a slice at a time and is filled in place, so that neither JVM nor Python holds it twice."""
+    sizes = parts.select("segment", F.length("bits").alias("n")).toArrow()
+    lengths = np.zeros(segments, np.int64)
+    lengths[sizes.column("segment").to_numpy()] = sizes.column("n").to_numpy()
+    bloom = Filter(segments, 0, {}, segments)
+    bloom.sizes = (8 * lengths).astype(np.uint64)
+    bloom.starts = np.concatenate([[0], np.cumsum(8 * lengths)])
+    bloom.bits = np.zeros(int(lengths.sum()) + 1, np.uint8)
+    per = max(1, HOME_BYTES // max(1, int(lengths.max(initial=0))))
+    for first in range(0, segments, per):
+        rows = parts.where(F.col("segment").between(first, first + per - 1)).select("segment", "bits").toArrow()
+        for segment, bits in zip(rows.column("segment").to_pylist(), rows.column("bits")):
+            at = int(bloom.starts[segment]) // 8
+            bloom.bits[at : at + lengths[segment]] = np.frombuffer(bits.as_buffer(), np.uint8)
+        del rows
+    give_back()
+    return spark.sparkContext.broadcast(bloom)
 
 
 def _kinds(words: np.ndarray, row: np.ndarray) -> np.ndarray:
