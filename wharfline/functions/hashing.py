@@ -82,3 +82,8 @@ def crc_of_chunks(chunks: DataFrame, key: str, ordinal: str, data: str) -> DataF
 
     kind = dict(parts.dtypes)["key"]
     return parts.groupBy("key").applyInArrow(fold, f"key {kind}, bytes bigint, crc bigint").withColumnRenamed("key", key)
+
+
+def name_bucket(slot: Column, name: Column, buckets: int) -> Column:
+    """The bucket of a name in a slot by the first byte of their SHA-1."""
+    return F.conv(F.substring(F.sha1(F.concat_ws(":", slot.cast("string"), name)), 1, 2), 16, 10).cast("int") % buckets

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,3 +79,9 @@ def slug(url: Column, longest: int = 40) -> Column:
     rest = F.regexp_replace(F.lower(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")), "[^a-z0-9]+", "-")
     short = F.trim(F.substring(F.regexp_replace(rest, "^-+|-+$", ""), 1, longest), F.lit("-"))
     return F.when(short == "", "site").otherwise(short)
+
+
+def merged_globs(defaults: DataFrame, extra: DataFrame, glob: str) -> DataFrame:
+    """glob: the patterns of both lists, trimmed of slashes and white space, each once; empty ones and nulls go."""
+    both = defaults.select(glob).union(extra.select(glob))
+    return both.select(F.btrim(F.col(glob), F.lit("/ \t\r\n")).alias(glob)).where(F.length(glob) > 0).distinct()

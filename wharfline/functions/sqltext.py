@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +84,32 @@ def bounded_name(name: Column, limit: int = NAME_BYTES, digits: int = 7) -> Colu
     """The name, or, if longer than ``limit`` bytes, as many of its first characters as fit before _ and hex digits of its hash. ASCII names are cut exactly."""
     room = limit - digits - 1
     return F.when(F.octet_length(name) <= limit, name).otherwise(F.concat(F.substring(name, 1, room), F.lit("_"), F.substring(F.sha2(name, 256), 1, digits)))
+
+
+def own_name(name: Column, kinds: list[str], tables: list[str], longest: int = NAME_BYTES) -> Column:
+    """Whether a table is a job's own: generated (kind, six hexadecimal digits, a job's number, four such digits and a table's name, between underscores), or one of ``tables`` after any prefix, in any case. Null isn't."""
+    generated = rf"^(?:{'|'.join(map(re.escape, kinds))})[0-9a-f]{{6}}_[1-9][0-9]{{0,18}}_[0-9a-f]{{4}}_[A-Za-z0-9_]+$"
+    named = rf"(?i)^[a-z0-9_]*(?:{'|'.join(map(re.escape, tables))})$"
+    line = ~name.contains("\n")
+    return F.coalesce(line & ((name.rlike(generated) & (F.octet_length(name) <= longest)) | name.rlike(named)), F.lit(False))
+
+
+def table_kind(name: Column, prefix: str, whole: tuple[str, ...] = ("users",), per_site: tuple[str, ...] = ("posts", "comments", "wc_orders")) -> Column:
+    """The counted table that a name under the prefix is, after a site's number at most for those of each site; "" if none."""
+    rest = F.substring(name, F.lit(len(prefix) + 1), F.length(name))
+    site = F.regexp_replace(rest, "^[0-9]+_", "")
+    return F.when(~name.startswith(prefix), "").when(rest.isin(*whole), rest).when(site.isin(*per_site), site).otherwise("")
+
+
+def statement_bytes(packet: Column, share: float = 0.5, least: int = 4096, most: int = 1 << 20) -> Column:
+    """The longest statement for a server's packet size."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(packet * share))).cast("long")
+
+
+def key_hex(key: Column) -> Column:
+    """A text key's UTF-8 as hexadecimal digits, which no collation changes on the way."""
+    return F.hex(F.encode(key, "UTF-8"))
+
+
+def key_from_hex(digits: Column) -> Column:
+    return F.decode(F.unhex(digits), "UTF-8")

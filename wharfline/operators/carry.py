@@ -79,3 +79,10 @@ def names_union(*parts: DataFrame) -> DataFrame:
 
 def names_common(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.distinct().join(b.distinct(), a.columns, "left_semi")
+
+
+def self_copies(df: DataFrame, key: str, copies: DataFrame) -> DataFrame:
+    """df with further rows: for each of ``copies`` (new, source) the row of that key under the new one. A source that isn't there brings none."""
+    pairs = copies.select(F.col("new").alias("_new"), F.col("source").alias("_source"))
+    made = df.join(pairs, F.col(key) == F.col("_source")).select(*[F.col("_new").alias(c) if c == key else F.col(c) for c in df.columns])
+    return df.unionByName(made)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wharfline.functions.sizes import row_estimate
+
 #: Tables that every installation has, and the names of its tables per site and as a whole.
 MARKERS = ("posts", "postmeta", "options", "comments", "terms", "term_taxonomy", "term_relationships")
 SITE_TABLES = ("posts", "postmeta", "comments", "commentmeta", "terms", "termmeta", "term_taxonomy", "term_relationships", "options", "links")
@@ -157,3 +161,71 @@ def copy_kind(previous: Column, current: Column, previous_there: Column) -> Colu
     siblings = parent == F.regexp_replace(F.regexp_replace(current, "/+$", ""), "/[^/]*$", "")
     same = F.regexp_replace(previous, "/+$", "") == F.regexp_replace(current, "/+$", "")
     return F.when(same, "same").when(siblings & previous.rlike(release) & current.rlike(release), "deployment").when(~previous_there, "moved").otherwise("clone")
+
+
+def described(tables: dict[str, DataFrame]) -> DataFrame:
+    """t, position (from 1) and name of every column of the tables."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(t, n, c) for t, df in tables.items() for n, c in enumerate(df.columns, 1)], "t string, position int, name string")
+
+
+def missing_columns(described: DataFrame, expected: DataFrame) -> DataFrame:
+    """t and name of expected columns (t, name) that a described table hasn't, in any case of letters."""
+    have = described.select("t", F.lower("name").alias("_n"))
+    return expected.withColumn("_n", F.lower("name")).join(have, ["t", "_n"], "left_anti").select("t", "name")
+
+
+def listed(spark, prefix: str) -> DataFrame:
+    """name of the session's tables and views under a prefix, in the prefix's own case."""
+    every = spark.sql("SHOW TABLES").select(F.col("tableName").alias("name"))
+    return every.where(F.col("name").startswith(prefix))
+
+
+def statistics(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """name, rows, bytes and average bytes of each named table; zeros for one that isn't there."""
+    spark = next(iter(tables.values())).sparkSession
+    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    held = [df.select(row_estimate(df).alias("e")).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("e"), F.lit(0)).alias("bytes")) for n, df in tables.items() if n in names]
+    if not held:
+        return wanted.select("name", *[F.lit(0).cast("long").alias(c) for c in ("rows", "bytes", "average")])
+    both = wanted.join(reduce(DataFrame.unionByName, held), "name", "left").fillna(0, ["rows", "bytes"])
+    return both.select("name", "rows", "bytes", F.when(F.col("rows") > 0, F.floor(F.col("bytes") / F.col("rows"))).otherwise(0).cast("long").alias("average"))
+
+
+def reference_edges(described: DataFrame) -> DataFrame:
+    """child, column and parent: columns named x_<stem>key of a table whose name begins with the stem and whose first column ends in the same."""
+    stem = F.regexp_extract("name", "_([a-z]+)key$", 1)
+    columns = described.withColumn("stem", stem).where("stem <> ''")
+    parents = columns.where((F.col("position") == 1) & F.col("t").startswith(F.col("stem"))).select(F.col("t").alias("parent"), "stem")
+    return columns.join(parents, "stem").where("t <> parent").select(F.col("t").alias("child"), F.col("name").alias("column"), "parent")
+
+
+def planned(tables: DataFrame, excluded: DataFrame, skipped: DataFrame) -> DataFrame:
+    """name and fate of a backup's tables: excluded, else the reason of ``skipped`` (name, reason), else planned. Names are unique in each."""
+    out = excluded.select("name", F.lit("excluded").alias("_out"))
+    return tables.select("name").join(out, "name", "left").join(skipped.select("name", "reason"), "name", "left").select("name", F.coalesce("_out", "reason", F.lit("planned")).alias("fate"))
+
+
+def definition_problems(definitions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """t, c and problem of chunks (t, c, columns, creates) against definitions (t, columns).
+
+    "undefined" without a definition, "not created" where a table's first chunk doesn't create it, "created again" where
+    a later one does, "columns" where the lists differ in names or order. A chunk's columns may be null, as it names none.
+    """
+    known = definitions.select("t", F.col("columns").alias("_want"), F.lit(True).alias("_known"))
+    problem = (
+        F.when(F.col("_known").isNull(), "undefined")
+        .when((F.col("c") == 1) & ~F.col("creates"), "not created")
+        .when((F.col("c") > 1) & F.col("creates"), "created again")
+        .when(F.col("columns") != F.col("_want"), "columns")
+    )
+    return chunks.join(known, "t", "left").select("t", "c", problem.alias("problem")).where("problem is not null")
+
+
+RENAME_HEAD = len("RENAME TABLE ")
+
+
+def rename_bytes(live: Column, stage: Column, aside: Column, had: Column) -> Column:
+    """Bytes of a table's part in a statement of renames: the live table aside if it was there, and the staged one in, each with a comma and a space. Names hold no quotes."""
+    pair = lambda a, b: F.octet_length(a) + F.octet_length(b) + len("`` TO ``") + 2
+    return (pair(stage, live) + F.when(had, pair(live, aside)).otherwise(0)).cast("long")

@@ -141,3 +141,54 @@ def tail(df: DataFrame, order: str, line: str, *, lines: int = 50, size: int = 1
 def exists(df: DataFrame) -> DataFrame:
     """One row: whether there is any."""
     return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+def probe(df: DataFrame) -> DataFrame:
+    """One row, found: none, one or many. Reads no further than the second row."""
+    n = F.count(F.lit(1))
+    return df.limit(2).agg(F.when(n == 0, "none").when(n == 1, "one").otherwise("many").alias("found"))
+
+
+def with_values(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Rows with one of the values, byte by byte."""
+    return df.where(F.col(column).isin(values)) if values else df.limit(0)
+
+
+def without_oversize(df: DataFrame, limit: int) -> DataFrame:
+    """The rows that a limit on a row's estimated size lets through."""
+    return df.where(~oversize(df, limit))
+
+
+def numbered(df: DataFrame, order: list[str], bucket: Column, out: str = "ordinal") -> DataFrame:
+    """df with each row's number, from 1, in ``order`` (nulls first; rows of equal keys follow each other in no given order).
+
+    ``bucket`` must not fall along the order. Rows are counted by it; the counts, one row a bucket,
+    give the buckets' offsets, and rows are put in order only within a bucket: choose buckets that fit a task each. A column named like ``out`` is replaced.
+    """
+    kept = df.drop(out)
+    held = kept.select(F.struct("*").alias("row"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], bucket.alias("bucket"))
+    counts = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("bucket").alias("at"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*[f"k{i}" for i in range(len(order))]))
+    placed = held.withColumn("place", place).join(offsets, F.col("bucket").eqNullSafe(F.col("at")))
+    return placed.select("row.*", (F.col("place") + F.col("before")).alias(out))
+
+
+def boundaries(df: DataFrame, key: str, every: int, bucket: Column) -> DataFrame:
+    """range_no (from 1) and upper: every N-th key, up to which a range of ``every`` rows goes. Rows after the last belong to no range."""
+    n = F.col("n")
+    return numbered(df.select(key), [key], bucket, "n").where(n % every == 0).select((n / every).cast("long").alias("range_no"), F.col(key).alias("upper"))
+
+
+def bounded_delete(df: DataFrame, key: str, where: Column, limit: int = 500) -> DataFrame:
+    """The rows left when the first ``limit`` by key of those that match go. Keys are unique; rows of a null key stay."""
+    gone = df.where(where & F.col(key).isNotNull()).select(key).orderBy(key).limit(limit)
+    return df.join(F.broadcast(gone), key, "left_anti").select(*df.columns)
+
+
+def found_up_to(df: DataFrame, key: str, cap: int) -> DataFrame:
+    """key and over: the first ``cap`` distinct keys, and whether there are more. Gaps between ids cost nothing, since nothing walks them."""
+    first = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(cap + 1)
+    n = first.withColumn("n", F.row_number().over(Window.orderBy(key)))
+    return n.select(key, "n", (F.max("n").over(Window.partitionBy()) > cap).alias("over")).where(F.col("n") <= cap).select(key, "over")

@@ -53,3 +53,15 @@ def space_needed(staged: DataFrame, volume: str, size: str, free: DataFrame) ->
     """volume, needed (bytes and 5 % or 100 MiB more), free, and enough, for each volume."""
     need = staged.groupBy(volume).agg(F.sum(size).alias("b")).select(volume, (F.col("b") + F.greatest(F.ceil(F.col("b") * 5 / 100), F.lit(100 << 20))).cast("long").alias("needed"))
     return need.join(free, volume, "left").withColumn("enough", F.col("free") >= F.col("needed"))
+
+
+def directories(files: DataFrame, path: str) -> DataFrame:
+    """directory and files (n below it) of every directory above a path, each once; a path without / has none."""
+    parts = F.split(path, "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return files.select(F.explode(above).alias("directory")).groupBy("directory").agg(F.count(F.lit(1)).alias("files"))
+
+
+def byte_order(files: DataFrame, path: str) -> DataFrame:
+    """The listing in byte order of its paths, the same on every file system."""
+    return files.orderBy(F.col(path).cast("binary"))

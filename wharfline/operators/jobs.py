@@ -131,3 +131,8 @@ def time_estimate(wanted: DataFrame, measured: DataFrame) -> DataFrame:
 def lost_writes(entries: DataFrame, since: int) -> DataFrame:
     """kind and n: writes since a time, NULL (not 0) for a kind of which a table couldn't be read."""
     return entries.groupBy("kind").agg(F.when(F.bool_and("readable"), F.count_if(F.col("at") >= since)).alias("n"))
+
+
+def held_by(df: DataFrame, hashed: str, token: str) -> DataFrame:
+    """Rows whose stored SHA-256 is the token's: a table holds hashes, never tokens."""
+    return df.where(F.col(hashed) == F.sha2(F.lit(token), 256))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions.sqltext import chunk_path
+from wharfline.operators.extract import numbered
 
 
 def index_problems(index: DataFrame) -> DataFrame:
@@ -41,9 +42,9 @@ def entry_problems(index: DataFrame, entries: DataFrame) -> DataFrame:
     return both.select("p", kind.alias("kind")).where("kind is not null")
 
 
-def in_step(left: DataFrame, right: DataFrame, order: str, name: str) -> DataFrame:
-    """ordinal, listed and found wherever the n-th names of two ordered listings differ."""
-    a, b = (df.select(F.row_number().over(Window.orderBy(order)).alias("ordinal"), F.col(name).alias(as_)) for df, as_ in ((left, "listed"), (right, "found")))
+def in_step(left: DataFrame, right: DataFrame, order: str, name: str, bucket: Column) -> DataFrame:
+    """ordinal, listed and found wherever the n-th names of two listings, ordered by ``order``, differ. ``bucket`` doesn't fall along the order and parts both (see ``numbered``)."""
+    a, b = (numbered(df.select(F.col(order).alias("k"), F.col(name).alias(as_), bucket.alias("b")), ["k"], F.col("b")).select("ordinal", as_) for df, as_ in ((left, "listed"), (right, "found")))
     return a.join(b, "ordinal", "full_outer").where(~F.col("listed").eqNullSafe(F.col("found")))
 
 
@@ -98,3 +99,17 @@ def chunk_problems(chunks: DataFrame, index: DataFrame) -> DataFrame:
     both = listed.join(chunks.select("p", "n", "h"), ["p", "n"], "full_outer")
     problem = F.when(F.col("h").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("want") != F.col("h"), "corrupt")
     return both.select("p", "n", problem.alias("problem")).where("problem is not null")
+
+
+def count_problems(held: DataFrame, ledger: DataFrame) -> DataFrame:
+    """t, held and want of tables whose rows (t, n) aren't those of the ledger (t, rows, removed, owned): rows less those removed later and own ones. A table that the ledger doesn't hold wants -1, one not counted holds -1."""
+    want = F.col("rows") - F.coalesce("removed", F.lit(0)) - F.greatest(F.lit(0), F.coalesce("owned", F.lit(0)))
+    both = held.select("t", "n").join(ledger.select("t", want.alias("w")), "t", "full_outer").select("t", F.coalesce("n", F.lit(-1)).alias("held"), F.coalesce("w", F.lit(-1)).alias("want"))
+    return both.where("held <> want")
+
+
+def staged_problems(index: DataFrame, staged: DataFrame) -> DataFrame:
+    """p and problem of index lines (p, b, m) whose staged file (p, size, mtime) is missing, or of another size or time."""
+    both = index.join(staged.select("p", "size", "mtime", F.lit(True).alias("_there")), "p", "left")
+    problem = F.when(F.col("_there").isNull(), "missing").when(~F.col("size").eqNullSafe(F.col("b")), "size").when(~F.col("mtime").eqNullSafe(F.col("m")), "time")
+    return both.select("p", problem.alias("problem")).where("problem is not null")

@@ -2,40 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.functions import hashing, masking, paths, replace, sizes, sqltext
 from wharfline.operators import carry, catalog, extract, files, graph, jobs, verify
+from wharfline.plans import listings  # registers its queries
+from wharfline.plans.registry import oracle_sql, queries, query, table
 from wharfline.sources import dump, index
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["listings", "oracle_sql", "queries"]
 
 
 # --- sizes -------------------------------------------------------------------
@@ -157,6 +133,41 @@ def nextfit_chunks(spark, sf_dir):
     return extract.batch_summary(batched, ["section"], "doc_id", "b")
 
 
+@query(
+    _FOLD_SQL.format(size=DOCUMENT_SIZE, cut="(f.held + d.b > 262144 OR f.k = 20)")
+    .replace("b AS held FROM d", "b AS held, 1 AS k FROM d")
+    .replace("f.held + d.b END FROM f", "f.held + d.b END, CASE WHEN (f.held + d.b > 262144 OR f.k = 20) THEN 1 ELSE f.k + 1 END FROM f")
+)
+def plan_batches(spark, sf_dir):
+    batched = extract.greedy_groups(_sections(spark, sf_dir), ["section"], ["doc_id"], "b", 262144, rows=20, crossing=False)
+    return extract.batch_summary(batched, ["section"], "doc_id", "b")
+
+
+@query("""WITH RECURSIVE d AS (SELECT c_nationkey AS section, c_custkey, CAST(2 * strlen(c_name) + 11 + CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 2 * strlen(c_name) + 11 END AS BIGINT) AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+f AS (
+  SELECT section, n, c_custkey, 0::BIGINT AS batch, b AS held FROM d WHERE n = 1
+  UNION ALL
+  SELECT d.section, d.n, d.c_custkey, f.batch + CASE WHEN f.held + d.b > 499 THEN 1 ELSE 0 END, CASE WHEN f.held + d.b > 499 THEN d.b ELSE f.held + d.b END FROM f JOIN d ON d.section = f.section AND d.n = f.n + 1
+)
+SELECT section, c_custkey, batch FROM f""")
+def rename_batches(spark, sf_dir):
+    """Renames of a swap by nation, 512 bytes a statement: a table that was there moves aside and its successor enters, both in one statement."""
+    name = F.col("c_name")
+    entries = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("section"), "c_custkey", catalog.rename_bytes(name, F.concat(F.lit("a"), name), F.concat(F.lit("b"), name), F.col("c_custkey") % 3 != 0).alias("b"))
+    return extract.greedy_groups(entries, ["section"], ["c_custkey"], "b", 512 - catalog.RENAME_HEAD, crossing=False).drop("b")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, CAST(sum({_estimate_sql(c)}) AS BIGINT) AS bytes, CAST(sum({_estimate_sql(c)}) // count(*) AS BIGINT) AS average FROM {t}" for t, c in (("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))) + " UNION ALL SELECT 'absent', 0, 0, 0")
+def table_statistics(spark, sf_dir):
+    held = {"nation": table(spark, sf_dir, "nation"), "customer": table(spark, sf_dir, "customer").drop("c_acctbal")}
+    return catalog.statistics(held, ["nation", "customer", "absent"])
+
+
+@query(f"SELECT doc_id, lang FROM documents WHERE NOT {DOCUMENT_SIZE} > 20000")
+def without_oversize(spark, sf_dir):
+    return extract.without_oversize(table(spark, sf_dir, "documents"), 20000).select("doc_id", "lang")
+
+
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40")
 def listing_page(spark, sf_dir):
     return extract.page(table(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")], 3, 20).select("event_id", "event_type")
@@ -712,11 +723,11 @@ def files_audit(spark, sf_dir):
     return verify.audit(_index(spark, sf_dir).withColumn("h", F.when(F.col("h") != "", F.col("h"))))
 
 
-@query("""WITH a AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS ordinal, n_name AS listed FROM nation), b AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS ordinal, n_name AS found FROM nation WHERE n_nationkey <> 20)
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS ordinal, CAST(o_orderkey AS VARCHAR) AS listed FROM orders), b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS ordinal, CAST(o_orderkey AS VARCHAR) AS found FROM orders WHERE o_orderkey <> 700)
 SELECT ordinal, listed, found FROM a FULL JOIN b USING (ordinal) WHERE listed IS DISTINCT FROM found""")
 def entries_in_step(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    return verify.in_step(nation, nation.where("n_nationkey <> 20"), "n_nationkey", "n_name").select(F.col("ordinal").cast("long").alias("ordinal"), "listed", "found")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("name"))
+    return verify.in_step(orders, orders.where("o_orderkey <> 700"), "o_orderkey", "name", F.floor(F.col("o_orderkey") / 10000))
 
 
 @query("""WITH c AS (SELECT doc_id, i, sha256(substr(text, 1 + i * 1000, 1000)) AS h FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 1000.0) AS BIGINT)))) AS i FROM documents))
