@@ -63,11 +63,16 @@ def heavy_root(path: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def path_key(path: pd.Series) -> pd.Series:
-    """Composed Unicode, in lower case: equal keys may be one file where case doesn't count."""
+def _composed(path: pd.Series) -> pd.Series:
     return path.map(lambda p: None if p is None else unicodedata.normalize("NFC", p).lower(), na_action="ignore")
 
 
+def path_key(path: Column) -> Column:
+    """Composed Unicode, in lower case: equal keys may be one file where case doesn't count. Only paths beyond ASCII are composed in Python."""
+    plain = F.octet_length(path) == F.length(path)
+    return F.coalesce(F.when(plain, F.lower(path)), _composed(F.when(~plain, path)))
+
+
 def target_key(path: Column, *, fold: bool = True, trim: bool = False) -> Column:
     """The key of a path on a target that folds case and composes (``fold``) or drops dots and spaces at the ends of segments (``trim``)."""
     out = F.regexp_replace(path, r"[. ]+(?=/|$)", "") if trim else path

@@ -81,9 +81,10 @@ def generated_name(kind: str, job: Column, table: Column, size: int = 12) -> Col
 
 
 def bounded_name(name: Column, limit: int = NAME_BYTES, digits: int = 7) -> Column:
-    """The name, or, if longer than ``limit`` bytes, as many of its first characters as fit before _ and hex digits of its hash. ASCII names are cut exactly."""
+    """The name, or, if longer than ``limit`` bytes, as many of its first characters as fit before _ and hex digits of its hash; no character is split."""
     room = limit - digits - 1
-    return F.when(F.octet_length(name) <= limit, name).otherwise(F.concat(F.substring(name, 1, room), F.lit("_"), F.substring(F.sha2(name, 256), 1, digits)))
+    fits = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(room)), lambda n: F.octet_length(F.substring(name, F.lit(1), n)) <= room))
+    return F.when(F.octet_length(name) <= limit, name).otherwise(F.concat(F.substring(name, F.lit(1), fits), F.lit("_"), F.substring(F.sha2(name, 256), 1, digits)))
 
 
 def own_name(name: Column, kinds: list[str], tables: list[str], longest: int = NAME_BYTES) -> Column:
