@@ -40,7 +40,11 @@ def size_check_exact(spark, sf_dir):
     return extract.size_check(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 0)
 
 
-@query()
+@query(f"""
+WITH b AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM documents),
+w AS (SELECT i AS window_no, lo + (hi - lo + 1) * i // 8 AS a, CASE WHEN i = 7 THEN hi + 1 ELSE lo + (hi - lo + 1) * (i + 1) // 8 END AS z FROM b, range(8) AS r(i)),
+r AS (SELECT {DOCUMENT_SIZE} AS e, row_number() OVER (PARTITION BY window_no ORDER BY doc_id) AS n FROM documents JOIN w ON doc_id >= a AND doc_id < z)
+SELECT 'sampled' AS mode, CAST(NULL AS BIGINT) AS n, count(*) FILTER (e > 20000) > 0 AS likely FROM r WHERE r.n <= 5000""")
 def size_check_sampled(spark, sf_dir):
     return extract.size_check(table(spark, sf_dir, "documents"), "doc_id", 20000, exact_rows=10)
 
@@ -662,7 +666,8 @@ def verification_outcome(spark, sf_dir):
     return verify.outcome(findings, flags)
 
 
-@query()
+@query(f"""WITH {_INDEX_SQL}, k AS (SELECT * FROM i WHERE h <> '')
+SELECT 1 AS version, count(*) AS exported, CAST(count(DISTINCT t) AS INTEGER) AS tables, count(*) AS entries, CAST(sum(b) AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS problem FROM k""")
 def manifest_round_trip(spark, sf_dir):
     i = _index(spark, sf_dir).where("h <> ''")
     tables = i.groupBy(F.col("t").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.sum("b").alias("bytes"), F.count(F.lit(1)).alias("chunks"), hashing.list_hash(F.transform(F.sort_array(F.collect_list(F.struct("c", "h"))), lambda x: x["h"])).alias("sha256"))
