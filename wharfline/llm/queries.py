@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm import archive, bpe, covertree, jaccard, lm, media, mixing, pii, quality, toxicity
+from wharfline.llm import archive, bpe, covertree, fim, jaccard, lm, media, merkle, mixing, pii, quality, toxicity
 from wharfline.llm.common import bucket_of, table, word_count, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,20 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.span_digest(found))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fim(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return cut.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *digests)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    lowered = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    found, _ = merkle.manifest(table(spark, sf_dir, "documents"), key="doc_id", group="source", fields=fields, altered={"text": lowered})
+    return merkle.checked(found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_cover_tree_topk": op1_cover_tree_topk,
@@ -88,6 +102,8 @@ def queries() -> dict[str, Query]:
         "op8_prefix_bpe": op8_prefix_bpe,
         "op9_source_mix": op9_source_mix,
         "op10_bootstrapped_pii": op10_bootstrapped_pii,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -123,5 +139,20 @@ SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < r
 """
 
 
+OP12_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (
+  SELECT *, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM h
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree_topk": OP1_SQL, "op9_source_mix": OP9_SQL}
+    return {"op1_cover_tree_topk": OP1_SQL, "op9_source_mix": OP9_SQL, "op12_fill_in_middle": OP12_SQL}
