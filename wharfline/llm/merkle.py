@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import partitions, tidy, written
+from wharfline.llm.common import partitions, shared_folder, tidy, written
 
 ARITY = 16
 DIGEST = 32
@@ -156,15 +156,24 @@ def forest(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     its children's digests end to end (``run``); nodes next to leaves have those leaves' columns. Each round completes all lowest open
     parents at least, so there are no more rounds than levels.
     """
+    spark = leaves.sparkSession
     placed, sizes = in_order(leaves)
     sizes = written(sizes, "merkle-sizes")
-    made = written(placed.mapInArrow(tidy(_from_leaves), NODE), "merkle-nodes")
-    nodes = made.where("digest is not null")
-    while not (left := made.where("digest is null")).isEmpty():
+    folder, rounds = shared_folder(spark, "merkle-nodes"), []
+
+    def complete(rows: DataFrame) -> DataFrame:
+        """Writes a round's nodes and gives back those that are open."""
+        rounds.append(f"{folder}/{len(rounds)}")
+        rows.write.option("compression", "zstd").parquet(rounds[-1])
+        return spark.read.schema(NODE).parquet(rounds[-1]).where("digest is null")
+
+    left = complete(placed.mapInArrow(tidy(_from_leaves), NODE))
+    while not left.isEmpty():
         # Open parents are few: one a level at each border of a task, and one a level and tree.
-        dealt = left.join(sizes, "tree").repartition(partitions(leaves.sparkSession), "tree", "level", "place").sortWithinPartitions("tree", "level", "place")
-        made = written(dealt.mapInArrow(tidy(_from_open), NODE), "merkle-nodes")
-        nodes = nodes.unionByName(made.where("digest is not null"))
+        dealt = left.join(sizes, "tree").repartition(partitions(spark), "tree", "level", "place").sortWithinPartitions("tree", "level", "place")
+        left = complete(dealt.mapInArrow(tidy(_from_open), NODE))
+    # One scan over all rounds, not one a round in every plan.
+    nodes = spark.read.schema(NODE).parquet(*rounds).where("digest is not null")
     roots = nodes.where("place = 0").join(sizes, "tree").where(F.col("level") == levels_of(F.col("size")))
     return nodes, written(roots.select("tree", "size", "level", "digest"), "merkle-roots")
 
