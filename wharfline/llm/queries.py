@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm import archive, bpe, covertree, fim, jaccard, lm, media, merkle, mixing, pii, quality, toxicity
+from wharfline.llm import archive, bpe, covertree, fim, jaccard, lm, media, merkle, mixing, nndescent, pii, quality, toxicity
 from wharfline.llm.common import bucket_of, table, word_count, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.span_digest(found))
 
 
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nndescent.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.fim(table(spark, sf_dir, "documents"), keep=["doc_id"])
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
@@ -102,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op8_prefix_bpe": op8_prefix_bpe,
         "op9_source_mix": op9_source_mix,
         "op10_bootstrapped_pii": op10_bootstrapped_pii,
+        "op11_nn_descent": op11_nn_descent,
         "op12_fill_in_middle": op12_fill_in_middle,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
