@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wharfline.functions import hashing, masking, paths, replace, sizes, sqltext
 from wharfline.operators import carry, catalog, extract, files, graph, jobs, verify
-from wharfline.plans import listings  # registers its queries
+from wharfline.plans import dumps, listings  # register their queries
 from wharfline.plans.registry import oracle_sql, queries, query, table
 from wharfline.sources import dump, index
 
