@@ -1,11 +1,12 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wharfline.functions import hashing, masking, paths, replace, sizes, sqltext
-from wharfline.operators import catalog, graph
+from wharfline.operators import catalog
 
 
 def one(spark, *columns):
@@ -190,43 +191,18 @@ def test_masks(spark):
     assert out == ("http://[site]/a https://[host]/b cold.example", "[root]/a /srv/www2")
 
 
-def test_crc_joined():
+def test_checksums_move_past_what_follows():
     rnd = random.Random(1)
-    for _ in range(50):
-        a, b = rnd.randbytes(rnd.randrange(50)), rnd.randbytes(rnd.randrange(50))
-        assert hashing.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    pairs = [(rnd.randbytes(rnd.randrange(50)), rnd.randbytes(rnd.randrange(3000))) for _ in range(60)]
+    moved = hashing.crc_moved(np.array([zlib.crc32(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs]))
+    assert [int(m) ^ zlib.crc32(b) for m, (_, b) in zip(moved, pairs)] == [zlib.crc32(a + b) for a, b in pairs]
 
 
 def test_crc_of_chunks(spark):
-    rows = [("x", i, p) for i, p in enumerate([b"ab", b"", b"cde"])] + [("y", 0, b"")]
+    long = [bytes([i % 251]) * (i % 5) for i in range(3000)]
+    rows = [("x", i, p) for i, p in enumerate([b"ab", b"", b"cde"])] + [("y", 0, b""), (None, 1, b"a"), (None, 2, None), (None, 5, b"b")] + [("long", i, p) for i, p in enumerate(long)]
     got = {r.key: (r.bytes, r.crc) for r in hashing.crc_of_chunks(spark.createDataFrame(rows, "key string, n int, data binary"), "key", "n", "data").collect()}
-    assert got == {"x": (5, zlib.crc32(b"abcde")), "y": (0, 0)}
-
-
-@pytest.mark.parametrize(
-    "tables, edges, steps",
-    [
-        ("ba", [], [(["a"], False), (["b"], False)]),
-        ("pz", [("z", "p")], [(["z"], False), (["p"], False)]),
-        ("abc", [("c", "b"), ("b", "a")], [(["c"], False), (["b"], False), (["a"], False)]),
-        ("s", [("s", "s")], [(["s"], False)]),
-        ("abpx", [("a", "b"), ("b", "a"), ("b", "p"), ("x", "a")], [(["x"], False), (["a", "b"], True), (["p"], False)]),
-    ],
-)
-def test_drop_order(tables, edges, steps):
-    assert graph.drop_order(list(tables), edges) == (steps, {})
-
-
-def test_drop_order_properties():
-    rnd = random.Random(7)
-    for _ in range(100):
-        names = [f"t{i}" for i in range(8)]
-        edges = [(rnd.choice(names + ["out"]), rnd.choice(names)) for _ in range(9)]
-        steps, kept = graph.drop_order(names, edges)
-        place = {n: i for i, (group, _) in enumerate(steps) for n in group}
-        assert sorted([*place, *kept]) == names
-        assert all(place[c] <= place[p] for c, p in edges if c in place and p in place)
-        assert all(p in kept for c, p in edges if c in kept or c == "out")
+    assert got == {"x": (5, zlib.crc32(b"abcde")), "y": (0, 0), None: (2, zlib.crc32(b"ab")), "long": (6000, zlib.crc32(b"".join(long)))}
 
 
 def test_rollback_restores_the_start(spark):

@@ -192,3 +192,21 @@ def found_up_to(df: DataFrame, key: str, cap: int) -> DataFrame:
     first = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(cap + 1)
     n = first.withColumn("n", F.row_number().over(Window.orderBy(key)))
     return n.select(key, "n", (F.max("n").over(Window.partitionBy()) > cap).alias("over")).where(F.col("n") <= cap).select(key, "over")
+
+
+def running_sums(df: DataFrame, group: list[str], order: str, columns: list[str], block: int = 1024) -> DataFrame:
+    """Adds ``<column>_before`` and ``<column>_total``: sums of earlier rows (by ``order``, an integer that is unique and not null in its group), and of all rows of the group.
+
+    Rows are summed in blocks of ``block`` numbers and the blocks' sums after them, so no task orders a whole group. Null group values are a group; null values count as 0.
+    """
+    at = F.floor(F.col(order) / block)
+    inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    held = df.withColumn("_block", at)
+    blocks = held.groupBy(*group, "_block").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    blocks = blocks.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_block").alias("_at"), *[F.coalesce(F.sum(f"_{c}").over(across), F.lit(0)).alias(f"_{c}_before") for c in columns], *[F.coalesce(F.sum(f"_{c}").over(Window.partitionBy(*group)), F.lit(0)).alias(f"_{c}_total") for c in columns])
+    held = held.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    same = F.col("_block") == F.col("_at")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return held.join(blocks, same).select(*df.columns, *[(F.col(f"{c}_before") + F.col(f"_{c}_before")).alias(f"{c}_before") for c in columns], *[F.col(f"_{c}_total").alias(f"{c}_total") for c in columns])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wharfline.operators.shared import written
+
 
 def settled(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that spark.checkpoint.dir names; where that is unset, a local session gets one of its machine, any other raises ValueError."""
@@ -37,41 +39,87 @@ def kept_tables(tables: DataFrame, edges: DataFrame, rounds: int = 1000) -> Data
     raise RuntimeError("kept tables not settled")
 
 
-def drop_order(tables: list[str], edges: list[tuple[str, str]]) -> tuple[list[tuple[list[str], bool]], dict[str, str]]:
-    """Steps in order, each the tables of one statement and whether checks must be off, and what is kept by which child.
+def kept_by(kept: DataFrame, tables: DataFrame, edges: DataFrame) -> DataFrame:
+    """name and by: all that refers to a kept table and stays, one row each."""
+    names, stays = tables.select(F.col("name").alias("child")).distinct(), kept.select(F.col("name").alias("child"))
+    links = edges.join(kept.select(F.col("name").alias("parent")), "parent").where("child <> parent")
+    outside = links.join(names, "child", "left_anti").unionByName(links.join(stays, "child"))
+    return outside.select(F.col("parent").alias("name"), F.col("child").alias("by")).distinct()
+
+
+def _spread(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (name, label) once no label can grow any more: each parent takes the largest label of its children (links child, parent)."""
+    grown = labels.withColumn("new", F.lit(True))
+    while True:
+        offered = links.join(grown.where("new").select(F.col("name").alias("child"), "label"), "child").groupBy(F.col("parent").alias("name")).agg(F.max("label").alias("offer"))
+        # A row whose label didn't grow offers nothing in the next round.
+        better = F.coalesce(F.col("offer") > F.col("label"), F.lit(False))
+        grown = written(grown.drop("new").join(offered, "name", "left").select("name", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("new")), "graph-labels")
+        if grown.where("new").isEmpty():
+            return grown.drop("new")
+
+
+def strong_groups(edges: DataFrame) -> DataFrame:
+    """name and first of every table in a circle of edges (child, parent): the smallest name of those that refer to each other, directly or not.
+
+    Edges that can't lie in a circle are taken away until none is left to take. Then each table gets the
+    largest name that leads to it, and, backwards among tables of one such name, what leads to that name is its circle;
+    circles found go, and the rest is searched again. Every round is a join, written; names of tables in no circle are left out.
+    Edges may repeat; those with nulls and from a table to itself are none.
+    """
+    left = written(edges.select("child", "parent").where("child <> parent").distinct(), "graph-edges")
+    size, groups = left.count(), None
+    while size:
+        # A link of a circle starts where another ends and ends where another starts.
+        inner = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        before, left = size, written(inner, "graph-edges")
+        size = left.count()
+        if size < before:
+            continue
+        names = left.select(F.col("child").alias("name")).union(left.select("parent")).distinct()
+        colour = _spread(left, names.withColumn("label", F.col("name")))
+        ends = left.join(colour.select(F.col("name").alias("child"), F.col("label").alias("colour")), "child").join(colour.select(F.col("name").alias("parent"), "label"), "parent").where("colour = label")
+        back = ends.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+        # Backwards, from the names that are their own colour.
+        found = _spread(back, colour.select("name", F.when(F.col("name") == F.col("label"), F.col("label")).otherwise("").alias("label"))).where("label <> ''")
+        found = written(found, "graph-circles")
+        groups = found if groups is None else groups.unionByName(found)
+        gone = found.select("name")
+        rest = left.join(gone.withColumnRenamed("name", "child"), "child", "left_anti").join(gone.withColumnRenamed("name", "parent"), "parent", "left_anti")
+        left = written(rest.select("child", "parent"), "graph-edges")
+        size = left.count()
+    if groups is None:
+        return edges.select(F.col("child").alias("name"), F.col("child").alias("first")).limit(0)
+    return groups.select("name", F.min("name").over(Window.partitionBy("label")).alias("first"))
+
+
+def drop_order(tables: DataFrame, edges: DataFrame, *, fold: bool = False) -> DataFrame:
+    """round (from 1), first, name and together: which tables can be dropped when, kept ones (see ``kept_tables``) left out.
 
-    A catalogue's tables are few; the graph is worked on where the plan is made. Children go before
-    their parents; tables that refer to each other in a circle go together. Within a round, names go by bytes.
+    Children go before their parents; tables that refer to each other in a circle go in one statement, with checks off
+    (``together``), named by their first. Statements of a round go by that name, in bytes. A round takes all that no remaining table outside a statement
+    refers to, so there are as many as the longest chain. With ``fold`` names that differ in case only are one, the first of them.
+    Nulls are no names; repeated names and edges count once; an empty table gives an empty result.
     """
-    names = set(tables)
-    refs = [(c, p) for c, p in edges if p in names and c != p]
-    kept: dict[str, str] = {}
-    frontier = sorted((p, c) for c, p in refs if c not in names)
-    while frontier:
-        for p, c in frontier:
-            kept.setdefault(p, c)
-        frontier = sorted((p, c) for c, p in refs if c in kept and p not in kept)
-    free = names - kept.keys()
-    down: dict[str, set[str]] = {n: {p for c, p in refs if c == n and p in free} for n in free}
-
-    def reach(n: str) -> set[str]:
-        seen, todo = set(), [n]
-        while todo:
-            for m in down[todo.pop()] - seen:
-                seen.add(m)
-                todo.append(m)
-        return seen
-
-    reached = {n: reach(n) for n in free}
-    circle = {n: frozenset({n} | {m for m in reached[n] if n in reached[m]}) for n in free}
-    above = {g: set() for g in circle.values()}
-    for c in free:
-        for p in down[c]:
-            if circle[p] != circle[c]:
-                above[circle[p]].add(circle[c])
-    steps, left = [], set(above)
-    while left:
-        ready = sorted((g for g in left if not above[g] & left), key=min)
-        steps += [(sorted(g), len(g) > 1) for g in ready]
-        left -= set(ready)
-    return steps, kept
+    key = (lambda c: F.lower(c)) if fold else (lambda c: F.col(c))
+    names = written(tables.where("name is not null").groupBy(key("name").alias("key")).agg(F.min("name").alias("written")), "graph-names")
+    links = written(edges.where("child is not null and parent is not null").select(key("child").alias("child"), key("parent").alias("parent")).where("child <> parent").distinct(), "graph-links")
+    keys = names.select(F.col("key").alias("name"))
+    kept = kept_tables(keys, links).select("name")
+    free = written(keys.join(kept, "name", "left_anti"), "graph-free")
+    links = links.join(free.withColumnRenamed("name", "child"), "child", "left_semi").join(free.withColumnRenamed("name", "parent"), "parent", "left_semi").select("child", "parent")
+    circles = strong_groups(links)
+    group = written(free.join(circles, "name", "left").select("name", F.coalesce("first", "name").alias("first")), "graph-groups")
+    between = links.join(group.select(F.col("name").alias("child"), F.col("first").alias("c")), "child").join(group.select(F.col("name").alias("parent"), F.col("first").alias("p")), "parent")
+    between = written(between.where("c <> p").select("c", "p").distinct(), "graph-between")
+    left, rounds, number = written(group.select("first").distinct(), "graph-left"), None, 0
+    while not left.isEmpty():
+        number += 1
+        ready = written(left.join(between.select(F.col("p").alias("first")).distinct(), "first", "left_anti"), "graph-ready")
+        rounds = ready.withColumn("round", F.lit(number)) if rounds is None else rounds.unionByName(ready.withColumn("round", F.lit(number)))
+        left = written(left.join(ready, "first", "left_anti"), "graph-left")
+        between = written(between.join(ready.withColumnRenamed("first", "c"), "c", "left_anti").select("c", "p"), "graph-between")
+    if rounds is None:
+        return names.select(F.lit(0).alias("round"), F.col("key").alias("first"), F.col("written").alias("name"), F.lit(False).alias("together")).limit(0)
+    members = group.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("first"))).join(rounds, "first").join(names, F.col("name") == F.col("key"))
+    return members.select("round", F.min("written").over(Window.partitionBy("first")).alias("first"), F.col("written").alias("name"), (F.col("n") > 1).alias("together"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wharfline.functions.sqltext import chunk_path
 from wharfline.operators.extract import numbered
+from wharfline.operators.shared import written
 
 
 def index_problems(index: DataFrame) -> DataFrame:
@@ -113,3 +114,76 @@ def staged_problems(index: DataFrame, staged: DataFrame) -> DataFrame:
     both = index.join(staged.select("p", "size", "mtime", F.lit(True).alias("_there")), "p", "left")
     problem = F.when(F.col("_there").isNull(), "missing").when(~F.col("size").eqNullSafe(F.col("b")), "size").when(~F.col("mtime").eqNullSafe(F.col("m")), "time")
     return both.select("p", problem.alias("problem")).where("problem is not null")
+
+
+# --- order and phases --------------------------------------------------------
+
+#: The phases of a verification, in order.
+PHASES = ("manifest", "volumes", "indexes", "index_lines", "containers", "contents")
+
+
+def phased(findings: DataFrame, phases: tuple[str, ...] = PHASES) -> DataFrame:
+    """The findings (archive, phase, stops) that a verification in phases comes to: those of phases after one with a finding that stops are never looked for.
+
+    A finding of an unknown or null phase is left out; a null ``stops`` doesn't stop. Archives may have any number of findings: what stops an archive is one row.
+    """
+    number = F.array_position(F.array(*map(F.lit, phases)), F.col("phase"))
+    numbered_ = findings.withColumn("_phase", number).where("_phase > 0")
+    stopped = numbered_.where("stops").groupBy("archive").agg(F.min("_phase").alias("_last"))
+    return numbered_.join(stopped, "archive", "left").where(F.col("_last").isNull() | (F.col("_phase") <= F.col("_last"))).select(*findings.columns)
+
+
+def resynced(lines: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each entry of an archive stands in its index, and where reading has to stop.
+
+    lines (archive, line, name): the index, lines numbered from 0 without gaps. entries (archive, entry, name,
+    gap): what is there, numbered likewise; ``gap`` says that a part before the entry is lost. An entry stands on the line after
+    its predecessor's; one after a gap on the first line of its name that isn't before that. First: archive, entry, line for all entries up to the
+    first that doesn't stand where it must. Second: archive, entry and problem (order, or lost: after a gap no such line follows) of that entry.
+
+    Entries between two gaps move together, so only the first of each such run looks for its line, by a join by name;
+    each round moves runs on that begin before their predecessor's end, until none does (no name repeated: one round). Numbers are unique and not null.
+    """
+    upto = Window.partitionBy("archive").orderBy("entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = (F.col("entry") == 0) & ~F.coalesce("gap", F.lit(False))
+    starts = F.coalesce("gap", F.lit(False)) | (F.col("entry") == 0)
+    marked = written(entries.withColumn("run", F.sum(starts.cast("int")).over(upto)).withColumn("fixed", first), "verify-entries")
+    runs = marked.groupBy("archive", "run").agg(F.min("entry").alias("from"), F.count(F.lit(1)).alias("n"), F.min_by("name", "entry").alias("name"), F.max("fixed").alias("fixed"))
+    # Lines of the names that runs begin with: all that searching needs.
+    known = written(lines.join(runs.select("archive", "name").distinct(), ["archive", "name"]).select("archive", "name", "line"), "verify-lines")
+    by_run = Window.partitionBy("archive").orderBy("run")
+
+    def placed(at: DataFrame) -> DataFrame:
+        """Each run on the first line of its name from ``least`` on; null if there is none. The first entry of an archive with no gap before it stands on line 0."""
+        at = at.drop("line")
+        found = at.join(known, ["archive", "name"], "left").groupBy("archive", "run").agg(F.min(F.when(F.col("line") >= F.col("least"), F.col("line"))).alias("line"))
+        return at.join(found, ["archive", "run"]).withColumn("line", F.when(F.col("fixed"), F.lit(0)).otherwise(F.col("line")))
+
+    at = written(placed(runs.withColumn("least", F.lit(0).cast("bigint"))), "verify-runs")
+    while True:
+        # A run without a line hides those after it.
+        end = F.lag(F.col("line") + F.col("n")).over(by_run)
+        after = at.withColumn("bound", F.greatest("least", F.coalesce(end, F.lit(0))))
+        if after.where("bound > least and bound > line and not fixed").isEmpty():
+            break
+        at = written(placed(after.withColumn("least", F.col("bound")).drop("bound")), "verify-runs")
+    stood = marked.join(at.select("archive", "run", "from", F.col("line").alias("begin")), ["archive", "run"])
+    stood = stood.withColumn("line", F.col("begin") + F.col("entry") - F.col("from"))
+    there = lines.select("archive", "line", F.col("name").alias("listed"))
+    checked = stood.join(there, ["archive", "line"], "left")
+    problem = F.when(F.col("begin").isNull(), "lost").when(~F.col("listed").eqNullSafe(F.col("name")), "order")
+    checked = written(checked.select("archive", "entry", "line", problem.alias("problem")), "verify-stood")
+    stops = checked.where("problem is not null").groupBy("archive").agg(F.min(F.struct("entry", "problem")).alias("s")).select("archive", "s.entry", "s.problem")
+    until = stops.select("archive", F.col("entry").alias("until"))
+    fine = checked.join(until, "archive", "left").where(F.col("until").isNull() | (F.col("entry") < F.col("until"))).select("archive", "entry", "line")
+    return fine, stops
+
+
+def missing_lines(lines: DataFrame, fine: DataFrame, stops: DataFrame) -> DataFrame:
+    """archive, first, last and n: runs of index lines that no entry stands on, up to the place where reading stopped; without a stop, up to the index's end."""
+    size = lines.groupBy("archive").agg(F.count(F.lit(1)).alias("size"))
+    ends = size.join(stops.select("archive", F.lit(True).alias("stopped")), "archive", "left")
+    by_line = Window.partitionBy("archive").orderBy("line")
+    held = fine.select("archive", "line").unionByName(ends.where("stopped is null").select("archive", F.col("size").alias("line")))
+    gaps = held.withColumn("first", F.coalesce(F.lag("line").over(by_line) + 1, F.lit(0))).where("line > first")
+    return gaps.select("archive", "first", (F.col("line") - 1).alias("last"), (F.col("line") - F.col("first")).alias("n"))

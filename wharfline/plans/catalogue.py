@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wharfline.functions import hashing, masking, paths, replace, sizes, sqltext
 from wharfline.operators import carry, catalog, extract, files, graph, jobs, verify
-from wharfline.plans import dumps, listings  # register their queries
+from wharfline.plans import dumps, listings, orders  # register their queries
 from wharfline.plans.registry import oracle_sql, queries, query, table
 from wharfline.sources import dump, index
 
@@ -458,20 +458,6 @@ def fk_conflicts(spark, sf_dir):
     return catalog.key_conflicts(edges, moved, region.where("r_regionkey < 2").select(F.concat(F.lit("r"), "r_regionkey").alias("name")))
 
 
-@query("SELECT * FROM (VALUES (0, 'x', FALSE), (1, 'a', TRUE), (1, 'b', TRUE), (2, 'p', FALSE), (3, 'free', FALSE), (4, 'r', FALSE)) t(step, name, together)")
-def drop_order(spark, sf_dir):
-    edges = [("a", "b"), ("b", "a"), ("b", "p"), ("x", "a"), ("live_ext", "k"), ("k", "q"), ("r", "k")]
-    one = graph.drop_order(["a", "b", "p", "x"], edges)[0]
-    two = graph.drop_order(["k", "q", "r", "free"], edges)[0]
-    return spark.createDataFrame([(i, n, off) for i, (names, off) in enumerate([*one, *two]) for n in names], "step int, name string, together boolean")
-
-
-@query("SELECT * FROM (VALUES ('k', 'live_ext'), ('q', 'k')) t(name, \"by\")")
-def kept_tables(spark, sf_dir):
-    edges = spark.createDataFrame([("live_ext", "k"), ("k", "q"), ("r", "k")], "child string, parent string")
-    return graph.kept_tables(_names(spark, ["k", "q", "r", "free"]), edges)
-
-
 @query("""WITH c(name, candidate, rank) AS (VALUES ('x0', 'x1', 1), ('x0', 'x2', 2), ('y0', 'y1', 1)), k(name) AS (VALUES ('x2'), ('z0'))
 SELECT * FROM (VALUES ('x0', 'x2'), ('y0', NULL), ('z0', 'z0')) t(name, choice)""")
 def collation_choice(spark, sf_dir):
@@ -617,7 +603,11 @@ def question_ids(spark, sf_dir):
     return grouped.select("key", hashing.question_id(F.array(F.col("key").cast("string"), F.lit("t")), F.col("names")).alias("id"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(len(b) AS BIGINT) AS bytes, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INTEGER)])), 4294967295) AS crc FROM b, t
+""")
 def crc_of_chunks(spark, sf_dir):
     pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(hashing.text_chunks(F.col("text"), 1000)).alias("n", "piece"))
     return hashing.crc_of_chunks(pieces, "doc_id", "n", "piece")

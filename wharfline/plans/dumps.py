@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wharfline.operators import definitions
+from wharfline.operators import definitions, extract
 from wharfline.plans.registry import query, table
 from wharfline.sources import foreign
 
@@ -32,7 +32,7 @@ def _pieces(spark, sf_dir):
         F.lit("INSERT INTO `docs` (`doc_id`,`lang`,\n  `text`) VALUES\n("), F.col("doc_id").cast("string"), F.lit(","), F.coalesce(_quoted(F.col("lang")), F.lit("NULL")), F.lit(", "), F.coalesce(_quoted(F.col("text")), F.lit("NULL")), F.lit(");\n"),
     )
     parts = docs.select(F.coalesce("source", F.lit("none")).alias("dump"), F.col("doc_id").alias("piece"), body.cast("binary").alias("body")).withColumn("size", F.octet_length("body").cast("bigint"))
-    placed = foreign._running(parts, ["size"])
+    placed = extract.running_sums(parts, ["dump"], "piece", ["size"])
     return foreign.cut(placed.select("dump", F.col("size_before").alias("at"), "body"), PIECE)
 
 

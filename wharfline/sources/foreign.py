@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wharfline.operators.extract import running_sums
 from wharfline.operators.shared import written
 
 #: Pieces of a block of the scan, and bytes that lines of a file are joined up to.
@@ -188,17 +189,6 @@ def entry_states(steps: DataFrame) -> DataFrame:
     return known.join(entered, ["dump", "block"]).select("dump", "piece", F.get("before", F.col("entered")).alias("state"))
 
 
-def _running(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``<column>_before`` of rows (dump, piece): its sum over all earlier pieces of the dump, by blocks and then over them."""
-    df = df.withColumn("_block", F.floor(F.col("piece") / BLOCK))
-    inside = Window.partitionBy("dump", "_block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy("dump").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("dump", "_block").agg(*[F.sum(c).alias(c) for c in columns])
-    totals = totals.select("dump", "_block", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_{c}") for c in columns])
-    df = df.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}).join(totals, ["dump", "_block"])
-    return df.select(*[c for c in df.columns if c != "_block" and not c.endswith("_before")], *[(F.col(f"{c}_before") + F.col(f"_{c}")).alias(f"{c}_before") for c in columns])
-
-
 def statements(pieces: DataFrame) -> DataFrame:
     """dump, number (from 0), at, bytes, closed and body of each statement of pieces (dump, piece, body), its semicolon included.
 
@@ -228,7 +218,7 @@ def statements(pieces: DataFrame) -> DataFrame:
     entered = entry_states(pieces.mapInArrow(steps, "dump string, piece bigint, step array<int>"))
     parts = pieces.join(entered, ["dump", "piece"]).mapInArrow(split, "dump string, piece bigint, k int, from int, body binary, whole boolean, closed boolean, ends bigint, size bigint")
     parts = written(parts, "dump-parts")
-    places = _running(parts.where("k = 0").select("dump", "piece", "ends", "size"), ["ends", "size"])
+    places = running_sums(parts.where("k = 0").select("dump", "piece", "ends", "size"), ["dump"], "piece", ["ends", "size"], BLOCK)
     placed = parts.join(places.select("dump", "piece", "ends_before", "size_before"), ["dump", "piece"])
     placed = placed.select("dump", (F.col("ends_before") + F.col("k")).alias("number"), (F.col("size_before") + F.col("from")).alias("at"), "body", "whole", "closed")
     n = F.octet_length("body").cast("bigint")
