@@ -45,11 +45,11 @@ def test_query_in_both_versions(spark, version):
 
 @pytest.mark.parametrize("version", [1, 2])
 def test_odd_pages(spark, version):
-    rows = [(1, "http://a b\n/ü", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "<p>\r\n\r\nWARC/1.0\r\n"), (6, "u", "x" * 200_000), (None, "u", "x"), (2, None, "x"), (7, "u", "only")]
+    rows = [(1, "http://a b\n/ü", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "<p>\r\n\r\nWARC/1.0\r\n"), (6, "u", "x" * 200_000), (None, "u", "x"), (2, None, "x"), (7, "u", "only"), (8, "filedesc://x.arc", "1 0 x"), (9, "filedesc:", "y"), (10, "Filedesc://z", "z")]
     pages = spark.createDataFrame([(*r, "clash", 1, "2001-02-03 04:05:06", 2, b"m") for r in rows], "page_id long, url string, html string, digest string, refers_to int, date string, part int, map binary")
     archives = written(archive.pages_to_warc(pages, version=version), "warc")
     assert read(referred(archives)) == brute([(i, h) for i, _, h in rows])
-    assert {(r.uri, r.date) for r in archive.read_warc(archives).collect()} == {(u, "2001-02-03T04:05:06Z") for u in ("http://a%20b%0A/ü", "-", "u")}
+    assert {(r.uri, r.date) for r in archive.read_warc(archives).collect()} == {(u, "2001-02-03T04:05:06Z") for u in ("http://a%20b%0A/ü", "-", "u", "filedesc://x.arc", "filedesc:", "Filedesc://z")}
     assert referred(archive.pages_to_warc(pages.limit(0))).count() == 0
 
 

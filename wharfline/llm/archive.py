@@ -40,6 +40,8 @@ SIEVE_BITS = 1 << 24
 _MAP_BITS = 1 << 15
 
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+#: The scheme that marks version blocks, and how a page's address of that scheme is written, so that none passes for one.
+VERSION_SCHEME, PAGE_SCHEME = "filedesc:", "%66iledesc:"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -61,13 +63,15 @@ def _arc_line(url: str | None, ip: str, date: str, mime: str, size: int, version
 
 
 def arc_record(url: str | None, ip: str, date: str, mime: str, block: bytes, version: int = 1) -> bytes:
+    if (url or "").startswith(VERSION_SCHEME):
+        url = PAGE_SCHEME + url[len(VERSION_SCHEME) :]
     return _arc_line(url, ip, date, mime, len(block), version) + block + b"\n"
 
 
 def version_block(date: str, version: int) -> bytes:
     """The record that begins an ARC file: its block names the version and the fields of the header lines."""
     block = f"{version} 0 wharfline\n{ARC_TITLES[version]}\n\n".encode()
-    return _arc_line("filedesc://part.arc", "0.0.0.0", date, "text/plain", len(block), version) + block
+    return _arc_line(f"{VERSION_SCHEME}//part.arc", "0.0.0.0", date, "text/plain", len(block), version) + block
 
 
 def arc_records(body: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -82,7 +86,7 @@ def arc_records(body: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             continue
         end = body.index(b"\n", at)
         fields = body[at:end].decode().split(" ")
-        if fields[0].startswith("filedesc://"):
+        if fields[0].startswith(VERSION_SCHEME):
             declared = body[end + 1 :].split(b"\n", 1)[0].split(b" ")[0]
             if not declared.isdigit() or int(declared) not in ARC_FIELDS:
                 raise ValueError(f"unknown ARC version {declared[:20]!r}")
@@ -124,16 +128,18 @@ def warc_record(head: dict[str, str], block: bytes) -> bytes:
     http, payload = http_parts(block) if block.startswith(b"HTTP/") else (b"", block)
     digest = base32_sha1(payload)
     page, refers = _http_field(http, PAGE_FIELD), _http_field(http, REFERS_FIELD)
-    kind = "warcinfo" if head["url"].startswith("filedesc://") else "resource" if not http else "response" if refers is None else "revisit"
+    kind = "warcinfo" if head["url"].startswith(VERSION_SCHEME) else "resource" if not http else "response" if refers is None else "revisit"
     kept = http if kind == "revisit" else block
     own = record_id(page, digest) if page and kind == "response" else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((head['url'], date, digest, http.hex())))}>"
+    url = head["url"]
+    url = VERSION_SCHEME + url[len(PAGE_SCHEME) :] if url.startswith(PAGE_SCHEME) else url
     lines = [
         "WARC/1.0",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {own}",
         f"WARC-Date: {date}",
         f"WARC-Block-Digest: sha1:{base32_sha1(kept)}",
-        *([f"WARC-Filename: {head['url'][11:]}"] if kind == "warcinfo" else [f"WARC-Target-URI: {head['url']}", f"WARC-IP-Address: {head['ip']}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]),
+        *([f"WARC-Filename: {url[len(VERSION_SCHEME) + 2 :]}"] if kind == "warcinfo" else [f"WARC-Target-URI: {url}", f"WARC-IP-Address: {head['ip']}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]),
         *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers, digest)}"] if kind == "revisit" else []),
         f"Content-Type: {'application/http; msgtype=response' if http else head['mime']}",
         f"Content-Length: {len(kept)}",
