@@ -1,5 +1,6 @@
 import datetime as dt
 
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from wharfline.functions import clock, paths, sqltext
@@ -37,10 +38,14 @@ def test_times(spark):
         assert tuple(dos) == (t.hour << 11 | t.minute << 5 | t.second // 2, (t.year - 1980) << 9 | t.month << 5 | t.day)
 
 
-def test_own_names_and_limits(spark):
-    given = ["tmp0a1b2c_7_00ff_posts", "tmp0a1b2c_07_00ff_posts", "tmp0A1b2c_7_00ff_posts", "tmp0a1b2c_7_00ff_" + "x" * 60, "wp_JOBS", "jobs\n", "jobs2", None]
+def test_own_names_are_those_that_are_made(spark):
+    made = spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey", sqltext.generated_name("tmp", F.col("p_partkey"), F.col("p_name")).alias("n"))
+    assert made.where(~sqltext.own_name(F.col("n"), ["tmp"], ["jobs"])).isEmpty()
+    given = ["tmp7_0123456789ab", "tmp_0123456789ab", "tmp7_0123456789AB", "tmp7_0123456789abc", "7_0123456789ab", "old7_0123456789ab", "wp_JOBS", "jobs", "jobs\n", "jobs2", "a-jobs", None]
     df = spark.createDataFrame([(n,) for n in given], "n string")
-    assert [r[0] for r in df.select(sqltext.own_name(F.col("n"), ["tmp"], ["jobs"])).collect()] == [True, False, False, False, True, False, False, False]
+    assert [r[0] for r in df.select(sqltext.own_name(F.col("n"), ["tmp"], ["jobs"])).collect()] == [True] + [False] * 5 + [True, True] + [False] * 4
+    kinds = spark.createDataFrame([(n,) for n in ("wp_posts", "wp_3_posts", "wp_users", "wp_3_users", "x_posts", "wp_3_4_posts", "wp_postsx", None)], "n string")
+    assert [r[0] for r in kinds.select(sqltext.table_kind(F.col("n"), "wp_", ["users"], ["posts"])).collect()] == ["posts", "posts", "users", "", "", "", "", ""]
 
 
 def test_numbered_with_nulls_ties_and_clashes(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,9 @@ from wharfline.functions.sizes import kind_of
 
 #: What a quoted literal escapes, backslash first, as the others bring backslashes in.
 ESCAPES = (("\\", "\\\\"), ("'", "\\'"), ("\0", "\\0"), ("\n", "\\n"), ("\r", "\\r"), ("\x1a", "\\Z"))
-PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
+PLAIN_NUMBER = r"\A-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?\z"
+#: Hexadecimal digits that end a generated name.
+GENERATED_DIGITS = 12
 #: Bytes of an identifier at most.
 NAME_BYTES = 64
 
@@ -75,7 +77,7 @@ def swapped_prefix(name: Column, old: str, new: str) -> Column:
     return F.when(name.startswith(old), F.concat(F.lit(new), F.substring(name, F.lit(len(old) + 1), F.length(name)))).otherwise(name)
 
 
-def generated_name(kind: str, job: Column, table: Column, size: int = 12) -> Column:
+def generated_name(kind: str, job: Column, table: Column, size: int = GENERATED_DIGITS) -> Column:
     """A short name for a table of a job that no other table has: kind, job, and hex digits of a hash of both."""
     return F.concat(F.lit(kind), job.cast("string"), F.lit("_"), F.substring(F.sha2(F.concat_ws("|", job.cast("string"), table), 256), 1, size))
 
@@ -87,19 +89,23 @@ def bounded_name(name: Column, limit: int = NAME_BYTES, digits: int = 7) -> Colu
     return F.when(F.octet_length(name) <= limit, name).otherwise(F.concat(F.substring(name, F.lit(1), fits), F.lit("_"), F.substring(F.sha2(name, 256), 1, digits)))
 
 
-def own_name(name: Column, kinds: list[str], tables: list[str], longest: int = NAME_BYTES) -> Column:
-    """Whether a table is a job's own: generated (kind, six hexadecimal digits, a job's number, four such digits and a table's name, between underscores), or one of ``tables`` after any prefix, in any case. Null isn't."""
-    generated = rf"^(?:{'|'.join(map(re.escape, kinds))})[0-9a-f]{{6}}_[1-9][0-9]{{0,18}}_[0-9a-f]{{4}}_[A-Za-z0-9_]+$"
-    named = rf"(?i)^[a-z0-9_]*(?:{'|'.join(map(re.escape, tables))})$"
-    line = ~name.contains("\n")
-    return F.coalesce(line & ((name.rlike(generated) & (F.octet_length(name) <= longest)) | name.rlike(named)), F.lit(False))
+def own_name(name: Column, kinds: list[str], tables: list[str], size: int = GENERATED_DIGITS) -> Column:
+    """Whether a table is a job's own: a name that ``generated_name`` makes for one of ``kinds``, or one of ``tables`` in any case, alone or after a prefix of letters, digits and underscores. Null isn't."""
+    kind = F.regexp_extract(name, rf"\A(.*?)[0-9]+_[0-9a-f]{{{size}}}\z", 1)
+    generated = kind.isin(*kinds) & (kind != "") if kinds else F.lit(False)
+    low = F.lower(name)
+    named = reduce(lambda a, b: a | b, [low.endswith(t.lower()) & F.substring(low, F.lit(1), F.length(low) - len(t)).rlike(r"\A[a-z0-9_]*\z") for t in tables], F.lit(False))
+    return F.coalesce(generated | named, F.lit(False))
 
 
-def table_kind(name: Column, prefix: str, whole: tuple[str, ...] = ("users",), per_site: tuple[str, ...] = ("posts", "comments", "wc_orders")) -> Column:
-    """The counted table that a name under the prefix is, after a site's number at most for those of each site; "" if none."""
+def table_kind(name: Column, prefix: str, once: list[str], each_site: list[str]) -> Column:
+    """The counted table that a name is: the prefix and one of ``once``, or the prefix, perhaps a site's number and an underscore, and one of ``each_site``; "" if none."""
     rest = F.substring(name, F.lit(len(prefix) + 1), F.length(name))
-    site = F.regexp_replace(rest, "^[0-9]+_", "")
-    return F.when(~name.startswith(prefix), "").when(rest.isin(*whole), rest).when(site.isin(*per_site), site).otherwise("")
+    parts = F.split(rest, "_", 2)
+    number = F.get(parts, F.lit(0)).rlike(r"\A[0-9]+\z") & (F.size(parts) == 2)
+    table = F.when(number, F.get(parts, F.lit(1))).otherwise(rest)
+    known = F.when(table.isin(*each_site), table).when(~number & rest.isin(*once), rest)
+    return F.coalesce(F.when(name.startswith(prefix), known), F.lit(""))
 
 
 def statement_bytes(packet: Column, share: float = 0.5, least: int = 4096, most: int = 1 << 20) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions.sizes import row_estimate
+from wharfline.functions.sqltext import NAME_BYTES, generated_name, own_name, swapped_prefix
 
 #: Tables that every installation has, and the names of its tables per site and as a whole.
 MARKERS = ("posts", "postmeta", "options", "comments", "terms", "term_taxonomy", "term_relationships")
@@ -84,12 +85,27 @@ def incoming_judgement(live: DataFrame, finals: DataFrame, name: str, prefix: st
     return finals.select(name).distinct().join(fates, name, "left").select(name, verdict.alias("verdict")).where("verdict is not null")
 
 
-def restore_plan(names: DataFrame, name: str, old: str, new: str, job: int) -> DataFrame:
-    """name, final (under the new prefix), temporary, and clash: whether another name ends up there too."""
-    from wharfline.functions.sqltext import generated_name, swapped_prefix
+def restore_plan(names: DataFrame, name: str, old: str, new: str, job: int, *, excluded: list[str] | None = None, longest: int = NAME_BYTES) -> DataFrame:
+    """name, final (under the new prefix), temporary, clash (whether another name ends up there too), and reason, why a table isn't restored.
 
-    planned = names.select(name, swapped_prefix(F.col(name), old, new).alias("final"), generated_name("wt", F.lit(job), F.col(name)).alias("temporary"))
-    return planned.withColumn("clash", F.count(F.lit(1)).over(Window.partitionBy(F.lower("final"))) > 1)
+    A table is left out if it is ``excluded`` or a job's own; a plan can't run with one of another prefix, with
+    a final name longer than ``longest`` bytes, or with two that end up under one name or share a temporary one (clash, shared), cases aside. Null: nothing stands against it.
+    """
+    name_ = F.col(name)
+    planned = names.select(name, swapped_prefix(name_, old, new).alias("final"), generated_name("wt", F.lit(job), name_).alias("temporary"))
+    planned = planned.withColumn("clash", F.count(F.lit(1)).over(Window.partitionBy(F.lower("final"))) > 1)
+    first = F.when(name_.isin(excluded or []), "excluded").when(own_name(name_, ["wt"], []), "own").when(~name_.startswith(old), "another prefix").when(F.octet_length("final") > longest, "too long")
+    planned = planned.withColumn("reason", first)
+    both = {c: F.count(F.when(F.col("reason").isNull(), 1)).over(Window.partitionBy(F.lower(c))) > 1 for c in ("final", "temporary")}
+    planned = planned.withColumns({"_final": both["final"], "_temporary": both["temporary"]})
+    reason = F.coalesce("reason", F.when(F.col("_final"), "clash").when(F.col("_temporary"), "shared"))
+    return planned.withColumn("reason", reason).drop("_final", "_temporary")
+
+
+def missing_tables(names: DataFrame, name: str, sites: DataFrame, needed: list[str]) -> DataFrame:
+    """prefix and missing: the tables that a restored site (``sites``: prefix) needs and that aren't among the names."""
+    wanted = sites.select("prefix", F.explode(F.array(*map(F.lit, needed))).alias("table")).select("prefix", F.concat("prefix", "table").alias("missing"))
+    return wanted.join(names.select(F.col(name).alias("missing")), "missing", "left_anti").select("prefix", "missing")
 
 
 def swap_states(plan: DataFrame, there: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def index_problems(index: DataFrame) -> DataFrame:
     problem = (
         F.when(F.col("c") != F.col("turn"), "order")
         .when(F.col("p") != chunk_path(F.col("t"), F.col("c").cast("int")), "path")
-        .when(~F.col("h").rlike("^[0-9a-f]{64}$"), "hash")
+        .when(~F.col("h").rlike(r"\A[0-9a-f]{64}\z"), "hash")
         .when(F.col("b") < 0, "size")
     )
     return checked.select("t", "c", problem.alias("problem")).where("problem is not null")

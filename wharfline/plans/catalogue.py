@@ -303,12 +303,21 @@ def give_up_and_claim(spark, sf_dir):
     return last.select("user_id", jobs.give_up(s, F.col("p"), F.col("p"), now, F.col("user_id") % 5 == 0).alias("reason"), jobs.claimable(s, F.col("p") + 120, F.col("user_id") % 4, now).alias("claimable"))
 
 
-@query("""WITH w(id, type, backup) AS (VALUES (1, 'export', NULL), (2, 'restore', 'a'), (3, 'verify', 'a'), (4, 'estimate', NULL), (5, 'verify', 'b')),
-a(job_id, type, backup) AS (VALUES (10, 'export', NULL), (11, 'verify', 'a'), (12, 'estimate', NULL))
-SELECT * FROM (VALUES (1, 'export', NULL, 'exporting'), (2, 'restore', 'a', 'exporting'), (3, 'verify', 'a', 'verifying'), (4, 'estimate', NULL, 'busy'), (5, 'verify', 'b', NULL)) r(id, type, backup, reason)""")
+@query("""WITH w AS (SELECT o_orderkey AS id, ['export', 'restore', 'verify', 'estimate'][o_orderkey % 4 + 1] AS type, CASE WHEN o_orderkey % 4 IN (1, 2) THEN concat('b', o_custkey % 500) END AS backup FROM orders),
+a AS (SELECT c_custkey AS job_id, CASE WHEN c_custkey % 10 = 3 THEN 'verify' WHEN c_custkey % 10 = 4 THEN 'estimate' WHEN c_custkey = 57 THEN 'export' END AS type, CASE WHEN c_custkey % 10 = 3 THEN concat('b', c_custkey % 500) END AS backup FROM customer),
+r(new, old, reason, place) AS (VALUES ('estimate', 'export', 'busy', 1), ('estimate', 'restore', 'busy', 2), ('estimate', 'estimate', 'busy', 3), ('*', 'restore', 'restoring', 4), ('restore', 'export', 'exporting', 5), ('export', 'export', 'exporting', 6)),
+f AS (SELECT type, CASE WHEN type = 'verify' THEN backup END AS backup, min(job_id) AS job_id FROM a WHERE type IS NOT NULL GROUP BY ALL),
+h AS (
+  SELECT w.id, f.job_id, r.reason, r.place FROM w JOIN f ON f.type <> 'verify' JOIN r ON r.new IN (w.type, '*') AND r.old = f.type AND (r.new = 'estimate' OR f.type <> 'estimate')
+  UNION ALL SELECT w.id, f.job_id, 'verifying', 9 FROM w JOIN f ON f.type = 'verify' AND f.backup = w.backup
+)
+SELECT id, type, backup, (SELECT first(reason ORDER BY job_id, place) FROM h WHERE h.id = w.id) AS reason FROM w""")
 def job_conflicts(spark, sf_dir):
-    wanted = spark.createDataFrame([(1, "export", None), (2, "restore", "a"), (3, "verify", "a"), (4, "estimate", None), (5, "verify", "b")], "id int, type string, backup string")
-    active = spark.createDataFrame([(10, "export", None), (11, "verify", "a"), (12, "estimate", None)], "job_id int, type string, backup string")
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    backup = F.when((k % 4).isin(1, 2), F.concat(F.lit("b"), (F.col("o_custkey") % 500).cast("string")))
+    wanted = table(spark, sf_dir, "orders").select(k.alias("id"), F.get(F.array(*map(F.lit, ("export", "restore", "verify", "estimate"))), (k % 4).cast("int")).alias("type"), backup.alias("backup"))
+    kind = F.when(c % 10 == 3, "verify").when(c % 10 == 4, "estimate").when(c == 57, "export")
+    active = table(spark, sf_dir, "customer").select(c.alias("job_id"), kind.alias("type"), F.when(c % 10 == 3, F.concat(F.lit("b"), (c % 500).cast("string"))).alias("backup")).where("type is not null")
     return jobs.conflicts(wanted, active)
 
 
@@ -339,21 +348,48 @@ def lost_writes(spark, sf_dir):
 
 # --- table names -------------------------------------------------------------
 
-#: Names of a database with this site's tables, a complete neighbour with a further table, and an incomplete one.
-NAMES = [
-    *[f"wp_{t}" for t in (*catalog.MARKERS, "users", "usermeta", "commentmeta", "wc_orders", "2_posts")],
-    *[f"wp_old_{t}" for t in (*catalog.MARKERS, "users", "yoast_indexable", "3_options")],
-    *[f"wp_old_2_{t}" for t in (*catalog.MARKERS, "custom")],
-    *[f"wp_forum_{t}" for t in ("posts", "options", "topics")],
-    "other_posts",
-    "stray",
-]
-_VALUES = ", ".join(f"('{n}')" for n in NAMES)
+
+
+def _site_names(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Names of a database with this site's tables, sub-sites, and for each customer a neighbour: complete, incomplete or nested, with further tables."""
+    k = F.col("c_custkey")
+    own, inner = F.concat(F.lit("wp_"), k.cast("string"), F.lit("x_")), F.concat(F.lit("wp_"), k.cast("string"), F.lit("x_in_"))
+    none = F.array().cast("array<string>")
+
+    def under(prefix, tables):
+        return F.array(*[F.concat(prefix, F.lit(t)) for t in tables])
+
+    parts = [
+        F.array(F.concat(own, F.lit("extra")), F.concat(F.lit("other_"), k.cast("string")), F.concat(F.lit("wp_"), (k % 50 + 1).cast("string"), F.lit("_posts"))),
+        F.when(k % 3 == 0, under(own, (*catalog.MARKERS, "users", "3_options"))).otherwise(none),
+        F.when(k % 3 == 1, under(own, catalog.MARKERS[1:])).otherwise(none),
+        F.when(k % 6 == 0, under(inner, (*catalog.MARKERS, "custom"))).otherwise(none),
+        F.when(k % 50 == 0, under(F.lit("wp_"), (*catalog.MARKERS, "users"))).otherwise(none),
+        F.when(k % 25 == 0, F.array(sqltext.generated_name("wt", F.lit(5), own), F.concat(own, F.lit("l" + "o" * 50 + "ng")))).otherwise(none),
+    ]
+    return table(spark, sf_dir, "customer").where(where).select(F.explode(F.concat(*parts)).alias("name")).distinct()
+
+
+def _site_names_sql(where: str = "true") -> str:
+    def under(prefix, tables):
+        return "[" + ", ".join(f"concat({prefix}, '{t}')" for t in tables) + "]"
+
+    own, inner = "concat('wp_', c_custkey, 'x_')", "concat('wp_', c_custkey, 'x_in_')"
+    parts = [
+        f"[concat({own}, 'extra'), concat('other_', c_custkey), concat('wp_', c_custkey % 50 + 1, '_posts')]",
+        f"CASE WHEN c_custkey % 3 = 0 THEN {under(own, (*catalog.MARKERS, 'users', '3_options'))} WHEN c_custkey % 3 = 1 THEN {under(own, catalog.MARKERS[1:])} ELSE [] END",
+        f"CASE WHEN c_custkey % 6 = 0 THEN {under(inner, (*catalog.MARKERS, 'custom'))} ELSE [] END",
+        f"CASE WHEN c_custkey % 50 = 0 THEN {under(repr('wp_'), (*catalog.MARKERS, 'users'))} ELSE [] END",
+        f"CASE WHEN c_custkey % 25 = 0 THEN [concat('wt5_', substr(sha256(concat('5|', {own})), 1, 12)), concat({own}, 'l', repeat('o', 50), 'ng')] ELSE [] END",
+    ]
+    return "SELECT DISTINCT unnest(" + " || ".join(parts) + f") AS name FROM customer WHERE {where}"
+
+
 _CORE = "|".join(catalog.SITE_TABLES)
 _ALL = "|".join((*catalog.SITE_TABLES, *catalog.GLOBAL_TABLES))
 
 _FOREIGN_SQL = f"""
-names(name) AS (VALUES {_VALUES}), o AS (SELECT name FROM names WHERE starts_with(name, 'wp_')),
+names AS ({_site_names_sql()}), o AS (SELECT name FROM names WHERE starts_with(name, 'wp_')),
 m(marker) AS (VALUES {", ".join(f"('{m}')" for m in catalog.MARKERS)}),
 cand AS (
   SELECT p.candidate FROM (SELECT substr(name, 1, length(name) - 5) AS candidate FROM o WHERE suffix(name, 'posts')) p
@@ -371,42 +407,48 @@ cand AS (
 ), fates AS (SELECT candidate, name, 'excluded' AS fate FROM x UNION ALL SELECT candidate, name, 'kept' FROM k)"""
 
 
-def _names(spark: SparkSession, names: list[str] = NAMES) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "name string")
-
-
 @query(f"WITH {_FOREIGN_SQL} SELECT candidate FROM cand")
 def relational_division_markers(spark, sf_dir):
-    return catalog.complete_prefixes(_names(spark).where("name like 'wp!_%' escape '!'"), "name", "wp_")
+    return catalog.complete_prefixes(_site_names(spark, sf_dir).where("name like 'wp!_%' escape '!'"), "name", "wp_")
 
 
 @query(f"WITH {_FOREIGN_SQL} SELECT name, candidate FROM x")
 def shortest_prefix_claim(spark, sf_dir):
-    names = _names(spark).where("name like 'wp!_%' escape '!'")
+    names = _site_names(spark, sf_dir).where("name like 'wp!_%' escape '!'")
     return catalog.claims(names, catalog.complete_prefixes(names, "name", "wp_"), "name")
 
 
 @query(f"WITH {_FOREIGN_SQL} SELECT * FROM fates")
 def foreign_tables(spark, sf_dir):
-    return catalog.foreign_tables(_names(spark), "name", "wp_", False)
+    return catalog.foreign_tables(_site_names(spark, sf_dir), "name", "wp_", False)
 
 
 @query(f"""WITH {_FOREIGN_SQL} SELECT name, CASE WHEN starts_with(name, 'wp_') AND name NOT IN (SELECT name FROM fates) THEN 'move' ELSE 'report' END AS fate
-FROM names WHERE name NOT IN ('wp_posts', 'wp_options', 'stray')""")
+FROM names WHERE name NOT IN ({_site_names_sql("c_custkey % 2 = 0")})""")
 def table_moves(spark, sf_dir):
-    return catalog.table_moves(_names(spark), _names(spark, ["wp_posts", "wp_options", "stray"]), "name", "wp_")
+    return catalog.table_moves(_site_names(spark, sf_dir), _site_names(spark, sf_dir, "c_custkey % 2 = 0"), "name", "wp_")
 
 
-@query(f"""WITH {_FOREIGN_SQL} SELECT n.name, CASE WHEN n.name = 'wp_users' OR (n.name = 'wp_old_posts' AND f.fate = 'excluded') THEN 'shared' WHEN f.fate = 'excluded' THEN 'neighbour' WHEN f.fate = 'kept' THEN 'uncertain' END AS verdict
-FROM names n LEFT JOIN fates f USING (name) WHERE n.name = 'wp_users' OR f.fate IS NOT NULL""")
+@query(f"""WITH {_FOREIGN_SQL}, f AS ({_site_names_sql("c_custkey % 5 < 3")}) SELECT n.name, CASE WHEN n.name = 'wp_users' OR (n.name = 'wp_6x_posts' AND t.fate = 'excluded') THEN 'shared' WHEN t.fate = 'excluded' THEN 'neighbour' WHEN t.fate = 'kept' THEN 'uncertain' END AS verdict
+FROM f AS n LEFT JOIN fates AS t USING (name) WHERE n.name = 'wp_users' OR t.fate IS NOT NULL""")
 def incoming_judgement(spark, sf_dir):
-    return catalog.incoming_judgement(_names(spark), _names(spark), "name", "wp_", ["wp_posts", "wp_users", "wp_old_posts"], shared=["wp_users"])
+    return catalog.incoming_judgement(_site_names(spark, sf_dir), _site_names(spark, sf_dir, "c_custkey % 5 < 3"), "name", "wp_", ["wp_posts", "wp_users", "wp_6x_posts"], shared=["wp_users"])
 
 
-@query(f"""WITH n(name) AS (VALUES {_VALUES}), p AS (SELECT name, CASE WHEN starts_with(name, 'wp_old_') THEN concat('wp_', substr(name, 8)) ELSE name END AS final FROM n)
-SELECT name, final, concat('wt5_', substr(sha256(concat('5|', name)), 1, 12)) AS temporary, count(*) OVER (PARTITION BY lower(final)) > 1 AS clash FROM p""")
+@query(f"""WITH n AS ({_site_names_sql()}), p AS (SELECT name, CASE WHEN starts_with(name, 'wp_1') THEN concat('wpnew_', substr(name, 5)) ELSE name END AS final, concat('wt5_', substr(sha256(concat('5|', name)), 1, 12)) AS temporary FROM n),
+r AS (
+  SELECT *, CASE WHEN name = 'wp_10x_extra' THEN 'excluded' WHEN regexp_full_match(name, 'wt[0-9]+_[0-9a-f]{{12}}') THEN 'own' WHEN NOT starts_with(name, 'wp_1') THEN 'another prefix' WHEN strlen(final) > 64 THEN 'too long' END AS first FROM p
+), c AS (SELECT lower(final) AS final FROM r WHERE first IS NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT name, final, temporary, lower(final) IN (SELECT lower(final) FROM p GROUP BY 1 HAVING count(*) > 1) AS clash, CASE WHEN first IS NULL AND lower(final) IN (FROM c) THEN 'clash' ELSE first END AS reason FROM r""")
 def restore_plan(spark, sf_dir):
-    return catalog.restore_plan(_names(spark), "name", "wp_old_", "wp_", 5)
+    return catalog.restore_plan(_site_names(spark, sf_dir), "name", "wp_1", "wpnew_", 5, excluded=["wp_10x_extra"])
+
+
+@query(f"""WITH p AS ({_site_names_sql("c_custkey % 3 = 0")}), s AS (SELECT c_custkey AS k, concat('wp_', c_custkey, 'x_') AS prefix FROM customer)
+SELECT prefix, concat(prefix, t) AS missing FROM s, (VALUES ('options'), ('terms')) AS needed(t) WHERE concat(prefix, t) NOT IN (FROM p)""")
+def needed_tables(spark, sf_dir):
+    sites = table(spark, sf_dir, "customer").select(F.concat(F.lit("wp_"), F.col("c_custkey").cast("string"), F.lit("x_")).alias("prefix"))
+    return catalog.missing_tables(_site_names(spark, sf_dir, "c_custkey % 3 = 0"), "name", sites, ["options", "terms"])
 
 
 @query("""WITH k AS (SELECT concat('wp_', n_nationkey % 7, CASE WHEN n_nationkey % 2 = 0 THEN '_capabilities' ELSE '_level' END) AS key FROM nation)
@@ -458,11 +500,16 @@ def fk_conflicts(spark, sf_dir):
     return catalog.key_conflicts(edges, moved, region.where("r_regionkey < 2").select(F.concat(F.lit("r"), "r_regionkey").alias("name")))
 
 
-@query("""WITH c(name, candidate, rank) AS (VALUES ('x0', 'x1', 1), ('x0', 'x2', 2), ('y0', 'y1', 1)), k(name) AS (VALUES ('x2'), ('z0'))
-SELECT * FROM (VALUES ('x0', 'x2'), ('y0', NULL), ('z0', 'z0')) t(name, choice)""")
+@query("""WITH c AS (SELECT p_partkey AS k, p_partkey % 5 IN (0, 1) AS known FROM part)
+SELECT concat('c', k) AS name, CASE WHEN known THEN concat('c', k) WHEN (SELECT o.known FROM c AS o WHERE o.k = c.k + 1) THEN concat('c', k + 1) WHEN (SELECT o.known FROM c AS o WHERE o.k = c.k + 3) THEN concat('c', k + 3) END AS choice FROM c""")
 def collation_choice(spark, sf_dir):
-    candidates = spark.createDataFrame([("x0", "x1", 1), ("x0", "x2", 2), ("y0", "y1", 1)], "name string, candidate string, rank int")
-    return catalog.first_known(_names(spark, ["x0", "y0", "z0"]), candidates, _names(spark, ["x2", "z0"]))
+    part = table(spark, sf_dir, "part")
+
+    def name(step: int):
+        return F.concat(F.lit("c"), (F.col("p_partkey") + step).cast("string"))
+
+    candidates = part.select(name(0).alias("name"), F.explode(F.array(*[F.struct(name(n).alias("candidate"), F.lit(rank).alias("rank")) for rank, n in ((2, 3), (1, 1))])).alias("c")).select("name", "c.*")
+    return catalog.first_known(part.select(name(0).alias("name")), candidates, part.where("p_partkey % 5 in (0, 1)").select(name(0).alias("name")))
 
 
 # --- keys and rows carried over ----------------------------------------------

@@ -74,12 +74,12 @@ def definition_problems(spark, sf_dir):
     return catalog.definition_problems(definitions, s.select(F.col("s_nationkey").alias("t"), "c", named.alias("columns"), creates.alias("creates")))
 
 
-@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('tmp', substr(md5(p_name), 1, 6), '_', p_partkey + 1, '_', substr(md5(p_brand), 1, 4), '_posts') WHEN 1 THEN 'wp_Wharf_Jobs'
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('tmp', p_partkey % 50, '_', substr(sha256(concat(p_partkey % 50, '|', p_name)), 1, 12)) WHEN 1 THEN 'wp_Wharf_Jobs'
   WHEN 2 THEN concat('wp_', p_partkey % 9, '_posts') WHEN 3 THEN 'wp_users' WHEN 4 THEN concat('tmp0_', p_partkey, '_users') ELSE concat('other_', p_partkey) END AS name FROM part)
 SELECT p_partkey, p_partkey % 6 IN (0, 1) AS own, CASE p_partkey % 6 WHEN 2 THEN 'posts' WHEN 3 THEN 'users' ELSE '' END AS kind FROM n""")
 def own_and_counted_tables(spark, sf_dir):
     k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    generated = F.concat(F.lit("tmp"), F.substring(F.md5("p_name"), 1, 6), F.lit("_"), (k + 1).cast("string"), F.lit("_"), F.substring(F.md5("p_brand"), 1, 4), F.lit("_posts"))
+    generated = sqltext.generated_name("tmp", k % 50, F.col("p_name"))
     name = (
         F.when(k % 6 == 0, generated)
         .when(k % 6 == 1, "wp_Wharf_Jobs")
@@ -88,7 +88,7 @@ def own_and_counted_tables(spark, sf_dir):
         .when(k % 6 == 4, F.concat(F.lit("tmp0_"), text, F.lit("_users")))
         .otherwise(F.concat(F.lit("other_"), text))
     )
-    return table(spark, sf_dir, "part").withColumn("name", name).select("p_partkey", sqltext.own_name(F.col("name"), ["tmp", "old"], ["wharf_jobs"]).alias("own"), sqltext.table_kind(F.col("name"), "wp_").alias("kind"))
+    return table(spark, sf_dir, "part").withColumn("name", name).select("p_partkey", sqltext.own_name(F.col("name"), ["tmp", "old"], ["wharf_jobs"]).alias("own"), sqltext.table_kind(F.col("name"), "wp_", ["users"], ["posts"]).alias("kind"))
 
 
 @query("""SELECT CASE WHEN p_partkey % 10 = 0 THEN 'pages/*' WHEN p_partkey % 10 < 4 THEN concat(p_partkey % 10, '/cache') ELSE p_brand END AS glob FROM part UNION SELECT p_brand FROM part WHERE p_brand <> ''""")
@@ -200,17 +200,20 @@ def archive_times(spark, sf_dir):
     return e.select("event_id", clock.utc_text(F.col("s")).alias("utc"), dos["time"].alias("dos_time"), dos["date"].alias("dos_date"))
 
 
-@query("SELECT event_id, event_id % 8 IN (0, 1, 2, 3) AS valid FROM events")
+@query("SELECT event_id, event_id % 11 IN (0, 1, 2, 3) AS valid FROM events")
 def stamp_validity(spark, sf_dir):
     k, day = F.col("event_id"), F.concat(F.lit("2024-0"), (F.col("event_id") % 9 + 1).cast("string"), F.lit("-15T1"), (F.col("event_id") % 10).cast("string"), F.lit(":30:59"))
     text = (
-        F.when(k % 8 == 0, F.concat(day, F.lit("Z")))
-        .when(k % 8 == 1, F.concat(day, F.lit(".5+02:00")))
-        .when(k % 8 == 2, F.concat(day, F.lit(".123456-11:30")))
-        .when(k % 8 == 3, "2024-02-29T00:00:00Z")
-        .when(k % 8 == 4, day)
-        .when(k % 8 == 5, "2023-02-29T00:00:00Z")
-        .when(k % 8 == 6, F.concat(F.translate(day, "T", " "), F.lit("Z")))
+        F.when(k % 11 == 0, F.concat(day, F.lit("Z")))
+        .when(k % 11 == 1, F.concat(day, F.lit(".5+02:00")))
+        .when(k % 11 == 2, F.concat(day, F.lit(".123456-11:30")))
+        .when(k % 11 == 3, "2024-02-29T00:00:00Z")
+        .when(k % 11 == 4, day)
+        .when(k % 11 == 5, "2023-02-29T00:00:00Z")
+        .when(k % 11 == 7, F.concat(day, F.lit("Z\n")))
+        .when(k % 11 == 8, F.concat(day, F.lit("+99:99")))
+        .when(k % 11 == 9, F.concat(day, F.lit(".1234567Z")))
+        .when(k % 11 == 6, F.concat(F.translate(day, "T", " "), F.lit("Z")))
     )
     return table(spark, sf_dir, "events").select("event_id", clock.is_stamp(text).alias("valid"))
 

@@ -31,7 +31,7 @@ def parse_manifest(documents: DataFrame, column: str = "manifest") -> DataFrame:
     problem = (
         F.when(F.col("size") > 4 << 20, "size")
         .when(F.col("m.version").isNull() | (F.col("m.version") != 1), "version")
-        .when(F.exists(tables, lambda t: ~t["sha256"].rlike("^[0-9a-f]{64}$") | (t["bytes"] < 0) | (t["chunks"] < 0)), "table")
+        .when(F.exists(tables, lambda t: ~t["sha256"].rlike(r"\A[0-9a-f]{64}\z") | (t["bytes"] < 0) | (t["chunks"] < 0)), "table")
     )
     return read.select("m.*", problem.alias("problem"))
 
