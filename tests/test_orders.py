@@ -9,7 +9,7 @@ from wharfline.operators import extract, graph, review, verify
 from wharfline.plans import catalogue
 from wharfline.streaming import jobs
 
-QUERIES = ["drop_order", "kept_tables", "resync_gaps", "verify_phases", "review_decisions", "review_questions", "leases_lapsed", "crc_of_chunks"]
+QUERIES = ["drop_order", "kept_tables", "resync_gaps", "verify_phases", "review_decisions", "review_questions", "leases_lapsed", "crc_of_chunks", "greedy_batches_wide", "nextfit_chunks_wide"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -131,6 +131,17 @@ def test_running_sums(spark):
         assert r.n_before == sum(n for i, n in own if i < r.i) and r.n_total == sum(n for _, n in own)
 
 
+@pytest.mark.parametrize("crossing", [True, False])
+def test_wide_batches_are_the_fold(spark, crossing):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "a", None]), i, rng.choice([0, 0, 1, 7, 30, 95, 100, 101, 950, None])) for i in range(900)] + [("zeros", i, 0) for i in range(60)] + [("one", 0, 5)]
+    df = spark.createDataFrame(rows, "s string, k long, n long").repartition(4)
+    args = (df, ["s"], ["k"], "n", 100)
+    fold, wide = (sorted((repr(r.s), r.k, r.batch) for r in f(*args, rows=20, crossing=crossing, **more).collect()) for f, more in ((extract.greedy_groups, {}), (extract.greedy_groups_wide, {"block": 16})))
+    assert fold == wide
+    assert extract.greedy_groups_wide(df.limit(0), ["s"], ["k"], "n", 100).count() == 0
+
+
 def test_silent_lease_is_told(spark, tmp_path):
     """Job 1 falls silent; the stream's time moves on by another job's events, and the lapse is told without any event of job 1."""
     start = datetime.datetime(2024, 1, 1)

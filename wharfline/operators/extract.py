@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions.sizes import oversize, row_estimate
+from wharfline.operators.shared import written
 
 Key = dict[str, object]
 
@@ -210,3 +212,101 @@ def running_sums(df: DataFrame, group: list[str], order: str, columns: list[str]
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return held.join(blocks, same).select(*df.columns, *[(F.col(f"{c}_before") + F.col(f"_{c}_before")).alias(f"{c}_before") for c in columns], *[F.col(f"_{c}_total").alias(f"{c}_total") for c in columns])
+
+
+# --- batches of long sections ---------------------------------------------------
+
+#: Rows of a block in which batches are followed by one task.
+BATCH_BLOCK = 1 << 16
+
+
+def positions(df: DataFrame, section: list[str], order: list[str], out: str = "position") -> DataFrame:
+    """df, written, with each row's number from 0 in its section, in ``order`` (nulls first; ties in a fixed but arbitrary order).
+
+    Rows are dealt by ranges of section and order; the numbers in a range come from its own order, and what is added
+    is counted by range and section, so no task orders a whole section.
+    """
+    keys = [*section, *order]
+    tie = "_tie"
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie)
+    rows = written(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "positions")
+    counts = rows.groupBy("_part", *section).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*section).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(section)], "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(section)], F.col("_part") == F.col("_p"))
+    return rows.join(counts, same).select(*[c for c in df.columns if c != out], (F.col("_at") - F.col("_first") + F.col("_before")).alias(out))
+
+
+def _next_starts(rows: DataFrame, target: int, most: int, crossing: bool) -> DataFrame:
+    """g, position and next: where the batch after one that begins at a row begins, for every row (g, position, n, n_before).
+
+    The row that a batch ends with is the one whose own sum passes the batch's first sum plus the target.
+    A row stands in all buckets of ``target`` that its sum runs through, so it is found in one bucket, by order.
+    """
+    begin, end = F.col("n_before"), F.col("n_before") + F.col("n")
+    spans = F.explode(F.expr(f"sequence(n_before div {target}, (n_before + n) div {target})"))
+    held = rows.where("n > 0").select("g", spans.alias("bucket"), end.alias("value"), F.col("position").alias("row"), F.lit(None).cast("bigint").alias("position"))
+    # With crossing, the first sum at or above the wanted one ends the batch; without, the first one above it begins the next.
+    asked = rows.select("g", F.expr(f"(n_before + {target}) div {target}").alias("bucket"), (begin + target).alias("value"), F.lit(None).cast("bigint").alias("row"), "position")
+    first_kind = F.col("row").isNull() if crossing else F.col("row").isNotNull()
+    after = Window.partitionBy("g", "bucket").orderBy("value", F.when(first_kind, 0).otherwise(1)).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = held.unionByName(asked).withColumn("hit", F.first("row", ignorenulls=True).over(after)).where("position is not null")
+    hit = F.col("hit") + 1 if crossing else F.when(F.col("hit").isNotNull(), F.greatest(F.col("hit"), F.col("position") + 1))
+    return found.select("g", "position", F.least(F.coalesce(hit, F.lit(1 << 62)), F.col("position") + most).alias("next"))
+
+
+def greedy_groups_wide(df: DataFrame, section: list[str], order: list[str], size: str, target: int, *, rows: int = 5000, crossing: bool = True, out: str = "batch", block: int = BATCH_BLOCK) -> DataFrame:
+    """What ``greedy_groups`` gives, for sections of any length: no task holds more than a block of a section.
+
+    Sums come from blocks; where a batch that begins at a row would end is found for every row by order within a bucket of sums.
+    Inside a block, following these from any row leads to the first batch beyond it; only rows that can be
+    reached from another block matter, and of those the ones on the way from the section's first row are found by doubling: each round a
+    row knows where twice as many blocks lead. Each block is then followed once from where it is entered. Only numbers travel, not rows.
+    Sizes are whole numbers of 0 or more, null counts as 0; rows of equal keys follow each other in a fixed order; null sections are sections.
+    """
+    kept = df.drop(out)
+    placed = positions(kept, section, order, "_position")
+    placed = placed.withColumn("_g", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in section]) if section else F.lit(0).cast("bigint"))
+    small = placed.select(F.col("_g").alias("g"), F.col("_position").alias("position"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("n"))
+    ahead = written(_next_starts(running_sums(small, ["g"], "position", ["n"]), target, rows, crossing).withColumn("block", F.floor(F.col("position") / block)), "batch-next")
+
+    def leave(group: pa.Table) -> pa.Table:
+        order_ = np.argsort(group.column("position").to_numpy())
+        at, to = group.column("position").to_numpy()[order_], group.column("next").to_numpy()[order_]
+        out_, first, last = to.copy(), int(at[0]), int(at[-1])
+        inside = np.flatnonzero(to <= last)
+        for i in inside[::-1].tolist():
+            out_[i] = out_[to[i] - first]
+        return pa.table([group.column("g"), pa.array(at), pa.array(out_)], ["g", "position", "leaves"])
+
+    exits = written(ahead.groupBy("g", "block").applyInArrow(leave, "g bigint, position bigint, leaves bigint"), "batch-exits")
+    # Rows where some block is entered; all chains run over them.
+    doors = exits.select("g", F.col("leaves").alias("position")).union(exits.select("g", F.lit(0).cast("bigint").alias("position"))).distinct()
+    jump = written(exits.join(doors, ["g", "position"]).select("g", "position", F.col("leaves").alias("to")), "batch-jump")
+    entered = jump.where("position = 0").select("g", "position")
+    while True:
+        more = entered.join(jump, ["g", "position"]).select("g", F.col("to").alias("position")).join(jump.select("g", "position"), ["g", "position"], "left_semi")
+        grown = written(entered.union(more).distinct(), "batch-entered")
+        onward = jump.select("g", F.col("position").alias("to"), F.col("to").alias("further"))
+        longer = jump.join(onward, ["g", "to"])
+        if longer.isEmpty():
+            entered = grown
+            break
+        # Entered rows reach as far as all jumps so far; each jump now goes twice as far.
+        jump = written(jump.join(onward, ["g", "to"], "left").select("g", "position", F.coalesce("further", "to").alias("to")), "batch-jump")
+        entered = grown
+
+    def follow(key: tuple, group: pa.Table, doors_: pa.Table) -> pa.Table:
+        order_ = np.argsort(group.column("position").to_numpy())
+        at, to = group.column("position").to_numpy()[order_], group.column("next").to_numpy()[order_]
+        starts = np.zeros(len(at), np.int64)
+        i = min(doors_.column("position").to_pylist(), default=None)
+        while i is not None and i <= at[-1]:
+            starts[i - at[0]] = 1
+            i = int(to[i - at[0]])
+        return pa.table([pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(at), pa.array(starts)], ["g", "position", "start"])
+
+    ways = entered.withColumn("block", F.floor(F.col("position") / block))
+    marks = ahead.groupBy("g", "block").cogroup(ways.groupBy("g", "block")).applyInArrow(follow, "g bigint, position bigint, start bigint")
+    numbers = running_sums(written(marks, "batch-starts"), ["g"], "position", ["start"]).select(F.col("g").alias("_g"), F.col("position").alias("_position"), (F.col("start_before") + F.col("start") - 1).alias(out))
+    return placed.join(numbers, ["_g", "_position"]).select(*kept.columns, out)

@@ -137,6 +137,19 @@ def nextfit_chunks(spark, sf_dir):
     return extract.batch_summary(batched, ["section"], "doc_id", "b")
 
 
+@query(_FOLD_SQL.format(size=DOCUMENT_SIZE, cut="f.held >= 65536").replace("doc_id // 500", "doc_id * 0"))
+def greedy_batches_wide(spark, sf_dir):
+    """The whole table is one section."""
+    docs = _sections(spark, sf_dir).withColumn("section", F.lit(0).cast("bigint"))
+    return extract.batch_summary(extract.greedy_groups_wide(docs, ["section"], ["doc_id"], "b", 65536, block=256), ["section"], "doc_id", "b")
+
+
+@query(_FOLD_SQL.format(size=DOCUMENT_SIZE, cut="f.held + d.b > 65536").replace("doc_id // 500", "doc_id * 0"))
+def nextfit_chunks_wide(spark, sf_dir):
+    docs = _sections(spark, sf_dir).withColumn("section", F.lit(0).cast("bigint"))
+    return extract.batch_summary(extract.greedy_groups_wide(docs, ["section"], ["doc_id"], "b", 65536, crossing=False, block=256), ["section"], "doc_id", "b")
+
+
 @query(
     _FOLD_SQL.format(size=DOCUMENT_SIZE, cut="(f.held + d.b > 262144 OR f.k = 20)")
     .replace("b AS held FROM d", "b AS held, 1 AS k FROM d")
