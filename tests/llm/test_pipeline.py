@@ -71,3 +71,35 @@ def test_empty_tables(spark, tmp_path):
         stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_stages_take_odd_documents(spark, odd_docs, texts):
+    """Nulls, empty and long texts, repeated rows and clashing columns, a stage at a time."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = sorted(map(repr, texts))
+
+    def out(name):
+        got = stages[name](spark, odd_docs, DATA)
+        assert got.columns == (corpus_pipeline.COLUMNS if name != "tokens" else ["doc_id", "source", "n_tokens", "tokens"])
+        return got.collect()
+
+    # Equal rows are kept or rejected together, and what stays is as it was.
+    good = [repr((r.doc_id, r.text, r.source)) for r in out("quality")]
+    assert all(good.count(r) in (0, rows.count(r)) for r in set(rows)) and set(good) <= set(rows)
+
+    # Copies of the 60 words, their near copy and the row without an id are one group, the two short texts another, each named by its smallest id; rows without words all stay.
+    kept = sorted(repr((r.doc_id, r.text, r.source)) for r in out("near_copies"))
+    single = [r for r in rows if not r.startswith(("(5,", "(6,", "(8,")) and not (r.startswith("(None, 'w0"))]
+    assert kept == sorted(single)
+
+    masked = out("personal_data")
+    assert sorted(repr((r.doc_id, r.source)) for r in masked) == sorted(repr((i, s)) for i, _, s in texts)
+    assert [r.text is None for r in masked].count(True) == 2 and all(r.n_chars == len(r.text) for r in masked if r.text is not None)
+    assert [r for r in masked if r.doc_id == 10 and "joe@x.example" not in r.text and "[email]" in r.text]
+
+    mixed = [repr((r.doc_id, r.text, r.source)) for r in out("mix")]
+    assert set(mixed) <= set(rows) and all(mixed.count(r) <= 3 * rows.count(r) for r in set(rows))
+
+    tokens = out("tokens")
+    assert sorted(repr((r.doc_id, r.source)) for r in tokens) == sorted(repr((i, s)) for i, _, s in texts)
+    assert all(r.n_tokens == len(r.tokens) for r in tokens) and sum(r.n_tokens == 0 for r in tokens) == 3
