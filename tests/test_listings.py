@@ -24,6 +24,8 @@ def test_path_keys(spark):
     given = ["A/B.txt", "É/x", "É/X", None, ""]
     df = spark.createDataFrame([(n,) for n in given], "n string")
     assert [r[0] for r in df.select(paths.path_key(F.col("n"))).collect()] == ["a/b.txt", "é/x", "é/x", None, ""]
+    keyed = paths.with_path_key(df.withColumn("k", F.lit(1)), "n", "k")
+    assert sorted(map(repr, keyed.collect())) == sorted(map(repr, df.select("n", paths.path_key(F.col("n")).alias("k")).collect())) and keyed.columns == ["n", "k"]
 
 
 def test_times(spark):

@@ -102,3 +102,6 @@ def test_broken_dump_raises(spark):
     lines = spark.createDataFrame([("INSERT INTO `t` (`a`, `b`) VALUES (1,2),(3);",)], "line string")
     with pytest.raises(Exception, match="values for 2 columns"):
         dump.parse_lines(lines, spark.createDataFrame([], "a int, b int").schema).collect()
+    for line in ("UPDATE x SET y = 1;", "INSERT INTO `t` (`a`) VALUES (1);", "INSERT INTO `t` (`a`, `b`) VALUES (1,now());", "half a line"):
+        with pytest.raises(Exception, match="ValueError"):
+            dump.parse_lines(spark.createDataFrame([(line,)], "line string"), spark.createDataFrame([], "a int, b int").schema).collect()

@@ -68,11 +68,17 @@ def _composed(path: pd.Series) -> pd.Series:
 
 
 def path_key(path: Column) -> Column:
-    """Composed Unicode, in lower case: equal keys may be one file where case doesn't count. Only paths beyond ASCII are composed in Python."""
+    """Composed Unicode, in lower case: equal keys may be one file where case doesn't count. All rows go through Python, which ``with_path_key`` spares those in ASCII."""
     plain = F.octet_length(path) == F.length(path)
     return F.coalesce(F.when(plain, F.lower(path)), _composed(F.when(~plain, path)))
 
 
+def with_path_key(df: DataFrame, path: str, out: str) -> DataFrame:
+    """df with ``path_key`` of a column as ``out``, null for null. Rows in ASCII stay in the JVM; the others, told apart by a filter, are composed in Python. A column named like ``out`` is replaced."""
+    plain = F.coalesce(F.octet_length(path) == F.length(path), F.lit(True))
+    return df.where(plain).withColumn(out, F.lower(path)).unionByName(df.where(~plain).withColumn(out, _composed(F.col(path))))
+
+
 def target_key(path: Column, *, fold: bool = True, trim: bool = False) -> Column:
     """The key of a path on a target that folds case and composes (``fold``) or drops dots and spaces at the ends of segments (``trim``)."""
     out = F.regexp_replace(path, r"[. ]+(?=/|$)", "") if trim else path

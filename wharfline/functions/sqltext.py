@@ -120,3 +120,25 @@ def key_hex(key: Column) -> Column:
 
 def key_from_hex(digits: Column) -> Column:
     return F.decode(F.unhex(digits), "UTF-8")
+
+
+def key_json(values: list[Column]) -> Column:
+    """A row's key as a JSON array of texts; a value (in bytes) that isn't UTF-8 is an object whose h has its hexadecimal digits. Null for a key with a null."""
+    parts = []
+    for value in values:
+        text = value.cast("binary").cast("string")
+        quoted_text = F.to_json(F.array(F.when(F.is_valid_utf8(text), text)))
+        digits = F.concat(F.lit('{"h":"'), F.lower(F.hex(value.cast("binary"))), F.lit('"}'))
+        parts.append(F.when(F.is_valid_utf8(text), F.substring(quoted_text, F.lit(2), F.length(quoted_text) - 2)).when(value.isNotNull(), digits))
+    inner = reduce(lambda a, b: F.concat(a, F.lit(","), b), parts)
+    return F.concat(F.lit("["), inner, F.lit("]"))
+
+
+def key_from_json(key: Column, size: int) -> list[Column]:
+    """The ``size`` values, in bytes, of a key that ``key_json`` made; null where the text is no such array."""
+    known = F.try_parse_json(key)
+    out = []
+    for i in range(size):
+        digits = F.try_variant_get(known, f"$[{i}].h", "string")
+        out.append(F.coalesce(F.unhex(digits), F.encode(F.when(digits.isNull(), F.try_variant_get(known, f"$[{i}]", "string")), "UTF-8")))
+    return out

@@ -59,6 +59,17 @@ def carry_back(live: DataFrame, old: DataFrame, name: str, row_id: str, own: Dat
     return carry(prune_older(live, name, row_id), old, name, mine)
 
 
+def names_above(df: DataFrame, own: DataFrame, name: str, row_id: str, bound: int) -> DataFrame:
+    """The own names that df has with an id above ``bound``, each once. Null names and ids are none."""
+    return df.where(F.col(row_id) > bound).select(name).join(own.select(name), name, "left_semi").distinct()
+
+
+def not_carried(live: DataFrame, old: DataFrame, own: DataFrame, name: str, row_id: str, bound: int) -> DataFrame:
+    """Own names of live that didn't come into old with an id above those it had (``bound``): while there is one, old rows must not go."""
+    wanted = live.select(name).join(own.select(name), name, "left_semi").distinct()
+    return wanted.join(names_above(old, own, name, row_id, bound), name, "left_anti")
+
+
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """base with the rows of changes in place of, or beside, its own."""
     return base.join(changes.select(*keys).distinct(), keys, "left_anti").select(*base.columns).unionByName(changes.select(*base.columns))

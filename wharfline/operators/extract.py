@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +87,22 @@ def sample_windows(df: DataFrame, key: str, *, windows: int = 8, rows: int = 500
     return reduce(DataFrame.unionByName, parts)
 
 
+def stored_size(df: DataFrame) -> tuple[int, int] | None:
+    """Rows and bytes of the files that df reads, from their listing and footers, no column read; None if df isn't a plain read of files."""
+    try:
+        files = df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("size"))
+    except AnalysisException:
+        return None
+    n, size = files.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return n, size
+
+
 def size_check(df: DataFrame, key: str | None, limit: int, *, exact_bytes: int = 256 << 20, exact_rows: int = 200_000, windows: int = 8, rows: int = 5000) -> DataFrame:
-    """mode, n and likely: how many rows are oversize. Exact up to the bounds on bytes and rows; beyond them a sample, which counts nothing (NULL) and only says whether it met one."""
-    n, size = df.select(row_estimate(df).alias("e")).agg(F.count(F.lit(1)), F.coalesce(F.sum("e"), F.lit(0))).first()
+    """mode, n and likely: how many rows are oversize. Exact up to the bounds on bytes and rows; beyond them a sample, which counts nothing (NULL) and only says whether it met one.
+
+    Which one is decided by what the files' listing and footers tell, so a large table is never measured; a df that isn't a plain read of files is, by the estimate.
+    """
+    n, size = stored_size(df) or df.select(row_estimate(df).alias("e")).agg(F.count(F.lit(1)), F.coalesce(F.sum("e"), F.lit(0))).first()
     if n <= exact_rows and size <= exact_bytes or key is None:
         return df.agg(F.lit("exact").alias("mode"), F.count_if(oversize(df, limit)).alias("n"), (F.count_if(oversize(df, limit)) > 0).alias("likely"))
     sample = sample_windows(df, key, windows=windows, rows=rows)

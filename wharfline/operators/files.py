@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.functions.paths import excluded, heavy_root, path_key, problem
+from wharfline.functions.paths import excluded, heavy_root, problem, with_path_key
 
 
 def totals(files: DataFrame, path: str, size: str, globs: list[str]) -> DataFrame:
@@ -21,6 +21,29 @@ def totals(files: DataFrame, path: str, size: str, globs: list[str]) -> DataFram
     )
 
 
+def scan_totals(files: DataFrame, path: str, size: str, kind: str, readable: str, globs: list[str], *, largest: int, volume: int, heavy: int) -> DataFrame:
+    """One row of what a scan found: files, bytes and directories taken, and what was left out or is worth a word.
+
+    ``kind`` is file, dir, link or special. Of each entry the first that holds counts: excluded (a glob), links, special,
+    bad_names (paths that can't be stored), unreadable; files beyond ``largest`` bytes are too_large, those beyond ``volume`` are taken and count
+    in over_volume as well. collisions are names that fall together where case doesn't count, heavy the directories of a heavy kind of ``heavy`` bytes or more, invalid_patterns globs
+    that are empty or climb. Null kinds count as special, null sizes as 0. Names and directories are counted after they were made distinct in their tasks.
+    """
+    p, k, n = F.col(path), F.col(kind), F.coalesce(F.col(size), F.lit(0))
+    usable = [g for g in globs if g.strip("/ ") and ".." not in g.split("/")]
+    state = (
+        F.when(excluded(p, usable) if usable else F.lit(False), "excluded").when(k == "link", "links").when(~F.coalesce(k.isin("file", "dir"), F.lit(False)), "special")
+        .when(problem(p).isNotNull(), "bad_names").when(~F.coalesce(F.col(readable), F.lit(False)), "unreadable").when((k == "file") & (n > largest), "too_large").when(k == "file", "files").otherwise("directories")
+    )
+    told = files.select(p.alias("p"), n.alias("n"), state.alias("state"))
+    of = ("files", "directories", "excluded", "links", "special", "unreadable", "bad_names", "too_large")
+    counts = told.agg(*[F.count_if(F.col("state") == s).alias(s) for s in of], F.coalesce(F.sum(F.when(F.col("state") == "files", F.col("n"))), F.lit(0)).alias("bytes"), F.count_if((F.col("state") == "files") & (F.col("n") > volume)).alias("over_volume"))
+    taken = told.where("state in ('files', 'directories')")
+    clashes = taken.select(F.lower("p").alias("low"), "p").distinct().groupBy("low").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("collisions"))
+    big = heavy_directories(taken, "p", "n", heavy).agg(F.count(F.lit(1)).alias("heavy"))
+    return counts.crossJoin(F.broadcast(clashes)).crossJoin(F.broadcast(big)).withColumn("invalid_patterns", F.lit(len(globs) - len(usable)).cast("long"))
+
+
 def heavy_directories(files: DataFrame, path: str, size: str, least: int = 50 << 20) -> DataFrame:
     """directory and bytes of the outermost heavy directories of at least so many bytes, heaviest first."""
     found = files.select(heavy_root(F.col(path)).alias("directory"), F.col(size).alias("b")).where("directory is not null")
@@ -29,8 +52,8 @@ def heavy_directories(files: DataFrame, path: str, size: str, least: int = 50 <<
 
 def collisions(names: DataFrame, name: str, key: Column | None = None) -> DataFrame:
     """folded key and the names, sorted, that share it."""
-    folded = path_key(F.col(name)) if key is None else key
-    grouped = names.select(folded.alias("key"), name).distinct().groupBy("key").agg(F.sort_array(F.collect_list(name)).alias("names"))
+    keyed = with_path_key(names.select(F.col(name).alias("n")), "n", "key") if key is None else names.select(key.alias("key"), F.col(name).alias("n"))
+    grouped = keyed.distinct().groupBy("key").agg(F.sort_array(F.collect_list("n")).alias("names"))
     return grouped.where(F.size("names") > 1)
 
 
@@ -40,8 +63,8 @@ def clashes(files: DataFrame, path: str, *, fold: bool = True) -> DataFrame:
     Every file brings the directories above it; two directories of one key are one. A directory
     key's rows are reduced in their tasks, so a directory of a third of all files is no hot group.
     """
-    text = path_key(F.col(path)) if fold else F.col(path)
-    rows = files.select(text.alias("k"))
+    rows = files.select(F.col(path).alias("p"))
+    rows = with_path_key(rows, "p", "k").select("k") if fold else rows.select(F.col("p").alias("k"))
     depth = F.size(F.split("k", "/"))
     above = F.when(depth > 1, F.transform(F.sequence(F.lit(1), depth - 1), lambda n: F.array_join(F.slice(F.split("k", "/"), F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
     marks = rows.select("k", F.lit(1).alias("f"), F.lit(0).alias("d")).unionByName(rows.select(F.explode(above).alias("k"), F.lit(0).alias("f"), F.lit(1).alias("d")))

@@ -222,3 +222,78 @@ def stamp_validity(spark, sf_dir):
 def key_round_trip(spark, sf_dir):
     digits = sqltext.key_hex(F.col("c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", digits.alias("digits"), sqltext.key_from_hex(digits).alias("back"), sqltext.statement_bytes(F.col("c_custkey") * 4096).alias("longest"))
+
+
+# --- keys, carried rows and scans ----------------------------------------------
+
+
+@query("""SELECT c_custkey, concat('["', c_name, '",', CASE WHEN c_custkey % 3 = 0 THEN concat('{"h":"ff', lower(hex(c_name)), '"}') ELSE concat('"', c_custkey, '\\"/ü"') END, ']') AS key,
+hex(c_name) AS first, CASE WHEN c_custkey % 3 = 0 THEN concat('FF', hex(c_name)) ELSE hex(concat(c_custkey, '"/ü')) END AS second FROM customer""")
+def key_json_round_trip(spark, sf_dir):
+    k = F.col("c_custkey")
+    second = F.when(k % 3 == 0, F.concat(F.unhex(F.lit("FF")), F.col("c_name").cast("binary"))).otherwise(F.concat(k.cast("string"), F.lit('"/ü')).cast("binary"))
+    keyed = table(spark, sf_dir, "customer").select("c_custkey", sqltext.key_json([F.col("c_name"), second]).alias("key"))
+    first, other = sqltext.key_from_json(F.col("key"), 2)
+    return keyed.select("c_custkey", "key", F.hex(first).alias("first"), F.hex(other).alias("second"))
+
+
+_CARRIED_SQL = """live AS (SELECT o_orderkey AS id, concat('n', o_custkey) AS name, 'live' AS v FROM orders WHERE o_orderkey % 3 <> 0),
+old AS (SELECT o_orderkey + 7 AS id, concat('n', o_custkey) AS name, 'old' AS v FROM orders WHERE o_orderkey % 2 = 0), own AS (SELECT concat('n', c_custkey) AS name FROM customer WHERE c_custkey % 4 = 0)"""
+
+
+def _carried(spark, sf_dir):
+    name = F.concat(F.lit("n"), F.col("o_custkey").cast("string")).alias("name")
+    o = table(spark, sf_dir, "orders")
+    live = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), name, F.lit("live").alias("v"))
+    old = o.where("o_orderkey % 2 = 0").select((F.col("o_orderkey") + 7).alias("id"), name, F.lit("old").alias("v"))
+    return live, old, table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("name"))
+
+
+@query(f"""WITH {_CARRIED_SQL} SELECT id, name, v FROM old WHERE name NOT IN (FROM own) OR name = 'n8' UNION ALL SELECT max(id), name, 'live' FROM live WHERE name IN (FROM own) AND name <> 'n8' GROUP BY name""")
+def carried_back(spark, sf_dir):
+    live, old, own = _carried(spark, sf_dir)
+    return carry.carry_back(live, old, "name", "id", own, ["n8"])
+
+
+@query(f"""WITH {_CARRIED_SQL} SELECT DISTINCT name FROM live WHERE name IN (FROM own) AND name NOT IN (SELECT name FROM old WHERE id > 900)""")
+def names_not_carried(spark, sf_dir):
+    live, old, own = _carried(spark, sf_dir)
+    return carry.not_carried(live, old, own, "name", "id", 900)
+
+
+@query("""WITH r AS (SELECT o_custkey AS owner, concat(CASE WHEN o_orderkey % 3 = 0 THEN 'new_' ELSE 'old_' END, o_orderkey // 3 % 5) AS name, o_orderkey AS v FROM orders)
+SELECT * FROM r UNION ALL SELECT owner, concat('new_', substr(name, 5)), v FROM r WHERE starts_with(name, 'old_') AND name <> 'old_1' AND NOT EXISTS (SELECT 1 FROM r AS o WHERE o.owner = r.owner AND o.name = concat('new_', substr(r.name, 5)))""")
+def keys_copied(spark, sf_dir):
+    k = F.col("o_orderkey")
+    name = F.concat(F.when(k % 3 == 0, "new_").otherwise("old_"), (F.floor(k / 3) % 5).cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), name.alias("name"), k.alias("v"))
+    return carry.copied_rows(rows, carry.copy_outcomes(rows, "owner", "name", "old_", "new_", ["old_1"]), "owner", "name")
+
+
+@query("""SELECT page_id, lower(regexp_replace(concat(url, '. /x', CASE WHEN page_id % 2 = 0 THEN '. ' ELSE 'É' END), '[. ]+(/|$)', '\\1', 'g')) AS trimmed, concat(url, '. /x', CASE WHEN page_id % 2 = 0 THEN '. ' ELSE 'É' END) AS plain FROM pages""")
+def target_keys(spark, sf_dir):
+    path = F.concat("url", F.lit(". /x"), F.when(F.col("page_id") % 2 == 0, ". ").otherwise("E\u0301"))
+    composed = F.replace(path, F.lit("E\u0301"), F.lit("É"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.target_key(path, trim=True).alias("trimmed"), paths.target_key(composed, fold=False).alias("plain"))
+
+
+@query("""WITH f AS (
+  SELECT p_partkey AS k, CASE WHEN p_partkey % 17 = 0 THEN concat('a/../', p_partkey) WHEN p_partkey % 5 = 0 THEN concat('x/node_modules/', p_brand, '/', p_partkey) WHEN p_partkey % 4 = 0 THEN concat('Dir/F', p_partkey // 8) ELSE concat('dir/f', p_partkey // 8, CASE WHEN p_partkey % 8 = 1 THEN '' ELSE concat('_', p_partkey) END) END AS p,
+    p_size * 1000 AS n, CASE WHEN p_partkey % 13 = 0 THEN 'link' WHEN p_partkey % 19 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 'dir' ELSE 'file' END AS kind, p_partkey % 23 <> 0 AS readable FROM part
+), s AS (
+  SELECT *, CASE WHEN starts_with(p, 'dir/f1') THEN 'excluded' WHEN kind = 'link' THEN 'links' WHEN kind IS NULL THEN 'special' WHEN k % 17 = 0 THEN 'bad_names' WHEN NOT readable THEN 'unreadable' WHEN kind = 'file' AND n > 45000 THEN 'too_large' WHEN kind = 'file' THEN 'files' ELSE 'directories' END AS state FROM f
+), t AS (SELECT * FROM s WHERE state IN ('files', 'directories'))
+SELECT count_if(state = 'files') AS files, count_if(state = 'directories') AS directories, count_if(state = 'excluded') AS excluded, count_if(state = 'links') AS links, count_if(state = 'special') AS special, count_if(state = 'unreadable') AS unreadable, count_if(state = 'bad_names') AS bad_names, count_if(state = 'too_large') AS too_large,
+  CAST(coalesce(sum(n) FILTER (state = 'files'), 0) AS BIGINT) AS bytes, count_if(state = 'files' AND n > 40000) AS over_volume, (SELECT CAST(count(DISTINCT p) - count(DISTINCT lower(p)) AS BIGINT) FROM t) AS collisions,
+  (SELECT count(*) FROM (SELECT 1 FROM t WHERE starts_with(p, 'x/node_modules/') HAVING sum(n) >= 5000)) AS heavy, 2::BIGINT AS invalid_patterns FROM s""")
+def scan_totals(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    eighth = F.floor(k / 8).cast("string")
+    path = (
+        F.when(k % 17 == 0, F.concat(F.lit("a/../"), text)).when(k % 5 == 0, F.concat(F.lit("x/node_modules/"), "p_brand", F.lit("/"), text)).when(k % 4 == 0, F.concat(F.lit("Dir/F"), eighth))
+        .otherwise(F.concat(F.lit("dir/f"), eighth, F.when(k % 8 == 1, "").otherwise(F.concat(F.lit("_"), text))))
+    )
+    kind = F.when(k % 13 == 0, "link").when(k % 19 == 0, None).when(k % 11 == 0, "dir").otherwise("file")
+    found = table(spark, sf_dir, "part").select(path.alias("p"), (F.col("p_size") * 1000).alias("n"), kind.alias("kind"), (k % 23 != 0).alias("readable"))
+    return files.scan_totals(found, "p", "n", "kind", "readable", ["dir/f1*", "", "../x"], largest=45000, volume=40000, heavy=5000)

@@ -7,20 +7,16 @@ splits chunks into lines, so files of any number are read by as many tasks.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wharfline.functions.sqltext import insert_head, row_tuple
+from wharfline.sources.foreign import judged
 
 STATEMENT_BYTES = 1 << 20
 
-_TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|X'[0-9a-f]*'|NULL|[^,()]+", re.S)
-_UNESCAPE = {"0": "\0", "n": "\n", "r": "\r", "Z": "\x1a"}
-
 
 def dump_lines(df: DataFrame, table: str, keys: list[str], *, chunks: int, statement_bytes: int = STATEMENT_BYTES) -> DataFrame:
     """chunk, line_no and line of a dump of df in key order, ``chunks`` ranges of keys."""
@@ -71,33 +67,29 @@ def write_dump(df: DataFrame, path: str, table: str, keys: list[str], *, chunks:
     dump_lines(df, table, keys, chunks=chunks).sortWithinPartitions("chunk", "line_no").select("line").write.text(path)
 
 
-def _value(token: str) -> str | None:
-    if token == "NULL":
-        return None
-    if token[:1] == "'":
-        return re.sub(r"\\(.)", lambda m: _UNESCAPE.get(m[1], m[1]), token[1:-1], flags=re.S)
-    return token[2:-1] if token[:2] == "X'" else token
-
-
 def parse_lines(lines: DataFrame, schema: T.StructType, line: str = "line") -> DataFrame:
-    """The rows that the statements of dump lines insert, cast to ``schema``; binary columns come from hexadecimal."""
+    """The rows that the statements of dump lines insert, as ``schema``, by the place of a value; binary columns come from hexadecimal.
+
+    A line is blank, a -- comment, or one whole INSERT of literals; any other, and a row of another width, raises
+    ValueError, so that a dump of another make isn't read in part (``foreign`` reads those). A null line is none.
+    """
     n = len(schema.fields)
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                if text is None or not text.startswith("INSERT INTO "):
-                    continue
-                values = [_value(t) for t in _TOKEN.findall(text, text.index(") VALUES ") + 9, len(text) - 1)]
-                if len(values) % n:
-                    raise ValueError(f"{len(values)} values for {n} columns: {text[:200]}")
-                rows += [values[i : i + n] for i in range(0, len(values), n)]
+                kind, _, columns, found, _, why = judged(None if text is None else text.encode(), True) if text else (None,) * 6
+                if kind not in (None, "insert"):
+                    raise ValueError(f"{why or kind}: {text[:200]}")
+                if found and len(columns) != n:
+                    raise ValueError(f"{len(columns)} values for {n} columns: {text[:200]}")
+                rows += found or []
             if rows:
-                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)], [f"c{i}" for i in range(n)])
+                yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*rows)], [f"c{i}" for i in range(n)])
 
-    read = lines.select(line).mapInArrow(run, ", ".join(f"c{i} string" for i in range(n)))
-    return read.select(*[(F.unhex(f"c{i}") if isinstance(f.dataType, T.BinaryType) else F.col(f"c{i}").cast(f.dataType)).alias(f.name) for i, f in enumerate(schema.fields)])
+    read = lines.select(line).mapInArrow(run, ", ".join(f"c{i} binary" for i in range(n)))
+    return read.select(*[(F.col(f"c{i}") if isinstance(f.dataType, T.BinaryType) else F.decode(f"c{i}", "UTF-8").cast(f.dataType)).alias(f.name) for i, f in enumerate(schema.fields)])
 
 
 def read_dump(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
