@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wharfline.llm.common import tidy, tidy_group, written
 
@@ -37,7 +38,7 @@ ROUNDS = 4
 SETTLED = 0.02
 #: Nodes in a query's beam, and those expanded in a round; queries that share a row of beams, about.
 BEAM = 200
-WIDTH = 100
+WIDTH = 200
 SHARD = 256
 #: Senders whose messages to one block meet in one task.
 SENDERS = 256
@@ -59,6 +60,18 @@ def _read(value, kind) -> np.ndarray:
     return np.frombuffer(value.as_py(), kind)
 
 
+def _floats(packed: bytes, count: int) -> np.ndarray:
+    """``count`` numbers as doubles, packed in four bytes each or in eight."""
+    return np.frombuffer(packed, f"<f{len(packed) // count}" if count else "<f8").astype(np.float64)
+
+
+def _packable(x: np.ndarray) -> np.ndarray:
+    """The same numbers in four bytes each where that loses nothing."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small if (small == x).all() else x
+
+
 def _each(table: pa.Table, **kinds):
     """The rows of a table as tuples, packed columns as arrays, others (kind None) as plain values."""
     columns = [[v.as_py() if kind is None else _read(v, kind) for v in table.column(c)] for c, kind in kinds.items()]
@@ -161,8 +174,10 @@ def compared(hoods: np.ndarray, known: np.ndarray, x: np.ndarray, worst: np.ndar
 
 
 def vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """id, dim and vec (doubles, packed) of the rows that take part, each id and vector once."""
+    """id, dim and vec (packed) of the rows that take part, each id and vector once."""
     x = F.transform(F.col(embedding), lambda v: v.cast("double"))
+    # Numbers that the table holds in four bytes travel in four.
+    single = isinstance(df.schema[embedding].dataType.elementType, T.FloatType)
     fine = F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("v", lambda v: v != 0)
 
     def pack(batches):
@@ -170,10 +185,11 @@ def vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             lists = batch.column(1)
             at = lists.offsets.to_numpy().astype(np.int64)
             values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]] if len(at) else np.zeros(0))
-            at = (at - at[0]) * 8
+            values, width = (values.astype(np.float32), 4) if single else (values, 8)
+            at = (at - at[0]) * width
             # Buffers of offsets are 32 bits wide; a batch of vectors is far below that.
             packed = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(values)])
-            yield pa.record_batch([batch.column(0), pa.array((np.diff(at) // 8).astype(np.int32)), packed], ["id", "dim", "vec"])
+            yield pa.record_batch([batch.column(0), pa.array((np.diff(at) // width).astype(np.int32)), packed], ["id", "dim", "vec"])
 
     rows = df.select(F.col(vec_id).cast("bigint").alias("id"), x.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(fine, F.lit(False)))
     return rows.mapInArrow(tidy(pack), "id bigint, dim int, vec binary").dropDuplicates(["id", "vec"])
@@ -183,7 +199,7 @@ def pivots(nodes: DataFrame, most: int, seed: int) -> dict[int, np.ndarray]:
     """At most ``most`` (and PIVOTS) vectors, by their length; which ones, a hash of vector and seed decides."""
     by_dim: dict[int, list] = {}
     for row in nodes.select("dim", "vec").orderBy(F.xxhash64(F.lit(seed), "vec")).limit(min(most, PIVOTS)).collect():
-        by_dim.setdefault(row.dim, []).append(np.frombuffer(row.vec, np.float64))
+        by_dim.setdefault(row.dim, []).append(_floats(row.vec, row.dim))
     return {dim: np.stack(rows) for dim, rows in by_dim.items()}
 
 
@@ -196,7 +212,7 @@ def near_pivot(rows: DataFrame, shared, reach: float | None) -> DataFrame:
             for d in np.unique(dims).tolist():
                 if (at := shared.value.get(d)) is not None:
                     mine = np.flatnonzero(dims == d)
-                    x = np.stack([_read(v, np.float64) for v in batch.column("vec").take(pa.array(mine))])
+                    x = np.stack([_floats(v.as_py(), d) for v in batch.column("vec").take(pa.array(mine))])
                     x, at = (x, at) if reach is None else (lifted(x, reach), lifted(at, reach))
                     for a in range(0, len(mine), 1024):
                         out[mine[a : a + 1024]] = np.argmax(x[a : a + 1024] @ at.T, axis=1)
@@ -228,13 +244,13 @@ def blocks_of(rows: DataFrame, reach: float) -> DataFrame:
             raise ValueError(f"{group.num_rows} vectors in a block")
         order = sorted(range(group.num_rows), key=group.column("vec").to_pylist().__getitem__)
         group = group.take(pa.array(order))
-        x = np.concatenate([_read(v, np.float64) for v in group.column("vec")]).reshape(-1, dim)
+        x = np.stack([_floats(v.as_py(), dim) for v in group.column("vec")])
         ids = group.column("ids").to_pylist()
         up = lifted(x, reach)
         scale = np.maximum(np.abs(up).max(axis=1), 1e-30) / 127
         one, other, score = nearest_inside(up, NEIGHBOURS)
         neighbours, scores, _ = merged(len(x), None, None, one, (block << SLOT) + other, score)
-        row = [x, np.concatenate(ids).astype(np.int64), np.array([len(i) for i in ids], np.int32), np.round(up / scale[:, None]).astype(np.int8), scale.astype(np.float32), neighbours, scores]
+        row = [_packable(x), np.concatenate(ids).astype(np.int64), np.array([len(i) for i in ids], np.int32), np.round(up / scale[:, None]).astype(np.int8), scale.astype(np.float32), neighbours, scores]
         return pa.table([pa.array([block]), pa.array([dim], pa.int32()), pa.array([len(x)], pa.int32()), *[_bytes([c]) for c in row]], ["block", "dim", "nodes", "vectors", "ids", "counts", "codes", "scales", "neighbours", "scores"])
 
     return rows.groupBy("dim", "block").applyInArrow(tidy_group(build), "block bigint, dim int, nodes int, vectors binary, ids binary, counts binary, codes binary, scales binary, neighbours binary, scores binary")
@@ -321,12 +337,13 @@ def first_graph(blocks: DataFrame, reach: float, block_rows: int, nodes: int) ->
 
     def rows(batches):
         for batch in batches:
-            for block, dim, n, x in _each(pa.Table.from_batches([batch]), block=None, dim=None, nodes=None, vectors=np.float64):
-                yield pa.record_batch([pa.array((block << SLOT) + np.arange(n)), pa.array([dim] * n, pa.int32()), _bytes(list(x.reshape(n, dim)))], ["address", "dim", "vec"])
+            for block, dim, n, packed in _each(pa.Table.from_batches([batch]), block=None, dim=None, nodes=None, vectors=None):
+                x = _packable(_floats(packed, n * dim)).reshape(n, dim)
+                yield pa.record_batch([pa.array((block << SLOT) + np.arange(n)), pa.array([dim] * n, pa.int32()), _bytes(list(x))], ["address", "dim", "vec"])
 
     def inside(group: pa.Table) -> pa.Table:
         dim = group.column("dim")[0].as_py()
-        x = lifted(np.concatenate([_read(v, np.float64) for v in group.column("vec")]).reshape(-1, dim), reach)
+        x = lifted(np.stack([_floats(v.as_py(), dim) for v in group.column("vec")]), reach)
         addresses = group.column("address").to_numpy()
         one, other, score = nearest_inside(x, NEIGHBOURS)
         return messages(group.column("block")[0].as_py(), addresses[one], addresses[other], score)
@@ -406,9 +423,9 @@ def index(rows: DataFrame, *, block_rows: int = BLOCK_ROWS, rounds: int = ROUNDS
 
     def lengths(batches):
         for batch in batches:
-            yield pa.record_batch([pa.array([float(np.sqrt((_read(v, np.float64) ** 2).sum())) for v in batch.column(0)], pa.float64())], ["length"])
+            yield pa.record_batch([pa.array([float(np.sqrt((_floats(v.as_py(), d) ** 2).sum())) for v, d in zip(batch.column(0), batch.column(1).to_pylist())], pa.float64())], ["length"])
 
-    count, reach = nodes.select("vec").mapInArrow(tidy(lengths), "length double").agg(F.count(F.lit(1)), F.max("length")).first()
+    count, reach = nodes.select("vec", "dim").mapInArrow(tidy(lengths), "length double").agg(F.count(F.lit(1)), F.max("length")).first()
     reach = reach or 1.0
     shared = spark.sparkContext.broadcast(pivots(nodes, max(1, -(-count // block_rows)), 0))
     dealt_rows, parts = dealt(nodes, shared, reach, block_rows)
@@ -432,14 +449,14 @@ def chosen(beam: np.ndarray, done: np.ndarray) -> np.ndarray:
 
 
 def _beams(table: pa.Table):
-    for shard, dim, ids, x, beam, scores, done in _each(table, shard=None, dim=None, ids=np.int64, vectors=np.float64, beam=np.int64, scores=np.float64, done=np.bool_):
+    for shard, dim, ids, packed, beam, scores, done in _each(table, shard=None, dim=None, ids=np.int64, vectors=None, beam=np.int64, scores=np.float64, done=np.bool_):
         n = len(ids)
-        yield shard, dim, ids, x.reshape(n, dim), beam.reshape(n, -1), scores.reshape(n, -1), done.reshape(n, -1)
+        yield shard, dim, ids, _floats(packed, n * dim).reshape(n, dim), beam.reshape(n, -1), scores.reshape(n, -1), done.reshape(n, -1)
 
 
 def _beam_row(shard: int, dim: int, ids: np.ndarray, x: np.ndarray, beam: np.ndarray, scores: np.ndarray, done: np.ndarray) -> pa.Table:
     left = int(((beam != NONE) & ~done).sum())
-    return pa.table([pa.array([shard]), pa.array([dim], pa.int32()), *[_bytes([c]) for c in (ids, x, beam, scores, done)], pa.array([left])], ["shard", "dim", "ids", "vectors", "beam", "scores", "done", "left_over"])
+    return pa.table([pa.array([shard]), pa.array([dim], pa.int32()), *[_bytes([c]) for c in (ids, _packable(x), beam, scores, done)], pa.array([left])], ["shard", "dim", "ids", "vectors", "beam", "scores", "done", "left_over"])
 
 
 def _pairs(who: np.ndarray, addresses: np.ndarray, without: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -470,10 +487,10 @@ def started(blocks: DataFrame, queries: DataFrame, parts: DataFrame, shared) ->
     asked = counts.join(sizes, "to").withColumn("shard", F.pmod(F.xxhash64("id", "vec"), "shards"))
 
     def work(own: pa.Table, queries: pa.Table) -> pa.Table:
-        block, dim, n, x = next(_each(own, block=None, dim=None, nodes=None, vectors=np.float64))
+        block, dim, n, packed = next(_each(own, block=None, dim=None, nodes=None, vectors=None))
         ids = queries.column("id").to_numpy()
-        q = np.concatenate([_read(v, np.float64) for v in queries.column("vec")]).reshape(-1, dim)
-        scores = q @ x.reshape(n, dim).T
+        q = np.stack([_floats(v.as_py(), dim) for v in queries.column("vec")])
+        scores = q @ _floats(packed, n * dim).reshape(n, dim).T
         order = np.argsort(-scores, axis=1, kind="stable")[:, :BEAM]
         beam, best = np.full((len(q), BEAM), NONE, np.int64), np.full((len(q), BEAM), -np.inf)
         beam[:, : order.shape[1]], best[:, : order.shape[1]] = (block << SLOT) + order, np.take_along_axis(scores, order, axis=1)
@@ -511,14 +528,14 @@ def advanced(blocks: DataFrame, hoods: DataFrame, beams: DataFrame, shards: int)
         rows = []
         for block, who, slots in _by_block(*_pairs(who, addresses, (there, beam[there, place]))):
             own_rows, local = np.unique(who, return_inverse=True)
-            rows.append((block, own_rows, local.astype(np.int32), slots, x[own_rows], scores[own_rows, -1]))
+            rows.append((block, own_rows, local.astype(np.int32), slots, _packable(x[own_rows]), scores[own_rows, -1]))
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), *[_bytes([r[i] for r in rows]) for i in range(1, 6)]], ["to", "sender", "queries", "who", "slots", "vectors", "worst"])
 
     def score(own: pa.Table, asked: pa.Table) -> pa.Table:
-        block, dim, n, x = next(_each(own, block=None, dim=None, nodes=None, vectors=np.float64))
-        x, out = x.reshape(n, dim), []
-        for sender, queries, who, slots, q, worst in _each(asked, sender=None, queries=np.int32, who=np.int32, slots=np.int32, vectors=np.float64, worst=np.float64):
-            s = np.einsum("ij,ij->i", q.reshape(-1, dim)[who], x[slots])
+        block, dim, n, packed = next(_each(own, block=None, dim=None, nodes=None, vectors=None))
+        x, out = _floats(packed, n * dim).reshape(n, dim), []
+        for sender, queries, who, slots, q, worst in _each(asked, sender=None, queries=np.int32, who=np.int32, slots=np.int32, vectors=None, worst=np.float64):
+            s = np.einsum("ij,ij->i", _floats(q, len(queries) * dim).reshape(-1, dim)[who], x[slots])
             good = s > worst[who]
             out.append((sender, queries[who[good]], (block << SLOT) + slots[good].astype(np.int64), s[good]))
         return pa.table([pa.array([o[0] for o in out], pa.int64()), *[_bytes([o[i] for o in out]) for i in range(1, 4)]], ["shard", "who", "addresses", "scores"])
