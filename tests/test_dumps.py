@@ -1,21 +1,11 @@
 import random
 
-import pytest
-from conftest import DATA
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wharfline.operators import definitions
-from wharfline.plans import catalogue
 from wharfline.sources import foreign
 
-QUERIES = ["dump_tokens", "dump_statements", "refused_statements", "dump_rows_read", "ddl_facts", "ddl_rename"]
-
-
-@pytest.mark.parametrize("name", QUERIES)
-def test_query_is_the_sql(spark, same_as_sql, name):
-    same_as_sql(catalogue.queries()[name](spark, DATA), catalogue.oracle_sql()[name])
-
 
 def sequential(text: bytes):
     """Statements by a plain walk over the bytes: (at, body) up to each semicolon in code."""

@@ -2,20 +2,11 @@ import datetime
 import random
 
 import pytest
-from conftest import DATA
 from pyspark.sql import functions as F
 
 from wharfline.operators import extract, graph, review, verify
-from wharfline.plans import catalogue
 from wharfline.streaming import jobs
 
-QUERIES = ["drop_order", "kept_tables", "resync_gaps", "verify_phases", "review_decisions", "review_questions", "leases_lapsed", "crc_of_chunks", "greedy_batches_wide", "nextfit_chunks_wide"]
-
-
-@pytest.mark.parametrize("name", QUERIES)
-def test_query_is_the_sql(spark, same_as_sql, name):
-    same_as_sql(catalogue.queries()[name](spark, DATA), catalogue.oracle_sql()[name])
-
 
 def plan_of(tables, edges):
     """Rounds, circles and what is kept, by walks over the graph."""
