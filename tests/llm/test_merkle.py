@@ -63,6 +63,10 @@ def result(spark, folder):
     return sorted(repr(tuple(r)) for r in queries.queries()["op13_merkle_manifest"](spark, folder).collect())
 
 
+def test_query_is_the_sql(spark, same_as_sql):
+    same_as_sql(queries.queries()["op13_merkle_manifest"](spark, DATA), queries.oracle_sql()["op13_merkle_manifest"])
+
+
 def test_query_is_the_brute_force(spark):
     rows = [r.asDict() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = result(spark, DATA)

@@ -159,6 +159,45 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(t) AS restored_sha256 FROM p
 """
 
+#: Levels by recursion, for the trees of the sources (up) and for that of their roots (top); crc32 by its table.
+OP13_SQL = """
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+c AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INTEGER)])), 4294967295) AS crc FROM documents, t
+), f AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    text, CASE WHEN doc_id IS NOT NULL AND crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM c
+), l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed FROM f
+), p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+up(level, source, i, h) AS (
+  SELECT 0, source, i, leaf FROM p
+  UNION ALL SELECT level + 1, source, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM up) WHERE n > 1 GROUP BY level, source, i // 16
+), s AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source COLLATE C NULLS FIRST) - 1 AS i FROM (SELECT source, arg_max(h, level) AS h FROM up GROUP BY source)
+), top(level, i, h) AS (
+  SELECT 0, i, subroot FROM s
+  UNION ALL SELECT level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY level, i // 16
+), own AS (
+  SELECT a.level, a.source, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM up AS a JOIN up AS b ON a.level = b.level AND a.source IS NOT DISTINCT FROM b.source AND a.i // 16 = b.i // 16 GROUP BY ALL
+), depth AS (SELECT source, max(level) AS d FROM up GROUP BY source),
+upper AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM top AS a JOIN top AS b ON a.level = b.level AND a.i // 16 = b.i // 16 GROUP BY ALL
+), low AS (
+  SELECT p.source, p.i, list(o.l || '|' || o.r ORDER BY o.level) FILTER (o.l IS NOT NULL) AS path FROM p JOIN depth AS d ON d.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN own AS o ON o.source IS NOT DISTINCT FROM p.source AND o.level < d.d AND o.i = p.i // CAST(pow(16, o.level) AS BIGINT) GROUP BY p.source, p.i
+), high AS (
+  SELECT s.source, s.subroot, list(o.l || '|' || o.r ORDER BY o.level) FILTER (o.l IS NOT NULL) AS path FROM s LEFT JOIN upper AS o ON o.level < (SELECT max(level) FROM top) AND o.i = s.i // CAST(pow(16, o.level) AS BIGINT) GROUP BY s.source, s.subroot
+), w AS (
+  SELECT p.doc_id, p.leaf, p.changed, high.subroot, (SELECT arg_max(h, level) FROM top) AS root, coalesce(low.path, []) || coalesce(high.path, []) AS path
+  FROM p JOIN low ON low.source IS NOT DISTINCT FROM p.source AND low.i = p.i JOIN high ON high.source IS NOT DISTINCT FROM p.source
+), z AS (
+  SELECT *, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, list_reduce(list_prepend(changed, path), lambda a, e: sha256(split_part(e, '|', 1) || a || split_part(e, '|', 2))) AS folded_root FROM w
+) SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM z
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree_topk": OP1_SQL, "op9_source_mix": OP9_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op1_cover_tree_topk": OP1_SQL, "op9_source_mix": OP9_SQL, "op12_fill_in_middle": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
