@@ -148,3 +148,18 @@ def test_edits_keep_every_other_byte(spark):
     got = definitions.rewritten(known, mark="m_", collations={"x_ci": "y_ci"}).collect()[0]
     assert got.sql == text[:-1].replace("TABLE `t`", "TABLE `te``mp`").replace("`c`", "`m_0_c`").replace("'x_ci'", "y_ci")
     assert [tuple(c) for c in got.constraints] == [("foreign", "c", "m_0_c")]
+
+
+def test_facts_need_no_shuffle_and_no_unique_keys(spark):
+    text = "CREATE TABLE `t` (`a` int COLLATE x_ci, CONSTRAINT `c` FOREIGN KEY (`a`) REFERENCES `u` (`v`)) ENGINE=InnoDB COLLATE y_ci;"
+    df = spark.createDataFrame([(1, text.encode()), (1, text.encode()), (2, None), (3, b"")], "n int, body binary")
+    found = definitions.facts(foreign.tokens(df), ["n", "body"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert [(r.n, bytes(r.body), r.table, r.columns, r.engine, [tuple(c) for c in r.collations]) for r in got] == [(1, text.encode(), "t", ["a"], "InnoDB", [("x_ci", "column:a"), ("y_ci", "table")])] * 2
+    assert [tuple(p)[:2] for p in got[0].places] == [("table", "t"), ("collation", "x_ci"), ("foreign", "c"), ("references", "u"), ("collation", "y_ci")]
+
+
+def test_tokens_after_versioned_comments_and_blanks():
+    assert foreign.tokens_of(b" a /*!9 b*/*/ /**/;  ") == [("word", 1, 2, b"a"), ("vopen", 3, 7, b"/*!9"), ("word", 8, 9, b"b"), ("vclose", 9, 11, b"*/"), ("p", 11, 12, b"*"), ("p", 12, 13, b"/"), ("comment", 14, 18, b"/**/"), ("end", 18, 19, b";")]
+    assert foreign.tokens_of(b" " * 200000) == []

@@ -1,13 +1,18 @@
 """Table definitions read from their tokens, and rewritten for other names.
 
-A statement's tokens become rows; windows over a statement give the depth of
-parentheses and number its items, and the facts of an item are expressions over the array of its
-tokens. One shuffle, by statement, holds for all of it; a definition is as long as a statement may be.
+A batch's tokens are columns: running sums over them give the depth of
+parentheses and number the items, and the facts of an item are expressions over the array of its
+tokens. Nothing is shuffled, as a statement's tokens are one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.functions.sqltext import NAME_BYTES, identifier
@@ -18,20 +23,82 @@ NO_OPTIONS = ("DIRECTORY", "CONNECTION", "UNION", "SELECT", "LIKE", "AS", "IGNOR
 INDEX_WORDS = ("KEY", "INDEX", "UNIQUE", "FULLTEXT", "SPATIAL")
 #: Hexadecimal digits of the hash that ends a shortened name.
 HASH_DIGITS = 7
+#: Statements whose tokens are columns at once.
+ROWS = 1000
 FACTS = ["table", "columns", "generated", "primary_key", "foreign_keys", "checks", "engine", "auto_increment", "collations", "reason", "places", "start"]
 
 
-def _token_rows(found: DataFrame, keys: list[str]) -> DataFrame:
-    """A row a token (comments, version marks and the end left out): i, kind, up (an unquoted word in upper case), value, from, to."""
-    some = F.filter("tokens", lambda t: ~t["kind"].isin("comment", "vopen", "vclose", "end"))
-    rows = found.select(*keys, F.posexplode(some).alias("i", "t"))
-    value = F.decode("t.value", "UTF-8")
-    return rows.select(*keys, "i", F.col("t.kind").alias("kind"), F.when(F.col("t.kind") == "word", F.upper(value)).alias("up"), value.alias("value"), F.col("t.from").alias("from"), F.col("t.to").alias("to"))
+#: Numbers of what stands before the list of items and after it, and the tokens before it.
+HEAD, OPTIONS, HEAD_TOKENS = -1, 1 << 30, 4
+#: Words that are looked for in an item, in any depth or (second) in its own only: the place of the first one, -1 if there is none.
+WORDS = {"collate": (("COLLATE",), False), "reference": (("REFERENCES",), True), "generated": (("AS", "GENERATED"), True), "constraint": (("CONSTRAINT",), True), "engine": (("ENGINE", "TYPE"), False), "auto": (("AUTO_INCREMENT",), False), "option": (NO_OPTIONS, False)}
+ITEMS = "array<struct<item: int, closed: boolean, " + "".join(f"{w}: int, " for w in WORDS) + "ts: array<struct<kind: string, up: string, value: string, d: int, from: int, to: int>>>>"
+
+
+def _lists(owners: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Lists of n owners from values in the order of their owners."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(n + 1)), pa.int32()), values)
+
 
+def items_of(tokens: pa.ListArray) -> pa.ListArray:
+    """The ITEMS of each statement's tokens (comments, version marks and the end left out), all statements at once.
 
-def _first(tokens: Column, test) -> Column:
-    """The index of the first token that passes; -1 if none does."""
-    return F.coalesce(F.array_position(F.transform(tokens, lambda t: F.coalesce(test(t), F.lit(False))), F.lit(True)).cast("int"), F.lit(0)) - 1
+    up is an unquoted word in upper case, d the depth of parentheses after a token; commas between items and the parenthesis that closes their list are left out.
+    """
+    n = len(tokens)
+    kind, start, end, value = tokens.flatten().flatten()
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    keep = pc.invert(pc.is_in(kind, pa.array(["comment", "vopen", "vclose", "end"])))
+    kind, start, end, value = (x.filter(keep) for x in (kind, start, end, value))
+    row, value = row[keep.to_numpy(zero_copy_only=False)], value.cast(pa.string())
+    up = pc.if_else(pc.equal(kind, "word"), pc.utf8_upper(value), pa.scalar(None, pa.string()))
+    mark = pc.if_else(pc.equal(kind, "p"), value, "")
+    opens, closes, commas = (pc.equal(mark, c).to_numpy(zero_copy_only=False) for c in "(),")
+    first = np.searchsorted(row, np.arange(n))
+    i = np.arange(len(row)) - first[row]
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        """Sums up to each token, from its statement's first on."""
+        sums = np.concatenate([[0], np.cumsum(x)])
+        return sums[1:] - sums[first][row]
+
+    d = summed(opens.astype(np.int32) - closes)
+    # The parenthesis that closes the list of items, and the commas between them.
+    close = np.full(n, OPTIONS)
+    ends = np.flatnonzero(closes & (d == 0))
+    who, at = np.unique(row[ends], return_index=True)
+    close[who] = i[ends[at]]
+    comma = commas & (d == 1) & (i >= HEAD_TOKENS) & (i < close[row])
+    item = np.where(i < HEAD_TOKENS, HEAD, np.where(i > close[row], OPTIONS, summed(comma)))
+    keep = ~comma & (i != close[row])
+    row, item, d = row[keep], item[keep], d[keep]
+    begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item, prepend=-2) != 0))
+    held = pa.array(keep)
+    fields = [kind.filter(held), up.filter(held), value.filter(held), pa.array(d, pa.int32()), start.filter(held), end.filter(held)]
+    ts = pa.ListArray.from_arrays(pa.array([*begins.tolist(), len(row)], pa.int32()), pa.StructArray.from_arrays(fields, ["kind", "up", "value", "d", "from", "to"]))
+    up, places = fields[1], []
+    for words, own in WORDS.values():
+        here = np.flatnonzero(pc.is_in(up, pa.array(words)).to_numpy(zero_copy_only=False) & (~np.array(own) | (d == 1)))
+        who, at = np.unique(np.searchsorted(begins, here, "right") - 1, return_index=True)
+        place = np.full(len(begins), -1)
+        place[who] = here[at] - begins[who]
+        places.append(pa.array(place, pa.int32()))
+    each = pa.StructArray.from_arrays([pa.array(item[begins], pa.int32()), pa.array((close < OPTIONS)[row[begins]]), *places, ts], ["item", "closed", *WORDS, "ts"])
+    return _lists(row[begins], n, each)
+
+
+def _items(found: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``items`` (ITEMS) of each statement."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                yield pa.record_batch([*part.columns[:-1], items_of(part.columns[-1])], [*keys, "items"])
+
+    held = found.select(*keys, "tokens")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
+    return held.mapInArrow(run, f"{kinds}, items {ITEMS}")
 
 
 def _names(tokens: Column) -> Column:
@@ -54,47 +121,29 @@ def _collations(tokens: Column, top: Column, nested: Column, outer: int) -> Colu
     return F.filter(each, lambda c: c.isNotNull())
 
 
-def facts(found: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and FACTS of each CREATE TABLE among statements with ``tokens`` (see sources.foreign); the rest is left out.
-
-    columns has all in order, generated those that INSERTs can't fill, foreign_keys structs of
-    name, columns, references and referenced, collations structs of name and at (table, column:<name>, expression
-    or check). reason tells why a definition isn't one to be run, in the order in which its parts are read; facts are then what could be read.
-    places has byte ranges of names, for ``rewritten``; start is where CREATE begins. Keys are unique and not null; statements
-    without tokens are left out; an empty table gives an empty one.
-    """
-    rows = _token_rows(found, keys)
-    by = Window.partitionBy(*keys)
-    up_to = by.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = F.col("kind") == "p"
-    step = F.when(p & (F.col("value") == "("), 1).when(p & (F.col("value") == ")"), -1).otherwise(0)
-    rows = rows.withColumn("d", F.sum(step).over(up_to))
-    # The parenthesis that closes the list of items, and the commas between them.
-    rows = rows.withColumn("close", F.min(F.when(p & (F.col("value") == ")") & (F.col("d") == 0), F.col("i"))).over(by))
-    comma = p & (F.col("value") == ",") & (F.col("d") == 1) & (F.col("i") > 3)
-    rows = rows.withColumn("comma", F.coalesce(comma & (F.col("i") < F.coalesce("close", F.lit(1 << 30))), F.lit(False)))
-    rows = rows.withColumn("item", F.when(F.col("i") < 4, -1).when(F.col("i") > F.col("close"), 1 << 30).otherwise(F.sum(F.col("comma").cast("int")).over(up_to)))
-    rows = rows.where(~F.col("comma") & (F.col("close").isNull() | (F.col("i") != F.col("close"))))
-    token = F.struct("i", "kind", "up", "value", "d", "from", "to")
-    items = rows.groupBy(*keys, "item").agg(F.sort_array(F.collect_list(token)).alias("ts"), F.max("close").alias("close"))
-
-    ts = F.col("ts")
+def _item_kind(item: Column) -> Column:
+    """An item with what it is and the place of its first word after a constraint's name."""
+    ts = item["ts"]
     first, second = F.get(ts, F.lit(0)), F.get(ts, F.lit(1))
     named = (first["up"] == "CONSTRAINT") & (second["kind"] == "id")
-    at = F.when(F.coalesce(named, F.lit(False)), 2).when(F.coalesce(first["up"] == "CONSTRAINT", F.lit(False)), 1).otherwise(0)
-    word = F.get(ts, at)["up"]
-    is_item, options, head = F.col("item").between(0, (1 << 30) - 1), F.col("item") == 1 << 30, F.col("item") == -1
     constraint = F.coalesce(first["up"] == "CONSTRAINT", F.lit(False))
+    at = F.when(F.coalesce(named, F.lit(False)), 2).when(constraint, 1).otherwise(0)
+    word = F.get(ts, at)["up"]
     kind = (
-        F.when(head, "head").when(options, "options").when(first["kind"] == "id", "column").when(first["up"].isin(*INDEX_WORDS), "index")
+        F.when(item["item"] == HEAD, "head").when(item["item"] == OPTIONS, "options").when(first["kind"] == "id", "column").when(first["up"].isin(*INDEX_WORDS), "index")
         .when((constraint | (first["up"] == "PRIMARY")) & (word == "PRIMARY"), "primary").when((constraint | (first["up"] == "CHECK")) & (word == "CHECK"), "check")
         .when(word == "FOREIGN", "foreign").when(constraint & (word == "UNIQUE"), "unique").otherwise("other")
     )
-    items = items.withColumns({"what": kind, "at": at, "ref": _first(ts, lambda t: (t["up"] == "REFERENCES") & (t["d"] == 1))})
-    what = F.col("what")
-    target, after = F.get(ts, F.col("ref") + 1), F.get(ts, F.col("ref") + 2)
-    left, right = _names(F.slice(ts, F.lit(1), F.greatest(F.col("ref"), F.lit(0)))), _names(F.slice(ts, F.col("ref") + 2, F.size(ts)))
-    own = F.filter(ts, lambda t: (t["d"] == 1) & t["up"].isNotNull())
+    return F.struct(ts.alias("ts"), item["closed"].alias("closed"), *[item[w].alias(w) for w in WORDS], kind.alias("what"), at.alias("at"), F.coalesce(named, F.lit(False)).alias("named"))
+
+
+def _item_facts(item: Column) -> Column:
+    """A struct with what an item tells: head, options, column, primary and foreign (null for other items), places, and why it is bad."""
+    ts, what, at, ref, named = (item[c] for c in ("ts", "what", "at", "reference", "named"))
+    first, second = F.get(ts, F.lit(0)), F.get(ts, F.lit(1))
+    options, head, is_item = what == "options", what == "head", ~what.isin("head", "options")
+    target, after = F.get(ts, ref + 1), F.get(ts, ref + 2)
+    left, right = _names(F.slice(ts, F.lit(1), F.greatest(ref, F.lit(0)))), _names(F.slice(ts, ref + 2, F.size(ts)))
     inner_checks = F.filter(F.transform(ts, lambda t, i: F.when((t["up"] == "CONSTRAINT") & (t["d"] == 1) & (F.get(ts, i + 1)["kind"] == "id"), F.get(ts, i + 1))), lambda t: t.isNotNull())
 
     def place(what_: str, t: Column, at_: Column | None = None) -> Column:
@@ -102,67 +151,77 @@ def facts(found: DataFrame, keys: list[str]) -> DataFrame:
 
     where_ = F.when(what == "column", F.concat(F.lit("column:"), first["value"])).when(what == "check", "check").when(what == "options", "table").otherwise("expression")
     nested = F.when(what == "check", "check").when(what == "options", "table").otherwise("expression")
-    collated = F.when(what.isin("column", "check", "index", "options"), F.when(options, _collations(ts, where_, nested, 0)).otherwise(_collations(ts, where_, nested, 1)))
-    key_word = F.get(ts, F.col("at") + 1)["up"]
+    collated = F.when((item["collate"] >= 0) & what.isin("column", "check", "index", "options"), F.when(options, _collations(ts, where_, nested, 0)).otherwise(_collations(ts, where_, nested, 1)))
+    key_word = F.get(ts, at + 1)["up"]
     # Of an option: the token after it, or the one after =.
     setting = {}
-    for name, words in (("engine", ("ENGINE", "TYPE")), ("auto", ("AUTO_INCREMENT",))):
-        here = _first(ts, lambda t, words=words: t["up"].isin(*words))
+    for name in ("engine", "auto"):
+        here = item[name]
         one = F.get(ts, here + 1)
-        setting[name] = F.when(here >= 0, F.when(F.coalesce(one["value"] == "=", F.lit(False)), F.get(ts, here + 2)).otherwise(F.coalesce(one, F.struct(F.lit(0).alias("i"), F.lit("none").alias("kind"), F.lit(None).cast("string").alias("up"), F.lit("").alias("value"), F.lit(0).cast("bigint").alias("d"), F.lit(0).alias("from"), F.lit(0).alias("to")))))
+        setting[name] = F.when(here >= 0, F.when(F.coalesce(one["value"] == "=", F.lit(False)), F.get(ts, here + 2)).otherwise(F.coalesce(one, F.struct(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("up"), F.lit("").alias("value"), F.lit(0).alias("d"), F.lit(0).alias("from"), F.lit(0).alias("to")))))
     engine, auto = setting["engine"], setting["auto"]
-    bad_option = F.filter(ts, lambda t: t["up"].isin(*NO_OPTIONS))
-    lost = F.exists(F.coalesce(collated, F.array()), lambda c: c["name"].isNull())
+    lost = (item["collate"] >= 0) & F.exists(F.coalesce(collated, F.array()), lambda c: c["name"].isNull())
     reason = (
         F.when(head & ((F.size(ts) < 4) | (first["up"] != "CREATE") | (second["up"] != "TABLE") | (F.get(ts, F.lit(2))["kind"] != "id") | (F.get(ts, F.lit(3))["value"] != "(")), "no CREATE TABLE with a quoted name and a list")
-        .when(head & F.col("close").isNull(), "the list isn't closed")
+        .when(head & ~item["closed"], "the list isn't closed")
         .when(is_item & ~F.coalesce(first["kind"].isin("id", "word"), F.lit(False)), "an item that is neither a column nor a key")
-        .when((what == "column") & F.exists(own, lambda t: t["up"] == "REFERENCES"), "a column with REFERENCES of its own")
-        .when((what == "foreign") & ~F.coalesce(named, F.lit(False)), "a foreign key without a name")
-        .when((what == "foreign") & ((key_word != "KEY") | (F.col("ref") < 0) | F.coalesce(target["kind"] != "id", F.lit(True))), "a foreign key without a table")
+        .when((what == "column") & (ref >= 0), "a column with REFERENCES of its own")
+        .when((what == "foreign") & ~named, "a foreign key without a name")
+        .when((what == "foreign") & ((key_word != "KEY") | (ref < 0) | F.coalesce(target["kind"] != "id", F.lit(True))), "a foreign key without a table")
         .when((what == "foreign") & F.coalesce(after["value"] == ".", F.lit(False)), "a foreign key to another database")
         .when((what == "foreign") & ((F.size(left) == 0) | (F.size(left) != F.size(right))), "a foreign key whose columns don't match")
         .when((what == "primary") & ((key_word != "KEY") | (F.size(_names(ts)) == 0)), "a primary key without columns")
         .when(what == "other", "an item of another kind")
         .when(lost, "COLLATE without a name")
-        .when(options & (F.size(bad_option) > 0), F.concat(F.lit("the option "), F.get(bad_option, F.lit(0))["up"]))
+        .when(options & (item["option"] >= 0), F.concat(F.lit("the option "), F.get(ts, item["option"])["up"]))
         .when(options & engine.isNotNull() & ~F.coalesce((engine["kind"] == "word") & F.lower(engine["value"]).isin(*ENGINES), F.lit(False)), F.concat(F.lit("the engine "), F.coalesce(engine["value"], F.lit(""))))
         .when(options & auto.isNotNull() & ~F.coalesce((auto["kind"] == "word") & auto["value"].rlike("\\A[0-9]{1,20}\\z"), F.lit(False)), "AUTO_INCREMENT without a number")
     )
-    generated = F.exists(own, lambda t: t["up"].isin("AS", "GENERATED"))
     foreign = F.struct(second["value"].alias("name"), left.alias("columns"), target["value"].alias("references"), right.alias("referenced"))
     places = F.flatten(F.array(
         F.when(head, F.array(place("table", F.get(ts, F.lit(2))))).otherwise(F.array()),
         F.when(what == "foreign", F.array(place("foreign", second), place("references", target))).otherwise(F.array()),
-        F.when((what == "check") & F.coalesce(named, F.lit(False)), F.array(place("check", second))).otherwise(F.array()),
-        F.when(what == "column", F.transform(inner_checks, lambda t: place("check", t))).otherwise(F.array()),
+        F.when((what == "check") & named, F.array(place("check", second))).otherwise(F.array()),
+        F.when((what == "column") & (item["constraint"] >= 0), F.transform(inner_checks, lambda t: place("check", t))).otherwise(F.array()),
         F.coalesce(collated, F.array()),
     ))
-    items = items.select(
-        *keys, "item", what.alias("what"), F.when(reason.isNotNull(), F.struct("item", reason.alias("text"))).alias("bad"), places.alias("places"),
-        F.when(what == "column", F.struct("item", first["value"].alias("name"), generated.alias("generated"))).alias("column"),
-        F.when(what == "primary", F.struct("item", _names(ts).alias("names"))).alias("primary"),
-        F.when(what == "foreign", F.struct("item", foreign.alias("key"))).alias("foreign"),
-        F.when(head, F.get(ts, F.lit(2))["value"]).alias("table"), F.when(head, first["up"] == "CREATE").alias("creates"), F.when(head, first["from"]).alias("start"),
-        F.when(options, engine["value"]).alias("engine"), F.when(options, auto["value"]).alias("auto"), F.when(head, F.col("close")).alias("close"),
+    return F.struct(
+        F.when(head, F.struct(F.get(ts, F.lit(2))["value"].alias("table"), first["from"].alias("start"))).alias("head"),
+        F.when(options, F.struct(engine["value"].alias("engine"), auto["value"].alias("auto"))).alias("options"),
+        F.when(what == "column", F.struct(first["value"].alias("name"), (item["generated"] >= 0).alias("generated"))).alias("column"),
+        F.when(what == "primary", _names(ts)).alias("primary"), F.when(what == "foreign", foreign).alias("foreign"), places.alias("places"), reason.alias("bad"),
+    )
+
+
+def facts(found: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and FACTS of each CREATE TABLE among statements with ``tokens`` (see sources.foreign); the rest is left out.
+
+    columns has all in order, generated those that INSERTs can't fill, foreign_keys structs of
+    name, columns, references and referenced, collations structs of name and at (table, column:<name>, expression
+    or check). reason tells why a definition isn't one to be run, in the order in which its parts are read; facts are then what could be read.
+    places has byte ranges of names, for ``rewritten``; start is where CREATE begins. Keys are any columns, carried along; statements
+    without tokens are left out; an empty table gives an empty one.
+    """
+    # Judged by the first token before facts are made: a filter on these would have them made twice.
+    creates = F.get(F.get("items", F.lit(0))["ts"], F.lit(0))["up"] == "CREATE"
+    held = _items(found, keys).where(creates).withColumn("items", F.transform("items", _item_kind)).withColumn("items", F.transform("items", _item_facts))
+    pick = lambda field: F.filter(F.transform("items", lambda x: x[field]), lambda x: x.isNotNull())
+    one = lambda field: F.get(pick(field), F.lit(0))
+    whole = held.select(
+        *keys, one("head").alias("head"), one("options").alias("options"), pick("column").alias("cols"), pick("primary").alias("primaries"), pick("foreign").alias("foreigns"),
+        F.flatten(F.transform("items", lambda x: x["places"])).alias("places"), one("bad").alias("bad"),
     )
-    ordered = lambda c: F.sort_array(F.collect_list(c))
-    whole = items.groupBy(*keys).agg(
-        F.max("table").alias("table"), F.bool_or("creates").alias("creates"), F.max("start").alias("start"), F.max("engine").alias("engine"), F.max("auto").alias("auto_increment"),
-        ordered(F.col("column")).alias("cols"), ordered(F.col("primary")).alias("primaries"), ordered(F.col("foreign")).alias("foreigns"),
-        F.flatten(F.transform(ordered(F.struct("item", "places")), lambda x: x["places"])).alias("places"), F.min("bad").alias("bad"),
-    ).where("creates")
     names = F.transform("cols", lambda c: c["name"])
     of = lambda kind_: F.filter("places", lambda x: x["what"] == kind_)
     reason = (
-        F.when(F.col("bad").isNotNull(), F.col("bad.text")).when(F.size("cols") != F.size(F.array_distinct(names)), "a column defined twice")
+        F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.size("cols") != F.size(F.array_distinct(names)), "a column defined twice")
         .when(F.size("primaries") > 1, "two primary keys").when(F.size("cols") == 0, "no columns")
     )
     return whole.select(
-        *keys, "table", names.alias("columns"), F.transform(F.filter("cols", lambda c: c["generated"]), lambda c: c["name"]).alias("generated"),
-        F.coalesce(F.get("primaries", F.lit(0))["names"], F.array().cast("array<string>")).alias("primary_key"), F.transform("foreigns", lambda x: x["key"]).alias("foreign_keys"),
-        F.transform(of("check"), lambda x: x["name"]).alias("checks"), F.coalesce("engine", F.lit("")).alias("engine"), F.coalesce("auto_increment", F.lit("")).alias("auto_increment"),
-        F.transform(of("collation"), lambda x: F.struct(x["name"].alias("name"), x["at"].alias("at"))).alias("collations"), reason.alias("reason"), "places", "start",
+        *keys, F.col("head.table").alias("table"), names.alias("columns"), F.transform(F.filter("cols", lambda c: c["generated"]), lambda c: c["name"]).alias("generated"),
+        F.coalesce(F.get("primaries", F.lit(0)), F.array().cast("array<string>")).alias("primary_key"), F.col("foreigns").alias("foreign_keys"),
+        F.transform(of("check"), lambda x: x["name"]).alias("checks"), F.coalesce("options.engine", F.lit("")).alias("engine"), F.coalesce("options.auto", F.lit("")).alias("auto_increment"),
+        F.transform(of("collation"), lambda x: F.struct(x["name"].alias("name"), x["at"].alias("at"))).alias("collations"), reason.alias("reason"), "places", F.col("head.start").alias("start"),
     )
 
 
