@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,3 +165,24 @@ def test_facts_need_no_shuffle_and_no_unique_keys(spark):
 def test_tokens_after_versioned_comments_and_blanks():
     assert foreign.tokens_of(b" a /*!9 b*/*/ /**/;  ") == [("word", 1, 2, b"a"), ("vopen", 3, 7, b"/*!9"), ("word", 8, 9, b"b"), ("vclose", 9, 11, b"*/"), ("p", 11, 12, b"*"), ("p", 12, 13, b"/"), ("comment", 14, 18, b"/**/"), ("end", 18, 19, b";")]
     assert foreign.tokens_of(b" " * 200000) == []
+
+
+def test_slices_hold_few_bytes():
+    bodies = [b"x" * n for n in (10, 900, 900, 0, 5000, 10)] + [None]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(bodies, pa.binary())], ["n", "body"])
+    got = list(foreign.in_slices(iter([batch, batch.slice(0, 0)]), "body", 1000))
+    assert [n for b in got for n in b.column(0).to_pylist()] == list(range(7)) and len(got) > 3
+    assert all(sum(len(x or b"") for x in b.column(1).to_pylist()[1:]) <= 1000 for b in got)
+
+
+def test_few_bytes_change_a_state():
+    text = np.frombuffer(b"plain prose with a quote ' and more of it; after it" * 9, np.uint8)
+    assert foreign._kept(text).sum() == 19
+
+
+def test_statements_of_many_small_pieces(spark):
+    # Statements of pieces of seven bytes.
+    text = b"".join(b"INSERT INTO `t` (`a`) VALUES (%d);" % i for i in range(300))
+    df = spark.createDataFrame([("d", i, text[i * 7 : i * 7 + 7]) for i in range(len(text) // 7 + 1) if text[i * 7 : i * 7 + 7]], "dump string, piece long, body binary")
+    got = foreign.statements(df).orderBy("number").collect()
+    assert b"".join(bytes(r.body) for r in got) == text and len(got) == 300
