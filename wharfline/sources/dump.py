@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wharfline.functions.sqltext import insert_head, row_tuple
-from wharfline.sources.foreign import judged
+from wharfline.sources.foreign import in_slices, judged
 
 STATEMENT_BYTES = 1 << 20
 
@@ -41,7 +41,7 @@ def dump_lines(df: DataFrame, table: str, keys: list[str], *, chunks: int, state
             lines, number = [], number + n
             return batch
 
-        for batch in batches:
+        for batch in in_slices(batches, "_row"):
             for c, m, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if chunk is None:
                     chunk = c
@@ -52,7 +52,8 @@ def dump_lines(df: DataFrame, table: str, keys: list[str], *, chunks: int, state
                 held.append(row)
                 size += n
                 mark = m
-            if len(lines) > 100:
+            # Lines may be as long as a statement: a slice's go on at once.
+            if lines:
                 yield out()
         if chunk is not None:
             flush()
@@ -76,7 +77,7 @@ def parse_lines(lines: DataFrame, schema: T.StructType, line: str = "line") -> D
     n = len(schema.fields)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 0):
             rows = []
             for text in batch.column(0).to_pylist():
                 kind, _, columns, found, _, why = judged(None if text is None else text.encode(), True) if text else (None,) * 6
