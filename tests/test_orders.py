@@ -154,3 +154,14 @@ def test_silent_lease_is_told(spark, tmp_path):
     log = spark.createDataFrame([r for f in files for r in f], "job long, position string, ts timestamp")
     batch = jobs.lapses_of_log(log, F.lit(at(1501))).collect()
     assert sorted((r.job, r.position, (r.at - start).seconds, r.takeovers) for r in batch) == seen[-1]
+
+
+def test_first_lines_of_names_that_repeat(spark):
+    rng = random.Random(4)
+    known = sorted({(rng.choice("ab"), rng.choice("xyz"), rng.randrange(60)) for _ in range(70)})
+    runs = [(rng.choice("abc"), i, rng.choice(["x", "y", "z", "w", None]), rng.randrange(70), 99) for i in range(80)]
+    found = verify.first_lines(spark.createDataFrame(runs, "archive string, run long, name string, least long, line long"), spark.createDataFrame(known, "archive string, name string, line long"))
+    # No join, in which each run would meet every line of its name.
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {r: min((n for a, m, n in known if (a, m) == (archive, name) and n >= least), default=None) for archive, r, name, least, _ in runs}
+    assert {r.run: r.line for r in found.collect()} == want

@@ -133,6 +133,17 @@ def phased(findings: DataFrame, phases: tuple[str, ...] = PHASES) -> DataFrame:
     return numbered_.join(stopped, "archive", "left").where(F.col("_last").isNull() | (F.col("_phase") <= F.col("_last"))).select(*findings.columns)
 
 
+def first_lines(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """runs (archive, name, least, run and others) with ``line``: the first of known lines (archive, name, line) of its name that isn't before ``least``; null if there is none.
+
+    Runs and lines of a name lie in one order, and each run takes the line before it from the end, so no run meets all lines of a name that repeats.
+    """
+    marks = runs.drop("line").withColumn("_place", F.col("least")).unionByName(known.select("archive", "name", "line", F.col("line").alias("_place")), allowMissingColumns=True)
+    # Lines come before runs of the same place.
+    back = Window.partitionBy("archive", "name").orderBy(F.col("_place").desc(), F.col("run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marks.withColumn("line", F.last("line", ignorenulls=True).over(back)).where("run is not null").drop("_place")
+
+
 def resynced(lines: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Where each entry of an archive stands in its index, and where reading has to stop.
 
@@ -141,7 +152,7 @@ def resynced(lines: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame
     its predecessor's; one after a gap on the first line of its name that isn't before that. First: archive, entry, line for all entries up to the
     first that doesn't stand where it must. Second: archive, entry and problem (order, or lost: after a gap no such line follows) of that entry.
 
-    Entries between two gaps move together, so only the first of each such run looks for its line, by a join by name;
+    Entries between two gaps move together, so only the first of each such run looks for its line, in the order of its name's lines;
     each round moves runs on that begin before their predecessor's end, until none does (no name repeated: one round). Numbers are unique and not null.
     """
     upto = Window.partitionBy("archive").orderBy("entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -155,9 +166,7 @@ def resynced(lines: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame
 
     def placed(at: DataFrame) -> DataFrame:
         """Each run on the first line of its name from ``least`` on; null if there is none. The first entry of an archive with no gap before it stands on line 0."""
-        at = at.drop("line")
-        found = at.join(known, ["archive", "name"], "left").groupBy("archive", "run").agg(F.min(F.when(F.col("line") >= F.col("least"), F.col("line"))).alias("line"))
-        return at.join(found, ["archive", "run"]).withColumn("line", F.when(F.col("fixed"), F.lit(0)).otherwise(F.col("line")))
+        return first_lines(at, known).withColumn("line", F.when(F.col("fixed"), F.lit(0)).otherwise(F.col("line")))
 
     at = written(placed(runs.withColumn("least", F.lit(0).cast("bigint"))), "verify-runs")
     while True:
