@@ -78,3 +78,26 @@ def test_odd_documents(odd_docs, no_docs, texts, library):
     assert sorted((list(r.tokens) for r in rows), key=str) == sorted((library.encode_ordinary(t or "") for _, t, _ in texts), key=str)
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in rows if r.text) and all(len(r.decoded) == 0 for r in rows if not r.text)
     assert bpe.encode_digest(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_depth_first_like_last_tokens_of_all_prefixes(encoder):
+    v, rnd = encoder.vocabulary, random.Random(3)
+    for _ in range(3000):
+        data = "".join(rnd.choice(["ab", "the", "ing", "aaaa", "qz", "é", " ", "0", "Onh", "tion"]) for _ in range(rnd.randrange(1, 40))).encode()
+        assert v.encode(data) == v.walk_back(data) == bpe.Prefixes(v, data).tokens()
+    assert v.encode(b"ab" * 3000) == v.walk_back(b"ab" * 3000) and v.encode(b"") == []
+
+
+def test_workers_get_few_rows_at_once(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "SHORT", 20)
+    rows = [(i, t) for i, t in enumerate(["one two", "é" * 11, "é" * 10, "a longer text of more than twenty bytes", None, ""])]
+    encoded = bpe.encode_column(spark.createDataFrame(rows, "doc_id int, text string"), PATH, public_tokenizers.PATTERN, keep=False)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and plan.count("MapInArrow") == 1
+    assert {r.doc_id: list(r.tokens) for r in encoded.collect()} == {i: library.encode_ordinary(t or "") for i, t in rows}
+
+
+def test_a_word_is_remembered_once(library):
+    own = bpe.TextEncoder(bpe.Vocabulary.load(PATH), public_tokenizers.PATTERN)
+    text = "first oneththe tionentis thaheon"
+    assert own.decimal(text) == ids(library.encode_ordinary(text)) and len(own.chunks.new) == 3 and not own.pieces.new

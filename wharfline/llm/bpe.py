@@ -22,8 +22,14 @@ from wharfline.llm.text import steps
 
 #: Entries of each half of a worker's memory of encoded chunks or pieces; it bounds memory and changes no result.
 REMEMBERED = 400_000
+#: The same for workers that encode for one task only, beside what other stages of a job left there.
+REMEMBERED_ONCE = 100_000
+#: UTF-8 bytes of a text that a worker gets with up to 99 others; longer ones go to it in Arrow batches, which Spark bounds by bytes.
+SHORT = 1 << 16
 #: Text bytes of a step of a task.
 STEP = 1 << 20
+#: Bytes of a piece that is encoded depth first.
+DEEPEST = 1 << 10
 
 
 class Memory:
@@ -54,6 +60,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {r: t for t, r in ranks.items()}
+        self.lengths = {r: len(t) for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._parts: dict[int, tuple[int, int] | None] = {}
         self.seams: dict[int, bool] = {}
@@ -140,6 +147,54 @@ class Vocabulary:
                         last[base + end] = token
             left = last[base + begin]
 
+    def encode(self, data: bytes) -> list[int]:
+        """The encoding of ``data``. Of its prefixes only those are visited that the longest tokens lead to, and others where these lead nowhere.
+
+        Tokens that fit pair by pair are the encoding, as it is unique; so a prefix once reached needs no other way to it.
+        """
+        if len(data) > DEEPEST:
+            return self.walk_back(data)
+        size, root, seen, lengths = len(data), self.tree, self.seams, self.lengths
+        reached, out, others = bytearray(size + 1), [], []
+        at, left = 0, -1
+        while at < size:
+            node, found = root, []
+            for b in data[at : at + self.longest]:
+                node = node.get(b)
+                if node is None:
+                    break
+                if (token := node[-1]) >= 0:
+                    found.append(token)
+            while True:
+                if not found:
+                    # Nothing fits from here on: the token before was none of the encoding's.
+                    found = others.pop()
+                    at -= lengths[out.pop()]
+                    left = out[-1] if out else -1
+                    continue
+                token = found.pop()
+                end = at + lengths[token]
+                if not reached[end]:
+                    fits = seen.get(left << 32 | token)
+                    if fits or fits is None and self.seam(left, token):
+                        break
+            reached[end] = 1
+            at, left = end, token
+            out.append(token)
+            others.append(found)
+        return out
+
+    def walk_back(self, data: bytes) -> list[int]:
+        """The same from the last tokens of all prefixes, which takes less memory for long data."""
+        last: list[int] = []
+        self.extend(b"", last, data)
+        out, at = [], len(data)
+        while at:
+            token = last[at - 1]
+            out.append(token)
+            at -= len(self.bytes[token])
+        return out[::-1]
+
 
 class Prefixes:
     """A byte string with the last token of each prefix. ``tokens()`` is its encoding; appends and edits keep what lies before them."""
@@ -183,37 +238,33 @@ class TextEncoder:
     white space), so texts are cut there, and the encodings of the chunks are remembered.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, half: int = REMEMBERED):
         self.vocabulary = vocabulary
         self.find = regex.compile(pattern).findall
-        self.pieces, self.chunks = Memory(REMEMBERED // 2), Memory()
+        self.pieces, self.chunks = Memory(half // 2), Memory(half)
         self.texts = {str(r): t for r, t in vocabulary.bytes.items()}
 
     def piece(self, piece: str) -> list[int]:
         known = self.pieces.get(piece)
         if known is None:
-            data = piece.encode()
-            whole = self.vocabulary.ranks.get(data)
-            known = [whole] if whole is not None else self._tokens(data)
+            known = self._tokens(piece)
             if len(piece) <= 64:
                 self.pieces.put(piece, known)
         return known
 
-    def _tokens(self, data: bytes) -> list[int]:
-        last: list[int] = []
-        self.vocabulary.extend(b"", last, data)
-        out, at, words = [], len(data), self.vocabulary.bytes
-        while at:
-            token = last[at - 1]
-            out.append(token)
-            at -= len(words[token])
-        return out[::-1]
+    def _tokens(self, piece: str) -> list[int]:
+        data = piece.encode()
+        whole = self.vocabulary.ranks.get(data)
+        return [whole] if whole is not None else self.vocabulary.encode(data)
 
     def encode(self, text: str) -> list[int]:
         return [t for p in self.find(text) for t in self.piece(p)]
 
     def _chunk(self, chunk: str) -> str:
-        return " ".join(map(str, self.encode(chunk)))
+        found = self.find(chunk)
+        # A chunk of one piece is remembered as a chunk, so not as a piece besides.
+        ids = self._tokens(found[0]) if len(found) == 1 else [t for p in found for t in self.piece(p)]
+        return " ".join(map(str, ids))
 
     def decimal(self, text: str) -> str:
         """The ids as decimal numbers joined by spaces."""
@@ -257,11 +308,7 @@ def _encoder(path: str, pattern: str) -> TextEncoder:
     return _ENCODERS[path, pattern]
 
 
-def _forget() -> None:
-    _ENCODERS.clear()
-
-
-def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Array]], fields: str, names: list[str], keep: bool = True) -> DataFrame:
+def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Array]], fields: str, names: list[str]) -> DataFrame:
     """All columns of docs but those named like new ones, with the columns that ``make`` gives for the texts (null: empty) of a step."""
     kept, body = [c for c in docs.columns if c not in names], fresh("text")
     frame = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(body))
@@ -269,8 +316,6 @@ def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Ar
     def run(batches):
         for batch in steps(batches, body, STEP):
             yield pa.record_batch([*batch.columns[:-1], *make(batch.column(body).to_pylist())], [*kept, *names])
-        if not keep:
-            _forget()
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
     return frame.mapInArrow(tidy(run), kinds + fields)
@@ -279,14 +324,26 @@ def map_texts(docs: DataFrame, text: str, make: Callable[[list[str]], list[pa.Ar
 def encode_column(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: bool = True) -> DataFrame:
     """``docs`` with ``tokens``, the ids of each text as array<int>. A null or empty text has none; long texts are encoded whole.
 
-    Workers keep the encoder for their later tasks unless ``keep`` is false, which leaves its memory to other stages.
+    Texts of up to SHORT bytes go to a worker a hundred at a time, as an Arrow batch of 10,000 is copied several times beside the
+    encoder; longer ones, for which docs is read once more, in Arrow batches. Workers keep the encoder for their later tasks unless
+    ``keep`` is false, which leaves its memory to other stages.
     """
+    held: list[TextEncoder] = []
+
+    def ids(body: str | None) -> list[int]:
+        if not held:
+            # A task has its own copy of the list, so what isn't kept goes with it.
+            held.append(_encoder(path, pattern) if keep else TextEncoder(Vocabulary.load(path), pattern, REMEMBERED_ONCE))
+        found = held[0].decimal(body or "")
+        return list(map(int, found.split(" "))) if found else []
 
     def make(texts: list[str]) -> list[pa.Array]:
-        encoder = _encoder(path, pattern)
-        return [pa.array([list(map(int, s.split(" "))) if (s := encoder.decimal(t)) else [] for t in texts], pa.list_(pa.int32()))]
+        return [pa.array([ids(t) for t in texts], pa.list_(pa.int32()))]
 
-    return map_texts(docs, text, make, "tokens array<int>", ["tokens"], keep)
+    short = F.coalesce(F.octet_length(F.col(text)) <= SHORT, F.lit(True))
+    kept = [c for c in docs.columns if c != "tokens"]
+    some = docs.where(short).select(*kept, F.udf(ids, "array<int>", useArrow=False)(F.col(text)).alias("tokens"))
+    return some.unionByName(map_texts(docs.where(~short), text, make, "tokens array<int>", ["tokens"]))
 
 
 def decode_column(docs: DataFrame, path: str, pattern: str, *, tokens: str = "tokens") -> DataFrame:
