@@ -380,7 +380,9 @@ def _site_names(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFr
         F.when(k % 50 == 0, under(F.lit("wp_"), (*catalog.MARKERS, "users"))).otherwise(none),
         F.when(k % 25 == 0, F.array(sqltext.generated_name("wt", F.lit(5), own), F.concat(own, F.lit("l" + "o" * 50 + "ng")))).otherwise(none),
     ]
-    return table(spark, sf_dir, "customer").where(where).select(F.explode(F.concat(*parts)).alias("name")).distinct()
+    # A customer is a few bytes in a file and some ten names here, so a split's customers are dealt out before they become names.
+    dealt = table(spark, sf_dir, "customer").where(where).select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return dealt.select(F.explode(F.concat(*parts)).alias("name")).distinct()
 
 
 def _site_names_sql(where: str = "true") -> str:
