@@ -46,6 +46,30 @@ def test_drop_order_of_many_graphs(spark):
     assert sorted(map(tuple, got.collect())) == plan_of(tables, edges)
 
 
+def test_drop_order_takes_several_hops_a_job(spark, monkeypatch):
+    """Chains and circles of up to four are settled by few written tables; longer ones, and circles between circles, in any order of names, by more."""
+    rng, many = random.Random(11), []
+    monkeypatch.setattr(graph, "written", lambda df, kind, real=graph.written: many.append(kind) or real(df, kind))
+
+    def planned(tables, edges):
+        many.clear()
+        got = graph.drop_order(spark.createDataFrame([(t,) for t in tables], "name string"), spark.createDataFrame(edges, "child string, parent string"))
+        assert sorted(map(tuple, got.collect())) == plan_of(tables, edges)
+        return len(many)
+
+    tables, edges = [], []
+    for g in range(12):
+        names = [f"s{g:02}{i}" for i in range(4)]
+        tables += names
+        edges += list(zip(names, names[1:])) + ([(names[3], names[0])] if g % 3 == 0 else []) + ([(names[1], names[0])] if g % 4 == 1 else []) + ([("live", names[1])] if g % 5 == 0 else [])
+    assert planned(tables, edges) <= 16
+    names = [f"l{i:02}" for i in range(26)]
+    rng.shuffle(names)
+    # A chain of 6 to a circle of 9, a chain on to a circle of 6, and a chain after it; a table outside refers to the last two.
+    edges = [*zip(names, names[1:]), (names[14], names[6]), (names[22], names[17]), ("live", names[24])]
+    assert planned(names, edges) > 16
+
+
 def test_drop_order_folds_case(spark):
     tables, edges = (spark.createDataFrame(r, s) for r, s in (([("A",), ("b",), ("C",)], "name string"), ([("a", "B"), ("B", "a"), ("b", "c")], "child string, parent string")))
     assert sorted(map(tuple, graph.drop_order(tables, edges, fold=True).collect())) == [(1, "A", "A", True), (1, "A", "b", True), (2, "C", "C", False)]

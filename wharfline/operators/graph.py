@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.operators.shared import written
 
+# Hops of one job; as many joins are planned at once.
+HOPS = 4
+
 
 def settled(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that spark.checkpoint.dir names; where that is unset, a local session gets one of its machine, any other raises ValueError."""
@@ -47,50 +51,74 @@ def kept_by(kept: DataFrame, tables: DataFrame, edges: DataFrame) -> DataFrame:
     return outside.select(F.col("parent").alias("name"), F.col("child").alias("by")).distinct()
 
 
-def _spread(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (name, label) once no label can grow any more: each parent takes the largest label of its children (links child, parent)."""
-    grown = labels.withColumn("new", F.lit(True))
+def _hops(links: DataFrame, step: Callable[[Column], Column] = lambda value: value, *, smallest: bool = False) -> DataFrame:
+    """links (child, parent, value: the child's) after HOPS hops: in each a child takes the largest (or smallest) of its own value and what its own children offer, their values after ``step``; old is the value one hop before.
+
+    Nothing is written between: a hop shuffles offers, one a parent, to the links, whose shuffle by child serves all hops. Nulls offer nothing.
+    """
+    best, better = (F.min, F.least) if smallest else (F.max, F.greatest)
+    base = links.select("child", "parent", "value")
+    now = base.withColumn("old", F.lit(None).cast(base.schema["value"].dataType))
+    for _ in range(HOPS):
+        offers = now.where("value is not null").groupBy(F.col("parent").alias("child")).agg(best(step(F.col("value"))).alias("offer"), best(step(F.col("old"))).alias("before"))
+        # Offers, a row each, are what is looked up, so that links aren't sorted in every hop.
+        now = base.join(offers.hint("shuffle_hash"), "child", "left").select("child", "parent", better("value", "offer").alias("value"), better("value", "before").alias("old"))
+    return now
+
+
+def _spread(links: DataFrame, step: Callable[[Column], Column] = lambda value: value, *, smallest: bool = False) -> DataFrame:
+    """links (child, parent, value) once no value changes any more, see ``_hops``; written after HOPS hops each."""
     while True:
-        offered = links.join(grown.where("new").select(F.col("name").alias("child"), "label"), "child").groupBy(F.col("parent").alias("name")).agg(F.max("label").alias("offer"))
-        # A row whose label didn't grow offers nothing in the next round.
-        better = F.coalesce(F.col("offer") > F.col("label"), F.lit(False))
-        grown = written(grown.drop("new").join(offered, "name", "left").select("name", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("new")), "graph-labels")
-        if grown.where("new").isEmpty():
-            return grown.drop("new")
+        changed = ~F.col("value").eqNullSafe(F.col("old"))
+        links = written(_hops(links, step, smallest=smallest).select("child", "parent", "value", changed.alias("changed")), "graph-values")
+        if links.where("changed").isEmpty():
+            return links.drop("changed")
+
+
+def _turned(links: DataFrame) -> DataFrame:
+    return links.select(F.col("parent").alias("child"), F.col("child").alias("parent"), *(c for c in links.columns if c not in ("child", "parent")))
+
+
+def _endless(links: DataFrame) -> DataFrame:
+    """links (child, parent) without those whose child can't be reached by walks of any length."""
+    while True:
+        walks = written(_hops(links.withColumn("value", F.lit(0)), lambda value: value + 1).select("child", "parent", "value"), "graph-walks")
+        links = walks.where(F.col("value") == HOPS).select("child", "parent")
+        # If a child of the others were left, the longest walk to it would pass a child one link short of HOPS.
+        if walks.where(F.col("value") == HOPS - 1).isEmpty():
+            return links
 
 
 def strong_groups(edges: DataFrame) -> DataFrame:
     """name and first of every table in a circle of edges (child, parent): the smallest name of those that refer to each other, directly or not.
 
     Edges that can't lie in a circle are taken away until none is left to take. Then each table gets the
-    largest name that leads to it, and, backwards among tables of one such name, what leads to that name is its circle;
-    circles found go, and the rest is searched again. Every round is a join, written; names of tables in no circle are left out.
+    smallest name that leads to it, and, backwards among tables of one such name, what leads to that name is its circle;
+    circles found go, and the rest is searched again. Rounds are joins, written every few; names of tables in no circle are left out.
     Edges may repeat; those with nulls and from a table to itself are none.
     """
-    left = written(edges.select("child", "parent").where("child <> parent").distinct(), "graph-edges")
-    size, groups = left.count(), None
-    while size:
-        # A link of a circle starts where another ends and ends where another starts.
-        inner = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        before, left = size, written(inner, "graph-edges")
-        size = left.count()
-        if size < before:
-            continue
-        names = left.select(F.col("child").alias("name")).union(left.select("parent")).distinct()
-        colour = _spread(left, names.withColumn("label", F.col("name")))
-        ends = left.join(colour.select(F.col("name").alias("child"), F.col("label").alias("colour")), "child").join(colour.select(F.col("name").alias("parent"), "label"), "parent").where("colour = label")
-        back = ends.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    left, groups = edges.select("child", "parent").where("child <> parent"), None
+    while True:
+        # A link of a circle starts where others end and ends where others start.
+        left = _turned(_endless(_turned(_endless(left))))
+        if left.isEmpty():
+            break
+        colour = _spread(left.withColumn("value", F.col("child")), smallest=True)
+        # Every parent that is left is a child, too.
+        own = colour.groupBy(F.col("child").alias("parent")).agg(F.min("value").alias("colour"))
+        ends = colour.join(own, "parent").where("value = colour")
         # Backwards, from the names that are their own colour.
-        found = _spread(back, colour.select("name", F.when(F.col("name") == F.col("label"), F.col("label")).otherwise("").alias("label"))).where("label <> ''")
-        found = written(found, "graph-circles")
+        back = _spread(written(_turned(ends).withColumn("value", F.when(F.col("child") == F.col("colour"), F.col("colour"))).select("child", "parent", "value"), "graph-back"))
+        found = written(back.where("value is not null").select(F.col("child").alias("name"), F.col("value").alias("first")).distinct(), "graph-circles")
         groups = found if groups is None else groups.unionByName(found)
         gone = found.select("name")
-        rest = left.join(gone.withColumnRenamed("name", "child"), "child", "left_anti").join(gone.withColumnRenamed("name", "parent"), "parent", "left_anti")
+        rest = colour.join(gone.withColumnRenamed("name", "child"), "child", "left_anti").join(gone.withColumnRenamed("name", "parent"), "parent", "left_anti")
         left = written(rest.select("child", "parent"), "graph-edges")
-        size = left.count()
+        if left.isEmpty():
+            break
     if groups is None:
         return edges.select(F.col("child").alias("name"), F.col("child").alias("first")).limit(0)
-    return groups.select("name", F.min("name").over(Window.partitionBy("label")).alias("first"))
+    return groups
 
 
 def drop_order(tables: DataFrame, edges: DataFrame, *, fold: bool = False) -> DataFrame:
@@ -102,24 +130,22 @@ def drop_order(tables: DataFrame, edges: DataFrame, *, fold: bool = False) -> Da
     Nulls are no names; repeated names and edges count once; an empty table gives an empty result.
     """
     key = (lambda c: F.lower(c)) if fold else (lambda c: F.col(c))
-    names = written(tables.where("name is not null").groupBy(key("name").alias("key")).agg(F.min("name").alias("written")), "graph-names")
-    links = written(edges.where("child is not null and parent is not null").select(key("child").alias("child"), key("parent").alias("parent")).where("child <> parent").distinct(), "graph-links")
-    keys = names.select(F.col("key").alias("name"))
-    kept = kept_tables(keys, links).select("name")
-    free = written(keys.join(kept, "name", "left_anti"), "graph-free")
-    links = links.join(free.withColumnRenamed("name", "child"), "child", "left_semi").join(free.withColumnRenamed("name", "parent"), "parent", "left_semi").select("child", "parent")
-    circles = strong_groups(links)
-    group = written(free.join(circles, "name", "left").select("name", F.coalesce("first", "name").alias("first")), "graph-groups")
-    between = links.join(group.select(F.col("name").alias("child"), F.col("first").alias("c")), "child").join(group.select(F.col("name").alias("parent"), F.col("first").alias("p")), "parent")
-    between = written(between.where("c <> p").select("c", "p").distinct(), "graph-between")
-    left, rounds, number = written(group.select("first").distinct(), "graph-left"), None, 0
-    while not left.isEmpty():
-        number += 1
-        ready = written(left.join(between.select(F.col("p").alias("first")).distinct(), "first", "left_anti"), "graph-ready")
-        rounds = ready.withColumn("round", F.lit(number)) if rounds is None else rounds.unionByName(ready.withColumn("round", F.lit(number)))
-        left = written(left.join(ready, "first", "left_anti"), "graph-left")
-        between = written(between.join(ready.withColumnRenamed("first", "c"), "c", "left_anti").select("c", "p"), "graph-between")
-    if rounds is None:
-        return names.select(F.lit(0).alias("round"), F.col("key").alias("first"), F.col("written").alias("name"), F.lit(False).alias("together")).limit(0)
-    members = group.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("first"))).join(rounds, "first").join(names, F.col("name") == F.col("key"))
-    return members.select("round", F.min("written").over(Window.partitionBy("first")).alias("first"), F.col("written").alias("name"), (F.col("n") > 1).alias("together"))
+    names = tables.where("name is not null").select(key("name").alias("key"), F.col("name").alias("written"))
+    names = names.groupBy("key").agg(F.min("written").alias("written")) if fold else names.distinct()
+    names = written(names.withColumn("id", F.monotonically_increasing_id()), "graph-names")
+    ends = edges.where("child is not null and parent is not null").select(key("child").alias("child"), key("parent").alias("parent")).where("child <> parent")
+    ids = ends.join(names.select(F.col("key").alias("parent"), F.col("id").alias("p")), "parent").join(names.select(F.col("key").alias("child"), F.col("id").alias("c")), "child", "left")
+    # All tables outside that refer to a table are one to it, below 0.
+    links = ids.select(F.coalesce("c", -1 - F.col("p")).alias("child"), F.col("p").alias("parent")).distinct()
+    links = _spread(written(links.withColumn("value", F.when(F.col("child") < 0, 1)), "graph-links"))
+    kept = written(links.where("value is not null").select("parent").distinct(), "graph-kept")
+    links = written(links.where("value is null").join(kept, "parent", "left_anti").select("child", "parent"), "graph-free")
+    circles = written(strong_groups(links).select(F.col("name").alias("id"), F.col("first").alias("statement")), "graph-groups")
+    between = links.join(circles.select(F.col("id").alias("child"), F.col("statement").alias("c")), "child", "left").join(circles.select(F.col("id").alias("parent"), F.col("statement").alias("p")), "parent", "left")
+    between = between.select(F.coalesce("c", "child").alias("child"), F.coalesce("p", "parent").alias("parent")).where("child <> parent").distinct()
+    between = _spread(written(between.withColumn("value", F.lit(1)), "graph-between"), lambda value: value + 1)
+    rounds = between.groupBy(F.col("parent").alias("statement")).agg((F.max("value") + 1).alias("round"))
+    firsts = circles.join(names, "id").groupBy("statement").agg(F.min("written").alias("first"))
+    together = circles.join(firsts.join(rounds, "statement", "left"), "statement").select("id", "first", F.coalesce("round", F.lit(1)).alias("with"))
+    free = names.join(kept.withColumnRenamed("parent", "id"), "id", "left_anti").join(together, "id", "left").join(rounds.withColumnRenamed("statement", "id"), "id", "left")
+    return free.select(F.coalesce("with", "round", F.lit(1)).alias("round"), F.coalesce("first", "written").alias("first"), F.col("written").alias("name"), F.col("first").isNotNull().alias("together"))

@@ -16,14 +16,19 @@ def _references(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.row_number().over(by_customer) - 1).alias("place")).withColumn("part", F.floor(F.col("place") / 4))
     chain = Window.partitionBy("o_custkey", "part").orderBy("o_orderkey")
     whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    key = F.concat(F.lit("t"), F.col("o_orderkey").cast("string"))
-    o = o.withColumn("name", key).withColumn("next", F.lead("name").over(chain)).withColumn("head", F.first("name").over(whole)).withColumn("n", F.row_number().over(chain))
+    o = o.withColumn("next", F.lead("o_orderkey").over(chain)).withColumn("head", F.first("o_orderkey").over(whole)).withColumn("n", F.row_number().over(chain))
     custkey = F.col("o_custkey")
-    edges = o.where("next is not null").select(F.col("name").alias("child"), F.col("next").alias("parent"))
-    edges = edges.union(o.where((custkey % 3 == 0) & F.col("next").isNull() & (F.col("n") > 1)).select("name", "head"))
-    edges = edges.union(o.where((custkey % 4 == 1) & (F.col("n") == 2)).select("name", "head"))
-    edges = edges.union(o.where((custkey % 5 == 0) & (F.col("place") == 1)).select(F.concat(F.lit("live"), custkey.cast("string")), "name"))
-    return o.select("name"), edges
+    name, following, head = (F.concat(F.lit("t"), F.col(c).cast("string")) for c in ("o_orderkey", "next", "head"))
+    refers = [
+        (F.col("next").isNotNull(), name, following),
+        ((custkey % 3 == 0) & F.col("next").isNull() & (F.col("n") > 1), name, head),
+        ((custkey % 4 == 1) & (F.col("n") == 2), name, head),
+        ((custkey % 5 == 0) & (F.col("place") == 1), F.concat(F.lit("live"), custkey.cast("string")), name),
+    ]
+    # All references of a row at once, so that orders are read and ordered once.
+    found = F.array_compact(F.array(*(F.when(there, F.struct(child.alias("child"), parent.alias("parent"))) for there, child, parent in refers)))
+    edges = o.select(F.explode(found).alias("e")).select("e.child", "e.parent")
+    return o.select(name.alias("name")), edges
 
 
 _REFERENCES = """
