@@ -57,7 +57,8 @@ def _hops(links: DataFrame, step: Callable[[Column], Column] = lambda value: val
     Nothing is written between: a hop shuffles offers, one a parent, to the links, whose shuffle by child serves all hops. Nulls offer nothing.
     """
     best, better = (F.min, F.least) if smallest else (F.max, F.greatest)
-    base = links.select("child", "parent", "value")
+    # Filters that a later hop would add are there from the first, so that all read one shuffle.
+    base = links.select("child", "parent", "value").where("child is not null and parent is not null")
     now = base.withColumn("old", F.lit(None).cast(base.schema["value"].dataType))
     for _ in range(HOPS):
         offers = now.where("value is not null").groupBy(F.col("parent").alias("child")).agg(best(step(F.col("value"))).alias("offer"), best(step(F.col("old"))).alias("before"))

@@ -13,10 +13,10 @@ from wharfline.streaming import jobs as stream_jobs
 def _references(spark, sf_dir):
     """Tables named by orders, and edges: chains of up to four orders of a customer, some closed to circles, some referred to by a table that stays."""
     by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.row_number().over(by_customer) - 1).alias("place")).withColumn("part", F.floor(F.col("place") / 4))
-    chain = Window.partitionBy("o_custkey", "part").orderBy("o_orderkey")
-    whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    o = o.withColumn("next", F.lead("o_orderkey").over(chain)).withColumn("head", F.first("o_orderkey").over(whole)).withColumn("n", F.row_number().over(chain))
+    around = [F.lag("o_orderkey", i).over(by_customer).alias(f"before{i}") for i in (1, 2, 3)] + [F.lead("o_orderkey").over(by_customer).alias("after")]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.row_number().over(by_customer) - 1).alias("place"), *around)
+    o = o.withColumn("n", F.col("place") % 4 + 1).withColumn("next", F.when(F.col("n") < 4, F.col("after")))
+    o = o.withColumn("head", F.when(F.col("n") == 1, F.col("o_orderkey")).when(F.col("n") == 2, F.col("before1")).when(F.col("n") == 3, F.col("before2")).otherwise(F.col("before3")))
     custkey = F.col("o_custkey")
     name, following, head = (F.concat(F.lit("t"), F.col(c).cast("string")) for c in ("o_orderkey", "next", "head"))
     refers = [
