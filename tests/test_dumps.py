@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from wharfline.operators import definitions
 from wharfline.sources import foreign
 
+DATA = "/root/testdata/sf0.001"
+
 
 def sequential(text: bytes):
     """Statements by a plain walk over the bytes: (at, body) up to each semicolon in code."""
@@ -186,3 +188,35 @@ def test_statements_of_many_small_pieces(spark):
     df = spark.createDataFrame([("d", i, text[i * 7 : i * 7 + 7]) for i in range(len(text) // 7 + 1) if text[i * 7 : i * 7 + 7]], "dump string, piece long, body binary")
     got = foreign.statements(df).orderBy("number").collect()
     assert b"".join(bytes(r.body) for r in got) == text and len(got) == 300
+
+
+def test_lexed_bodies_have_the_sequential_tokens():
+    rng = random.Random(3)
+    bodies = [random_dump(rng, rng.choice([0, 1, 3, 8, 30, 200])) for _ in range(1500)] + [None, b"/*!9 a*//*!9 b;*/", b"/*!9 a /*!9 b*/", b"*/ /**/ /*/ */", b"`a``b` ``", b"x/*"]
+    row, kind, start, end, value = foreign.lexed(bodies)
+    got = [[] for _ in bodies]
+    for r, *t in zip(row.tolist(), [foreign.KINDS[k] for k in kind.tolist()], start.tolist(), end.tolist(), value.to_pylist()):
+        got[r].append(tuple(t))
+    assert got == [foreign.tokens_of(b) if b else [] for b in bodies]
+
+
+def test_facts_from_bodies_are_those_from_tokens(spark):
+    texts = ["CREATE TABLE `t` (`a` int COLLATE 'x''y', PRIMARY KEY (`a`), CONSTRAINT `c` FOREIGN KEY (`a`) REFERENCES `u` (`v`)) ENGINE=InnoDB /*!9 COLLATE=z */;", "DROP TABLE `t`;", "CREATE TABLE `u` (`a``b` int, , CHECK (`a` > 0)) UNION=(`x`);", "", None]
+    df = spark.createDataFrame([(i, None if t is None else t.encode()) for i, t in enumerate(texts)], "n int, body binary")
+    got = definitions.facts(df, ["n"]).orderBy("n").collect()
+    assert got == definitions.facts(foreign.tokens(df), ["n"]).orderBy("n").collect()
+    assert [(r.n, r.table, r.columns, r.reason, [tuple(c) for c in r.collations]) for r in got] == [(0, "t", ["a"], None, [("x'y", "column:a"), ("z", "table")]), (2, "u", ["a`b"], "the option UNION", [])]
+    assert definitions.facts(df, ["n"], ["reason", "table"]).columns == ["n", "reason", "table"]
+
+
+def test_words_that_are_not_there_refuse_a_definition(spark):
+    texts = ["CREATE 'x' `t` (`a` int);", "CREATE TABLE `t` (`a` int, PRIMARY (`a`));", "CREATE TABLE `t` (`a` int, CONSTRAINT `c` FOREIGN (`a`) REFERENCES `u` (`v`));"]
+    assert [r.reason for r in facts(spark, *texts)] == ["no CREATE TABLE with a quoted name and a list", "a primary key without columns", "a foreign key without a table"]
+
+
+def test_orders_are_dealt_out_before_they_become_definitions(spark):
+    from wharfline.plans import dumps
+
+    # One file with one row group, which is one task.
+    for made in (dumps.ddl_facts, dumps.ddl_rename):
+        assert made(spark, DATA).rdd.getNumPartitions() == 4

@@ -1,13 +1,13 @@
 """Table definitions read from their tokens, and rewritten for other names.
 
 A batch's tokens are columns: running sums over them give the depth of
-parentheses and number the items, and the facts of an item are expressions over the array of its
-tokens. Nothing is shuffled, as a statement's tokens are one row.
+parentheses and number the items, an item is a range of tokens, and its facts are found for all
+items of the batch at once. Nothing is shuffled, and tokens needn't leave the task that finds them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.functions.sqltext import NAME_BYTES, identifier
+from wharfline.sources import foreign
 
 #: Engines that a table may use; words that no table option may hold; words that begin an index.
 ENGINES = ("innodb", "myisam", "aria", "memory", "heap", "csv", "blackhole", "rocksdb", "tokudb")
@@ -23,16 +24,41 @@ NO_OPTIONS = ("DIRECTORY", "CONNECTION", "UNION", "SELECT", "LIKE", "AS", "IGNOR
 INDEX_WORDS = ("KEY", "INDEX", "UNIQUE", "FULLTEXT", "SPATIAL")
 #: Hexadecimal digits of the hash that ends a shortened name.
 HASH_DIGITS = 7
-#: Statements whose tokens are columns at once.
+#: Statements whose tokens are columns at once, where they come as tokens.
 ROWS = 1000
-FACTS = ["table", "columns", "generated", "primary_key", "foreign_keys", "checks", "engine", "auto_increment", "collations", "reason", "places", "start"]
-
+#: What is told of a definition, with its type.
+FACTS = {
+    "table": "string", "columns": "array<string>", "generated": "array<string>", "primary_key": "array<string>", "foreign_keys": "array<struct<name: string, columns: array<string>, references: string, referenced: array<string>>>", "checks": "array<string>", "engine": "string", "auto_increment": "string",
+    "collations": "array<struct<name: string, at: string>>", "reason": "string", "places": "array<struct<what: string, name: string, at: string, from: int, to: int>>", "start": "int",
+}
 
 #: Numbers of what stands before the list of items and after it, and the tokens before it.
 HEAD, OPTIONS, HEAD_TOKENS = -1, 1 << 30, 4
-#: Words that are looked for in an item, in any depth or (second) in its own only: the place of the first one, -1 if there is none.
-WORDS = {"collate": (("COLLATE",), False), "reference": (("REFERENCES",), True), "generated": (("AS", "GENERATED"), True), "constraint": (("CONSTRAINT",), True), "engine": (("ENGINE", "TYPE"), False), "auto": (("AUTO_INCREMENT",), False), "option": (NO_OPTIONS, False)}
-ITEMS = "array<struct<item: int, closed: boolean, " + "".join(f"{w}: int, " for w in WORDS) + "ts: array<struct<kind: string, up: string, value: string, d: int, from: int, to: int>>>>"
+#: What an item is.
+KINDS = ("head", "options", "column", "index", "primary", "check", "foreign", "unique", "other")
+_IS = {kind: i for i, kind in enumerate(KINDS)}
+#: Words that tell something, by number.
+_WORDS = tuple(dict.fromkeys(("CREATE", "TABLE", "COLLATE", "REFERENCES", "AS", "GENERATED", "CONSTRAINT", "ENGINE", "TYPE", "AUTO_INCREMENT", "PRIMARY", "CHECK", "FOREIGN", *INDEX_WORDS, *NO_OPTIONS, *(e.upper() for e in ENGINES))))
+_WORD = {w: i for i, w in enumerate(_WORDS)}
+#: Reasons against an item, then against a statement, by number and in the order in which they are looked for; _OPTION and _ENGINE end with a word.
+_REASONS = (
+    None, "no CREATE TABLE with a quoted name and a list", "the list isn't closed", "an item that is neither a column nor a key", "a column with REFERENCES of its own", "a foreign key without a name", "a foreign key without a table", "a foreign key to another database",
+    "a foreign key whose columns don't match", "a primary key without columns", "an item of another kind", "COLLATE without a name", "the option ", "the engine ", "AUTO_INCREMENT without a number", "a column defined twice", "two primary keys", "no columns",
+)
+_OPTION, _ENGINE, _LAST = 12, 13, 14
+
+
+def _text(values: pa.Array, where: np.ndarray, none: str | None = None) -> pa.Array:
+    """The values at places as text; ``none`` where a place is -1."""
+    taken = values.take(pa.array(where, mask=where < 0)).cast(pa.string())
+    return taken if none is None else pc.fill_null(taken, none)
+
+
+def _among(n: int, some: Iterable[int]) -> np.ndarray:
+    """Which of n numbers are among some; the last is none, for -1."""
+    out = np.zeros(n + 1, bool)
+    out[list(some)] = True
+    return out
 
 
 def _lists(owners: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
@@ -40,20 +66,33 @@ def _lists(owners: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(n + 1)), pa.int32()), values)
 
 
-def items_of(tokens: pa.ListArray) -> pa.ListArray:
-    """The ITEMS of each statement's tokens (comments, version marks and the end left out), all statements at once.
+def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray, value: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Which of n statements are a CREATE, and the FACTS of these (nothing if there are none), from the tokens of all as columns (see sources.foreign.lexed).
 
-    up is an unquoted word in upper case, d the depth of parentheses after a token; commas between items and the parenthesis that closes their list are left out.
+    Every step is done for all tokens or all items at once: a token's depth of parentheses and the number of its item are running sums,
+    an item is a range of tokens, and what it tells stands at places in it that are found by the words there. Places beyond an item are -1, where the columns end with no token.
     """
-    n = len(tokens)
-    kind, start, end, value = tokens.flatten().flatten()
-    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-    keep = pc.invert(pc.is_in(kind, pa.array(["comment", "vopen", "vclose", "end"])))
-    kind, start, end, value = (x.filter(keep) for x in (kind, start, end, value))
-    row, value = row[keep.to_numpy(zero_copy_only=False)], value.cast(pa.string())
-    up = pc.if_else(pc.equal(kind, "word"), pc.utf8_upper(value), pa.scalar(None, pa.string()))
-    mark = pc.if_else(pc.equal(kind, "p"), value, "")
-    opens, closes, commas = (pc.equal(mark, c).to_numpy(zero_copy_only=False) for c in "(),")
+    C = foreign.K
+
+    def padded(x: np.ndarray, none: int) -> np.ndarray:
+        return np.concatenate([x, np.array([none], x.dtype)])
+
+    keep = _among(len(C), (C[k] for k in C if k not in ("comment", "vopen", "vclose", "end", "blank")))[kind]
+    firsts = np.flatnonzero(keep)
+    firsts = firsts[np.diff(row[firsts], prepend=-1) != 0]
+    creates = np.zeros(n, bool)
+    if len(firsts):
+        creates[row[firsts]] = pc.equal(pc.ascii_upper(value.take(pa.array(firsts)).cast(pa.string(), safe=False)), "CREATE").to_numpy(zero_copy_only=False) & (kind[firsts] == C["word"])
+    keep &= creates[row]
+    value = value.filter(pa.array(keep))
+    row, kind, start, end = (np.cumsum(creates) - 1)[row[keep]], kind[keep], start[keep], end[keep]
+    n = int(creates.sum())
+    if not n:
+        return creates, {}
+    words = np.flatnonzero(kind == C["word"])
+    word = np.full(len(row), -1)
+    word[words] = pc.fill_null(pc.index_in(pc.ascii_upper(value.take(pa.array(words)).cast(pa.string(), safe=False)), pa.array(_WORDS)), -1).to_numpy(zero_copy_only=False)
+    mark = np.where(kind == C["p"], foreign.bytes_at(value, np.arange(len(row))), 0)
     first = np.searchsorted(row, np.arange(n))
     i = np.arange(len(row)) - first[row]
 
@@ -62,139 +101,154 @@ def items_of(tokens: pa.ListArray) -> pa.ListArray:
         sums = np.concatenate([[0], np.cumsum(x)])
         return sums[1:] - sums[first][row]
 
-    d = summed(opens.astype(np.int32) - closes)
+    closes = mark == ord(")")
+    d = summed((mark == ord("(")).astype(np.int32) - closes)
     # The parenthesis that closes the list of items, and the commas between them.
     close = np.full(n, OPTIONS)
-    ends = np.flatnonzero(closes & (d == 0))
-    who, at = np.unique(row[ends], return_index=True)
-    close[who] = i[ends[at]]
-    comma = commas & (d == 1) & (i >= HEAD_TOKENS) & (i < close[row])
+    ends = np.flatnonzero(closes & (d == 0))[::-1]
+    close[row[ends]] = i[ends]
+    comma = (mark == ord(",")) & (d == 1) & (i >= HEAD_TOKENS) & (i < close[row])
     item = np.where(i < HEAD_TOKENS, HEAD, np.where(i > close[row], OPTIONS, summed(comma)))
     keep = ~comma & (i != close[row])
-    row, item, d = row[keep], item[keep], d[keep]
-    begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item, prepend=-2) != 0))
-    held = pa.array(keep)
-    fields = [kind.filter(held), up.filter(held), value.filter(held), pa.array(d, pa.int32()), start.filter(held), end.filter(held)]
-    ts = pa.ListArray.from_arrays(pa.array([*begins.tolist(), len(row)], pa.int32()), pa.StructArray.from_arrays(fields, ["kind", "up", "value", "d", "from", "to"]))
-    up, places = fields[1], []
-    for words, own in WORDS.values():
-        here = np.flatnonzero(pc.is_in(up, pa.array(words)).to_numpy(zero_copy_only=False) & (~np.array(own) | (d == 1)))
-        who, at = np.unique(np.searchsorted(begins, here, "right") - 1, return_index=True)
-        place = np.full(len(begins), -1)
-        place[who] = here[at] - begins[who]
-        places.append(pa.array(place, pa.int32()))
-    each = pa.StructArray.from_arrays([pa.array(item[begins], pa.int32()), pa.array((close < OPTIONS)[row[begins]]), *places, ts], ["item", "closed", *WORDS, "ts"])
-    return _lists(row[begins], n, each)
-
-
-def _items(found: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and ``items`` (ITEMS) of each statement."""
+    row, item, value = row[keep], item[keep], value.filter(pa.array(keep))
+    kind, word, mark, d, start, end = (padded(x[keep], none) for x, none in ((kind, C["blank"]), (word, -1), (mark, 0), (d, 0), (start, 0), (end, 0)))
+    is_ = lambda *names: _among(len(_WORDS), (_WORD[w] for w in names))[word]
+
+    # Items as ranges of tokens.
+    begin = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item, prepend=-2) != 0))
+    size = np.diff(begin, append=len(row))
+    owner, of = row[begin], np.repeat(np.arange(len(begin)), size)
+    within = np.arange(len(row)) - begin[of]
+    some = np.zeros(len(begin), bool)
+
+    def at(k: np.ndarray | int) -> np.ndarray:
+        """The k-th token of each item, from 0."""
+        return np.where((k >= 0) & (k < size), begin + k, -1)
+
+    def after(t: np.ndarray, k: int) -> np.ndarray:
+        """The k-th token after tokens of an item."""
+        return np.where(within[t] + k < size[of[t]], t + k, -1)
+
+    def found(held: np.ndarray) -> np.ndarray:
+        """The place of the first token of an item among those held, -1 if there is none."""
+        place, which = np.full(len(begin), -1), np.flatnonzero(held[:-1])[::-1]
+        place[of[which]] = within[which]
+        return place
+
+    own = d == 1
+    reference, generated, option = found(is_("REFERENCES") & own), found(is_("AS", "GENERATED") & own), found(is_(*NO_OPTIONS))
+    one, two = at(0), at(1)
+    constraint = word[one] == _WORD["CONSTRAINT"]
+    named = constraint & (kind[two] == C["id"])
+    key = np.where(named, 2, np.where(constraint, 1, 0))
+    key_word, next_word = word[at(key)], word[at(key + 1)]
+    starts = lambda w: (constraint | (word[one] == _WORD[w])) & (key_word == _WORD[w])
+    number = item[begin]
+    choices = [number == HEAD, number == OPTIONS, kind[one] == C["id"], is_(*INDEX_WORDS)[one], starts("PRIMARY"), starts("CHECK"), key_word == _WORD["FOREIGN"], constraint & (key_word == _WORD["UNIQUE"])]
+    what = np.select(choices, range(8), 8)
+    head, options, column, primary, check, keys = (what == _IS[k] for k in ("head", "options", "column", "primary", "check", "foreign"))
+    name = at(2)
+
+    # Quoted names directly inside an item's parentheses.
+    ids = (kind[:-1] == C["id"]) & (d[:-1] == 2)
+    left, right = np.flatnonzero(ids & keys[of] & (within < reference[of])), np.flatnonzero(ids & keys[of] & (within > reference[of]))
+    in_primary = np.flatnonzero(ids & primary[of])
+    n_left, n_right, n_primary = (np.bincount(of[x], minlength=len(begin)) for x in (left, right, in_primary))
+    target, beyond = at(reference + 1), at(reference + 2)
+
+    # Names after COLLATE, and perhaps =.
+    holds = column | check | options | (what == _IS["index"])
+    c = np.flatnonzero(is_("COLLATE")[:-1] & holds[of])
+    there = np.where(mark[after(c, 1)] == ord("="), after(c, 2), after(c, 1))
+    called = np.where(_among(len(C), (C["str"], C["word"], C["id"]))[kind[there]], there, -1)
+    collation = _text(value, called)
+    quoted = kind[called] == C["str"]
+    if quoted.any():
+        text = collation.filter(pa.array(quoted))
+        inner = pc.utf8_slice_codeunits(text, 1, -1)
+        inner = pc.if_else(pc.starts_with(text, "'"), pc.replace_substring(inner, "''", "'"), pc.replace_substring(inner, '""', '"'))
+        collation = pc.replace_with_mask(collation, pa.array(quoted), inner)
+    nested = d[c] > np.where(options[of[c]], 0, 1)
+    places_at = pc.if_else(pa.array(column[of[c]] & ~nested), pc.binary_join_element_wise("column:", _text(value, one[of[c]]), ""), pa.array(["check", "table", "expression"]).take(pa.array(np.where(check[of[c]], 0, np.where(options[of[c]], 1, 2)))))
+    lost = some.copy()
+    lost[of[c[called < 0]]] = True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                yield pa.record_batch([*part.columns[:-1], items_of(part.columns[-1])], [*keys, "items"])
-
-    held = found.select(*keys, "tokens")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
-    return held.mapInArrow(run, f"{kinds}, items {ITEMS}")
-
-
-def _names(tokens: Column) -> Column:
-    """Quoted names directly inside an item's parentheses."""
-    return F.transform(F.filter(tokens, lambda t: (t["kind"] == "id") & (t["d"] == 2)), lambda t: t["value"])
-
-
-def _collations(tokens: Column, top: Column, nested: Column, outer: int) -> Column:
-    """Names after COLLATE (and perhaps =) as structs name, at, from, to, text; a null name where none follows."""
-
-    def named(t: Column, i: Column) -> Column:
-        one, two = F.get(tokens, i + 1), F.get(tokens, i + 2)
-        name = F.when(F.coalesce(one["value"] == "=", F.lit(False)), two).otherwise(one)
-        quote = F.substring(name["value"], 1, 1)
-        inner = F.replace(F.substring(name["value"], F.lit(2), F.length(name["value"]) - 2), F.concat(quote, quote), quote)
-        text = F.when(name["kind"] == "str", inner).when(name["kind"].isin("word", "id"), name["value"])
-        return F.struct(F.lit("collation").alias("what"), text.alias("name"), F.when(t["d"] > outer, nested).otherwise(top).alias("at"), name["from"].alias("from"), name["to"].alias("to"))
-
-    each = F.transform(tokens, lambda t, i: F.when(t["up"] == "COLLATE", named(t, i)))
-    return F.filter(each, lambda c: c.isNotNull())
-
-
-def _item_kind(item: Column) -> Column:
-    """An item with what it is and the place of its first word after a constraint's name."""
-    ts = item["ts"]
-    first, second = F.get(ts, F.lit(0)), F.get(ts, F.lit(1))
-    named = (first["up"] == "CONSTRAINT") & (second["kind"] == "id")
-    constraint = F.coalesce(first["up"] == "CONSTRAINT", F.lit(False))
-    at = F.when(F.coalesce(named, F.lit(False)), 2).when(constraint, 1).otherwise(0)
-    word = F.get(ts, at)["up"]
-    kind = (
-        F.when(item["item"] == HEAD, "head").when(item["item"] == OPTIONS, "options").when(first["kind"] == "id", "column").when(first["up"].isin(*INDEX_WORDS), "index")
-        .when((constraint | (first["up"] == "PRIMARY")) & (word == "PRIMARY"), "primary").when((constraint | (first["up"] == "CHECK")) & (word == "CHECK"), "check")
-        .when(word == "FOREIGN", "foreign").when(constraint & (word == "UNIQUE"), "unique").otherwise("other")
-    )
-    return F.struct(ts.alias("ts"), item["closed"].alias("closed"), *[item[w].alias(w) for w in WORDS], kind.alias("what"), at.alias("at"), F.coalesce(named, F.lit(False)).alias("named"))
-
-
-def _item_facts(item: Column) -> Column:
-    """A struct with what an item tells: head, options, column, primary and foreign (null for other items), places, and why it is bad."""
-    ts, what, at, ref, named = (item[c] for c in ("ts", "what", "at", "reference", "named"))
-    first, second = F.get(ts, F.lit(0)), F.get(ts, F.lit(1))
-    options, head, is_item = what == "options", what == "head", ~what.isin("head", "options")
-    target, after = F.get(ts, ref + 1), F.get(ts, ref + 2)
-    left, right = _names(F.slice(ts, F.lit(1), F.greatest(ref, F.lit(0)))), _names(F.slice(ts, ref + 2, F.size(ts)))
-    inner_checks = F.filter(F.transform(ts, lambda t, i: F.when((t["up"] == "CONSTRAINT") & (t["d"] == 1) & (F.get(ts, i + 1)["kind"] == "id"), F.get(ts, i + 1))), lambda t: t.isNotNull())
-
-    def place(what_: str, t: Column, at_: Column | None = None) -> Column:
-        return F.struct(F.lit(what_).alias("what"), t["value"].alias("name"), (F.lit(None).cast("string") if at_ is None else at_).alias("at"), t["from"].alias("from"), t["to"].alias("to"))
-
-    where_ = F.when(what == "column", F.concat(F.lit("column:"), first["value"])).when(what == "check", "check").when(what == "options", "table").otherwise("expression")
-    nested = F.when(what == "check", "check").when(what == "options", "table").otherwise("expression")
-    collated = F.when((item["collate"] >= 0) & what.isin("column", "check", "index", "options"), F.when(options, _collations(ts, where_, nested, 0)).otherwise(_collations(ts, where_, nested, 1)))
-    key_word = F.get(ts, at + 1)["up"]
     # Of an option: the token after it, or the one after =.
-    setting = {}
-    for name in ("engine", "auto"):
-        here = item[name]
-        one = F.get(ts, here + 1)
-        setting[name] = F.when(here >= 0, F.when(F.coalesce(one["value"] == "=", F.lit(False)), F.get(ts, here + 2)).otherwise(F.coalesce(one, F.struct(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("up"), F.lit("").alias("value"), F.lit(0).alias("d"), F.lit(0).alias("from"), F.lit(0).alias("to")))))
-    engine, auto = setting["engine"], setting["auto"]
-    lost = (item["collate"] >= 0) & F.exists(F.coalesce(collated, F.array()), lambda c: c["name"].isNull())
-    reason = (
-        F.when(head & ((F.size(ts) < 4) | (first["up"] != "CREATE") | (second["up"] != "TABLE") | (F.get(ts, F.lit(2))["kind"] != "id") | (F.get(ts, F.lit(3))["value"] != "(")), "no CREATE TABLE with a quoted name and a list")
-        .when(head & ~item["closed"], "the list isn't closed")
-        .when(is_item & ~F.coalesce(first["kind"].isin("id", "word"), F.lit(False)), "an item that is neither a column nor a key")
-        .when((what == "column") & (ref >= 0), "a column with REFERENCES of its own")
-        .when((what == "foreign") & ~named, "a foreign key without a name")
-        .when((what == "foreign") & ((key_word != "KEY") | (ref < 0) | F.coalesce(target["kind"] != "id", F.lit(True))), "a foreign key without a table")
-        .when((what == "foreign") & F.coalesce(after["value"] == ".", F.lit(False)), "a foreign key to another database")
-        .when((what == "foreign") & ((F.size(left) == 0) | (F.size(left) != F.size(right))), "a foreign key whose columns don't match")
-        .when((what == "primary") & ((key_word != "KEY") | (F.size(_names(ts)) == 0)), "a primary key without columns")
-        .when(what == "other", "an item of another kind")
-        .when(lost, "COLLATE without a name")
-        .when(options & (item["option"] >= 0), F.concat(F.lit("the option "), F.get(ts, item["option"])["up"]))
-        .when(options & engine.isNotNull() & ~F.coalesce((engine["kind"] == "word") & F.lower(engine["value"]).isin(*ENGINES), F.lit(False)), F.concat(F.lit("the engine "), F.coalesce(engine["value"], F.lit(""))))
-        .when(options & auto.isNotNull() & ~F.coalesce((auto["kind"] == "word") & auto["value"].rlike("\\A[0-9]{1,20}\\z"), F.lit(False)), "AUTO_INCREMENT without a number")
-    )
-    foreign = F.struct(second["value"].alias("name"), left.alias("columns"), target["value"].alias("references"), right.alias("referenced"))
-    places = F.flatten(F.array(
-        F.when(head, F.array(place("table", F.get(ts, F.lit(2))))).otherwise(F.array()),
-        F.when(what == "foreign", F.array(place("foreign", second), place("references", target))).otherwise(F.array()),
-        F.when((what == "check") & named, F.array(place("check", second))).otherwise(F.array()),
-        F.when((what == "column") & (item["constraint"] >= 0), F.transform(inner_checks, lambda t: place("check", t))).otherwise(F.array()),
-        F.coalesce(collated, F.array()),
-    ))
-    return F.struct(
-        F.when(head, F.struct(F.get(ts, F.lit(2))["value"].alias("table"), first["from"].alias("start"))).alias("head"),
-        F.when(options, F.struct(engine["value"].alias("engine"), auto["value"].alias("auto"))).alias("options"),
-        F.when(what == "column", F.struct(first["value"].alias("name"), (item["generated"] >= 0).alias("generated"))).alias("column"),
-        F.when(what == "primary", _names(ts)).alias("primary"), F.when(what == "foreign", foreign).alias("foreign"), places.alias("places"), reason.alias("bad"),
-    )
-
-
-def facts(found: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and FACTS of each CREATE TABLE among statements with ``tokens`` (see sources.foreign); the rest is left out.
+    settings = {}
+    for setting, names in (("engine", ("ENGINE", "TYPE")), ("auto", ("AUTO_INCREMENT",))):
+        here = np.where(options, found(is_(*names)), -1)
+        equals = (here >= 0) & (mark[at(here + 1)] == ord("="))
+        settings[setting] = np.where(here >= 0, np.where(equals, at(here + 2), at(here + 1)), -1), (here >= 0) & ~(equals & (at(here + 2) < 0))
+    (engine, has_engine), (auto, has_auto) = settings["engine"], settings["auto"]
+    fine_auto = some.copy()
+    which = np.flatnonzero(has_auto & (kind[auto] == C["word"]))
+    fine_auto[which] = pc.match_substring_regex(_text(value, auto[which]), "\\A[0-9]{1,20}\\z").to_numpy(zero_copy_only=False)
+
+    bad = np.select([
+        head & ((size < HEAD_TOKENS) | (word[two] != _WORD["TABLE"]) | (kind[name] != C["id"]) | (mark[at(3)] != ord("("))),
+        head & (close[owner] == OPTIONS),
+        ~head & ~options & (kind[one] != C["id"]) & (kind[one] != C["word"]),
+        column & (reference >= 0),
+        keys & ~named,
+        keys & ((next_word != _WORD["KEY"]) | (reference < 0) | (kind[target] != C["id"])),
+        keys & (mark[beyond] == ord(".")),
+        keys & ((n_left == 0) | (n_left != n_right)),
+        primary & ((next_word != _WORD["KEY"]) | (n_primary == 0)),
+        what == _IS["other"],
+        lost,
+        options & (option >= 0),
+        has_engine & ~is_(*(e.upper() for e in ENGINES))[engine],
+        has_auto & ~fine_auto,
+    ], range(1, _LAST + 1), 0)
+    # The first reason of a statement, then those of its items together.
+    which = np.flatnonzero(bad)[::-1]
+    reason, by = np.zeros(n, np.int64), np.full(n, -1)
+    reason[owner[which]], by[owner[which]] = bad[which], which
+    cols, primaries = np.flatnonzero(column), np.flatnonzero(primary)
+    column_names = _text(value, one[cols])
+    codes = column_names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    pairs = np.sort(owner[cols] * (len(cols) + 1) + codes)
+    twice = np.zeros(n, bool)
+    twice[pairs[1:][pairs[1:] == pairs[:-1]] // (len(cols) + 1)] = True
+    n_cols, n_primaries = (np.bincount(owner[x], minlength=n) for x in (cols, primaries))
+    reason = np.where(reason > 0, reason, np.select([twice, n_primaries > 1, n_cols == 0], range(_LAST + 1, _LAST + 4), 0))
+    ending = np.where(reason == _OPTION, at(option)[by], np.where(reason == _ENGINE, engine[by], -1))
+    ended = _text(value, ending, "")
+    ended = pc.if_else(pa.array(reason == _OPTION), pc.utf8_upper(ended), ended)
+
+    # Places in the order of items; an item's own names come before its collations.
+    inner_checks = np.flatnonzero(is_("CONSTRAINT")[:-1] & own[:-1] & column[of])
+    inner_checks = after(inner_checks, 1)[kind[after(inner_checks, 1)] == C["id"]]
+    heads, foreigns, checks = np.flatnonzero(head), np.flatnonzero(keys), np.flatnonzero(check & named)
+    parts = [(heads, name[heads], "table"), (foreigns, two[foreigns], "foreign"), (foreigns, target[foreigns], "references"), (checks, two[checks], "check"), (of[inner_checks], inner_checks, "check"), (of[c], there, "collation")]
+    items, tokens = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    whats = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    order = np.lexsort((np.arange(len(items)), whats, items))
+    sorted_, owned, what_ = pa.array(order), owner[items[order]], whats[order]
+    texts = pa.concat_arrays([_text(value, tokens[: len(items) - len(c)]), collation]).take(sorted_)
+    ats = pa.concat_arrays([pa.nulls(len(items) - len(c), pa.string()), places_at]).take(sorted_)
+    none = tokens[order] < 0
+    places = pa.StructArray.from_arrays([pa.array([p[2] for p in parts]).take(pa.array(what_)), texts, ats, *[pa.array(x[tokens[order]], pa.int32(), mask=none) for x in (start, end)]], ["what", "name", "at", "from", "to"])
+    is_check, is_collation = np.isin(what_, (3, 4)), what_ == 5
+
+    key_columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k[foreigns])]), pa.int32()), _text(value, x)) for k, x in ((n_left, left), (n_right, right))]
+    foreign_keys = pa.StructArray.from_arrays([_text(value, two[foreigns]), key_columns[0], _text(value, target[foreigns]), key_columns[1]], ["name", "columns", "references", "referenced"])
+    first_primary = some.copy()
+    first_primary[primaries[np.diff(owner[primaries], prepend=-1) != 0]] = True
+    in_first = in_primary[first_primary[of[in_primary]]]
+    made, last = np.flatnonzero(column & (generated >= 0)), np.full(n, -1)
+    last[owner[options]] = np.flatnonzero(options)
+    option_text = lambda x: _text(value, np.where(last >= 0, x[last], -1), "")
+    return creates, {
+        "table": _text(value, name[heads]), "columns": _lists(owner[cols], n, column_names), "generated": _lists(owner[made], n, _text(value, one[made])), "primary_key": _lists(row[in_first], n, _text(value, in_first)),
+        "foreign_keys": _lists(owner[foreigns], n, foreign_keys), "checks": _lists(owned[is_check], n, texts.filter(pa.array(is_check))), "engine": option_text(engine), "auto_increment": option_text(auto),
+        "collations": _lists(owned[is_collation], n, pa.StructArray.from_arrays([x.filter(pa.array(is_collation)) for x in (texts, ats)], ["name", "at"])), "reason": pc.binary_join_element_wise(pa.array(_REASONS).take(pa.array(reason)), ended, ""),
+        "places": _lists(owned, n, places), "start": pa.array(start[one[heads]], pa.int32()),
+    }
+
+
+def facts(found: DataFrame, keys: list[str], told: list[str] | None = None) -> DataFrame:
+    """``keys`` and FACTS (or those ``told``) of each CREATE TABLE among statements with ``tokens`` or, where these are no column, ``body`` (see sources.foreign); the rest is left out.
 
     columns has all in order, generated those that INSERTs can't fill, foreign_keys structs of
     name, columns, references and referenced, collations structs of name and at (table, column:<name>, expression
@@ -202,27 +256,27 @@ def facts(found: DataFrame, keys: list[str]) -> DataFrame:
     places has byte ranges of names, for ``rewritten``; start is where CREATE begins. Keys are any columns, carried along; statements
     without tokens are left out; an empty table gives an empty one.
     """
-    # Judged by the first token before facts are made: a filter on these would have them made twice.
-    creates = F.get(F.get("items", F.lit(0))["ts"], F.lit(0))["up"] == "CREATE"
-    held = _items(found, keys).where(creates).withColumn("items", F.transform("items", _item_kind)).withColumn("items", F.transform("items", _item_facts))
-    pick = lambda field: F.filter(F.transform("items", lambda x: x[field]), lambda x: x.isNotNull())
-    one = lambda field: F.get(pick(field), F.lit(0))
-    whole = held.select(
-        *keys, one("head").alias("head"), one("options").alias("options"), pick("column").alias("cols"), pick("primary").alias("primaries"), pick("foreign").alias("foreigns"),
-        F.flatten(F.transform("items", lambda x: x["places"])).alias("places"), one("bad").alias("bad"),
-    )
-    names = F.transform("cols", lambda c: c["name"])
-    of = lambda kind_: F.filter("places", lambda x: x["what"] == kind_)
-    reason = (
-        F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.size("cols") != F.size(F.array_distinct(names)), "a column defined twice")
-        .when(F.size("primaries") > 1, "two primary keys").when(F.size("cols") == 0, "no columns")
-    )
-    return whole.select(
-        *keys, F.col("head.table").alias("table"), names.alias("columns"), F.transform(F.filter("cols", lambda c: c["generated"]), lambda c: c["name"]).alias("generated"),
-        F.coalesce(F.get("primaries", F.lit(0)), F.array().cast("array<string>")).alias("primary_key"), F.col("foreigns").alias("foreign_keys"),
-        F.transform(of("check"), lambda x: x["name"]).alias("checks"), F.coalesce("options.engine", F.lit("")).alias("engine"), F.coalesce("options.auto", F.lit("")).alias("auto_increment"),
-        F.transform(of("collation"), lambda x: F.struct(x["name"].alias("name"), x["at"].alias("at"))).alias("collations"), reason.alias("reason"), "places", F.col("head.start").alias("start"),
-    )
+    told, lexes = told or list(FACTS), "tokens" not in found.columns
+    held = found.select(*keys, F.col("body" if lexes else "tokens").alias("_read"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = foreign.in_slices(batches, len(keys)) if lexes else (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS))
+        for part in parts:
+            read = part.columns[-1]
+            if lexes:
+                columns = foreign.lexed(read.to_pylist())
+            else:
+                kind, start, end, value = read.flatten().flatten()
+                kind = pc.fill_null(pc.index_in(kind, pa.array(foreign.KINDS)), foreign.K["bad"])
+                columns = np.repeat(np.arange(len(read)), pc.fill_null(pc.list_value_length(read), 0).to_numpy(zero_copy_only=False)), *(x.to_numpy(zero_copy_only=False) for x in (kind, start, end)), value
+            creates, out = facts_of(len(read), *columns)
+            if not out:
+                continue
+            mask = pa.array(creates)
+            yield pa.record_batch([*[x.filter(mask) for x in part.columns[:-1]], *[out[k] for k in told]], [*keys, *told])
+
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1]], *[f"`{k}` {FACTS[k]}" for k in told]])
+    return held.mapInArrow(run, kinds)
 
 
 # --- other names -----------------------------------------------------------------
@@ -246,11 +300,16 @@ def constraint_name(name: Column, kind: str, table: Column, temporary: Column, f
 
 def edited(body: Column, edits: Column) -> Column:
     """A text in bytes after edits (structs from, to and text, whose byte ranges don't overlap), applied from the last to the first."""
-    # Pieces between edits are found at once, so the work doesn't grow with their number times the text's length.
-    sorted_ = F.sort_array(edits)
-    before = F.transform(sorted_, lambda e, i: F.concat(F.substring(body, F.coalesce(F.get(sorted_, i - 1)["to"], F.lit(0)) + 1, e["from"] - F.coalesce(F.get(sorted_, i - 1)["to"], F.lit(0))).cast("string"), e["text"]))
-    rest = F.substring(body, F.coalesce(F.get(sorted_, F.size(sorted_) - 1)["to"], F.lit(0)) + 1, F.octet_length(body)).cast("string")
-    return F.concat(F.array_join(before, ""), rest)
+
+
+    def whole(sorted_: Column) -> Column:
+        # Pieces between edits are found at once, so the work doesn't grow with their number times the text's length.
+        before = F.transform(sorted_, lambda e, i: F.concat(F.substring(body, F.coalesce(F.get(sorted_, i - 1)["to"], F.lit(0)) + 1, e["from"] - F.coalesce(F.get(sorted_, i - 1)["to"], F.lit(0))).cast("string"), e["text"]))
+        rest = F.substring(body, F.coalesce(F.get(sorted_, F.size(sorted_) - 1)["to"], F.lit(0)) + 1, F.octet_length(body)).cast("string")
+        return F.concat(F.array_join(before, ""), rest)
+
+    # As the only element of an array the edits are made and sorted once, not again for each use in each element.
+    return F.get(F.transform(F.array(F.sort_array(edits)), whole), F.lit(0))
 
 
 def rewritten(known: DataFrame, *, mark: str, temporary: str = "temporary", final: str = "final", number: str = "number", references: str | None = None, collations: dict[str, str] | None = None) -> DataFrame:
