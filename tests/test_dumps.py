@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -220,3 +221,17 @@ def test_orders_are_dealt_out_before_they_become_definitions(spark):
     # One file with one row group, which is one task.
     for made in (dumps.ddl_facts, dumps.ddl_rename):
         assert made(spark, DATA).rdd.getNumPartitions() == 4
+
+
+def test_tokens_of_all_documents(spark, tmp_path, monkeypatch):
+    from wharfline.plans import dumps, registry
+
+    # Most statements are longer than those that are read, and two documents have no id.
+    monkeypatch.setattr(foreign, "STATEMENT_BYTES", 200)
+    rows = [(1, "a;b' " * 900, "en", "x"), (7, None, None, "x"), (19, "c", "de", None), (34, "d\\" * 150, None, "x"), (None, "e" * 4000, "en", "x"), (None, "e" * 4000, "en", "x"), (None, None, None, None), (38, "", "fr", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in dumps.dump_tokens(spark, str(tmp_path)).select("dump", "kind", "n").collect())
+    assert got == sorted(want.sql(registry.oracle_sql()["dump_tokens"]).fetchall())
+    assert {n for dump, kind, n in got if (dump, kind) == ("x", "end")} == {8} and {n for dump, kind, n in got if (dump, kind) == ("none", "end")} == {3}
