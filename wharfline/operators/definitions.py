@@ -84,15 +84,16 @@ def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end:
     if len(firsts):
         creates[row[firsts]] = pc.equal(pc.ascii_upper(value.take(pa.array(firsts)).cast(pa.string(), safe=False)), "CREATE").to_numpy(zero_copy_only=False) & (kind[firsts] == C["word"])
     keep &= creates[row]
-    value = value.filter(pa.array(keep))
+    # Where the values of tokens are.
+    held = np.flatnonzero(keep)
     row, kind, start, end = (np.cumsum(creates) - 1)[row[keep]], kind[keep], start[keep], end[keep]
     n = int(creates.sum())
     if not n:
         return creates, {}
     words = np.flatnonzero(kind == C["word"])
     word = np.full(len(row), -1)
-    word[words] = pc.fill_null(pc.index_in(pc.ascii_upper(value.take(pa.array(words)).cast(pa.string(), safe=False)), pa.array(_WORDS)), -1).to_numpy(zero_copy_only=False)
-    mark = np.where(kind == C["p"], foreign.bytes_at(value, np.arange(len(row))), 0)
+    word[words] = pc.fill_null(pc.index_in(pc.ascii_upper(value.take(pa.array(held[words])).cast(pa.string(), safe=False)), pa.array(_WORDS)), -1).to_numpy(zero_copy_only=False)
+    mark = np.where(kind == C["p"], foreign.bytes_at(value, held), 0)
     first = np.searchsorted(row, np.arange(n))
     i = np.arange(len(row)) - first[row]
 
@@ -110,8 +111,9 @@ def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end:
     comma = (mark == ord(",")) & (d == 1) & (i >= HEAD_TOKENS) & (i < close[row])
     item = np.where(i < HEAD_TOKENS, HEAD, np.where(i > close[row], OPTIONS, summed(comma)))
     keep = ~comma & (i != close[row])
-    row, item, value = row[keep], item[keep], value.filter(pa.array(keep))
-    kind, word, mark, d, start, end = (padded(x[keep], none) for x, none in ((kind, C["blank"]), (word, -1), (mark, 0), (d, 0), (start, 0), (end, 0)))
+    row, item = row[keep], item[keep]
+    kind, word, mark, d, start, end, held = (padded(x[keep], none) for x, none in ((kind, C["blank"]), (word, -1), (mark, 0), (d, 0), (start, 0), (end, 0), (held, -1)))
+    text = lambda where, none=None: _text(value, held[where], none)
     is_ = lambda *names: _among(len(_WORDS), (_WORD[w] for w in names))[word]
 
     # Items as ranges of tokens.
@@ -129,9 +131,9 @@ def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end:
         """The k-th token after tokens of an item."""
         return np.where(within[t] + k < size[of[t]], t + k, -1)
 
-    def found(held: np.ndarray) -> np.ndarray:
-        """The place of the first token of an item among those held, -1 if there is none."""
-        place, which = np.full(len(begin), -1), np.flatnonzero(held[:-1])[::-1]
+    def found(those: np.ndarray) -> np.ndarray:
+        """The place of the first token of each item among those, -1 if there is none."""
+        place, which = np.full(len(begin), -1), np.flatnonzero(those[:-1])[::-1]
         place[of[which]] = within[which]
         return place
 
@@ -161,15 +163,15 @@ def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end:
     c = np.flatnonzero(is_("COLLATE")[:-1] & holds[of])
     there = np.where(mark[after(c, 1)] == ord("="), after(c, 2), after(c, 1))
     called = np.where(_among(len(C), (C["str"], C["word"], C["id"]))[kind[there]], there, -1)
-    collation = _text(value, called)
+    collation = text(called)
     quoted = kind[called] == C["str"]
     if quoted.any():
-        text = collation.filter(pa.array(quoted))
-        inner = pc.utf8_slice_codeunits(text, 1, -1)
-        inner = pc.if_else(pc.starts_with(text, "'"), pc.replace_substring(inner, "''", "'"), pc.replace_substring(inner, '""', '"'))
+        raw = collation.filter(pa.array(quoted))
+        inner = pc.utf8_slice_codeunits(raw, 1, -1)
+        inner = pc.if_else(pc.starts_with(raw, "'"), pc.replace_substring(inner, "''", "'"), pc.replace_substring(inner, '""', '"'))
         collation = pc.replace_with_mask(collation, pa.array(quoted), inner)
     nested = d[c] > np.where(options[of[c]], 0, 1)
-    places_at = pc.if_else(pa.array(column[of[c]] & ~nested), pc.binary_join_element_wise("column:", _text(value, one[of[c]]), ""), pa.array(["check", "table", "expression"]).take(pa.array(np.where(check[of[c]], 0, np.where(options[of[c]], 1, 2)))))
+    places_at = pc.if_else(pa.array(column[of[c]] & ~nested), pc.binary_join_element_wise("column:", text(one[of[c]]), ""), pa.array(["check", "table", "expression"]).take(pa.array(np.where(check[of[c]], 0, np.where(options[of[c]], 1, 2)))))
     lost = some.copy()
     lost[of[c[called < 0]]] = True
 
@@ -182,7 +184,7 @@ def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end:
     (engine, has_engine), (auto, has_auto) = settings["engine"], settings["auto"]
     fine_auto = some.copy()
     which = np.flatnonzero(has_auto & (kind[auto] == C["word"]))
-    fine_auto[which] = pc.match_substring_regex(_text(value, auto[which]), "\\A[0-9]{1,20}\\z").to_numpy(zero_copy_only=False)
+    fine_auto[which] = pc.match_substring_regex(text(auto[which]), "\\A[0-9]{1,20}\\z").to_numpy(zero_copy_only=False)
 
     bad = np.select([
         head & ((size < HEAD_TOKENS) | (word[two] != _WORD["TABLE"]) | (kind[name] != C["id"]) | (mark[at(3)] != ord("("))),
@@ -205,7 +207,7 @@ def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end:
     reason, by = np.zeros(n, np.int64), np.full(n, -1)
     reason[owner[which]], by[owner[which]] = bad[which], which
     cols, primaries = np.flatnonzero(column), np.flatnonzero(primary)
-    column_names = _text(value, one[cols])
+    column_names = text(one[cols])
     codes = column_names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
     pairs = np.sort(owner[cols] * (len(cols) + 1) + codes)
     twice = np.zeros(n, bool)
@@ -213,7 +215,7 @@ def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end:
     n_cols, n_primaries = (np.bincount(owner[x], minlength=n) for x in (cols, primaries))
     reason = np.where(reason > 0, reason, np.select([twice, n_primaries > 1, n_cols == 0], range(_LAST + 1, _LAST + 4), 0))
     ending = np.where(reason == _OPTION, at(option)[by], np.where(reason == _ENGINE, engine[by], -1))
-    ended = _text(value, ending, "")
+    ended = text(ending, "")
     ended = pc.if_else(pa.array(reason == _OPTION), pc.utf8_upper(ended), ended)
 
     # Places in the order of items; an item's own names come before its collations.
@@ -225,22 +227,22 @@ def facts_of(n: int, row: np.ndarray, kind: np.ndarray, start: np.ndarray, end:
     whats = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     order = np.lexsort((np.arange(len(items)), whats, items))
     sorted_, owned, what_ = pa.array(order), owner[items[order]], whats[order]
-    texts = pa.concat_arrays([_text(value, tokens[: len(items) - len(c)]), collation]).take(sorted_)
+    texts = pa.concat_arrays([text(tokens[: len(items) - len(c)]), collation]).take(sorted_)
     ats = pa.concat_arrays([pa.nulls(len(items) - len(c), pa.string()), places_at]).take(sorted_)
     none = tokens[order] < 0
     places = pa.StructArray.from_arrays([pa.array([p[2] for p in parts]).take(pa.array(what_)), texts, ats, *[pa.array(x[tokens[order]], pa.int32(), mask=none) for x in (start, end)]], ["what", "name", "at", "from", "to"])
     is_check, is_collation = np.isin(what_, (3, 4)), what_ == 5
 
-    key_columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k[foreigns])]), pa.int32()), _text(value, x)) for k, x in ((n_left, left), (n_right, right))]
-    foreign_keys = pa.StructArray.from_arrays([_text(value, two[foreigns]), key_columns[0], _text(value, target[foreigns]), key_columns[1]], ["name", "columns", "references", "referenced"])
+    key_columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k[foreigns])]), pa.int32()), text(x)) for k, x in ((n_left, left), (n_right, right))]
+    foreign_keys = pa.StructArray.from_arrays([text(two[foreigns]), key_columns[0], text(target[foreigns]), key_columns[1]], ["name", "columns", "references", "referenced"])
     first_primary = some.copy()
     first_primary[primaries[np.diff(owner[primaries], prepend=-1) != 0]] = True
     in_first = in_primary[first_primary[of[in_primary]]]
     made, last = np.flatnonzero(column & (generated >= 0)), np.full(n, -1)
     last[owner[options]] = np.flatnonzero(options)
-    option_text = lambda x: _text(value, np.where(last >= 0, x[last], -1), "")
+    option_text = lambda x: text(np.where(last >= 0, x[last], -1), "")
     return creates, {
-        "table": _text(value, name[heads]), "columns": _lists(owner[cols], n, column_names), "generated": _lists(owner[made], n, _text(value, one[made])), "primary_key": _lists(row[in_first], n, _text(value, in_first)),
+        "table": text(name[heads]), "columns": _lists(owner[cols], n, column_names), "generated": _lists(owner[made], n, text(one[made])), "primary_key": _lists(row[in_first], n, text(in_first)),
         "foreign_keys": _lists(owner[foreigns], n, foreign_keys), "checks": _lists(owned[is_check], n, texts.filter(pa.array(is_check))), "engine": option_text(engine), "auto_increment": option_text(auto),
         "collations": _lists(owned[is_collation], n, pa.StructArray.from_arrays([x.filter(pa.array(is_collation)) for x in (texts, ats)], ["name", "at"])), "reason": pc.binary_join_element_wise(pa.array(_REASONS).take(pa.array(reason)), ended, ""),
         "places": _lists(owned, n, places), "start": pa.array(start[one[heads]], pa.int32()),
